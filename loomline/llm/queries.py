@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomline.llm import simhash
+from loomline.llm import prefix_free, rabin_karp, simhash
 from loomline.llm.common import table
 from loomline.registry import Registry
 
@@ -17,3 +17,17 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents whose 3-word fingerprints link at 2 differing bits or fewer."""
     out = simhash.near_duplicates(table(spark, sf_dir, "documents"), shingle_words=3, radius=2)
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+@REGISTRY.query("op8_suffix_array_dedup")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes of 200-byte strings that start anywhere else, removed."""
+    out = prefix_free.remove_repeats(table(spark, sf_dir, "documents"), 200)
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
+@REGISTRY.query("op10_rabin_karp_dedup")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of 50-word windows that also start in an earlier document, removed."""
+    out = rabin_karp.remove_repeats(table(spark, sf_dir, "documents"), 50)
+    return out.select("doc_id", "n_words", "n_removed", "kept_sha256")
