@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomline.llm import bpe, chat, prefix_free, rabin_karp, rules, simhash
-from loomline.llm.common import table
+from loomline.llm import bpe, chat, prefix_free, quality, rabin_karp, rules, simhash
+from loomline.llm.common import fold_of, table
 from loomline.registry import Registry
 
 REGISTRY = Registry()
@@ -79,3 +79,11 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     out = rules.judge(docs, rules.learn_from(docs, table(spark, sf_dir, "labels")))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+@REGISTRY.query("op3_quality_classifier")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A factorisation machine's score of every document, learned outside fold 0 of five."""
+    docs = table(spark, sf_dir, "documents")
+    out = quality.score(docs, quality.learn(docs, table(spark, sf_dir, "labels")))
+    return out.select("doc_id", (fold_of("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
