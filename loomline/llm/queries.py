@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomline.llm import bpe, chat, prefix_free, quality, rabin_karp, rules, simhash
+from loomline.llm import bpe, chat, context_tree, prefix_free, quality, rabin_karp, rules, simhash
 from loomline.llm.common import fold_of, table
 from loomline.registry import Registry
 
@@ -87,3 +87,10 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     out = quality.score(docs, quality.learn(docs, table(spark, sf_dir, "labels")))
     return out.select("doc_id", (fold_of("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+@REGISTRY.query("op5_lm_scoring")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Context-tree and unigram scores of every document, learned outside fold 0 of ten."""
+    out = context_tree.score(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
