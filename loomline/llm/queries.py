@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomline.llm import bpe, chat, context_tree, prefix_free, quality, rabin_karp, rules, simhash
+from loomline.llm import bpe, chat, context_tree, prefix_free, quality, rabin_karp, rules, secrets, simhash, spaced_seeds
 from loomline.llm.common import fold_of, table
 from loomline.registry import Registry
 
@@ -94,3 +94,15 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Context-tree and unigram scores of every document, learned outside fold 0 of ten."""
     out = context_tree.score(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+@REGISTRY.query("op4_spaced_seed_decontamination")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that overlap benchmark items, with the longest overlap of each pair."""
+    return spaced_seeds.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@REGISTRY.query("op7_secret_scan")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets found in every document, without the values."""
+    return secrets.findings(table(spark, sf_dir, "documents"), secrets.default_forest(spark))

@@ -15,12 +15,15 @@ exactly, but only few are shuffled one by one:
 
 All windows of a phrase that occurs again occur again. Other windows can have an equal only in
 a different phrase of the same trigger. So the suffixes of distinct phrases are compared only
-where a trigger has several phrases, one copy of each phrase standing for all. Windows are
-compared by two independent 64-bit hashes, phrases by the hashes of trigger and phrase.
-
-No group of rows is gathered in one task: groups are counted by partial aggregation and joined
-back, which Spark splits where a key is frequent. What is collected in a row belongs to one text
-or one phrase. Rows are known by a 64-bit hash of id and text, so ids may be null or repeated.
+where a trigger has several phrases, one copy of each phrase standing for all. The copies are
+dealt by trigger and their suffixes ordered in the task; a trigger with more than `CROWD`
+distinct phrases is not gathered: the windows of its phrases are counted in Spark one by one.
+Windows are compared by two independent 64-bit hashes, phrases by the hashes of trigger and
+phrase.
+
+No unbounded group of rows is gathered in one task: groups are counted by partial aggregation and
+joined back, which Spark splits where a key is frequent. What is collected in a row belongs to one
+text or one phrase. Rows are known by a 64-bit hash of id and text, so ids may be null or repeated.
 """
 
 from __future__ import annotations
@@ -34,6 +37,8 @@ from pyspark.sql import functions as F
 
 from loomline.llm.common import BASES, U, Rolling, buffers, mix, signed, sliding_min, word_hashes, words
 
+CROWD = 4096
+CHUNK_UNITS = 1 << 18
 SPAN = 1024  # starts and counts of a phrase are packed as start * SPAN + count
 
 
@@ -116,8 +121,11 @@ def lists(col: pa.Array) -> tuple[np.ndarray, pa.Array]:
     return np.concatenate([[0], np.cumsum(n)]), col.flatten()
 
 
-def _suffixes(chosen: DataFrame, w: Windows) -> DataFrame:
-    """The windows of one copy of each of the chosen phrases: (h1, h2, trigger, phrase, off, low)."""
+COPIES = "trigger long, phrase long, low long, n int, body binary"
+
+
+def _copies(chosen: DataFrame, w: Windows) -> DataFrame:
+    """One copy of each of the chosen phrases: the numbers of its units."""
 
     def of(batches):
         for b in batches:
@@ -127,22 +135,107 @@ def _suffixes(chosen: DataFrame, w: Windows) -> DataFrame:
             at, trigger, phrase, low = (np.asarray(found.field(i)) for i in range(4))
             for i, j, buf, off in buffers(b.column(0)):
                 values, unit = w.values(buf, off)
-                h1, h2 = w.hashes(values)
+                if w.units == "bytes":
+                    values = buf
                 lo, hi = bounds[i], bounds[j]
                 row = np.repeat(np.arange(j - i), np.diff(bounds[i : j + 1]))
-                start, count = unit[row] + at[lo:hi] // SPAN, at[lo:hi] % SPAN
-                which = np.repeat(np.arange(lo, hi), count)
-                step = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-                place = np.repeat(start, count) + step
+                start, n = unit[row] + at[lo:hi] // SPAN, at[lo:hi] % SPAN
+                body = [values[s:e].tobytes() for s, e in zip(start.tolist(), (start + n + w.length - 1).tolist(), strict=True)]
                 yield pa.record_batch(
-                    [signed(h1[place]), signed(h2[place]), pa.array(trigger[which]), pa.array(phrase[which]), pa.array(step.astype(np.int32)), pa.array(low[which])],
-                    ["h1", "h2", "trigger", "phrase", "off", "low"],
+                    [pa.array(trigger[lo:hi]), pa.array(phrase[lo:hi]), pa.array(low[lo:hi]), pa.array(n.astype(np.int32)), pa.array(body, pa.binary())],
+                    ["trigger", "phrase", "low", "n", "body"],
                 )
 
-    return chosen.select("text", "found").mapInArrow(of, "h1 long, h2 long, trigger long, phrase long, off int, low long")
+    return chosen.select("text", "found", "own").mapInArrow(of, COPIES)
+
+
+def _windows_of(b: pa.RecordBatch, w: Windows) -> tuple[np.ndarray, ...]:
+    """Of each window of the copies in a batch: (copy, offset, h1, h2)."""
+    n = np.asarray(b.column("n")).astype(np.int64)
+    raw = np.frombuffer(b"".join(b.column("body").to_pylist()), np.uint8)
+    values = raw.astype(U) + U(1) if w.units == "bytes" else raw.view(U)
+    size = n + w.length - 1
+    first = np.cumsum(size) - size
+    h1, h2 = w.hashes(values)
+    copy = np.repeat(np.arange(len(n)), n)
+    step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    place = first[copy] + step
+    return copy, step, h1[place], h2[place]
+
+
+def _ordered(copies: DataFrame, w: Windows, earlier: bool) -> DataFrame:
+    """(trigger, phrase, low, offs) of the copies' windows that count, by ordering a trigger's suffixes in the task."""
+
+    def judged(batch: pa.RecordBatch) -> pa.RecordBatch:
+        copy, step, h1, h2 = _windows_of(batch, w)
+        low = np.asarray(batch.column("low"))
+        order = np.lexsort((h2, h1))
+        new = np.ones(len(order), bool)
+        new[1:] = (h1[order][1:] != h1[order][:-1]) | (h2[order][1:] != h2[order][:-1])
+        head = np.flatnonzero(new)
+        group = np.cumsum(new) - 1
+        own = low[copy[order]]
+        if earlier:
+            hit = np.minimum.reduceat(own, head)[group] < own
+        else:
+            hit = (np.diff(np.append(head, len(order)))[group] > 1) & (own == 0)
+        at = np.sort(order[hit])
+        bounds = np.searchsorted(copy[at], np.arange(batch.num_rows + 1))
+        offs = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(step[at].astype(np.int32)))
+        out = pa.record_batch([batch.column("trigger"), batch.column("phrase"), batch.column("low"), offs], ["trigger", "phrase", "low", "offs"])
+        return out.filter(pa.array(np.diff(bounds) > 0))
+
+    def of(batches):
+        held: list[pa.RecordBatch] = []
+        units = 0
+        for b in batches:
+            trigger = np.asarray(b.column(0))
+            cuts = np.flatnonzero(trigger[1:] != trigger[:-1]) + 1
+            a = 0
+            if held and len(trigger) and trigger[0] != held[-1].column(0)[-1].as_py():
+                cuts = np.concatenate([[0], cuts])
+            size = np.cumsum(np.asarray(b.column(3)).astype(np.int64) + w.length)
+            for c in cuts.tolist():
+                if units + (size[c - 1] if c else 0) - (size[a - 1] if a else 0) < CHUNK_UNITS:
+                    continue
+                if c > a:
+                    held.append(b.slice(a, c - a))
+                yield judged(pa.Table.from_batches(held).combine_chunks().to_batches()[0])
+                held, units, a = [], 0, c
+            if a < b.num_rows:
+                held.append(b.slice(a))
+                units += int(size[-1] - (size[a - 1] if a else 0))
+        if held:
+            yield judged(pa.Table.from_batches(held).combine_chunks().to_batches()[0])
+
+    dealt = copies.repartition("trigger").sortWithinPartitions("trigger")
+    return dealt.mapInArrow(of, "trigger long, phrase long, low long, offs array<int>")
+
+
+def _counted(copies: DataFrame, w: Windows, earlier: bool) -> DataFrame:
+    """The same by counting every window in Spark, for triggers with many phrases."""
+
+    def of(batches):
+        for b in batches:
+            for a in range(0, b.num_rows, 1024):
+                part = b.slice(a, 1024)
+                copy, step, h1, h2 = _windows_of(part, w)
+                each = [np.asarray(part.column(i))[copy] for i in range(3)]
+                yield pa.record_batch(
+                    [signed(h1), signed(h2), *map(pa.array, each), pa.array(step.astype(np.int32))], ["h1", "h2", "trigger", "phrase", "low", "off"]
+                )
+
+    suffix = copies.mapInArrow(of, "h1 long, h2 long, trigger long, phrase long, low long, off int")
+    if earlier:
+        same = suffix.groupBy("h1", "h2").agg(F.min("low").alias("least"), F.max("low").alias("most")).filter("least < most")
+        part = suffix.join(same, ["h1", "h2"]).filter("least < low")
+    else:
+        same = suffix.groupBy("h1", "h2").agg(F.count("*").alias("m")).filter("m > 1")
+        part = suffix.filter("low = 0").join(same, ["h1", "h2"])
+    return part.groupBy("trigger", "phrase").agg(F.first("low").alias("low"), F.collect_set("off").alias("offs"))
 
 
-def repeated(docs: DataFrame, w: Windows, earlier: bool, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def repeated(docs: DataFrame, w: Windows, earlier: bool, id_col: str = "doc_id", text_col: str = "text", crowd: int = CROWD) -> DataFrame:
     """(id, text, marks): of each text, the windows that occur again.
 
     earlier: only windows that also start in a text with a smaller id count; else those that
@@ -153,31 +246,31 @@ def repeated(docs: DataFrame, w: Windows, earlier: bool, id_col: str = "doc_id",
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     raw = F.col(id_col).cast("long")
     keyed = docs.select(raw.alias("own"), F.coalesce(raw, F.lit(-(1 << 63))).alias("id"), text.alias("text")).withColumn("key", F.xxhash64("own", "text"))
-    rows = parse(keyed, w)
+    # The filters that always hold keep the columns and conditions of each use alike, so that Spark
+    # moves the texts and the parse once for all uses.
+    rows = parse(keyed, w).filter("trigger is not null and phrase is not null")
     sums = [F.first("key").alias("key"), F.first("at").alias("at"), F.min("id").alias("low")]
     sums += [F.max("id").alias("high")] if earlier else [F.count("*").alias("n")]
     entry = rows.groupBy("trigger", "phrase").agg(*sums)
+    entry = entry.filter(" and ".join(f"{c} is not null" for c in entry.columns[2:]))
     again: Column = F.col("low") < F.col("high") if earlier else F.col("n") > 1
     per = [F.count("*").alias("phrases")] + ([F.min("low").alias("least"), F.max("high").alias("most")] if earlier else [])
     several = entry.groupBy("trigger").agg(*per).filter("phrases > 1" + (" and least < most" if earlier else ""))
-    compared = entry.join(several.select("trigger"), "trigger", "left_semi")
+    compared = entry.join(several.select("trigger", (F.col("phrases") > crowd).alias("crowd")), "trigger")
     mark = F.col("low") if earlier else F.when(again, F.lit(1)).otherwise(F.lit(0)).cast("long")
-    chosen = compared.groupBy("key").agg(F.collect_list(F.struct("at", "trigger", "phrase", mark.alias("low"))).alias("found"))
-    suffix = _suffixes(keyed.select("key", "text").join(chosen, "key"), w)
-    if earlier:
-        same = suffix.groupBy("h1", "h2").agg(F.min("low").alias("least"), F.max("low").alias("most")).filter("least < most")
-        part = suffix.join(same, ["h1", "h2"]).filter("least < low")
-    else:
-        same = suffix.groupBy("h1", "h2").agg(F.count("*").alias("m")).filter("m > 1")
-        part = suffix.filter("low = 0").join(same, ["h1", "h2"])
-    part = part.groupBy("trigger", "phrase").agg(F.collect_set("off").alias("offs"), F.first("low").alias("low"))
+
+    def copies(which: str) -> DataFrame:
+        chosen = compared.filter(which).groupBy("key").agg(F.collect_list(F.struct("at", "trigger", "phrase", mark.alias("low"))).alias("found"))
+        return _copies(keyed.select("key", "own", "text").join(chosen, "key"), w)
+
+    part = _ordered(copies("not crowd"), w, earlier).unionByName(_counted(copies("crowd"), w, earlier))
     whole = entry.filter(again).select("trigger", "phrase", F.lit(None).cast("array<int>").alias("offs"), "low")
     hits = whole.unionByName(part.select("trigger", "phrase", "offs", "low"))
     met = rows.join(hits, ["trigger", "phrase"])
     if earlier:
         met = met.filter("(offs is null and id > low) or (offs is not null and id = low)")
     marks = met.groupBy("key").agg(F.collect_list(F.struct("at", "offs")).alias("marks"))
-    return keyed.select("key", F.col("own").alias("id"), "text").join(marks, "key", "left").select("id", "text", "marks")
+    return keyed.select("key", "own", "text").join(marks, "key", "left").select(F.col("own").alias("id"), "text", "marks")
 
 
 def covered(marks: pa.Array, unit: np.ndarray, i: int, j: int, n: int, w: Windows, cache: dict) -> np.ndarray:
