@@ -325,3 +325,76 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, radius: int = 2, id
     ids = named.groupBy("root").agg(F.min("least").alias("component_id"))
     of = named.join(ids, "root").select("fp", "component_id")
     return fps.join(of, "fp").select("doc_id", "fp", "component_id")
+
+
+# --- groups of similar texts ------------------------------------------------------------
+
+
+def _similarity(a: bytes, b: bytes, k: int) -> float:
+    """The share of word shingles that two texts have in common; 1 for two texts without words."""
+    x, y = (w if len(w := t.lower().split()) < k else [tuple(w[i : i + k]) for i in range(len(w) - k + 1)] for t in (a, b))
+    x, y = ({tuple(v)} if v and isinstance(v[0], bytes) else set(v) for v in (x, y))
+    return len(x & y) / len(x | y) if x or y else 1.0
+
+
+def similar_groups(docs: DataFrame, shingle_words: int = 5, least: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, keep_id): texts in a group with others, and the group's least id.
+
+    Candidates are texts whose fingerprints of single words link; a fingerprint of shingles moves
+    too far at a similarity of 0.8 for a search that stays near-linear. Each candidate pair is
+    verified: the share of `shingle_words`-word shingles in common is `least` or more. Texts with
+    one fingerprint are verified against the one of least id; equal texts need no verification.
+    """
+    own = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    hashed = own.withColumn("same", F.xxhash64("text"))
+    fps = cut(_with_hash(hashed))
+    exact = fps.groupBy("fp", "same").agg(F.min("id").alias("first"))
+    nodes = cut(exact.groupBy("fp").agg(F.min("first").alias("least")))
+    linked = links(nodes, 2)
+    of = nodes.select(F.col("fp").alias("a"), F.col("least").alias("x")), nodes.select(F.col("fp").alias("b"), F.col("least").alias("y"))
+    far = linked.join(of[0], "a").join(of[1], "b").select("x", "y")
+    near = exact.join(nodes, "fp").filter("first != least").select(F.col("first").alias("x"), F.col("least").alias("y"))
+    pairs = cut(far.unionByName(near).select(F.greatest("x", "y").alias("x"), F.least("x", "y").alias("y")).distinct())
+    wanted = pairs.select(F.explode(F.array("x", "y")).alias("id")).distinct()
+    texts = own.join(wanted, "id").groupBy("id").agg(F.first("text").alias("text"))
+
+    def verified(batches):
+        for b in batches:
+            rows = zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)
+            yield b.select(["x", "y"]).filter(pa.array([_similarity(s.encode(), t.encode(), shingle_words) >= least for s, t in rows], pa.bool_()))
+
+    both = pairs.join(texts.select(F.col("id").alias("x"), F.col("text").alias("s")), "x").join(texts.select(F.col("id").alias("y"), F.col("text").alias("t")), "y")
+    true = both.select("x", "y", "s", "t").mapInArrow(verified, "x long, y long")
+    copies = fps.join(exact, ["fp", "same"]).filter("id != first").select(F.col("id").alias("x"), F.col("first").alias("y"))
+    roots = components(true.unionByName(copies).select(F.col("x").alias("a"), F.col("y").alias("b")))
+    return roots.select(F.col("node").alias("id"), F.col("root").alias("keep_id"))
+
+
+def _with_hash(hashed: DataFrame) -> DataFrame:
+    """(id, same, fp) of (id, same, text), fp over single words."""
+
+    def of(batches):
+        for b in batches:
+            got = np.zeros(b.num_rows, U)
+            for i, j, buf, off in buffers(b.column(2)):
+                raw = buf.tobytes()
+                each = [_hashes(raw[off[r] : off[r + 1]], 1, 42) for r in range(j - i)]
+                bounds = np.concatenate([[0], np.cumsum([len(x) for x in each])]).astype(np.int64)
+                got[i:j] = _majority(np.array([x for h in each for x in h], U), bounds)
+            yield pa.record_batch([b.column(0), b.column(1), pa.array(got.view(np.int64))], ["id", "same", "fp"])
+
+    return hashed.select("id", "same", "text").mapInArrow(of, "id long, same long, fp long")
+
+
+def one_of_each(docs: DataFrame, shingle_words: int = 5, least: float = 0.8) -> DataFrame:
+    """The documents, all columns, without those that have a near-duplicate of a smaller id.
+
+    Rows without an id are known by their text's hash. Rows that repeat an id and text are one.
+    """
+    key = F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text"))
+    keyed = docs.withColumn("_key", key)
+    groups = similar_groups(keyed, shingle_words, least, "_key", "text")
+    kept = keyed.join(groups.filter("id != keep_id").select(F.col("id").alias("_key")), "_key", "left_anti")
+    if kept.groupBy("_key").count().filter("count > 1").limit(1).count():
+        kept = kept.dropDuplicates(["_key"])
+    return kept.select(docs.columns)
