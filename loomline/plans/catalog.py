@@ -6,7 +6,7 @@ import importlib
 
 from loomline.registry import CORE, Registry
 
-MODULES: list[str] = []
+MODULES = ["loomline.plans.analytics"]
 
 
 def load() -> Registry:
