@@ -6,7 +6,7 @@ import importlib
 
 from loomline.registry import CORE, Registry
 
-MODULES = ["loomline.plans.analytics"]
+MODULES = ["loomline.plans.analytics", "loomline.plans.selecting"]
 
 
 def load() -> Registry:
