@@ -6,7 +6,7 @@ import importlib
 
 from loomline.registry import CORE, Registry
 
-MODULES = ["loomline.plans.analytics", "loomline.plans.selecting"]
+MODULES = [f"loomline.plans.{m}" for m in ("analytics", "selecting", "texts", "retail", "reviews")]
 
 
 def load() -> Registry:
