@@ -1,8 +1,9 @@
 """Byte-level BPE encoding and decoding, with tree concatenation for long unsplit text.
 
-Most texts go to the tokenizer whole. A text that has a run without a place to split of more
-than `LONG_RUN` characters is cut into its pre-tokens, and each long one is encoded as a tree:
-its halves are encoded apart, down to leaves of `LEAF` characters, and joined. At each join a
+A text is cut at the vocabulary's control strings and into its pre-tokens, which are encoded each
+for itself; those of a batch that aren't remembered are encoded together, and up to `REMEMBERED`
+are remembered. A pre-token of `LONG_RUN` characters or more, which nothing splits, is encoded as a
+tree: its halves are encoded apart, down to leaves of `LEAF` characters, and joined. At each join a
 window of the last tokens on the left and the first on the right is encoded anew, and grows
 until it begins with the left side's token and ends with the right side's. The result is then
 the encoding of the whole: a token sequence is the encoding of its bytes exactly if each two
@@ -26,12 +27,13 @@ from pyspark.sql import functions as F
 
 LONG_RUN = 4096
 LEAF = 1024
+REMEMBERED = 1 << 18
 BATCH_CHARS = 1 << 20
 
 #: Fixed value: the pre-token pattern of the byte-level vocabulary.
-PATTERN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
-#: Places where every pre-token ends: white space against other text.
-UNSPLIT = regex.compile(rf"\S{{{LONG_RUN},}}|\s{{{LONG_RUN},}}")
+PATTERN = regex.compile(
+    r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
+)
 
 
 class Codec:
@@ -53,7 +55,8 @@ class Codec:
         self.added = added
         self.control = regex.compile("(" + "|".join(map(regex.escape, sorted(added, key=len, reverse=True))) + ")") if added else None
         self.long_run, self.leaf = long_run, leaf
-        self.unsplit = UNSPLIT if long_run == LONG_RUN else regex.compile(rf"\S{{{long_run},}}|\s{{{long_run},}}")
+        self.known: dict[str, list[int]] = {}
+        self.numerals = [str(i) for i in range(self.whole.get_vocab_size())]
 
     def _pieces(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.piece.encode_batch_fast(texts, add_special_tokens=False)] if texts else []
@@ -98,24 +101,32 @@ class Codec:
             ids, level = joined + ids[len(ids) - odd :] * odd, texts + level[len(level) - odd :] * odd
         return ids[0] if ids else []
 
-    def _long(self, text: str) -> list[int]:
-        out: list[int] = []
-        for part in self.control.split(text) if self.control else [text]:
-            if part in self.added:
-                out.append(self.added[part])
-                continue
-            words = PATTERN.findall(part)
-            short = iter(self._pieces([w for w in words if len(w) < self.long_run]))
-            for w in words:
-                out += next(short) if len(w) < self.long_run else self.tree(w)
-        return out
-
     def encode(self, texts: list[str]) -> list[list[int]]:
-        far = [k for k, t in enumerate(texts) if len(t) >= self.long_run and self.unsplit.search(t)]
-        apart = set(far)
-        out = [e.ids for e in self.whole.encode_batch_fast([t if k not in apart else "" for k, t in enumerate(texts)], add_special_tokens=False)]
-        for k in far:
-            out[k] = self._long(texts[k])
+        """The ids of each text."""
+        known, added = self.known, self.added
+        pieces: list[list[str]] = []
+        for t in texts:
+            own: list[str] = []
+            for part in self.control.split(t) if self.control and self.control.search(t) else (t,):
+                own += (part,) if part in added else PATTERN.findall(part)
+            pieces.append(own)
+        if len(known) > REMEMBERED:
+            known.clear()
+        new = [w for w in {w for own in pieces for w in own} if w not in known]
+        short = [w for w in new if len(w) < self.long_run and w not in added]
+        fresh = dict(zip(short, self._pieces(short), strict=True))
+        for w in new:
+            if w in added:
+                fresh[w] = [added[w]]
+            elif len(w) >= self.long_run:
+                fresh[w] = self.tree(w)
+        known.update((w, i) for w, i in fresh.items() if len(w) < 64)
+        out = []
+        for own in pieces:
+            ids: list[int] = []
+            for w in own:
+                ids += known[w] if w in known else fresh[w]
+            out.append(ids)
         return out
 
     def decode(self, ids: list[list[int]]) -> list[str]:
@@ -163,6 +174,7 @@ def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
 
     def of(batches):
         codec = Codec(path)
+        numerals = codec.numerals
         digest = lambda s: hashlib.sha256(s).hexdigest()
         for b in batches:
             for i, j, texts in _groups(b.column(1)):
@@ -171,7 +183,7 @@ def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
                     [
                         b.column(0).slice(i, j - i),
                         pa.array([len(x) for x in ids], pa.int64()),
-                        pa.array([digest(",".join(map(str, x)).encode()) for x in ids]),
+                        pa.array([digest(",".join([numerals[k] for k in x]).encode()) for x in ids]),
                         pa.array([digest(x.encode()) for x in codec.decode(ids)]),
                     ],
                     ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
