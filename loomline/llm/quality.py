@@ -138,8 +138,8 @@ class Machine:
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def fit(f: Features, good: np.ndarray, epochs: int = 12, batch: int = 256, rate: float = 0.01, decay: float = 1e-4) -> Machine:
-    """Adam on the log loss; the same rows in the same order give the same machine."""
+def fit(f: Features, good: np.ndarray, least_steps: int = 400, batch: int = 256, rate: float = 0.01, decay: float = 1e-4) -> Machine:
+    """Adam on the log loss, over all rows until there were `least_steps` steps; the same rows in the same order give the same machine."""
     rng = np.random.default_rng(7)
     n, size = len(good), BUCKETS + len(STATS)
     share = float(good.mean()) if n else 0.5
@@ -152,7 +152,7 @@ def fit(f: Features, good: np.ndarray, epochs: int = 12, batch: int = 256, rate:
     m.v = rng.normal(0, 0.01, (size, FACTORS))
     step = 0
     first, second = ([np.zeros_like(x) for x in (np.zeros(1), m.w, m.v)] for _ in range(2))
-    for _ in range(epochs):
+    for _ in range(-(-least_steps * batch // max(n, batch))):
         order = rng.permutation(n)
         for a in range(0, n, batch):
             at = order[a : a + batch]
