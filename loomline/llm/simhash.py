@@ -330,10 +330,14 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, radius: int = 2, id
 # --- groups of similar texts ------------------------------------------------------------
 
 
+def _shingles(text: bytes, k: int) -> set[bytes]:
+    w = text.lower().split()
+    return {b" ".join(w[i : i + k]) for i in range(max(1, len(w) - k + 1))} if w else set()
+
+
 def _similarity(a: bytes, b: bytes, k: int) -> float:
     """The share of word shingles that two texts have in common; 1 for two texts without words."""
-    x, y = (w if len(w := t.lower().split()) < k else [tuple(w[i : i + k]) for i in range(len(w) - k + 1)] for t in (a, b))
-    x, y = ({tuple(v)} if v and isinstance(v[0], bytes) else set(v) for v in (x, y))
+    x, y = _shingles(a, k), _shingles(b, k)
     return len(x & y) / len(x | y) if x or y else 1.0
 
 
@@ -355,15 +359,13 @@ def similar_groups(docs: DataFrame, shingle_words: int = 5, least: float = 0.8,
     far = linked.join(of[0], "a").join(of[1], "b").select("x", "y")
     near = exact.join(nodes, "fp").filter("first != least").select(F.col("first").alias("x"), F.col("least").alias("y"))
     pairs = cut(far.unionByName(near).select(F.greatest("x", "y").alias("x"), F.least("x", "y").alias("y")).distinct())
-    wanted = pairs.select(F.explode(F.array("x", "y")).alias("id")).distinct()
-    texts = own.join(wanted, "id").groupBy("id").agg(F.first("text").alias("text"))
-
     def verified(batches):
         for b in batches:
             rows = zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)
             yield b.select(["x", "y"]).filter(pa.array([_similarity(s.encode(), t.encode(), shingle_words) >= least for s, t in rows], pa.bool_()))
 
-    both = pairs.join(texts.select(F.col("id").alias("x"), F.col("text").alias("s")), "x").join(texts.select(F.col("id").alias("y"), F.col("text").alias("t")), "y")
+    # Rows that repeat an id repeat a pair, which changes no component.
+    both = pairs.join(own.select(F.col("id").alias("x"), F.col("text").alias("s")), "x").join(own.select(F.col("id").alias("y"), F.col("text").alias("t")), "y")
     true = both.select("x", "y", "s", "t").mapInArrow(verified, "x long, y long")
     copies = fps.join(exact, ["fp", "same"]).filter("id != first").select(F.col("id").alias("x"), F.col("first").alias("y"))
     roots = components(true.unionByName(copies).select(F.col("x").alias("a"), F.col("y").alias("b")))
