@@ -18,8 +18,9 @@ from loomline.functions import fold
 
 
 def source(spark: SparkSession, path: str, schema: str, files: int = 1) -> DataFrame:
-    """A stream over a folder's parquet files."""
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(path)
+    """A stream over a folder's parquet files; a ts without a time zone is taken in the session's."""
+    df = spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(path)
+    return df.withColumn("ts", F.col("ts").cast("timestamp")) if "ts" in df.columns else df
 
 
 def windows(events: DataFrame, width: str = "1 hour", slide: str | None = None, late: str = "10 minutes") -> DataFrame:
