@@ -43,7 +43,7 @@ def fold_of(doc_id: str, folds: int):
 
 # --- byte buffers -----------------------------------------------------------------------
 
-CHUNK_BYTES = 1 << 21
+CHUNK_BYTES = 1 << 19
 
 #: The ASCII white space that parts words: space and 0x09 to 0x0D.
 SPACE = np.zeros(256, bool)

@@ -34,7 +34,7 @@ from loomline.llm.common import LOWER, U, buffers, cut, fold_of, signed, word_ha
 DEPTH = 5
 HEAD_GRAMS = 1 << 20
 HEAD_WORDS = 1 << 20
-HELD_ENTRIES = 1 << 21
+HELD_ENTRIES = 1 << 20
 GRAM, WORD = 0, 1
 #: The end's place among the words' hashes.
 END = 0x656E64
@@ -248,12 +248,12 @@ class Top:
 
 
 def _by_context(batches):
-    """Whole groups of the sorted rows (ctx, key, n): keys and counts, about 2**18 grams at a time."""
+    """Whole groups of the sorted rows (ctx, key, n): keys and counts, about 2**16 grams at a time or a whole group."""
     held: list[tuple[np.ndarray, ...]] = []
     for b in batches:
         new = tuple(np.asarray(b.column(i)) for i in range(3))
         held.append(new)
-        if sum(len(x[0]) for x in held) > 1 << 17:
+        if sum(len(x[0]) for x in held) > 1 << 16:
             ctx, key, n = (np.concatenate(x) for x in zip(*held, strict=True))
             end = int(np.searchsorted(ctx, ctx[-1]))
             if end:
