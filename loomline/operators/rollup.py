@@ -26,10 +26,10 @@ def _summary() -> list[Column]:
     share = lambda c: F.avg(F.col(c).cast("int"))
     return [
         F.count("*").alias("tasks"),
-        F.round(F.avg("mean"), 4).alias("mean"),
-        F.round(F.avg("success_rate"), 4).alias("success"),
-        F.round(share("effective"), 4).alias("effective"),
-        F.round(share("flat"), 4).alias("flat"),
+        F.round(F.avg("mean"), 6).alias("mean"),
+        F.round(F.avg("success_rate"), 6).alias("success"),
+        F.round(share("effective"), 6).alias("effective"),
+        F.round(share("flat"), 6).alias("flat"),
     ]
 
 

@@ -165,7 +165,7 @@ def _records(spark: SparkSession, d: str) -> DataFrame:
     return rollup.records(rows, ("task_id", "template", "props")).withColumn("difficulty", F.from_json("props", "map<string,string>"))
 
 
-_SUM = """count(*) as tasks, round(avg(mean), 4) as mean, round(avg(success_rate), 4) as success, round(avg(cast(effective as int)), 4) as effective, round(avg(cast(flat as int)), 4) as flat"""
+_SUM = """count(*) as tasks, round(avg(mean), 6) as mean, round(avg(success_rate), 6) as success, round(avg(cast(effective as int)), 6) as effective, round(avg(cast(flat as int)), 6) as flat"""
 
 
 @CORE.query(
