@@ -96,23 +96,24 @@ class Windows:
         return mix(Rolling(values, BASES[0]).windows(self.length)), mix(Rolling(values, BASES[1]).windows(self.length))
 
 
-PARSE = "trigger long, phrase long, key long, id long, at long"
+PARSE = "trigger long, phrase long, key long, at long"
 
 
-def parse(keyed: DataFrame, w: Windows) -> DataFrame:
-    """The phrases of every text."""
+def parse(keyed: DataFrame, w: Windows, with_id: bool) -> DataFrame:
+    """The phrases of every text, with the text's id if asked for."""
 
     def of(batches):
         for b in batches:
             ids, keys = (np.asarray(b.column(i)) for i in (0, 1))
             for i, _, buf, off in buffers(b.column(2)):
                 text, at, count, trigger, phrase = w.phrases(*w.values(buf, off))
-                yield pa.record_batch(
-                    [signed(trigger), signed(phrase), pa.array(keys[i + text]), pa.array(ids[i + text]), pa.array(at * SPAN + count)],
-                    ["trigger", "phrase", "key", "id", "at"],
-                )
+                cols = [signed(trigger), signed(phrase), pa.array(keys[i + text]), pa.array(at * SPAN + count)]
+                names = ["trigger", "phrase", "key", "at"]
+                if with_id:
+                    cols, names = [*cols, pa.array(ids[i + text])], [*names, "id"]
+                yield pa.record_batch(cols, names)
 
-    return keyed.select("id", "key", "text").mapInArrow(of, PARSE)
+    return keyed.select("id", "key", "text").mapInArrow(of, PARSE + ", id long" * with_id)
 
 
 def lists(col: pa.Array) -> tuple[np.ndarray, pa.Array]:
@@ -248,11 +249,11 @@ def repeated(docs: DataFrame, w: Windows, earlier: bool, id_col: str = "doc_id",
     keyed = docs.select(raw.alias("own"), F.coalesce(raw, F.lit(-(1 << 63))).alias("id"), text.alias("text")).withColumn("key", F.xxhash64("own", "text"))
     # The filters that always hold keep the columns and conditions of each use alike, so that Spark
     # moves the texts and the parse once for all uses.
-    rows = parse(keyed, w).filter("trigger is not null and phrase is not null")
-    sums = [F.first("key").alias("key"), F.first("at").alias("at"), F.min("id").alias("low")]
-    sums += [F.max("id").alias("high")] if earlier else [F.count("*").alias("n")]
+    rows = parse(keyed, w, earlier).filter("trigger is not null and phrase is not null")
+    sums = [F.first("key").alias("key"), F.first("at").alias("at")]
+    sums += [F.min("id").alias("low"), F.max("id").alias("high")] if earlier else [F.count("*").alias("n")]
     entry = rows.groupBy("trigger", "phrase").agg(*sums)
-    entry = entry.filter(" and ".join(f"{c} is not null" for c in entry.columns[2:]))
+    entry = entry.filter("key is not null and at is not null and " + ("low is not null and high is not null" if earlier else "n > 0"))
     again: Column = F.col("low") < F.col("high") if earlier else F.col("n") > 1
     per = [F.count("*").alias("phrases")] + ([F.min("low").alias("least"), F.max("high").alias("most")] if earlier else [])
     several = entry.groupBy("trigger").agg(*per).filter("phrases > 1" + (" and least < most" if earlier else ""))
@@ -264,8 +265,8 @@ def repeated(docs: DataFrame, w: Windows, earlier: bool, id_col: str = "doc_id",
         return _copies(keyed.select("key", "own", "text").join(chosen, "key"), w)
 
     part = _ordered(copies("not crowd"), w, earlier).unionByName(_counted(copies("crowd"), w, earlier))
-    whole = entry.filter(again).select("trigger", "phrase", F.lit(None).cast("array<int>").alias("offs"), "low")
-    hits = whole.unionByName(part.select("trigger", "phrase", "offs", "low"))
+    whole = entry.filter(again).select("trigger", "phrase", F.lit(None).cast("array<int>").alias("offs"), *(["low"] if earlier else []))
+    hits = whole.unionByName(part.select(whole.columns))
     met = rows.join(hits, ["trigger", "phrase"])
     if earlier:
         met = met.filter("(offs is null and id > low) or (offs is not null and id = low)")
