@@ -193,11 +193,10 @@ def test_streams_give_what_batches_give(spark, small, tmp_path):
 
 def test_stream_completes_audits_and_folds_conversations(spark, tmp_path):
     rows = spark.createDataFrame([(t, k, float(k)) for t in (1, 2) for k in range(3 if t == 1 else 2)], "task_id long, sample long, reward double")
-    rows.write.parquet(str(tmp_path / "in"))
+    rows.coalesce(1).write.parquet(str(tmp_path / "in"))
     s = st.source(spark, str(tmp_path / "in"), "task_id long, sample long, reward double, ts timestamp", 1)
-    q = st.audit_completion(s, 3).writeStream.format("memory").queryName("a").outputMode("append").start()
-    q.processAllAvailable()
-    q.stop()
+    q = st.audit_completion(s, 3).writeStream.format("memory").queryName("a").outputMode("append").trigger(once=True).start()
+    assert q.awaitTermination(60)
     assert [(r.task_id, r.rewards) for r in spark.table("a").collect()] == [(1, [0.0, 1.0, 2.0])]
     said = spark.createDataFrame([(1, 0, "user", "please cancel"), (1, 1, "assistant", '<tool_call>{"name": "cancel", "arguments": {}}</tool_call>'), (1, 2, "user", "STOP")], "conv_id long, turn long, role string, text string")
     said.coalesce(1).write.parquet(str(tmp_path / "c"))
