@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomline.llm.common import U, buffers, cut
+from loomline.llm.common import BASES, LOWER, Rolling, U, buffers, cut, mix, word_hashes, words
 
 BITS = 64
 BUCKET_CAP = 128
@@ -329,65 +329,81 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, radius: int = 2, id
 
 # --- groups of similar texts ------------------------------------------------------------
 
+#: Independent fingerprints by which candidates are found, and hashes in a text's sketch.
+TABLES, SKETCH = 4, 256
 
-def _shingles(text: bytes, k: int) -> set[bytes]:
-    w = text.lower().split()
-    return {b" ".join(w[i : i + k]) for i in range(max(1, len(w) - k + 1))} if w else set()
 
+def _sketched(own: DataFrame, shingle_words: int) -> DataFrame:
+    """(id, same, fps, sketch) of (id, same, text): fingerprints over single words, and the least shingle hashes."""
 
-def _similarity(a: bytes, b: bytes, k: int) -> float:
-    """The share of word shingles that two texts have in common; 1 for two texts without words."""
-    x, y = _shingles(a, k), _shingles(b, k)
-    return len(x & y) / len(x | y) if x or y else 1.0
+    def of(batches):
+        for b in batches:
+            fps, sketches = np.zeros((b.num_rows, TABLES), U), []
+            for i, j, buf, off in buffers(b.column(2)):
+                low = LOWER[buf]
+                starts, ends, unit = words(low, off)
+                h = word_hashes(low, starts, ends)
+                for k in range(TABLES):
+                    fps[i:j, k] = _majority(mix(h ^ U(k * 0x9E3779B97F4A7C15 % (1 << 64))), unit)
+                roll = Rolling(h, BASES[1])
+                size = np.minimum(np.diff(unit), shingle_words)
+                for a, z, k in zip(unit[:-1].tolist(), unit[1:].tolist(), size.tolist(), strict=True):
+                    at = np.arange(a, z - k + 1) if k else np.zeros(0, np.int64)
+                    sketches.append(np.unique((mix(roll.slices(at, at + k)) >> U(32)).astype(np.uint32))[:SKETCH].tobytes())
+            flat = pa.array(fps.view(np.int64).ravel())
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, b.num_rows * TABLES + 1, TABLES, dtype=np.int32)), flat)
+            yield pa.record_batch([b.column(0), b.column(1), lists, pa.array(sketches, pa.binary())], ["id", "same", "fps", "sketch"])
+
+    return own.select("id", "same", "text").mapInArrow(of, "id long, same long, fps array<long>, sketch binary")
+
+
+def sketch_similarity(a: bytes, b: bytes) -> float:
+    """The share of shingles in common, from two sketches: exact where a text has no more shingles than a sketch holds."""
+    x, y = np.frombuffer(a, np.uint32), np.frombuffer(b, np.uint32)
+    if not len(x) or not len(y):
+        return float(len(x) == len(y))
+    both = np.union1d(x, y)
+    if len(x) == SKETCH or len(y) == SKETCH:
+        both = both[:SKETCH]
+    return float((np.isin(both, x) & np.isin(both, y)).mean())
 
 
 def similar_groups(docs: DataFrame, shingle_words: int = 5, least: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, keep_id): texts in a group with others, and the group's least id.
 
-    Candidates are texts whose fingerprints of single words link; a fingerprint of shingles moves
-    too far at a similarity of 0.8 for a search that stays near-linear. Each candidate pair is
-    verified: the share of `shingle_words`-word shingles in common is `least` or more. Texts with
-    one fingerprint are verified against the one of least id; equal texts need no verification.
+    Candidates are texts of which one of `TABLES` fingerprints of single words links; a fingerprint
+    of shingles moves too far at a similarity of 0.8 for a search that stays near-linear. Each pair
+    is verified by sketches of the least 256 hashes of its shingles (standard error 0.025 for longer
+    texts), so no text is moved. Texts with one fingerprint are verified against the one of least
+    id; equal texts need no verification.
     """
     own = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    hashed = own.withColumn("same", F.xxhash64("text"))
-    fps = cut(_with_hash(hashed))
-    exact = fps.groupBy("fp", "same").agg(F.min("id").alias("first"))
-    nodes = cut(exact.groupBy("fp").agg(F.min("first").alias("least")))
-    linked = links(nodes, 2)
-    of = nodes.select(F.col("fp").alias("a"), F.col("least").alias("x")), nodes.select(F.col("fp").alias("b"), F.col("least").alias("y"))
-    far = linked.join(of[0], "a").join(of[1], "b").select("x", "y")
-    near = exact.join(nodes, "fp").filter("first != least").select(F.col("first").alias("x"), F.col("least").alias("y"))
-    pairs = cut(far.unionByName(near).select(F.greatest("x", "y").alias("x"), F.least("x", "y").alias("y")).distinct())
+    all_rows = cut(_sketched(own.withColumn("same", F.xxhash64("text")), shingle_words))
+    exact = cut(all_rows.groupBy("same").agg(F.min("id").alias("id"), F.first("fps").alias("fps"), F.first("sketch").alias("sketch")))
+    pairs: DataFrame | None = None
+    for k in range(TABLES):
+        rows = exact.select("id", F.col("fps")[k].alias("fp"))
+        nodes = cut(rows.groupBy("fp").agg(F.min("id").alias("least")))
+        of = nodes.select(F.col("fp").alias("a"), F.col("least").alias("x")), nodes.select(F.col("fp").alias("b"), F.col("least").alias("y"))
+        far = links(nodes, 2).join(of[0], "a").join(of[1], "b").select("x", "y")
+        near = rows.join(nodes, "fp").filter("id != least").select(F.col("id").alias("x"), F.col("least").alias("y"))
+        found = far.unionByName(near)
+        pairs = found if pairs is None else pairs.unionByName(found)
+    pairs = pairs.select(F.greatest("x", "y").alias("x"), F.least("x", "y").alias("y")).distinct()
+    side = lambda i, s: exact.select(F.col("id").alias(i), F.col("sketch").alias(s))
+    both = pairs.join(side("x", "s"), "x").join(side("y", "t"), "y").select("x", "y", "s", "t")
+
     def verified(batches):
         for b in batches:
             rows = zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)
-            yield b.select(["x", "y"]).filter(pa.array([_similarity(s.encode(), t.encode(), shingle_words) >= least for s, t in rows], pa.bool_()))
+            yield b.select(["x", "y"]).filter(pa.array([sketch_similarity(s, t) >= least for s, t in rows], pa.bool_()))
 
-    # Rows that repeat an id repeat a pair, which changes no component.
-    both = pairs.join(own.select(F.col("id").alias("x"), F.col("text").alias("s")), "x").join(own.select(F.col("id").alias("y"), F.col("text").alias("t")), "y")
-    true = both.select("x", "y", "s", "t").mapInArrow(verified, "x long, y long")
-    copies = fps.join(exact, ["fp", "same"]).filter("id != first").select(F.col("id").alias("x"), F.col("first").alias("y"))
+    true = both.mapInArrow(verified, "x long, y long")
+    copies = all_rows.select(F.col("id").alias("x"), "same").join(exact.select("same", F.col("id").alias("y")), "same").filter("x != y").select("x", "y")
     roots = components(true.unionByName(copies).select(F.col("x").alias("a"), F.col("y").alias("b")))
     return roots.select(F.col("node").alias("id"), F.col("root").alias("keep_id"))
 
 
-def _with_hash(hashed: DataFrame) -> DataFrame:
-    """(id, same, fp) of (id, same, text), fp over single words."""
-
-    def of(batches):
-        for b in batches:
-            got = np.zeros(b.num_rows, U)
-            for i, j, buf, off in buffers(b.column(2)):
-                raw = buf.tobytes()
-                each = [_hashes(raw[off[r] : off[r + 1]], 1, 42) for r in range(j - i)]
-                bounds = np.concatenate([[0], np.cumsum([len(x) for x in each])]).astype(np.int64)
-                got[i:j] = _majority(np.array([x for h in each for x in h], U), bounds)
-            yield pa.record_batch([b.column(0), b.column(1), pa.array(got.view(np.int64))], ["id", "same", "fp"])
-
-    return hashed.select("id", "same", "text").mapInArrow(of, "id long, same long, fp long")
-
-
 def one_of_each(docs: DataFrame, shingle_words: int = 5, least: float = 0.8) -> DataFrame:
     """The documents, all columns, without those that have a near-duplicate of a smaller id.
 
