@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomline.llm.common import BASES, LOWER, Rolling, U, buffers, cut, mix, word_hashes, words
+from loomline.llm.common import BASES, LOWER, Rolling, U, buffers, cut, mix, signed, word_hashes, words
 
 BITS = 64
 BUCKET_CAP = 128
@@ -329,79 +329,131 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, radius: int = 2, id
 
 # --- groups of similar texts ------------------------------------------------------------
 
-#: Independent fingerprints by which candidates are found, and hashes in a text's sketch.
-TABLES, SKETCH = 4, 256
+#: Rows sampled for the order of shingles, and how many of them a shingle must be in to count as common; most common ones sent.
+ORDER_SAMPLE, COMMON_FROM, MOST_COMMON = 20_000, 3, 1 << 20
 
 
-def _sketched(own: DataFrame, shingle_words: int) -> DataFrame:
-    """(id, same, fps, sketch) of (id, same, text): fingerprints over single words, and the least shingle hashes."""
+def _shingle_sets(col: pa.Array, shingle_words: int):
+    """Runs of texts: (first row, the sorted distinct hashes of each text's shingles); fewer words than a shingle has make one."""
+    for i, j, buf, off in buffers(col):
+        low = LOWER[buf]
+        starts, ends, unit = words(low, off)
+        roll = Rolling(word_hashes(low, starts, ends), BASES[1])
+        size = np.minimum(np.diff(unit), shingle_words)
+        out = []
+        for a, z, k in zip(unit[:-1].tolist(), unit[1:].tolist(), size.tolist(), strict=True):
+            at = np.arange(a, z - k + 1) if k else np.zeros(0, np.int64)
+            out.append(np.unique(mix(roll.slices(at, at + k))))
+        yield i, out
+
+
+def _arrays(sets: list[np.ndarray]) -> pa.Array:
+    bounds = np.concatenate([[0], np.cumsum([len(x) for x in sets])]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(bounds), signed(np.concatenate([*sets, np.zeros(0, U)])))
+
+
+def _common(own: DataFrame, shingle_words: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of common shingles, sorted, and how often a sample has them. They order shingles and decide nothing."""
 
     def of(batches):
         for b in batches:
-            fps, sketches = np.zeros((b.num_rows, TABLES), U), []
-            for i, j, buf, off in buffers(b.column(2)):
-                low = LOWER[buf]
-                starts, ends, unit = words(low, off)
-                h = word_hashes(low, starts, ends)
-                for k in range(TABLES):
-                    fps[i:j, k] = _majority(mix(h ^ U(k * 0x9E3779B97F4A7C15 % (1 << 64))), unit)
-                roll = Rolling(h, BASES[1])
-                size = np.minimum(np.diff(unit), shingle_words)
-                for a, z, k in zip(unit[:-1].tolist(), unit[1:].tolist(), size.tolist(), strict=True):
-                    at = np.arange(a, z - k + 1) if k else np.zeros(0, np.int64)
-                    sketches.append(np.unique((mix(roll.slices(at, at + k)) >> U(32)).astype(np.uint32))[:SKETCH].tobytes())
-            flat = pa.array(fps.view(np.int64).ravel())
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, b.num_rows * TABLES + 1, TABLES, dtype=np.int32)), flat)
-            yield pa.record_batch([b.column(0), b.column(1), lists, pa.array(sketches, pa.binary())], ["id", "same", "fps", "sketch"])
-
-    return own.select("id", "same", "text").mapInArrow(of, "id long, same long, fps array<long>, sketch binary")
-
-
-def sketch_similarity(a: bytes, b: bytes) -> float:
-    """The share of shingles in common, from two sketches: exact where a text has no more shingles than a sketch holds."""
-    x, y = np.frombuffer(a, np.uint32), np.frombuffer(b, np.uint32)
-    if not len(x) or not len(y):
-        return float(len(x) == len(y))
-    both = np.union1d(x, y)
-    if len(x) == SKETCH or len(y) == SKETCH:
-        both = both[:SKETCH]
-    return float((np.isin(both, x) & np.isin(both, y)).mean())
+            for _, sets in _shingle_sets(b.column(1), shingle_words):
+                yield pa.record_batch([signed(np.concatenate([*sets, np.zeros(0, U)]))], ["h"])
 
+    share = min(1.0, ORDER_SAMPLE / max(own.count(), 1))
+    some = own.filter(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < int(share * (1 << 20)))
+    seen = some.select("id", "text").mapInArrow(of, "h long").groupBy("h").agg(F.count("*").alias("n")).filter(F.col("n") >= COMMON_FROM)
+    got = seen.orderBy(F.desc("n"), "h").limit(MOST_COMMON).toArrow()
+    h, n = np.asarray(got["h"]).astype(np.int64).view(U), np.asarray(got["n"]).astype(np.int64)
+    order = np.argsort(h)
+    return h[order], n[order]
 
-def similar_groups(docs: DataFrame, shingle_words: int = 5, least: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, keep_id): texts in a group with others, and the group's least id.
 
-    Candidates are texts of which one of `TABLES` fingerprints of single words links; a fingerprint
-    of shingles moves too far at a similarity of 0.8 for a search that stays near-linear. Each pair
-    is verified by sketches of the least 256 hashes of its shingles (standard error 0.025 for longer
-    texts), so no text is moved. Texts with one fingerprint are verified against the one of least
-    id; equal texts need no verification.
+def _prefixes(own: DataFrame, shingle_words: int, least: float) -> DataFrame:
+    """(id, n, same, prefix): the size of each text's shingle set, its hash, and its rarest shingles.
+
+    Two sets of a similarity of `least` or more share one of their first n - ceil(least * n) + 1
+    shingles, in whatever order all sets are taken.
     """
-    own = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    all_rows = cut(_sketched(own.withColumn("same", F.xxhash64("text")), shingle_words))
-    exact = cut(all_rows.groupBy("same").agg(F.min("id").alias("id"), F.first("fps").alias("fps"), F.first("sketch").alias("sketch")))
-    pairs: DataFrame | None = None
-    for k in range(TABLES):
-        rows = exact.select("id", F.col("fps")[k].alias("fp"))
-        nodes = cut(rows.groupBy("fp").agg(F.min("id").alias("least")))
-        of = nodes.select(F.col("fp").alias("a"), F.col("least").alias("x")), nodes.select(F.col("fp").alias("b"), F.col("least").alias("y"))
-        far = links(nodes, 2).join(of[0], "a").join(of[1], "b").select("x", "y")
-        near = rows.join(nodes, "fp").filter("id != least").select(F.col("id").alias("x"), F.col("least").alias("y"))
-        found = far.unionByName(near)
-        pairs = found if pairs is None else pairs.unionByName(found)
-    pairs = pairs.select(F.greatest("x", "y").alias("x"), F.least("x", "y").alias("y")).distinct()
-    side = lambda i, s: exact.select(F.col("id").alias(i), F.col("sketch").alias(s))
-    both = pairs.join(side("x", "s"), "x").join(side("y", "t"), "y").select("x", "y", "s", "t")
+    sent = own.sparkSession.sparkContext.broadcast(_common(own, shingle_words))
+
+    def of(batches):
+        common, times = sent.value
+        for b in batches:
+            for i, sets in _shingle_sets(b.column(1), shingle_words):
+                n = np.array([len(x) for x in sets], np.int64)
+                same = np.array([x.sum(dtype=U) for x in sets], U)
+                heads = []
+                for x in sets:
+                    count = np.zeros(len(x), np.int64)
+                    if len(common):
+                        at = np.minimum(np.searchsorted(common, x), len(common) - 1)
+                        count = np.where(common[at] == x, times[at], 0)
+                    keep = len(x) - int(np.ceil(least * len(x) - 1e-9)) + 1 if len(x) else 0
+                    heads.append(x[np.argsort(count, kind="stable")[:keep]])
+                yield pa.record_batch([b.column(0).slice(i, len(sets)), pa.array(n), signed(mix(same)), _arrays(heads)], ["id", "n", "same", "prefix"])
+
+    return own.select("id", "text").mapInArrow(of, "id long, n long, same long, prefix array<long>")
+
+
+def _similar_pairs(pairs: DataFrame, own: DataFrame, shingle_words: int, least: float) -> DataFrame:
+    """The pairs (x, y) whose shingle sets have a Jaccard similarity of `least` or more: exact, on all shingles of both."""
+
+    def of(batches):
+        for b in batches:
+            for i, sets in _shingle_sets(b.column(1), shingle_words):
+                yield pa.record_batch([b.column(0).slice(i, len(sets)), _arrays(sets)], ["id", "own"])
 
     def verified(batches):
         for b in batches:
-            rows = zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)
-            yield b.select(["x", "y"]).filter(pa.array([sketch_similarity(s, t) >= least for s, t in rows], pa.bool_()))
+            bounds, flat = zip(*((np.asarray(c.offsets) - c.offsets[0].as_py(), np.asarray(c.flatten())) for c in (b.column(2), b.column(3))), strict=True)
+            keep = np.zeros(b.num_rows, bool)
+            for r in range(b.num_rows):
+                s, t = (flat[k][bounds[k][r] : bounds[k][r + 1]] for k in (0, 1))
+                both = len(np.intersect1d(s, t, assume_unique=True))
+                keep[r] = both >= least * (len(s) + len(t) - both)
+            yield b.select(["x", "y"]).filter(pa.array(keep))
+
+    needed = pairs.select(F.explode(F.array("x", "y")).alias("id")).distinct()
+    sets = cut(own.join(needed, "id", "left_semi").select("id", "text").mapInArrow(of, "id long, own array<long>"))
+    side = lambda i, s: sets.select(F.col("id").alias(i), F.col("own").alias(s))
+    both = pairs.join(side("x", "s"), "x").join(side("y", "t"), "y").select("x", "y", "s", "t")
+    return cut(both.mapInArrow(verified, "x long, y long"))
 
-    true = both.mapInArrow(verified, "x long, y long")
-    copies = all_rows.select(F.col("id").alias("x"), "same").join(exact.select("same", F.col("id").alias("y")), "same").filter("x != y").select("x", "y")
-    roots = components(true.unionByName(copies).select(F.col("x").alias("a"), F.col("y").alias("b")))
-    return roots.select(F.col("node").alias("id"), F.col("root").alias("keep_id"))
+
+def similar_groups(docs: DataFrame, shingle_words: int = 5, least: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, keep_id): texts in a group with others, and the group's least id.
+
+    Texts are linked if their sets of word shingles have a Jaccard similarity of `least` or more,
+    and groups are the components of the links; the result is that of comparing all pairs. By
+    prefix filtering, a similar pair shares a shingle among the rarest of both. Of the texts that
+    share one, each is first compared with that of least id, which joins most; then all pairs
+    that aren't in one group yet are. Equal sets need no comparison, nor do pairs that can't share
+    enough after the place of their first shared shingle. Texts without words are equal. The rows' ids must differ.
+    """
+    own = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    sized = cut(_prefixes(own, shingle_words, least))
+    first = sized.groupBy("same", "n").agg(F.min("id").alias("y"))
+    copies = cut(sized.select("same", "n", F.col("id").alias("x")).join(first, ["same", "n"]).filter("x != y").select("x", "y"))
+    exact = sized.join(copies.select(F.col("x").alias("id")), "id", "left_anti")
+    rows = exact.select("id", "n", F.posexplode("prefix").alias("i", "h"))
+    buckets = rows.groupBy("h").agg(F.count("*").alias("c"), F.min("id").alias("y")).filter("c > 1").select("h", "y")
+    crowd = cut(rows.join(buckets, "h"))  # (h, id, n, i, y): the shingles that several texts share
+    heads = crowd.filter("id = y").select("h", F.col("n").alias("m"), F.col("i").alias("j"))
+    # A pair's first shared shingle leaves no more to share than what follows it in both.
+    near = F.least(F.expr("n - i"), F.expr("m - j")) >= least / (1 + least) * (F.col("n") + F.col("m")) - 1e-6
+    stars = cut(crowd.filter("id != y").join(heads, "h").filter(near).select(F.col("id").alias("x"), "y").distinct())
+    links_ = copies.unionByName(_similar_pairs(stars, own, shingle_words, least))
+    edges = lambda e: e.select(F.col("x").alias("a"), F.col("y").alias("b"))
+    roots = cut(components(edges(links_)).withColumnRenamed("node", "id"))
+    named = crowd.select("h", "id", "n", "i").join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
+    open_ = named.groupBy("h").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("h")
+    left = cut(named.join(open_, "h"))
+    other = left.select("h", F.col("id").alias("y"), F.col("n").alias("m"), F.col("i").alias("j"), F.col("root").alias("of"))
+    rest = left.join(other, "h").filter((F.col("id") > F.col("y")) & (F.col("root") != F.col("of")) & near)
+    rest = cut(rest.select(F.col("id").alias("x"), "y").distinct().join(stars, ["x", "y"], "left_anti"))
+    found = components(edges(links_.unionByName(_similar_pairs(rest, own, shingle_words, least))))
+    return found.select(F.col("node").alias("id"), F.col("root").alias("keep_id"))
 
 
 def one_of_each(docs: DataFrame, shingle_words: int = 5, least: float = 0.8) -> DataFrame:

@@ -109,6 +109,39 @@ def test_one_of_each_keeps_clean_documents(docs, rows):
     assert kept[3] == 1 and kept[30] == 0 and kept[22] == 1 and all(kept[i] == 1 for i in range(12))
 
 
+def test_similar_groups_are_those_of_all_pairs(spark):
+    r = random.Random(8)
+    texts = [("| " * 200 + prose(i, 30 + i)) for i in range(6)] + [""]
+    for seed, n in ((60, 70), (61, 150), (62, 600), (63, 900)):
+        texts.append(base := prose(seed, n))
+        for share in (0.003, 0.01, 0.018, 0.022, 0.025, 0.03, 0.05):
+            w = base.split()
+            for k in r.sample(range(len(w)), max(1, int(share * len(w)))):
+                w[k] = f"new{r.randint(0, 9999)}"
+            texts += [" ".join(w), "| " * 300 + " ".join(w[: len(w) // 2])]
+    sets = []
+    for t in texts:
+        w = t.encode().split()
+        k = min(5, len(w))
+        sets.append({tuple(w[i : i + k]) for i in range(len(w) - k + 1)} if w else set())
+    root = list(range(len(texts)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a in range(len(texts)):
+        for b in range(a):
+            if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+                x, y = sorted((find(a), find(b)))
+                root[y] = x
+    crowd = collections.Counter(find(k) for k in range(len(texts)))
+    want = {k: find(k) for k in range(len(texts)) if crowd[find(k)] > 1}
+    got = {x.id: x.keep_id for x in simhash.similar_groups(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert got == want and len(set(want.values())) > 3
+
+
 def test_chat_round_trip(spark):
     said = [(1, 0, "user", "a~0<|im_end|>\n<|im_start|>x~~1"), (1, 1, "assistant", None), (1, 1, "assistant", "ok"), (2, None, None, ""), (None, 0, "assistant", "é"), (3, 5, "as\nsistant", "t")]
     df = spark.createDataFrame([(*r, "extra") for r in said], "conv_id long, turn long, role string, text string, formatted string")
