@@ -1,10 +1,12 @@
 """Benchmark decontamination by spaced seeds.
 
-Texts are taken as runs of letters and digits, A-Z in lower case. A seed is a fixed mask over
-`SPAN` tokens; tokens where it has 0 are ignored, so a hit survives substitutions there. Hashes of
-every place of the benchmark under every seed are joined with those of the documents; around each
+Texts are taken as runs of letters and digits, A-Z in lower case. A seed is a fixed mask of up to
+`SPAN` tokens; tokens where it has 0 are ignored, so a hit survives substitutions there. The masks
+hit every alignment of 12 or 13 tokens with 2 substituted, 15 with 3, 20 with 4 and 25 with 5, hence
+every one of 12 or more of which `MIN_MATCH` agree (a longer one has such a part). Hashes of every
+place of the benchmark under every seed are joined with those of the documents; around each
 hit the aligned tokens are compared, and the overlap is extended both ways while matches outweigh
-mismatches. A document is contaminated by an item if an overlap has at least
+mismatches; where that falls short, the longest part of the diagonal that counts is taken. A document is contaminated by an item if an overlap has at least
 min(`MIN_OVERLAP`, tokens of the item) tokens of which `MIN_MATCH` agree. Items of fewer than
 `SPAN` tokens are looked up whole, with no token ignored; items of fewer than `MIN_ITEM` tokens
 say too little and contaminate nothing.
@@ -27,8 +29,8 @@ from pyspark.sql import functions as F
 
 from loomline.llm.common import LOWER, U, buffers, cut, mix, signed, word_hashes, words
 
-#: Masks over 12 tokens of weight 7 to 8, each with its first and last token.
-SEEDS = ("111101100111", "110110101011", "101011110101", "111010011101")
+#: Masks of weight 6, each with its first and last token; items of fewer tokens than SPAN are looked up whole.
+SEEDS = ("10110111", "11101000101", "10000101111", "11011000011")
 SPAN = 12
 MIN_ITEM = 5
 MIN_OVERLAP = 13
@@ -54,17 +56,17 @@ def _weights(n: int) -> np.ndarray:
 
 def seeded(h: np.ndarray, unit: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
     """For each seed, the places within a text where it fits and its hashes there."""
-    n = len(h) - SPAN + 1
-    if n <= 0:
-        return []
-    fits = np.zeros(n + 1, np.int32)
-    lo, hi = unit[:-1], np.maximum(unit[1:] - SPAN + 1, unit[:-1])
-    np.add.at(fits, np.minimum(lo, n), 1)
-    np.add.at(fits, np.minimum(hi, n), -1)
-    at = np.flatnonzero(np.cumsum(fits[:n]) > 0)
     wt = _weights(SPAN)
     out = []
     for k, seed in enumerate(SEEDS):
+        n = len(h) - len(seed) + 1
+        if n <= 0:
+            continue
+        fits = np.zeros(n + 1, np.int32)
+        lo, hi = unit[:-1], np.maximum(unit[1:] - len(seed) + 1, unit[:-1])
+        np.add.at(fits, np.minimum(lo, n), 1)
+        np.add.at(fits, np.minimum(hi, n), -1)
+        at = np.flatnonzero(np.cumsum(fits[:n]) > 0)
         total = np.full(n, k + 1, U)
         for i, bit in enumerate(seed):
             if bit == "1":
@@ -94,7 +96,8 @@ def _benchmark(items: DataFrame, id_col: str, text_col: str) -> DataFrame:
             for i, j, buf, off in buffers(b.column(1)):
                 h, unit = tokens(buf, off)
                 size = np.diff(unit)
-                found = list(seeded(h, unit))
+                long = np.repeat(size >= SPAN, size)
+                found = [(at[ok], x[ok]) for at, x in seeded(h, unit) for ok in (long[at],)]
                 for short in range(MIN_ITEM, SPAN):
                     for r in np.flatnonzero(size == short):
                         at, x = whole_runs(h[unit[r] : unit[r + 1]], np.array([0, short]), short)
@@ -157,6 +160,17 @@ def overlap(doc: np.ndarray, item: np.ndarray, shift: int, at: int) -> tuple[int
     return lo + start, lo + end, int(same[start:end].sum())
 
 
+def longest(doc: np.ndarray, item: np.ndarray, shift: int) -> tuple[int, int]:
+    """(tokens, matches) of the longest part of a diagonal of which MIN_MATCH agree."""
+    lo, hi = max(0, -shift), min(len(item), len(doc) - shift)
+    same = doc[lo + shift : hi + shift] == item[lo:hi]
+    total = np.concatenate([[0.0], np.cumsum(np.where(same, 1.0, -MIN_MATCH / (1 - MIN_MATCH)))])
+    above = np.maximum.accumulate(total[::-1])[::-1]  # falls, so the last end that will do is found by bisection
+    end = np.searchsorted(-above, 1e-6 - total, side="right") - 1
+    s = int((end - np.arange(len(end))).argmax())
+    return int(end[s] - s), int(same[s : end[s]].sum())
+
+
 def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """(doc_id, item_id, n_overlap, n_match): for each document and item the longest overlap that counts."""
     bench = cut(_benchmark(items, item_id, item_text))
@@ -216,6 +230,8 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
                         s, e, same = overlap(x, y, int(shift[r]), at)
                         if same >= MIN_MATCH * (e - s) and e - s > got[r, 0]:
                             got[r] = e - s, same
+                if got[r, 0] < min(MIN_OVERLAP, len(y)):
+                    got[r] = longest(x, y, int(shift[r]))
             n = np.minimum(MIN_OVERLAP, np.diff(i_at))
             out = pa.record_batch([b.column("doc_id"), b.column("item_id"), pa.array(got[:, 0]), pa.array(got[:, 1])], ["doc_id", "item_id", "n_overlap", "n_match"])
             yield out.filter(pa.array((got[:, 0] >= n) & (got[:, 0] > 0)))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import collections
 import hashlib
+import itertools
 import math
 import random
 import re
@@ -206,6 +207,20 @@ def test_spaced_seeds_find_substituted_passages(spark, docs, empty):
     assert spaced_seeds.contamination(empty, bench).count() == 0 == spaced_seeds.contamination(docs, bench.limit(0)).count()
 
 
+def test_spaced_seeds_find_every_short_rewording(spark):
+    rng = random.Random(6)
+    items = [(k, " ".join(f"w{k}x{i}" for i in range(n))) for k, n in enumerate((13, 15, 16, 20))]
+    out, d = [], 0
+    for k, t in items:
+        w = t.split()
+        every = [c for c in itertools.combinations(range(len(w)), len(w) // 5)]
+        for gone in rng.sample(every, min(len(every), 200)):
+            out.append((d := d + 1, "before it " + " ".join("new" if i in gone else x for i, x in enumerate(w)) + " after it", k))
+    docs = spark.createDataFrame([x[:2] for x in out], "doc_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in spaced_seeds.contamination(docs, spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert got == {(x[0], x[2]) for x in out}
+
+
 def test_context_tree_and_base(docs, rows, empty):
     train = lambda i: zlib.crc32(("" if i is None else str(i)).encode()) % 10 != 0
     tok = lambda t: [*(t or "").encode().lower().split(), None]
