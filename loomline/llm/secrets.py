@@ -17,7 +17,7 @@ alike; an empty table gives no rows; other columns are passed through by `redact
 
 from __future__ import annotations
 
-from functools import cache
+from functools import cache, reduce
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -27,12 +27,16 @@ TREES, TREE_DEPTH, MOST_LABELLED = 25, 6, 20_000
 MASK = "[SECRET]"
 
 #: What a candidate is.
-TOKEN = r"(?<![A-Za-z0-9+/_=.\-])(?=[A-Za-z+/_\-]*[0-9])[A-Za-z0-9+/_\-]{16,}+={0,2}"
-ASSIGNED = (
-    r"(?i)(?:passw(?:or)?d|passphrase|pwd|secret|token|api[_-]?key|access[_-]?key|auth[_-]?key|credential)[\w\-]{0,20}[\"']?"
-    r"\s{0,3}(?::=|=>|=|:)\s{0,3}[\"']?([^\s\"'`,;<>|&#$%*]{8,200})"
+RUN = r"[A-Za-z0-9+/_\-]{16,}+"
+NAMES = r"(?i)(?:passw(?:or)?d|passphrase|pwd|secret|token|api[_-]?key|access[_-]?key|auth[_-]?key|credential)"
+KEY_BEGIN = r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----"
+TOKEN = (
+    r"(?<![A-Za-z0-9+/_=.\-])(?:eyJ[A-Za-z0-9_\-]{8,}+(?:\.[A-Za-z0-9_\-]{8,}+){1,2}|(?=[A-Za-z+/_\-]*[0-9])" + RUN + r"={0,2})"
 )
-KEY_BLOCK = r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----[A-Za-z0-9+/=\s]{0,8192}-----END [A-Z ]{0,20}PRIVATE KEY-----"
+ASSIGNED = NAMES + r"[\w\-]{0,20}[\"']?\s{0,3}(?::=|=>|=|:)\s{0,3}[\"']?([^\s\"'`,;<>|&#$%*]{8,}+)"
+KEY_BLOCK = KEY_BEGIN + r"[A-Za-z0-9+/=\s]*+-----END [A-Z ]{0,20}PRIVATE KEY-----"
+#: What every candidate has in it, made of its own pattern; without one of these a text isn't scanned.
+GATES = (RUN, NAMES, KEY_BEGIN, "eyJ[A-Za-z0-9_-]{8}")
 
 #: Words that cover harmless candidates, words beside secrets and beside look-alikes.
 DICTIONARY = (
@@ -96,6 +100,8 @@ def labelled(spark: SparkSession, n: int = 4_800) -> DataFrame:
         (0, f"concat({pick('w5', 'assets', 'static', 'images', 'lib')}, '/', {word}, '/', {word}, cast(id % 100 as string))", pick("n8", "/", "./", "src=", "file: "), "'.'"),
         (0, f"left({mixed('J')}, 40)", pick("n9", "data:image/png;base64,", "image base64, ", "base64,"), "'/'"),
         (0, f"concat({pick('w6', 'pass', 'get', 'read', 'the')}, {word}, {word})", pick("na", "password: ", "token = ", "secret: ", "password is "), "' '"),
+        (1, f"concat('eyJ', left({mixed('p')}, 20), '.eyJ', left(repeat(concat({mixed('q')}, {mixed('r')}), 8), cast(30 + pmod(xxhash64('l', id), 600) as int)), '.', {mixed('s')})", pick("kp", 'token = "', "Bearer ", "use ", "auth_token: ", ""), "'\"'"),
+        (1, f"concat('-----BEGIN PRIVATE KEY-----', repeat(concat({mixed('t')}, {mixed('u')}, chr(10)), cast(2 + pmod(xxhash64('m', id), 200) as int)), '-----END PRIVATE KEY-----')", pick("kt", "", "key: ", " "), "' '"),
     ]
     rows = spark.range(n).withColumn("kind", F.col("id") % len(kinds))
     case = lambda at: F.expr("case " + " ".join(f"when kind = {k} then {x[at]}" for k, x in enumerate(kinds)) + " end")
@@ -193,7 +199,7 @@ def scan(docs: DataFrame, judge: str, least: float = 0.5, text_col: str = "text"
     """The rows with `secrets`: array of (kind, value, start, score), each value once."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     path = F.col(path_col).cast("string") if path_col and path_col in docs.columns else F.lit("")
-    hint = text.rlike("[A-Za-z0-9+/_=-]{16}") | text.rlike("(?i)passw|pwd|secret|token|key|credential")
+    hint = reduce(Column.__or__, (text.rlike(g) for g in GATES))
     placed = F.when(hint, _candidates(text)).otherwise(F.array().cast("array<struct<value:string,kind:string,at:int>>"))
     out = docs.withColumns({"_text": text, "_path": path, "_placed": placed})
     context = (

@@ -278,6 +278,17 @@ def test_secrets(spark, docs, empty):
     assert secrets.findings(docs, forest).count() == 0
 
 
+def test_secrets_are_whole(spark):
+    forest = secrets.default_forest(spark)
+    part = lambda salt, n: "".join(hashlib.sha256(f"{salt}{k}".encode()).hexdigest() for k in range(6))[:n]
+    jwt = f"eyJ{part('a', 33)}.eyJ{part('b', 290)}.{part('c', 43)}"
+    block = "-----BEGIN PRIVATE KEY-----\n" + "\n".join(hashlib.sha256(str(k).encode()).hexdigest() for k in range(200)) + "\n-----END PRIVATE KEY-----"
+    texts = {1: f'token = "{jwt}" end', 2: block, 3: 'the passphrase: "corr!Horse99" ok', 4: f"use {jwt} end"}
+    found = secrets.redact(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), forest).collect()
+    clean = {r.doc_id: r.text for r in found}
+    assert clean == {1: 'token = "[SECRET]" end', 2: "[SECRET]", 3: 'the passphrase: "[SECRET]" ok', 4: "use [SECRET] end"}
+
+
 @pytest.mark.parametrize("crowd", [1, 4096])
 def test_byte_windows(docs, rows, empty, crowd, monkeypatch):
     monkeypatch.setattr(repeats, "CROWD", crowd)
