@@ -248,12 +248,16 @@ def test_context_tree_is_a_distribution():
 
 def test_bpe_equals_the_library(docs, rows, empty):
     path = queries.tokenizer_path()
-    codec = bpe.Codec(path, long_run=48, leaf=16)
+    codec = bpe.Codec(path, leaf=16, long_run=48, run_leaf=16)
     r = random.Random(2)
-    texts = ["".join(r.choice(["the", "ing", "é", "漢", "a", "  ", "12", "#", "\n", "zz", "🙂", "<|endoftext|>", " ", "'s"]) for _ in range(r.randint(0, 300))) for _ in range(120)]
-    texts += ["a" * 5000, " " * 700, "漢字" * 900]
+    parts = ["the", "ing", "é", "漢", "a", "  ", "12", "#", "\n", "zz", "🙂", "<|endoftext|>", " ", "'s", "'", "r", "e", "l", " '", "\u3000"]
+    texts = ["".join(r.choice(parts) for _ in range(r.randint(0, 300))) for _ in range(400)]
+    texts += ["a" * 5000, " " * 700, "漢字" * 900, "'re" * 300, "é" * 2001]
     want = [codec.whole.encode(t, add_special_tokens=False).ids for t in texts]
-    assert codec.encode(texts) == want and codec.decode(want) == [codec.whole.decode(x, skip_special_tokens=False) for x in want]
+    assert [x.tolist() for x in codec.encode(texts)] == want and codec.joins > 1000
+    assert codec.decode(want) == [codec.whole.decode(x, skip_special_tokens=False) for x in want]
+    some = [[r.randrange(codec.whole.get_vocab_size()) for _ in range(r.randint(0, 30))] for _ in range(300)]
+    assert codec.decode(some) == codec.whole.decode_batch(some, skip_special_tokens=False)
     got = sorted(map(str, (tuple(x) for x in bpe.round_trip(docs, path).collect())))
     exp = []
     for i, t in rows:
@@ -265,6 +269,14 @@ def test_bpe_equals_the_library(docs, rows, empty):
     assert bpe.round_trip(empty, path).count() == 0
 
 
+def test_bpe_joins_long_documents(spark, small):
+    codec = bpe.Codec(queries.tokenizer_path())
+    texts = [r.text for r in spark.read.parquet(f"{small}/documents.parquet").filter("length(text) > 4096").select("text").collect()]
+    got = codec.encode(texts)
+    assert codec.joins >= len(texts) > 20
+    assert [x.tolist() for x in got] == [x.ids for x in codec.whole.encode_batch(texts, add_special_tokens=False)]
+
+
 def test_secrets(spark, docs, empty):
     forest = secrets.default_forest(spark)
     key = hashlib.sha1(b"k").hexdigest()
