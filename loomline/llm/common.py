@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,17 +24,76 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """The rows of df, written to the shared checkpoint folder and read again.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the driver and all executors share: the session's spark.checkpoint.dir.
 
-    The folder is the session's spark.checkpoint.dir; only where none is set, as in tests,
-    a folder of this process is used.
+    Where it is unset a local session, whose executor is the driver, uses a folder of this process;
+    on a cluster that is an error.
     """
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        shared = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(shared or os.path.join(tempfile.gettempdir(), f"loomline-{os.getpid()}"))
-    return df.checkpoint(eager=True)
+    sc = spark.sparkContext
+    found = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if found:
+        return found
+    if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and the executors share")
+    return os.path.join(tempfile.gettempdir(), f"loomline-{os.getpid()}")
+
+
+class Scratch:
+    """Tables in the shared folder, which are dropped as soon as they aren't needed."""
+
+    every: list[tuple[SparkSession, str]] = []
+
+    def __init__(self, spark: SparkSession) -> None:
+        self.spark, self.at = spark, f"{shared_folder(spark).rstrip('/')}/tables-{uuid.uuid4().hex}"
+        self.paths: dict[str, DataFrame] = {}
+        self.every.append((spark, self.at))
+
+    def table(self, name: str, df: DataFrame) -> DataFrame:
+        """The rows of df, written and read again: this cuts the lineage, and outlives executors."""
+        path = f"{self.at}/{len(self.paths)}-{uuid.uuid4().hex[:8]}-{name}"
+        df.write.parquet(path)
+        self.paths[path] = self.spark.read.schema(df.schema).parquet(path)
+        return self.paths[path]
+
+    def drop(self, *tables: DataFrame) -> None:
+        """Deletes these tables, and lets Spark delete the shuffle files that nothing refers to."""
+        for path in [p for p, t in self.paths.items() if any(t is x for x in tables)]:
+            delete(self.spark, path)
+            del self.paths[path]
+        self.spark.sparkContext._jvm.System.gc()
+
+    def drop_all_but(self, *kept: DataFrame) -> None:
+        self.drop(*(t for t in list(self.paths.values()) if not any(t is k for k in kept)))
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """The rows of df, written to the shared folder and read again. They stay until `sweep`."""
+    return Scratch(df.sparkSession).table("cut", df)
+
+
+def sweep(spark: SparkSession) -> None:
+    """Deletes what this process has written to the shared folder; no DataFrame made before may be used after it."""
+    for of, at in [x for x in Scratch.every if x[0] is spark]:
+        delete(of, at)
+    Scratch.every[:] = [x for x in Scratch.every if x[0] is not spark]
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Deletes a folder of any file system that Spark knows."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def unused(columns: list[str], *names: str) -> list[str]:
+    """Names for columns that a table with these columns lacks, whatever their case."""
+    have, out = {c.lower() for c in columns}, []
+    for name in names:
+        while name.lower() in have:
+            name += "_"
+        have.add(name.lower())
+        out.append(name)
+    return out
 
 
 def fold_of(doc_id: str, folds: int):

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomline.llm.common import BASES, LOWER, Rolling, U, buffers, cut, mix, signed, word_hashes, words
+from loomline.llm.common import BASES, LOWER, Rolling, Scratch, U, buffers, cut, mix, signed, unused, word_hashes, words
 
 BITS = 64
 BUCKET_CAP = 128
@@ -293,7 +293,8 @@ def components(edges: DataFrame) -> DataFrame:
     Rounds of large-star and small-star, until a round changes nothing; the number of rounds
     grows with the logarithm of the nodes. Only two sums come to the driver in each round.
     """
-    e = cut(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u != v").distinct())
+    scratch = Scratch(edges.sparkSession)
+    e = scratch.table("edges", edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u != v").distinct())
     state = None
     while True:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -307,7 +308,8 @@ def components(edges: DataFrame) -> DataFrame:
             .filter("u != v")
             .distinct()
         )
-        e = cut(small)
+        before, e = e, scratch.table("edges", small)
+        scratch.drop(before)
         now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == state:
             return e.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(
@@ -329,8 +331,12 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, radius: int = 2, id
 
 # --- groups of similar texts ------------------------------------------------------------
 
-#: Rows sampled for the order of shingles, and how many of them a shingle must be in to count as common; most common ones sent.
-ORDER_SAMPLE, COMMON_FROM, MOST_COMMON = 20_000, 3, 1 << 20
+#: Bands of min-hashes and their number in a band: two sets of similarity s share a band with probability 1 - (1 - s^ROWS)^BANDS, 0.9994 at 0.8.
+BANDS, ROWS = 40, 8
+#: Bytes of text that are compared at a time.
+COMPARED_BYTES = 1 << 22
+#: Up to so many keys of rows that go are broadcast; more are joined.
+MOST_SENT = 1 << 21
 
 
 def _shingle_sets(col: pa.Array, shingle_words: int):
@@ -347,124 +353,167 @@ def _shingle_sets(col: pa.Array, shingle_words: int):
         yield i, out
 
 
-def _arrays(sets: list[np.ndarray]) -> pa.Array:
-    bounds = np.concatenate([[0], np.cumsum([len(x) for x in sets])]).astype(np.int32)
-    return pa.ListArray.from_arrays(pa.array(bounds), signed(np.concatenate([*sets, np.zeros(0, U)])))
-
-
-def _common(own: DataFrame, shingle_words: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of common shingles, sorted, and how often a sample has them. They order shingles and decide nothing."""
-
-    def of(batches):
-        for b in batches:
-            for _, sets in _shingle_sets(b.column(1), shingle_words):
-                yield pa.record_batch([signed(np.concatenate([*sets, np.zeros(0, U)]))], ["h"])
-
-    share = min(1.0, ORDER_SAMPLE / max(own.count(), 1))
-    some = own.filter(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < int(share * (1 << 20)))
-    seen = some.select("id", "text").mapInArrow(of, "h long").groupBy("h").agg(F.count("*").alias("n")).filter(F.col("n") >= COMMON_FROM)
-    got = seen.orderBy(F.desc("n"), "h").limit(MOST_COMMON).toArrow()
-    h, n = np.asarray(got["h"]).astype(np.int64).view(U), np.asarray(got["n"]).astype(np.int64)
-    order = np.argsort(h)
-    return h[order], n[order]
-
+def band_hashes(sets: list[np.ndarray], bands: int, rows: int) -> np.ndarray:
+    """[set, band]: hashes of the bands of each set's min-hashes. An empty set has those of no value."""
+    flat = np.concatenate([*sets, np.zeros(0, U)])
+    n = np.array([len(x) for x in sets], np.int64)
+    full = np.flatnonzero(n)
+    starts = (np.cumsum(n) - n)[full]
+    odd = mix(np.arange(1, bands * rows + 1, dtype=U) * U(BASES[0])) | U(1)
+    out = np.zeros((len(sets), bands), U)
+    for band in range(bands):
+        total = np.full(len(full), band + 1, U)
+        for row in range(rows if len(full) else 0):
+            least = np.minimum.reduceat(flat * odd[band * rows + row], starts)
+            total = mix(total + least)
+        out[full, band] = total
+    return out
 
-def _prefixes(own: DataFrame, shingle_words: int, least: float) -> DataFrame:
-    """(id, n, same, prefix): the size of each text's shingle set, its hash, and its rarest shingles.
 
-    Two sets of a similarity of `least` or more share one of their first n - ceil(least * n) + 1
-    shingles, in whatever order all sets are taken.
-    """
-    sent = own.sparkSession.sparkContext.broadcast(_common(own, shingle_words))
+def _signatures(own: DataFrame, shingle_words: int, bands: int, rows: int) -> DataFrame:
+    """(key, n, same, fp, bands): of each text's shingle set the size, the hash, the fingerprint and the bands' hashes."""
 
     def of(batches):
-        common, times = sent.value
         for b in batches:
             for i, sets in _shingle_sets(b.column(1), shingle_words):
                 n = np.array([len(x) for x in sets], np.int64)
                 same = np.array([x.sum(dtype=U) for x in sets], U)
-                heads = []
-                for x in sets:
-                    count = np.zeros(len(x), np.int64)
-                    if len(common):
-                        at = np.minimum(np.searchsorted(common, x), len(common) - 1)
-                        count = np.where(common[at] == x, times[at], 0)
-                    keep = len(x) - int(np.ceil(least * len(x) - 1e-9)) + 1 if len(x) else 0
-                    heads.append(x[np.argsort(count, kind="stable")[:keep]])
-                yield pa.record_batch([b.column(0).slice(i, len(sets)), pa.array(n), signed(mix(same)), _arrays(heads)], ["id", "n", "same", "prefix"])
+                flat = np.concatenate([*sets, np.zeros(0, U)])
+                fp = _majority(flat, np.concatenate([[0], np.cumsum(n)]))
+                hashes = band_hashes(sets, bands, rows)
+                every = pa.ListArray.from_arrays(pa.array((np.arange(len(sets) + 1) * bands).astype(np.int32)), signed(hashes.ravel()))
+                yield pa.record_batch([b.column(0).slice(i, len(sets)), pa.array(n), signed(mix(same)), signed(fp), every], ["key", "n", "same", "fp", "bands"])
 
-    return own.select("id", "text").mapInArrow(of, "id long, n long, same long, prefix array<long>")
+    return own.select("key", "text").mapInArrow(of, "key long, n long, same long, fp long, bands array<long>")
 
 
-def _similar_pairs(pairs: DataFrame, own: DataFrame, shingle_words: int, least: float) -> DataFrame:
+def _similar(pairs: DataFrame, own: DataFrame, shingle_words: int, least: float, scratch: Scratch) -> DataFrame:
     """The pairs (x, y) whose shingle sets have a Jaccard similarity of `least` or more: exact, on all shingles of both."""
 
     def of(batches):
         for b in batches:
-            for i, sets in _shingle_sets(b.column(1), shingle_words):
-                yield pa.record_batch([b.column(0).slice(i, len(sets)), _arrays(sets)], ["id", "own"])
-
-    def verified(batches):
-        for b in batches:
-            bounds, flat = zip(*((np.asarray(c.offsets) - c.offsets[0].as_py(), np.asarray(c.flatten())) for c in (b.column(2), b.column(3))), strict=True)
-            keep = np.zeros(b.num_rows, bool)
-            for r in range(b.num_rows):
-                s, t = (flat[k][bounds[k][r] : bounds[k][r + 1]] for k in (0, 1))
-                both = len(np.intersect1d(s, t, assume_unique=True))
-                keep[r] = both >= least * (len(s) + len(t) - both)
-            yield b.select(["x", "y"]).filter(pa.array(keep))
-
-    needed = pairs.select(F.explode(F.array("x", "y")).alias("id")).distinct()
-    sets = cut(own.join(needed, "id", "left_semi").select("id", "text").mapInArrow(of, "id long, own array<long>"))
-    side = lambda i, s: sets.select(F.col("id").alias(i), F.col("own").alias(s))
+            size = sum(np.asarray(pa.compute.fill_null(pa.compute.binary_length(b.column(k)), 0)).astype(np.int64) for k in (2, 3))
+            step = np.cumsum(size) // COMPARED_BYTES
+            for lo, hi in zip(*(np.searchsorted(step, np.unique(step), side=s) for s in ("left", "right")), strict=True):
+                part = b.slice(lo, hi - lo)
+                keep = np.zeros(hi - lo, bool)
+                each = []
+                for k in (0, 1):
+                    _, first, at = np.unique(np.asarray(part.column(k)), return_index=True, return_inverse=True)
+                    sets = [x for _, some in _shingle_sets(part.column(k + 2).take(pa.array(first)), shingle_words) for x in some]
+                    each.append((sets, at))
+                (xs, x_at), (ys, y_at) = each
+                for r in range(hi - lo):
+                    s, t = xs[x_at[r]], ys[y_at[r]]
+                    both = len(np.intersect1d(s, t, assume_unique=True))
+                    keep[r] = both >= least * (len(s) + len(t) - both)
+                yield part.select(["x", "y"]).filter(pa.array(keep))
+
+    needed = pairs.select(F.explode(F.array("x", "y")).alias("key")).distinct()
+    texts = scratch.table("texts", own.join(needed, "key", "left_semi").dropDuplicates(["key"]))
+    side = lambda i, s: texts.select(F.col("key").alias(i), F.col("text").alias(s))
     both = pairs.join(side("x", "s"), "x").join(side("y", "t"), "y").select("x", "y", "s", "t")
-    return cut(both.mapInArrow(verified, "x long, y long"))
+    found = scratch.table("similar", both.mapInArrow(of, "x long, y long"))
+    scratch.drop(texts)
+    return found
+
 
+def _roots(found: list[DataFrame], scratch: Scratch) -> DataFrame:
+    """(key, root) of the components of the pairs found so far."""
+    every = found[0]
+    for x in found[1:]:
+        every = every.unionByName(x)
+    return scratch.table("roots", components(every.select(F.col("x").alias("a"), F.col("y").alias("b"))).select(F.col("node").alias("key"), "root"))
 
-def similar_groups(docs: DataFrame, shingle_words: int = 5, least: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, keep_id): texts in a group with others, and the group's least id.
+
+def _between(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+    """The pairs whose sides aren't in one component yet."""
+    of = lambda i: roots.select(F.col("key").alias(i), F.col("root").alias(f"of_{i}"))
+    open_ = pairs.join(of("x"), "x", "left").join(of("y"), "y", "left")
+    return open_.filter(F.coalesce("of_x", "x") != F.coalesce("of_y", "y")).select("x", "y")
+
+
+def similar_groups(
+    docs: DataFrame, shingle_words: int = 5, least: float = 0.8, id_col: str = "doc_id", text_col: str = "text", bands: int = BANDS, rows: int = ROWS, radius: int = 2
+) -> DataFrame:
+    """(key, group): texts in a group with others; docs has ids that are distinct for distinct texts.
 
     Texts are linked if their sets of word shingles have a Jaccard similarity of `least` or more,
-    and groups are the components of the links; the result is that of comparing all pairs. By
-    prefix filtering, a similar pair shares a shingle among the rarest of both. Of the texts that
-    share one, each is first compared with that of least id, which joins most; then all pairs
-    that aren't in one group yet are. Equal sets need no comparison, nor do pairs that can't share
-    enough after the place of their first shared shingle. Texts without words are equal. The rows' ids must differ.
+    verified on all shingles of both; groups are the components of the links, known by a member.
+    Equal sets are one class. Candidates are classes whose SimHash fingerprints differ in at most
+    `radius` bits, and those that share a band of min-hashes: at a similarity of 0.8 fingerprints
+    of 64 bits differ in about ten, so they alone would find the closest pairs only.
+
+    A class is first compared with the least of those that it meets, then with the least of every
+    bucket and fingerprint it is in, and last with every other of its buckets, each time only where the
+    two aren't in one component yet. Texts without words are equal to each other.
     """
-    own = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    sized = cut(_prefixes(own, shingle_words, least))
-    first = sized.groupBy("same", "n").agg(F.min("id").alias("y"))
-    copies = cut(sized.select("same", "n", F.col("id").alias("x")).join(first, ["same", "n"]).filter("x != y").select("x", "y"))
-    exact = sized.join(copies.select(F.col("x").alias("id")), "id", "left_anti")
-    rows = exact.select("id", "n", F.posexplode("prefix").alias("i", "h"))
-    buckets = rows.groupBy("h").agg(F.count("*").alias("c"), F.min("id").alias("y")).filter("c > 1").select("h", "y")
-    crowd = cut(rows.join(buckets, "h"))  # (h, id, n, i, y): the shingles that several texts share
-    heads = crowd.filter("id = y").select("h", F.col("n").alias("m"), F.col("i").alias("j"))
-    # A pair's first shared shingle leaves no more to share than what follows it in both.
-    near = F.least(F.expr("n - i"), F.expr("m - j")) >= least / (1 + least) * (F.col("n") + F.col("m")) - 1e-6
-    stars = cut(crowd.filter("id != y").join(heads, "h").filter(near).select(F.col("id").alias("x"), "y").distinct())
-    links_ = copies.unionByName(_similar_pairs(stars, own, shingle_words, least))
-    edges = lambda e: e.select(F.col("x").alias("a"), F.col("y").alias("b"))
-    roots = cut(components(edges(links_)).withColumnRenamed("node", "id"))
-    named = crowd.select("h", "id", "n", "i").join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
-    open_ = named.groupBy("h").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("h")
-    left = cut(named.join(open_, "h"))
-    other = left.select("h", F.col("id").alias("y"), F.col("n").alias("m"), F.col("i").alias("j"), F.col("root").alias("of"))
-    rest = left.join(other, "h").filter((F.col("id") > F.col("y")) & (F.col("root") != F.col("of")) & near)
-    rest = cut(rest.select(F.col("id").alias("x"), "y").distinct().join(stars, ["x", "y"], "left_anti"))
-    found = components(edges(links_.unionByName(_similar_pairs(rest, own, shingle_words, least))))
-    return found.select(F.col("node").alias("id"), F.col("root").alias("keep_id"))
+    scratch = Scratch(docs.sparkSession)
+    own = docs.select(F.col(id_col).cast("long").alias("key"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    signed_ = scratch.table("signatures", _signatures(own, shingle_words, bands, rows))
+    classes = scratch.table("classes", signed_.groupBy("same", "n").agg(F.min("key").alias("x"), F.first("fp").alias("fp"), F.first("bands").alias("bands")))
+    members = scratch.table("members", signed_.select("key", "same", "n").join(classes.select("same", "n", "x"), ["same", "n"]).select("key", "x"))
+    scratch.drop(signed_)
+
+    nodes = scratch.table("nodes", classes.groupBy("fp").agg(F.min("x").alias("y")))
+    near = links(nodes.select("fp"), radius)
+    of = lambda f, i: nodes.select(F.col("fp").alias(f), F.col("y").alias(i))
+    alike = near.join(of("a", "p"), "a").join(of("b", "q"), "b").select(F.greatest("p", "q").alias("x"), F.least("p", "q").alias("y"))
+    alike = alike.unionByName(classes.join(nodes, "fp").filter("x != y").select("x", "y"))
+
+    each = classes.filter("n > 0").select("x", "n", F.explode("bands").alias("h"))
+    shared = each.groupBy("h").agg(F.count("*").alias("c"), F.min(F.struct("x", "n")).alias("head")).filter("c > 1").select("h", "head")
+    crowd = scratch.table("crowd", each.join(shared, "h").select("h", "x", "n", F.col("head.x").alias("y"), F.col("head.n").alias("m")))
+    fits = F.least("n", "m") >= least * F.greatest("n", "m") - 1e-9  # else the sets can't be similar
+    stars = scratch.table("stars", crowd.filter("x != y").filter(fits).select("x", "y").unionByName(alike).distinct())
+    scratch.drop(classes, nodes)
+
+    first = stars.groupBy("x").agg(F.min("y").alias("y"))
+    found = [_similar(first, own, shingle_words, least, scratch)]
+    roots = _roots(found, scratch)
+    second = scratch.table("second", _between(stars.join(first, ["x", "y"], "left_anti"), roots))
+    found.append(_similar(second, own, shingle_words, least, scratch))
+    scratch.drop(second, roots)
+    roots = _roots(found, scratch)
+
+    named = crowd.select("h", "x", "n").join(roots.withColumnRenamed("key", "x"), "x", "left").withColumn("root", F.coalesce("root", "x"))
+    parted = named.groupBy("h").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("h")
+    left = scratch.table("open", named.join(parted, "h"))
+    other = left.select("h", F.col("x").alias("y"), F.col("n").alias("m"), F.col("root").alias("of"))
+    rest = left.join(other, "h").filter((F.col("x") > F.col("y")) & (F.col("root") != F.col("of"))).filter(fits)
+    rest = scratch.table("rest", rest.select("x", "y").distinct().join(stars, ["x", "y"], "left_anti"))
+    scratch.drop(crowd, left, stars)
+    found.append(_similar(rest, own, shingle_words, least, scratch))
+    scratch.drop(rest, roots)
+    roots = _roots(found, scratch)
+
+    every = members.join(roots.withColumnRenamed("key", "x"), "x", "left").select("key", F.coalesce("root", "x").alias("group"))
+    several = every.groupBy("group").agg(F.count("*").alias("c")).filter("c > 1").select("group")
+    out = scratch.table("groups", every.join(several, "group").select("key", "group"))
+    scratch.drop_all_but(out)
+    return out
 
 
 def one_of_each(docs: DataFrame, shingle_words: int = 5, least: float = 0.8) -> DataFrame:
-    """The documents, all columns, without those that have a near-duplicate of a smaller id.
+    """The documents, all columns, of which one of each group of near-duplicates stays: that of the least id.
 
-    Rows without an id are known by their text's hash. Rows that repeat an id and text are one.
+    A null id comes after all others, and of equal ids the text of the least hash first. Rows that
+    repeat an id and a text are one row, whichever. Rows are known by a hash of id and text.
     """
-    key = F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text"))
-    keyed = docs.withColumn("_key", key)
-    groups = similar_groups(keyed, shingle_words, least, "_key", "text")
-    kept = keyed.join(groups.filter("id != keep_id").select(F.col("id").alias("_key")), "_key", "left_anti")
-    if kept.groupBy("_key").count().filter("count > 1").limit(1).count():
-        kept = kept.dropDuplicates(["_key"])
-    return kept.select(docs.columns)
+    (key,) = unused(docs.columns, "key")
+    raw, text = F.col("doc_id").cast("long"), F.col("text").cast("string")
+    hashed = F.xxhash64(raw.isNull(), F.coalesce(raw, F.lit(0)), text.isNull(), F.coalesce(text, F.lit("")))
+    keyed = docs.withColumn(key, hashed)
+    groups = similar_groups(keyed, shingle_words, least, key, "text")
+    each = groups.groupBy("key", "group").agg(F.count("*").alias("c"))
+    ids = keyed.select(F.col(key).alias("key"), raw.alias("id")).distinct().join(each, "key")
+    order = F.struct(F.col("id").isNull().alias("none"), "id", "key", "c")
+    stays = ids.groupBy("group").agg(F.min(order).alias("first")).select("group", F.col("first.key").alias("stay"), F.col("first.c").alias("c"))
+    gone = cut(each.join(stays.select("group", "stay"), "group").filter("key != stay").select(F.col("key").alias(key)))
+    twice = cut(stays.filter("c > 1").select(F.col("stay").alias(key)))
+    small = lambda df: F.broadcast(df) if df.count() <= MOST_SENT else df
+    kept = keyed.join(small(gone), key, "left_anti")
+    if twice.isEmpty():
+        return kept.select(docs.columns)
+    again = kept.join(small(twice), key, "left_semi").dropDuplicates([key])
+    return kept.join(small(twice), key, "left_anti").unionByName(again).select(docs.columns)

@@ -110,6 +110,15 @@ def test_one_of_each_keeps_clean_documents(docs, rows):
     assert kept[3] == 1 and kept[30] == 0 and kept[22] == 1 and all(kept[i] == 1 for i in range(12))
 
 
+def test_one_of_each_loses_no_clean_row(spark):
+    a, b = prose(70, 60), prose(71, 60)
+    rows = [(42, a, 1), (42, b, 2), (None, None, 3), (None, prose(72, 60), 4), (42, b, 5), (7, "", 6), (8, None, 7)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, `KEY` int")
+    kept = sorted(r.KEY for r in simhash.one_of_each(docs).collect())
+    assert kept in ([1, 2, 4, 6], [1, 4, 5, 6])  # rows without words are equal; one of the repeated rows stays
+    assert simhash.one_of_each(docs).columns == docs.columns and simhash.one_of_each(docs.limit(0)).count() == 0
+
+
 def test_similar_groups_are_those_of_all_pairs(spark):
     r = random.Random(8)
     texts = [("| " * 200 + prose(i, 30 + i)) for i in range(6)] + [""]
