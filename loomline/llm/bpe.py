@@ -36,11 +36,13 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomline.llm.common import bounded
+
 LEAF = 4096
 LONG_RUN = 4096
 RUN_LEAF = 1024
 REMEMBERED = 1 << 18
-BATCH_CHARS = 1 << 22
+BATCH_CHARS = 1 << 21
 
 #: Fixed value: the pre-token pattern of the byte-level vocabulary.
 PATTERN = regex.compile(
@@ -239,7 +241,7 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
             for i, j, texts in _groups(b.column(1)):
                 yield pa.record_batch([b.column(0).slice(i, j - i), pa.array(codec.encode(texts), pa.list_(pa.int32()))], ["doc_id", "ids"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(of, "doc_id long, ids array<int>")
+    return bounded(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(of, "doc_id long, ids array<int>")
 
 
 def decode(coded: DataFrame, path: str) -> DataFrame:
@@ -251,7 +253,7 @@ def decode(coded: DataFrame, path: str) -> DataFrame:
             ids = [x or [] for x in b.column(1).to_pylist()]
             yield pa.record_batch([b.column(0), pa.array(codec.decode(ids), pa.string())], ["doc_id", "text"])
 
-    return coded.select("doc_id", "ids").mapInArrow(of, "doc_id long, text string")
+    return bounded(coded).select("doc_id", "ids").mapInArrow(of, "doc_id long, text string")
 
 
 def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -266,6 +268,6 @@ def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
                 cols = [pa.array([n for n, _, _ in got], pa.int64()), pa.array([digest(x) for _, x, _ in got]), pa.array([digest(x) for _, _, x in got])]
                 yield pa.record_batch([b.column(0).slice(i, j - i), *cols], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(
+    return bounded(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(
         of, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
     )

@@ -101,6 +101,17 @@ def fold_of(doc_id: str, folds: int):
     return F.pmod(F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")), F.lit(folds))
 
 
+BATCH_SETTING, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 8 << 20
+
+
+def bounded(df: DataFrame) -> DataFrame:
+    """df, whose session from now on sends at most `BATCH_BYTES` to Python at a time, or one row, unless it has a bound of its own."""
+    conf = df.sparkSession.conf
+    if conf.get(BATCH_SETTING, None) is None:
+        conf.set(BATCH_SETTING, str(BATCH_BYTES))
+    return df
+
+
 # --- byte buffers -----------------------------------------------------------------------
 
 CHUNK_BYTES = 1 << 19

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomline.llm.common import LOWER, U, buffers, cut, fold_of, signed, word_hashes, words
+from loomline.llm.common import LOWER, U, bounded, buffers, cut, fold_of, signed, word_hashes, words
 
 DEPTH = 5
 HEAD_GRAMS = 1 << 20
@@ -322,7 +322,7 @@ def score(docs: DataFrame, folds: int = 10, id_col: str = "doc_id", text_col: st
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, n_bytes, bits_per_byte)."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     held_out = fold_of(id_col, folds) == 0
-    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), held_out.alias("held_out"), text.alias("text"), F.xxhash64(F.col(id_col).cast("long"), text).alias("row"))
+    own = bounded(docs).select(F.col(id_col).cast("long").alias("doc_id"), held_out.alias("held_out"), text.alias("text"), F.xxhash64(F.col(id_col).cast("long"), text).alias("row"))
     total = cut(counts(own.select((~F.col("held_out")).alias("train"), "text")))
     sums = total.filter(F.col("kind") == WORD).agg(F.sum("n").alias("n"), F.count("*").alias("v")).first()
     n, v = int(sums.n or 0), int(sums.v or 0)

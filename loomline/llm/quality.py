@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomline.llm.common import LOWER, U, buffers, fold_of, word_hashes, words
+from loomline.llm.common import LOWER, U, bounded, buffers, fold_of, word_hashes, words
 
 BUCKETS = 1 << 12
 FACTORS = 8
@@ -206,7 +206,7 @@ def learn(docs: DataFrame, labels: DataFrame, column: str = "quality", sample: i
                     ["doc_id", "good", "cols", "vals", "stats"],
                 )
 
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    own = bounded(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows = own.join(F.broadcast(chosen), "doc_id").select("doc_id", "good", "text")
     got = rows.mapInArrow(of, "doc_id long, good double, cols array<int>, vals array<float>, stats array<float>").toArrow().sort_by("doc_id")
     if got.num_rows == 0:
@@ -230,7 +230,7 @@ def score(docs: DataFrame, machine: Machine, id_col: str = "doc_id", text_col: s
             for i, j, buf, off in buffers(b.column(1)):
                 yield pa.record_batch([b.column(0).slice(i, j - i), pa.array(m.score(features(buf, off)))], ["doc_id", "score"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(of, "doc_id long, score double")
+    return bounded(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(of, "doc_id long, score double")
 
 
 def keep(docs: DataFrame, machine: Machine, least: float) -> DataFrame:
@@ -244,4 +244,4 @@ def keep(docs: DataFrame, machine: Machine, least: float) -> DataFrame:
             for i, j, buf, off in buffers(b.column(at)):
                 yield b.slice(i, j - i).filter(pa.array(m.score(features(buf, off)) >= least))
 
-    return docs.mapInArrow(of, docs.schema)
+    return bounded(docs).mapInArrow(of, docs.schema)

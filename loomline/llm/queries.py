@@ -105,4 +105,5 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
 @REGISTRY.query("op7_secret_scan")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets found in every document, without the values."""
-    return secrets.findings(table(spark, sf_dir, "documents"), secrets.default_forest(spark))
+    docs = table(spark, sf_dir, "documents")
+    return secrets.findings(docs, secrets.default_judge(docs))

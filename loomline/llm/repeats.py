@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomline.llm.common import BASES, U, Rolling, buffers, mix, signed, sliding_min, word_hashes, words
+from loomline.llm.common import BASES, U, Rolling, bounded, buffers, mix, signed, sliding_min, word_hashes, words
 
 CROWD = 4096
 CHUNK_UNITS = 1 << 18
@@ -246,7 +246,7 @@ def repeated(docs: DataFrame, w: Windows, earlier: bool, id_col: str = "doc_id",
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     raw = F.col(id_col).cast("long")
-    keyed = docs.select(raw.alias("own"), F.coalesce(raw, F.lit(-(1 << 63))).alias("id"), text.alias("text")).withColumn("key", F.xxhash64("own", "text"))
+    keyed = bounded(docs).select(raw.alias("own"), F.coalesce(raw, F.lit(-(1 << 63))).alias("id"), text.alias("text")).withColumn("key", F.xxhash64("own", "text"))
     # The filters that always hold keep the columns and conditions of each use alike, so that Spark
     # moves the texts and the parse once for all uses.
     rows = parse(keyed, w, earlier).filter("trigger is not null and phrase is not null")

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomline.llm.common import BASES, LOWER, Rolling, Scratch, U, buffers, cut, mix, signed, unused, word_hashes, words
+from loomline.llm.common import BASES, LOWER, Rolling, Scratch, U, bounded, buffers, cut, mix, signed, unused, word_hashes, words
 
 BITS = 64
 BUCKET_CAP = 128
@@ -95,7 +95,7 @@ def fingerprints(docs: DataFrame, shingle_words: int = 5, id_col: str = "doc_id"
                 got[i:j] = _majority(np.array([x for h in each for x in h], U), bounds)
             yield pa.record_batch([ids.cast(pa.int64()), pa.array(got.view(np.int64))], ["doc_id", "fp"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(
+    return bounded(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(
         of, "doc_id long, fp long"
     )
 
@@ -448,7 +448,7 @@ def similar_groups(
     bucket and fingerprint it is in, and last with every other of its buckets, each time only where the
     two aren't in one component yet. Texts without words are equal to each other.
     """
-    scratch = Scratch(docs.sparkSession)
+    scratch = Scratch(bounded(docs).sparkSession)
     own = docs.select(F.col(id_col).cast("long").alias("key"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     signed_ = scratch.table("signatures", _signatures(own, shingle_words, bands, rows))
     classes = scratch.table("classes", signed_.groupBy("same", "n").agg(F.min("key").alias("x"), F.first("fp").alias("fp"), F.first("bands").alias("bands")))

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomline.llm.common import LOWER, U, buffers, cut, mix, signed, word_hashes, words
+from loomline.llm.common import LOWER, U, bounded, buffers, cut, mix, signed, word_hashes, words
 
 #: Masks of weight 6, each with its first and last token; items of fewer tokens than SPAN are looked up whole.
 SEEDS = ("10110111", "11101000101", "10000101111", "11011000011")
@@ -173,7 +173,7 @@ def longest(doc: np.ndarray, item: np.ndarray, shift: int) -> tuple[int, int]:
 
 def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """(doc_id, item_id, n_overlap, n_match): for each document and item the longest overlap that counts."""
-    bench = cut(_benchmark(items, item_id, item_text))
+    bench = cut(_benchmark(bounded(items), item_id, item_text))
     shorts = sorted(r.n for r in bench.filter(F.col("n") < SPAN).select("n").distinct().collect())
     sent = docs.sparkSession.sparkContext.broadcast(_bitmap(bench))
 

@@ -148,7 +148,7 @@ def test_similar_groups_are_those_of_all_pairs(spark):
                 root[y] = x
     crowd = collections.Counter(find(k) for k in range(len(texts)))
     want = {k: find(k) for k in range(len(texts)) if crowd[find(k)] > 1}
-    got = {x.id: x.keep_id for x in simhash.similar_groups(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    got = {x.key: x.group for x in simhash.similar_groups(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
     assert got == want and len(set(want.values())) > 3
 
 
@@ -287,27 +287,57 @@ def test_bpe_joins_long_documents(spark, small):
 
 
 def test_secrets(spark, docs, empty):
-    forest = secrets.default_forest(spark)
     key = hashlib.sha1(b"k").hexdigest()
-    texts = [(1, f'x token = "{key}" y {key}'), (2, f"commit {key} fixes it"), (3, "password is thereofandtoin3"), (4, "card 4111222233334444 ok"), (5, None), (6, ""), (None, "use ghp_" + "aB3" * 12)]
-    t = spark.createDataFrame([(i, x, "src", 9, "z") for i, x in texts], "doc_id long, text string, source string, n_chars int, secrets_ string")
-    got = secrets.findings(t, forest).collect()
-    assert {r.doc_id for r in got} == {1, None}
-    clean = {r.doc_id: r.text for r in secrets.redact(t, forest).collect()}
-    assert clean[1] == 'x token = "[SECRET]" y [SECRET]' and clean[2] == texts[1][1] and clean[5] is None and key not in clean[1]
-    assert secrets.redact(t, forest).columns == t.columns and secrets.findings(empty, forest).count() == 0
-    assert secrets.findings(docs, forest).count() == 0
+    texts = [(1, f'x token = "{key}" y {key}'), (2, f"commit {key} fixes it"), (3, "password is thereofandtoin3"), (4, "card 4111222233334444 ok"), (5, None), (6, ""), (None, "use ghp_" + "aB3" * 12),
+             (7, f'commit {key} fixed. Later token = "{key}".'), (8, f'a\x01b\x02A token = "{key}" é漢🙂 x{key}y\x01')]
+    t = spark.createDataFrame([(i, x, "src", 9, "z", "w", 3) for i, x in texts], "doc_id long, text string, source string, n_chars int, secrets string, own string, parts int")
+    judge = secrets.default_judge(t)
+    got = secrets.findings(t, judge)
+    assert {r.doc_id for r in got.collect()} == {1, None, 7, 8}
+    places = {(r.doc_id, r.start, r.length) for r in got.collect() if r.doc_id}
+    assert places == {(1, 11, 40), (1, 55, 40), (7, 7, 40), (7, 70, 40), (8, 15, 40)}
+    clean = {r.doc_id: tuple(r)[1:] for r in secrets.redact(t, judge).collect()}
+    assert clean[1][0] == 'x token = "[SECRET]" y [SECRET]' and clean[2][0] == texts[1][1] and clean[5][0] is None
+    assert clean[7][0] == 'commit [SECRET] fixed. Later token = "[SECRET]".' and clean[8][0] == 'a\x01b\x02A token = "[SECRET]" é漢🙂 x[SECRET]y\x01'
+    assert {x[1:] for x in clean.values()} == {("src", 9, "z", "w", 3)} and secrets.redact(t, judge).columns == t.columns
+    assert secrets.findings(empty, judge).count() == 0 == secrets.redact(empty, judge).count()
+    assert secrets.findings(docs, judge).count() == 0
+    assert secrets.dictionary(empty) == tuple(sorted(secrets.CODE_WORDS)) and {"river", "alpha"} <= set(secrets.dictionary(docs))
+    assert secrets.train(secrets.labelled(spark, 0)).forest == "1.0d"
 
 
 def test_secrets_are_whole(spark):
-    forest = secrets.default_forest(spark)
     part = lambda salt, n: "".join(hashlib.sha256(f"{salt}{k}".encode()).hexdigest() for k in range(6))[:n]
     jwt = f"eyJ{part('a', 33)}.eyJ{part('b', 290)}.{part('c', 43)}"
     block = "-----BEGIN PRIVATE KEY-----\n" + "\n".join(hashlib.sha256(str(k).encode()).hexdigest() for k in range(200)) + "\n-----END PRIVATE KEY-----"
-    texts = {1: f'token = "{jwt}" end', 2: block, 3: 'the passphrase: "corr!Horse99" ok', 4: f"use {jwt} end"}
-    found = secrets.redact(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), forest).collect()
-    clean = {r.doc_id: r.text for r in found}
-    assert clean == {1: 'token = "[SECRET]" end', 2: "[SECRET]", 3: 'the passphrase: "[SECRET]" ok', 4: "use [SECRET] end"}
+    texts = {1: f'token = "{jwt}" end', 2: block, 3: 'the passphrase: "corr!Horse99" ok', 4: f"use {jwt} end", 5: f'token = "{part("d", 320)}" end'}
+    t = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    clean = {r.doc_id: r.text for r in secrets.redact(t, secrets.default_judge(t)).collect()}
+    assert clean == {1: 'token = "[SECRET]" end', 2: "[SECRET]", 3: 'the passphrase: "[SECRET]" ok', 4: "use [SECRET] end", 5: 'token = "[SECRET]" end'}
+
+
+def test_secret_places_are_those_of_plain_matching(spark):
+    """With a judge that takes every candidate, against the patterns applied one by one."""
+    r = random.Random(12)
+    bits = ["token = ", "password:", '"', " ", "a1b2c3d4e5f6a7b8c9", "/", "=", "é", "🙂", "eyJhbGciOiJIUzI1.eyJzdWIiOiIx", "\n", "\x01", "secret=>", "xyz", "-----BEGIN PRIVATE KEY-----abc\n-----END PRIVATE KEY-----"]
+    texts = ["".join(r.choice(bits) for _ in range(r.randint(0, 40))) for _ in range(300)] + ["api_key=" + "q" * 20_000, " token = 'k1k2k3k4k5k6k7k8'" * 400]
+    judge = secrets.Judge(secrets.CODE_WORDS, "1.0d")
+    got = secrets.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(8), judge).select("doc_id", "secrets").collect()
+
+    def want(t):
+        found = []
+        for kind, (before, value) in secrets.KINDS.items():
+            rx = f"({before})({value})".replace("(?i)", "", 1)
+            rx = rx if "(?i)" not in before else f"((?i:{before.replace('(?i)', '')}))({value})"
+            found += [(m.start(2), m.end(2), kind) for m in re.finditer(rx, t, re.ASCII)]
+        out = []
+        for s, e, k in sorted(found, key=lambda x: (x[0], -x[1], x[2])):
+            if not out or e > out[-1][1]:
+                out.append((s, e, k))
+        return out
+
+    for row in got:
+        assert [(s.start, s.stop, s.kind) for s in row.secrets] == want(texts[row.doc_id]), texts[row.doc_id]
 
 
 @pytest.mark.parametrize("crowd", [1, 4096])
