@@ -2,22 +2,27 @@
 
 Quality classifier, SimHash near-dedup, benchmark decontamination, secret scan, BPE encoding. Each
 stage takes (spark, docs, sf_dir) and works on all that the stage before it kept.
+
+Edge cases, in every stage: a null text is an empty one, and stays null where it is kept; null ids
+and repeated rows are kept, but for the near-dedup, which takes rows that repeat an id and a text as
+one; an empty table gives no rows; other columns, whatever their names, are passed on but by the
+last stage.
 """
 
 from __future__ import annotations
 
-import os
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomline.llm import bpe, quality, secrets, simhash, spaced_seeds
-from loomline.llm.common import table
+from loomline.llm.common import cut, delete, shared_folder, sweep, table, unused
 from loomline.llm.queries import tokenizer_path
 
 LEAST_QUALITY = 0.3
+#: Up to so many keys of documents that go are broadcast; more are joined.
+MOST_SENT = 1 << 21
 
 
 def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,17 +36,22 @@ def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that overlap no benchmark item."""
-    keyed = docs.withColumn("_key", F.xxhash64("doc_id", "text"))
-    found = spaced_seeds.contamination(keyed, table(spark, sf_dir, "benchmark"), id_col="_key")
-    return keyed.join(found.select(F.col("doc_id").alias("_key")).distinct(), "_key", "left_anti").select(docs.columns)
+    """Documents that overlap no benchmark item. Rows are known by a hash of id and text, so equal rows fare alike."""
+    (key,) = unused(docs.columns, "key")
+    keyed = docs.withColumn(key, F.xxhash64(F.col("doc_id").isNull(), "doc_id", F.coalesce("text", F.lit(""))))
+    found = spaced_seeds.contamination(keyed, table(spark, sf_dir, "benchmark"), id_col=key)
+    gone = cut(found.select(F.col("doc_id").alias(key)).distinct())
+    gone = F.broadcast(gone) if gone.count() <= MOST_SENT else gone
+    return keyed.join(gone, key, "left_anti").select(docs.columns)
 
 
 def safe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with secrets masked and n_chars of the new text where a secret was."""
-    out = secrets.redact(docs.withColumn("_old", F.col("text")), secrets.default_forest(spark))
+    (old,) = unused(docs.columns, "old")
+    out = secrets.redact(docs.withColumn(old, F.col("text")), secrets.default_judge(docs))
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("text") != F.col("_old"), F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
+        changed = F.col("text") != F.col(old)
+        out = out.withColumn("n_chars", F.when(changed, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
     return out.select(docs.columns)
 
 
@@ -64,12 +74,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents; what lies between is written to the shared folder."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir()
-    at = os.path.join(shared, f"corpus-{uuid.uuid4().hex}")
+    """All stages over the documents; each is written to the shared folder, where only the last one's rows stay."""
+    at = f"{shared_folder(spark).rstrip('/')}/corpus-{uuid.uuid4().hex}"
     docs = table(spark, sf_dir, "documents")
     for k, (_, stage) in enumerate(STAGES):
         out = f"{at}/{k}"
         stage(spark, docs, sf_dir).write.parquet(out)
         docs = spark.read.parquet(out)
+        sweep(spark)
+        if k:
+            delete(spark, f"{at}/{k - 1}")
     return docs
