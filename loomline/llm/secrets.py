@@ -16,8 +16,8 @@ findings are a table (value, before, after, path, label); `labelled` makes one o
 rule, for which no secret is real, as the tables here hold none. Training reads at most
 `MOST_LABELLED` of them, those of the least hashes, on the driver.
 
-A text is cut at its candidates by marks: U+0001, which in the text itself is written U+0002 U+0004
-meanwhile (and U+0002 as U+0002 U+0003).
+A text is cut at its candidates by marks: U+0001, for which U+0002 stands meanwhile where the text
+itself has one; the patterns take both alike.
 
 Edge cases: a null or empty text has no findings; null ids are kept; findings that lie within
 another are left out, and those that overlap are masked as one; what repeats a found value without
@@ -233,20 +233,11 @@ def default_judge(docs: DataFrame) -> Judge:
 # --- scanning ---------------------------------------------------------------------------
 
 CONTEXT, AFTER = 48, 8
-MARK, ESCAPE, ONE, TWO = "\x01", "\x02", "\x02\x04", "\x02\x03"
+MARK, STAND_IN = "\x01", "\x02"
 FOUND = "array<struct<kind:string,value:string,start:int,stop:int,score:double>>"
 PARTS = "array<struct<kind:string,i:int,size:int,value:string,before:string,after:string>>"
 
 
-def _escaped(text: Column) -> Column:
-    odd = text.contains(MARK) | text.contains(ESCAPE)
-    return F.when(odd, F.replace(F.replace(text, F.lit(ESCAPE), F.lit(TWO)), F.lit(MARK), F.lit(ONE))).otherwise(text)
-
-
-def _plain(part: Column) -> Column:
-    return F.when(part.contains(ESCAPE), F.replace(F.replace(part, F.lit(ONE), F.lit(MARK)), F.lit(TWO), F.lit(ESCAPE))).otherwise(part)
-
-
 def _parts(text: Column, kind: str) -> Column:
     """A text cut at the candidates of a kind: every second part is a candidate, and has a value and what stands beside it."""
     before, value = KINDS[kind]
@@ -255,7 +246,7 @@ def _parts(text: Column, kind: str) -> Column:
     def of(g: Column) -> Column:
         def one(s: Column, i: Column) -> Column:
             some = lambda f, k, n: f(F.coalesce(F.get(g, i + k), F.lit("")), F.lit(n))
-            odd, own = i % 2 == 1, _plain(s)
+            odd, own = i % 2 == 1, s
             b = F.right(F.concat(*(some(F.right, k, CONTEXT) for k in (-3, -2, -1))), F.lit(CONTEXT))
             a = F.left(F.concat(*(some(F.left, k, AFTER) for k in (1, 2, 3))), F.lit(AFTER))
             fields = (F.lit(kind), i, F.length(own), F.when(odd, own), F.when(odd, b), F.when(odd, a))
@@ -275,7 +266,7 @@ def scan(docs: DataFrame, judge: Judge, least: float = 0.5, text_col: str = "tex
     at = F.col(path_col).cast("string") if path_col and path_col in docs.columns else F.lit("")
     hint = reduce(Column.__or__, (text.rlike(g) for g in GATES))
     out = docs.withColumns({own: text, path: at})
-    cut = F.concat(*(_parts(_escaped(F.col(own)), k) for k in KINDS))
+    cut = F.concat(*(_parts(F.translate(own, MARK, STAND_IN), k) for k in KINDS))
     out = out.withColumn(parts, F.when(hint, cut).otherwise(F.array().cast(PARTS)))
     q = lambda name: f"`{name}`"
     score = f"element_at(transform(array({judge.features('c.value', 'c.before', 'c.after', q(path))}), f -> {judge.forest}), 1)"
@@ -292,7 +283,7 @@ def scan(docs: DataFrame, judge: Judge, least: float = 0.5, text_col: str = "tex
     ordered = f"array_sort({found}, (x, y) -> case when x.start <> y.start then x.start - y.start when x.stop <> y.stop then y.stop - x.stop when x.kind < y.kind then -1 when x.kind > y.kind then 1 else 0 end)"
     outer = (
         f"aggregate({ordered}, cast(array() as array<struct<kind:string,value:string,start:int,stop:int,score:double>>), "
-        "(a, x) -> if(size(a) > 0 and element_at(a, -1).stop >= x.stop, a, array_append(a, named_struct('kind', x.kind, 'value', x.value, 'start', x.start, 'stop', x.stop, 'score', x.score))))"
+        f"(a, x) -> if(size(a) > 0 and element_at(a, -1).stop >= x.stop, a, array_append(a, named_struct('kind', x.kind, 'value', if(instr(x.value, '\x02') > 0, substring({q(own)}, x.start + 1, x.stop - x.start), x.value), 'start', x.start, 'stop', x.stop, 'score', x.score))))"
     )
     return out.withColumn(into, F.when(F.size(good) > 0, F.expr(outer)).otherwise(F.array().cast(FOUND))).drop(own, path, parts, judged, good)
 

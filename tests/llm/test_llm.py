@@ -337,7 +337,7 @@ def test_secret_places_are_those_of_plain_matching(spark):
         return out
 
     for row in got:
-        assert [(s.start, s.stop, s.kind) for s in row.secrets] == want(texts[row.doc_id]), texts[row.doc_id]
+        assert [(s.start, s.stop, s.kind) for s in row.secrets] == want(texts[row.doc_id]), repr(texts[row.doc_id])
 
 
 @pytest.mark.parametrize("crowd", [1, 4096])
