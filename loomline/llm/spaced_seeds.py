@@ -1,23 +1,25 @@
 """Benchmark decontamination by spaced seeds.
 
 Texts are taken as runs of letters and digits, A-Z in lower case. A seed is a fixed mask of up to
-`SPAN` tokens; tokens where it has 0 are ignored, so a hit survives substitutions there. The masks
-hit every alignment of 12 or 13 tokens with 2 substituted, 15 with 3, 20 with 4 and 25 with 5, hence
-every one of 12 or more of which `MIN_MATCH` agree (a longer one has such a part). Hashes of every
-place of the benchmark under every seed are joined with those of the documents; around each
-hit the aligned tokens are compared, and the overlap is extended both ways while matches outweigh
-mismatches; where that falls short, the longest part of the diagonal that counts is taken. A document is contaminated by an item if an overlap has at least
-min(`MIN_OVERLAP`, tokens of the item) tokens of which `MIN_MATCH` agree. Items of fewer than
-`SPAN` tokens are looked up whole, with no token ignored; items of fewer than `MIN_ITEM` tokens
-say too little and contaminate nothing.
+`SPAN` tokens; tokens where it has 0 are ignored, so a hit survives substitutions there. Hashes of
+every place of the benchmark under every seed are joined with those of the documents. A hit names
+a diagonal, on which a document's tokens face an item's; on it the longest part is taken of which
+`MIN_MATCH` of the tokens agree, over the whole length of the item. A document is contaminated by an item
+if such a part has at least min(`MIN_OVERLAP`, tokens of the item) tokens. The masks hit every part of
+12 tokens or more that agrees so far (a test goes through all patterns), so the result is that of
+looking at all diagonals. Items of fewer than `SPAN` tokens are looked up whole, with no token
+ignored; items of fewer than `MIN_ITEM` tokens say too little and contaminate nothing.
 
 Documents' hashes are tested in the task against a bitmap of the benchmark's hashes, of a fixed
 size whatever the benchmark's; what passes is joined exactly. A larger benchmark makes the bitmap
-let more through, and loses nothing.
+let more through, and loses nothing. Around its hits a document sends as many tokens as the longest
+item has, in either direction. Equal items are one class and equal stretches of documents are
+another: each pair of classes is verified once, however many items and documents have it.
 
 Edge cases: null and empty texts have no tokens, so nothing is found in them; null document or
-item ids are kept as ids; repeated rows are each found; an empty benchmark or table gives no
-rows; other columns are passed over.
+item ids are kept as ids; repeated rows are each found; of ties in length the part with most matches is
+reported; an empty benchmark or table gives no rows; other columns are passed over. A document is
+held whole in its task, in about 60 bytes for each of its own.
 """
 
 from __future__ import annotations
@@ -27,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomline.llm.common import LOWER, U, bounded, buffers, cut, mix, signed, word_hashes, words
+from loomline.llm.common import LOWER, Scratch, U, bounded, buffers, mix, signed, word_hashes, words
 
 #: Masks of weight 6, each with its first and last token; items of fewer tokens than SPAN are looked up whole.
 SEEDS = ("10110111", "11101000101", "10000101111", "11011000011")
@@ -35,9 +37,8 @@ SPAN = 12
 MIN_ITEM = 5
 MIN_OVERLAP = 13
 MIN_MATCH = 0.8
-#: Bits of the bitmap, and tokens kept on either side of a hit.
+#: Bits of the bitmap.
 BITMAP_BITS = 1 << 26
-REACH = 64
 
 TOKEN_GAP = np.ones(256, bool)
 TOKEN_GAP[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = False
@@ -88,38 +89,43 @@ def whole_runs(h: np.ndarray, unit: np.ndarray, size: int) -> tuple[np.ndarray,
     return at, mix(total[at])
 
 
-def _benchmark(items: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(h, item_id, at, n, toks): every hash of every item; toks only where the item's first hash is."""
+def _items(items: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(item_id, n, toks, item): the tokens of every item, and a hash of them."""
 
     def of(batches):
         for b in batches:
             for i, j, buf, off in buffers(b.column(1)):
                 h, unit = tokens(buf, off)
-                size = np.diff(unit)
-                long = np.repeat(size >= SPAN, size)
-                found = [(at[ok], x[ok]) for at, x in seeded(h, unit) for ok in (long[at],)]
-                for short in range(MIN_ITEM, SPAN):
-                    for r in np.flatnonzero(size == short):
-                        at, x = whole_runs(h[unit[r] : unit[r + 1]], np.array([0, short]), short)
-                        found.append((at + unit[r], x))
-                for at, x in found:
-                    row = np.searchsorted(unit, at, side="right") - 1
-                    ids = b.column(0).slice(i, j - i).take(pa.array(row))
-                    yield pa.record_batch([signed(x), ids, pa.array(at - unit[row]), pa.array(size[row])], ["h", "item_id", "at", "n"])
+                toks = pa.ListArray.from_arrays(pa.array(unit.astype(np.int32)), signed(h))
+                yield pa.record_batch([b.column(0).slice(i, j - i), pa.array(np.diff(unit)), toks], ["item_id", "n", "toks"])
 
     own = items.select(F.col(id_col).cast("long").alias("item_id"), F.col(text_col).cast("string").alias("text"))
-    return own.mapInArrow(of, "h long, item_id long, at long, n long")
+    return own.mapInArrow(of, "item_id long, n long, toks array<long>").filter(F.col("n") >= MIN_ITEM).withColumn("item", F.xxhash64("n", "toks"))
 
 
-def _item_tokens(items: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def flat(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Offsets from zero and values of a list column without nulls."""
+    return np.asarray(col.offsets).astype(np.int64) - col.offsets[0].as_py(), np.asarray(col.flatten())
+
+
+def _benchmark(classes: DataFrame) -> DataFrame:
+    """(h, item, at, n): every hash of every class of items, and its place."""
+
     def of(batches):
         for b in batches:
-            for i, j, buf, off in buffers(b.column(1)):
-                h, unit = tokens(buf, off)
-                yield pa.record_batch([b.column(0).slice(i, j - i), pa.ListArray.from_arrays(pa.array(unit.astype(np.int32)), signed(h))], ["item_id", "item"])
+            unit, h = flat(b.column(1))
+            h, size = h.view(U), np.diff(unit)
+            long = np.repeat(size >= SPAN, size)
+            found = [(at[ok], x[ok]) for at, x in seeded(h, unit) for ok in (long[at],)]
+            for short in range(MIN_ITEM, SPAN):
+                for r in np.flatnonzero(size == short):
+                    at, x = whole_runs(h[unit[r] : unit[r + 1]], np.array([0, short]), short)
+                    found.append((at + unit[r], x))
+            for at, x in found:
+                row = np.searchsorted(unit, at, side="right") - 1
+                yield pa.record_batch([signed(x), b.column(0).take(pa.array(row)), pa.array(at - unit[row]), pa.array(size[row])], ["h", "item", "at", "n"])
 
-    own = items.select(F.col(id_col).cast("long").alias("item_id"), F.col(text_col).cast("string").alias("text"))
-    return own.mapInArrow(of, "item_id long, item array<long>")
+    return classes.select("item", "toks").mapInArrow(of, "h long, item long, at long, n long")
 
 
 def _cells(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -144,36 +150,28 @@ def _set(bitmap: np.ndarray, h: np.ndarray) -> np.ndarray:
     return ok
 
 
-def overlap(doc: np.ndarray, item: np.ndarray, shift: int, at: int) -> tuple[int, int, int]:
-    """(start and end in the item, matches) of the best overlap on a diagonal around item place `at`.
-
-    doc[q + shift] faces item[q]. From the hit each way, a match scores 1 and a mismatch
-    -MIN_MATCH / (1 - MIN_MATCH); the end of the best sum is taken.
-    """
-    lo, hi = max(0, -shift), min(len(item), len(doc) - shift)
-    same = doc[lo + shift : hi + shift] == item[lo:hi]
-    gain = np.where(same, 1.0, -MIN_MATCH / (1 - MIN_MATCH))
-    k = at - lo
-    right = np.concatenate([[0.0], np.cumsum(gain[k:])])
-    left = np.concatenate([[0.0], np.cumsum(gain[:k][::-1])])
-    end, start = k + int(right.argmax()), k - int(left.argmax())
-    return lo + start, lo + end, int(same[start:end].sum())
-
-
 def longest(doc: np.ndarray, item: np.ndarray, shift: int) -> tuple[int, int]:
-    """(tokens, matches) of the longest part of a diagonal of which MIN_MATCH agree."""
+    """(tokens, matches) of the longest part of a diagonal of which MIN_MATCH agree; doc[q + shift] faces item[q]."""
     lo, hi = max(0, -shift), min(len(item), len(doc) - shift)
+    if hi <= lo:
+        return 0, 0
     same = doc[lo + shift : hi + shift] == item[lo:hi]
-    total = np.concatenate([[0.0], np.cumsum(np.where(same, 1.0, -MIN_MATCH / (1 - MIN_MATCH)))])
+    count = np.concatenate([[0], np.cumsum(same)])
+    total = count - MIN_MATCH / (1 - MIN_MATCH) * (np.arange(len(count)) - count)
     above = np.maximum.accumulate(total[::-1])[::-1]  # falls, so the last end that will do is found by bisection
     end = np.searchsorted(-above, 1e-6 - total, side="right") - 1
-    s = int((end - np.arange(len(end))).argmax())
-    return int(end[s] - s), int(same[s : end[s]].sum())
+    length, match = end - np.arange(len(end)), count[end] - count
+    best = np.flatnonzero(length == length.max())
+    return int(length.max()), int(match[best].max())
 
 
 def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """(doc_id, item_id, n_overlap, n_match): for each document and item the longest overlap that counts."""
-    bench = cut(_benchmark(bounded(items), item_id, item_text))
+    scratch = Scratch(bounded(docs).sparkSession)
+    every = scratch.table("items", _items(items, item_id, item_text))
+    classes = scratch.table("classes", every.groupBy("item").agg(F.first("n").alias("n"), F.first("toks").alias("toks")))
+    bench = scratch.table("bench", _benchmark(classes))
+    reach = int(classes.agg(F.max("n")).first()[0] or 0)
     shorts = sorted(r.n for r in bench.filter(F.col("n") < SPAN).select("n").distinct().collect())
     sent = docs.sparkSession.sparkContext.broadcast(_bitmap(bench))
 
@@ -191,50 +189,40 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
                 if not len(at):
                     continue
                 row = np.searchsorted(unit, at, side="right") - 1
-                new = np.ones(len(at), bool)  # a region ends where the next hit is out of its reach, or past its size
-                new[1:] = (row[1:] != row[:-1]) | (at[1:] - at[:-1] > SPAN)
-                region = np.cumsum(new) - 1
+                new = np.ones(len(at), bool)  # a stretch ends where no diagonal of its hits can meet one of the next
+                new[1:] = (row[1:] != row[:-1]) | (at[1:] - at[:-1] > SPAN + 2 * reach)
+                stretch = np.cumsum(new) - 1
                 head = np.flatnonzero(new)
                 tail = np.append(head[1:], len(at)) - 1
-                a = np.maximum(at[head] - REACH, unit[row[head]])
-                z = np.minimum(at[tail] + SPAN + REACH, unit[row[head] + 1])
+                a = np.maximum(at[head] - reach, unit[row[head]])
+                z = np.minimum(at[tail] + SPAN + reach, unit[row[head] + 1])
                 n = z - a
                 src = np.repeat(a, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
                 toks = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32)), signed(h[src]))
-                pairs = pa.StructArray.from_arrays([signed(x), pa.array(at - a[region])], ["h", "at"])
+                pairs = pa.StructArray.from_arrays([signed(x), pa.array(at - a[stretch])], ["h", "at"])
                 own = pa.ListArray.from_arrays(pa.array(np.append(head, len(at)).astype(np.int32)), pairs)
                 ids = b.column(0).slice(i, j - i).take(pa.array(row[head]))
-                yield pa.record_batch([ids, pa.array(a - unit[row[head]]), toks, own], ["doc_id", "start", "toks", "hits"])
+                yield pa.record_batch([ids, toks, own], ["doc_id", "toks", "hits"])
 
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    regions = cut(own.mapInArrow(hits, "doc_id long, start long, toks array<long>, hits array<struct<h:long,at:long>>").withColumn("region", F.xxhash64("doc_id", "start", "toks")))
-    each = regions.select("region", F.explode("hits").alias("hit")).select("region", "hit.h", F.col("hit.at").alias("place"))
-    joined = each.join(bench.withColumnRenamed("at", "q"), "h")
-    # One hit for each diagonal stands for all on it.
-    diagonal = joined.groupBy("region", "item_id", (F.col("place") - F.col("q")).alias("shift")).agg(F.min("q").alias("q"), F.max("q").alias("q2"))
-    faced = diagonal.join(regions.select("region", "doc_id", "toks"), "region").join(
-        _item_tokens(items, item_id, item_text).distinct(), ["item_id"]
-    )
+    stretches = own.mapInArrow(hits, "doc_id long, toks array<long>, hits array<struct<h:long,at:long>>")
+    stretches = scratch.table("stretches", stretches.withColumn("of", F.xxhash64("toks")))
+    each = stretches.select("of", F.explode("hits").alias("hit")).select("of", "hit.h", F.col("hit.at").alias("place")).distinct()
+    diagonals = each.join(bench.select("h", "item", "at"), "h").select("of", "item", (F.col("place") - F.col("at")).alias("shift")).distinct()
+    one = stretches.groupBy("of").agg(F.first("toks").alias("toks"))
+    faced = diagonals.join(one, "of").join(classes.select("item", F.col("toks").alias("facing")), "item")
 
     def verified(batches):
         for b in batches:
-            doc, item = b.column("toks"), b.column("item")
-            d_at, d = np.asarray(doc.offsets) - doc.offsets[0].as_py(), np.asarray(doc.flatten())
-            i_at, t = np.asarray(item.offsets) - item.offsets[0].as_py(), np.asarray(item.flatten())
-            shift, q, q2 = (np.asarray(b.column(c)) for c in ("shift", "q", "q2"))
-            got = np.zeros((b.num_rows, 2), np.int64)
-            for r in range(b.num_rows):
-                x, y = d[d_at[r] : d_at[r + 1]], t[i_at[r] : i_at[r + 1]]
-                for at in {int(q[r]), int(q2[r])}:
-                    if at < len(y):
-                        s, e, same = overlap(x, y, int(shift[r]), at)
-                        if same >= MIN_MATCH * (e - s) and e - s > got[r, 0]:
-                            got[r] = e - s, same
-                if got[r, 0] < min(MIN_OVERLAP, len(y)):
-                    got[r] = longest(x, y, int(shift[r]))
-            n = np.minimum(MIN_OVERLAP, np.diff(i_at))
-            out = pa.record_batch([b.column("doc_id"), b.column("item_id"), pa.array(got[:, 0]), pa.array(got[:, 1])], ["doc_id", "item_id", "n_overlap", "n_match"])
-            yield out.filter(pa.array((got[:, 0] >= n) & (got[:, 0] > 0)))
-
-    found = faced.select("doc_id", "item_id", "shift", "q", "q2", "toks", "item").mapInArrow(verified, "doc_id long, item_id long, n_overlap long, n_match long")
-    return found.groupBy("doc_id", "item_id").agg(F.max("n_overlap").alias("n_overlap"), F.max("n_match").alias("n_match"))
+            (d_at, d), (i_at, t) = flat(b.column("toks")), flat(b.column("facing"))
+            shift = np.asarray(b.column("shift")).tolist()
+            got = [longest(d[d_at[r] : d_at[r + 1]], t[i_at[r] : i_at[r + 1]], shift[r]) for r in range(b.num_rows)]
+            got = np.array(got, np.int64).reshape(b.num_rows, 2)
+            out = pa.record_batch([b.column("of"), b.column("item"), pa.array(got[:, 0]), pa.array(got[:, 1])], ["of", "item", "n_overlap", "n_match"])
+            yield out.filter(pa.array(got[:, 0] >= np.minimum(MIN_OVERLAP, np.diff(i_at))))
+
+    found = faced.select("of", "item", "shift", "toks", "facing").mapInArrow(verified, "of long, item long, n_overlap long, n_match long")
+    best = scratch.table("best", found.groupBy("of", "item").agg(F.max(F.struct("n_overlap", "n_match")).alias("best")))
+    pairs = best.join(stretches.select("of", "doc_id").distinct(), "of").join(every.select("item", "item_id").distinct(), "item")
+    out = pairs.groupBy("doc_id", "item_id").agg(F.max("best").alias("best")).select("doc_id", "item_id", "best.n_overlap", "best.n_match")
+    return out

@@ -230,6 +230,63 @@ def test_spaced_seeds_find_every_short_rewording(spark):
     assert got == {(x[0], x[2]) for x in out}
 
 
+def test_seeds_hit_every_overlap_that_counts():
+    """Of all patterns that no seed hits, the least number of mismatches among n tokens is over a fifth of n, for each n from 12 on."""
+    masks = [[len(m) - 1 - k for k, c in enumerate(m) if c == "1"] for m in spaced_seeds.SEEDS]
+    bits = max(map(len, spaced_seeds.SEEDS)) - 1
+    state = {0: 0}  # the last tokens' mismatches, oldest first; nothing before the start matches
+    for n in range(1, 400):
+        new: dict[int, int] = {}
+        for last, cost in state.items():
+            for miss in (0, 1):
+                window = last << 1 | miss
+                if any(n >= len(m) and not any(window >> k & 1 for k in mask) for m, mask in zip(spaced_seeds.SEEDS, masks, strict=True)):
+                    continue
+                key = window & ((1 << bits) - 1)
+                if cost + miss < new.get(key, 1 << 30):
+                    new[key] = cost + miss
+        state = new
+        if n >= 12:
+            assert min(state.values()) > n // 5, n
+
+
+def test_spaced_seeds_equal_all_diagonals(spark):
+    r = random.Random(21)
+    vocabulary = [f"w{k}" for k in range(40)]
+    items = [(k, [r.choice(vocabulary) for _ in range(r.choice((7, 12, 13, 14, 18, 25, 40, 90)))]) for k in range(24)]
+    items += [(100, items[7][1]), (101, items[9][1][:6] + items[8][1])]
+    docs = []
+    for k in range(120):
+        w = [r.choice(vocabulary) for _ in range(r.randint(0, 60))]
+        for _ in range(r.randint(0, 3)):
+            own = list(r.choice(items)[1])
+            for p in range(len(own)):
+                if r.random() < r.choice((0, 0.1, 0.2, 0.25)):
+                    own[p] = "x" + r.choice(vocabulary)
+            w += own + [r.choice(vocabulary) for _ in range(r.randint(0, 30))]
+        docs.append((k, w))
+    docs += [(200, [x for _ in range(40) for x in vocabulary[:3]]), (201, items[5][1] * 3)]
+    want = {}
+    for d, w in docs:
+        for i, t in items:
+            for shift in range(-len(t) + 1, len(w)):
+                lo, hi = max(0, -shift), min(len(t), len(w) - shift)
+                same = [w[q + shift] == t[q] for q in range(lo, hi)]
+                if len(t) < spaced_seeds.SPAN and not (len(same) == len(t) and all(same)):
+                    continue
+                count = list(itertools.accumulate(same, initial=0))
+                for a in range(len(same)):
+                    for z in range(len(same), a, -1):
+                        if z - a < max(min(13, len(t)), want.get((d, i), (0,))[0]):
+                            break
+                        if 5 * (count[z] - count[a]) >= 4 * (z - a):
+                            want[d, i] = max(want.get((d, i), (0, 0)), (z - a, count[z] - count[a]))
+                            break
+    rows = lambda x: spark.createDataFrame([(k, " ".join(w)) for k, w in x], "id long, text string")
+    got = {(x.doc_id, x.item_id): (x.n_overlap, x.n_match) for x in spaced_seeds.contamination(rows(docs), rows(items), id_col="id", item_id="id").collect()}
+    assert got == want and len(want) > 60
+
+
 def test_context_tree_and_base(docs, rows, empty):
     train = lambda i: zlib.crc32(("" if i is None else str(i)).encode()) % 10 != 0
     tok = lambda t: [*(t or "").encode().lower().split(), None]
