@@ -1,8 +1,9 @@
 r"""Chat formatting: conversations of many layouts to canonical turns, and turns to one text.
 
-Layouts. The nested field paths that a table, or a JSON document, has are hashed; the hash picks
-a declared mapping to turns (role, text). Fields that no layout names don't count, so extra
-columns don't matter. An unknown layout gives null turns.
+Layouts. Of the nested field paths that a table, or a JSON document, has, those that a declared layout
+names are hashed; the first layout whose own hash that is gives the mapping to turns (role, text).
+Layouts with more paths come first, and of equals those declared first, so other columns don't
+matter, even such as another layout names. An unknown layout gives null turns.
 
 Template. Each turn is written `<|im_start|>ROLE\nTEXT<|im_end|>\n`. Inside roles and texts `~`
 is written `~0` and `<|` is written `~1`, and in roles a line feed `~2`: so no text can hold a
@@ -22,6 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from loomline.llm.common import unused
 from loomline.llm.text_stats import let
 
 #: Fixed values of the template.
@@ -77,20 +79,27 @@ LAYOUTS: dict[str, tuple[list[str], Callable]] = {
 }
 ROWS = ["conv_id", "turn", "role", "text"]
 KNOWN = sorted({p for layout, _ in LAYOUTS.values() for p in layout})
-BY_HASH = {fingerprint(p): name for name, (p, _) in LAYOUTS.items()}
+#: The layouts' fingerprints, the most specific first.
+BY_HASH = {name: fingerprint(LAYOUTS[name][0]) for name in sorted(LAYOUTS, key=lambda x: -len(LAYOUTS[x][0]))}
+
+
+def layout_of(have: list[str]) -> str | None:
+    """The name of the first layout that the paths fit."""
+    return next((name for name, h in BY_HASH.items() if fingerprint([p for p in have if p in LAYOUTS[name][0]]) == h), None)
 
 
 def canonical(df: DataFrame) -> DataFrame:
     """The table's rows with `turns`, by the mapping that its schema's fingerprint selects.
 
-    A table of one row a turn (conv_id, turn, role, text) is gathered by conversation.
+    A table of one row a turn (conv_id, turn, role, text) is gathered by conversation; a column
+    `turns` that another table has is replaced.
     """
     have = paths(df.schema)
     if fingerprint([p for p in have if p in ROWS]) == fingerprint(ROWS):
         turn = F.struct("turn", F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
         kept = F.transform(F.sort_array(F.collect_list(turn)), lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text")))
         return df.groupBy("conv_id").agg(kept.alias("turns"))
-    name = BY_HASH.get(fingerprint([p for p in have if p in KNOWN]))
+    name = layout_of(have)
     turns = LAYOUTS[name][1](lambda f: F.col(f"`{f}`")) if name else F.lit(None)
     return df.withColumn("turns", turns.cast(TURNS))
 
@@ -101,21 +110,23 @@ def canonical_json(df: DataFrame, json_col: str = "json") -> DataFrame:
     Text that isn't JSON, and an unknown layout, give null turns.
     """
     field = "struct<" + ",".join(["messages:array<struct<role:string,content:string>>", "conversations:array<struct<`from`:string,value:string>>"] + [f"`{p}`:string" for p in KNOWN if "[]" not in p]) + ">"
-    doc = df.withColumn("_doc", F.from_json(F.col(json_col), field))
+    doc, present = unused([*df.columns, "layout", "turns"], "doc", "present")
+    out = df.withColumn(doc, F.from_json(F.col(json_col), field))
 
     def there(p: str) -> Column:
         if "[]." not in p:
-            return F.col("_doc")[p].isNotNull()
+            return F.col(doc)[p].isNotNull()
         top, leaf = p.split("[].")
-        return F.exists(F.col("_doc")[top], lambda m: m[leaf].isNotNull())
+        return F.exists(F.col(doc)[top], lambda m: m[leaf].isNotNull())
 
-    present = F.array_compact(F.array(*(F.when(there(p), F.lit(p)) for p in KNOWN)))
-    doc = doc.withColumn("_hash", F.sha2(F.array_join(present, "\n"), 256))
+    out = out.withColumn(present, F.array_compact(F.array(*(F.when(there(p), F.lit(p)) for p in KNOWN))))
     layout, turns = F.lit(None).cast("string"), F.lit(None).cast(TURNS)
-    for h, name in BY_HASH.items():
-        layout = F.when(F.col("_hash") == h, F.lit(name)).otherwise(layout)
-        turns = F.when(F.col("_hash") == h, LAYOUTS[name][1](lambda f: F.col("_doc")[f]).cast(TURNS)).otherwise(turns)
-    return doc.withColumns({"layout": layout, "turns": turns}).drop("_doc", "_hash")
+    for name, h in reversed(BY_HASH.items()):
+        own = F.array(*map(F.lit, LAYOUTS[name][0]))
+        fits = F.sha2(F.array_join(F.array_intersect(present, own), "\n"), 256) == h
+        layout = F.when(fits, F.lit(name)).otherwise(layout)
+        turns = F.when(fits, LAYOUTS[name][1](lambda f: F.col(doc)[f]).cast(TURNS)).otherwise(turns)
+    return out.withColumns({"layout": layout, "turns": turns}).drop(doc, present)
 
 
 def escaped(text: Column, role: bool = False) -> Column:
@@ -173,10 +184,11 @@ def render(df: DataFrame) -> DataFrame:
 
 
 def digest(rendered: DataFrame) -> DataFrame:
-    """(conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars), read back from the texts."""
-    back = rendered.select("conv_id", F.length("formatted").cast("long").alias("formatted_chars"), read_back(F.col("formatted")).alias("t"))
-    lines = F.array_join(F.transform("t", lambda x: F.concat(x["role"], F.lit("\n"), x["text"], F.lit("\n"))), "")
-    loss = F.array_join(F.transform(F.filter("t", lambda x: x["loss"]), lambda x: x["text"]), "")
-    return back.select(
-        "conv_id", F.size("t").cast("long").alias("n_turns"), F.sha2(lines, 256).alias("turns_sha256"), loss.alias("loss"), "formatted_chars"
-    ).select("conv_id", "n_turns", "turns_sha256", F.length("loss").cast("long").alias("loss_chars"), F.sha2("loss", 256).alias("loss_sha256"), "formatted_chars")
+    """(conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars), read back from the texts and their loss masks."""
+    f = F.col("formatted")
+    lines = F.array_join(F.transform(read_back(f), lambda x: F.concat(x["role"], F.lit("\n"), x["text"], F.lit("\n"))), "")
+    under = F.transform(loss_spans(f), lambda s: unescaped(F.substr(f, s["start"] + 1, s["end"] - s["start"])))
+    back = rendered.select(
+        "conv_id", F.size(parts(f)).cast("long").alias("n_turns"), F.sha2(lines, 256).alias("turns_sha256"), F.array_join(under, "").alias("loss"), F.length(f).cast("long").alias("formatted_chars")
+    )
+    return back.select("conv_id", "n_turns", "turns_sha256", F.length("loss").cast("long").alias("loss_chars"), F.sha2("loss", 256).alias("loss_sha256"), "formatted_chars")

@@ -172,6 +172,12 @@ def test_chat_layouts(spark):
              '{"instruction": "q", "output": "a"}', '{"instruction": "q", "input": "", "output": "a"}', '{"prompt": "q", "completion": "a"}', '{"prompt": "q", "response": "a"}', '{"question": "q", "answer": "a"}', "nope", '{"x": 1}', None]
     got = chat.canonical_json(spark.createDataFrame([(k, x) for k, x in enumerate(lines)], "k int, json string")).orderBy("k").collect()
     assert [[tuple(t) for t in r.turns] if r.turns else None for r in got] == [[("user", "q"), ("assistant", "a")]] * 7 + [None] * 3
+    mixed = ['{"messages": [{"role": "user", "content": "q"}, {"role": "assistant", "content": "a"}], "prompt": "p", "output": "o"}', '{"instruction": "q", "output": "a", "prompt": "p", "messages": []}', '{"prompt": "q", "completion": "a", "response": null, "question": "x"}']
+    got = chat.canonical_json(spark.createDataFrame([(k, x, 1, 2) for k, x in enumerate(mixed)], "k int, json string, doc int, present int")).orderBy("k").collect()
+    assert [(r.layout, [tuple(t) for t in r.turns]) for r in got] == [(x, [("user", "q"), ("assistant", "a")]) for x in ("messages", "instruction", "prompt_completion")]
+    both = spark.createDataFrame([([("user", "q"), ("assistant", "a")], "p", "x")], "messages array<struct<role:string,content:string>>, prompt string, turns string")
+    assert [tuple(t) for t in chat.canonical(both).first().turns] == [("user", "q"), ("assistant", "a")]
+    assert chat.canonical(spark.createDataFrame([("x",)], "prompt string")).first().turns is None
     flat = chat.canonical(spark.createDataFrame([("q", "a", 1)], "prompt string, response string, id int")).first()
     assert [tuple(t) for t in flat.turns] == [("user", "q"), ("assistant", "a")]
 
