@@ -1,23 +1,27 @@
 """Language-model scores by context-tree weighting over bytes.
 
-A text is taken as its words in lower case, parted by single spaces and closed by a zero byte.
-Each bit of each byte is predicted in the context of the bits before it in its byte and of the
-`DEPTH` bytes before that. In every context of 0 to `DEPTH` bytes a Krichevsky-Trofimov estimate
-is kept; the weighted probability of a context is half its own estimate and half the product of
-its longer contexts'. What the trained tree predicts for a bit is the mixture over all depths that
-these weights give, so a byte's probability depends on the gram of DEPTH + 1 bytes that it ends.
+A text is taken as its bytes with A-Z in lower case, white space and all, closed by an end byte
+0xFF, which UTF-8 doesn't have. Each bit of each byte is predicted in the context of the bits before it
+in its byte and of the `DEPTH` bytes before that (0xFF before the start). In every context of 0 to
+`DEPTH` bytes a Krichevsky-Trofimov estimate is kept; the weighted probability of a context is half
+its own estimate and half the product of its longer contexts'. What the trained tree predicts for a
+bit is the mixture over all depths that these weights give, so a byte's probability depends on the
+gram of DEPTH + 1 bytes that it ends.
 
 Counts: every gram of every training text, and every word, is counted: in each task, then in
-Spark. The tree is weighted in two passes, dealt by the last two bytes of the context. A context
-of two bytes and all longer ones meet in one task; the contexts of one byte and of none are sums
-over those, 65,280 rows at most.
+Spark. The tree is weighted depth by depth. The grams of one context of DEPTH - 1 bytes, 65,536 at
+most, give its nodes; the nodes of a shorter context are sums over its 256 longer ones, down to
+two bytes; the contexts of one byte and of none, 65,280 rows at most, are sums of those. The
+estimates then go back up the same way, each depth joined with the one before. So no group
+is larger than a context's 256 children, each of 255 nodes, however large the corpus.
 
 Scores: a text's score is a sum over its grams. The most frequent grams and words are broadcast,
 `HEAD_GRAMS` and `HEAD_WORDS` at most; whatever else a text has is looked up by a join.
 
 Edge cases: a null or empty text is its end alone; a null id is in the fold of the empty text;
 repeated rows count each and score alike; with no training texts all estimates are even and N and
-V are zero; an empty table gives no rows; other columns are passed over.
+V are zero; an empty table gives no rows; other columns are passed over. A text is held whole in
+its task, with about 100 bytes for each of its own.
 """
 
 from __future__ import annotations
@@ -29,15 +33,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomline.llm.common import LOWER, U, bounded, buffers, cut, fold_of, signed, word_hashes, words
+from loomline.llm.common import LOWER, Scratch, U, bounded, buffers, flat, fold_of, signed, word_hashes, words
 
 DEPTH = 5
 HEAD_GRAMS = 1 << 20
 HEAD_WORDS = 1 << 20
 HELD_ENTRIES = 1 << 20
 GRAM, WORD = 0, 1
-#: The end's place among the words' hashes.
-END = 0x656E64
+#: The end's place among the words' hashes, and among the bytes.
+END, END_BYTE = 0x656E64, 0xFF
+#: Bytes of the groups of contexts that are weighted at a time.
+GROUP_BYTES = 1 << 22
 
 
 class Table:
@@ -89,28 +95,13 @@ def log_kt(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def normal(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """The texts as they are modelled, each after DEPTH zeros; their bounds; word hashes; word bounds."""
+    """The texts as they are modelled, each after DEPTH end bytes; their bounds; word hashes; word bounds."""
     low = LOWER[buf]
     starts, ends, unit = words(low, off)
-    h = word_hashes(low, starts, ends)
     n = len(off) - 1
-    size = ends - starts + 1
-    text = np.repeat(np.arange(n), np.diff(unit))
-    total = np.concatenate([[0], np.cumsum(size)])
-    per = DEPTH + np.maximum(total[unit[1:]] - total[unit[:-1]], 1)
-    bounds = np.concatenate([[0], np.cumsum(per)])
-    out = np.zeros(bounds[-1], np.uint8)
-    place = bounds[text] + DEPTH + total[:-1] - total[unit[text]]
-    inside = np.zeros(len(low) + 1, np.int32)
-    inside[starts] += 1
-    np.add.at(inside, ends, -1)
-    src = np.flatnonzero(np.cumsum(inside[:-1]) > 0)
-    which = np.repeat(np.arange(len(starts)), ends - starts)
-    out[place[which] + src - starts[which]] = low[src]
-    gap = place + size - 1
-    out[gap] = 32
-    out[bounds[1:] - 1] = 0
-    return out, bounds, h, unit
+    out = np.full(len(low) + n * (DEPTH + 1), END_BYTE, np.uint8)
+    out[np.arange(len(low)) + np.repeat(DEPTH + np.arange(n) * (DEPTH + 1), np.diff(off))] = low
+    return out, off + np.arange(n + 1) * (DEPTH + 1), word_hashes(low, starts, ends), unit
 
 
 def grams(text: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -173,58 +164,39 @@ def counts(docs: DataFrame) -> DataFrame:
     return docs.select("train", "text").mapInArrow(of, "kind int, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n"))
 
 
-@dataclass
-class Level:
-    """The nodes of one depth: for each (gram, bit) its node, and each node's counts."""
+def joined_prob(log_a: np.ndarray, log_b: np.ndarray) -> np.ndarray:
+    """log of the mean of two probabilities."""
+    return np.logaddexp(log_a, log_b) + np.log(0.5)
+
 
-    node: np.ndarray
-    keys: np.ndarray
-    a: np.ndarray
-    b: np.ndarray
+def stop_share(a: np.ndarray, b: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """The share of a context's own estimate in its weighted probability."""
+    return np.exp(np.log(0.5) + log_kt(a, b) - w)
 
 
-class Tree:
-    """The contexts of `least` bytes and more, for whole sets of grams that end in the same contexts."""
+class Deep:
+    """The nodes of the two greatest depths, of grams with whole contexts of DEPTH - 1 bytes."""
 
-    def __init__(self, g: np.ndarray, n: np.ndarray, least: int) -> None:
+    def __init__(self, g: np.ndarray, n: np.ndarray) -> None:
         byte, k = (g & U(255)).astype(np.int64), np.arange(8)
         self.bit = ((byte[:, None] >> (7 - k)) & 1).ravel()
-        self.prefix = ((1 << k) | (byte[:, None] >> (8 - k))).ravel()
+        prefix = ((1 << k) | (byte[:, None] >> (8 - k))).ravel().astype(U)
+        weight = np.repeat(n, 8)
         context = g >> U(8)
-        weight = np.repeat(n, 8).astype(float)
-        self.levels = {}
-        for d in range(DEPTH, least - 1, -1):
-            own = context & U((1 << 8 * d) - 1)
-            keys, node = np.unique(np.repeat(own, 8) * U(256) + self.prefix.astype(U), return_inverse=True)
-            a = np.bincount(node, weight * (self.bit == 0), minlength=len(keys))
-            b = np.bincount(node, weight * (self.bit == 1), minlength=len(keys))
-            self.levels[d] = Level(node, keys, a, b)
-        self.least = least
-        self.log_w = {}
-        self.stop = {}
-        for d in range(DEPTH, least - 1, -1):
-            lv = self.levels[d]
-            kt = log_kt(lv.a, lv.b)
-            if d == DEPTH:
-                self.log_w[d], self.stop[d] = kt, np.ones(len(kt))
-                continue
-            child = self.levels[d + 1]
-            up = np.zeros(len(child.keys), np.int64)
-            up[child.node] = lv.node
-            longer = np.bincount(up, self.log_w[d + 1], minlength=len(lv.keys))
-            self.log_w[d] = np.logaddexp(kt, longer) + np.log(0.5)
-            self.stop[d] = np.exp(np.log(0.5) + kt - self.log_w[d])
-
-    def predicted(self) -> np.ndarray:
-        """Of each (gram, bit), the probability that the contexts here give it."""
-        p = np.zeros(len(self.bit))
-        for d in range(DEPTH, self.least - 1, -1):
-            lv = self.levels[d]
-            mine = np.where(self.bit == 1, lv.b[lv.node], lv.a[lv.node])
-            kt = (mine + 0.5) / (lv.a[lv.node] + lv.b[lv.node] + 1)
-            q = self.stop[d][lv.node]
-            p = q * kt + (1 - q) * p
-        return p
+        self.leaf_keys, self.leaf = np.unique(np.repeat(context, 8) * U(256) + prefix, return_inverse=True)
+        self.leaf_a, self.leaf_b = (np.bincount(self.leaf, weight * (self.bit == x), minlength=len(self.leaf_keys)) for x in (0, 1))
+        short = self.leaf_keys & U((1 << 8 * DEPTH) - 1)  # the context of a byte less, and the prefix
+        self.keys, self.up = np.unique(short, return_inverse=True)
+        self.a, self.b, longer = (np.bincount(self.up, x, minlength=len(self.keys)) for x in (self.leaf_a, self.leaf_b, log_kt(self.leaf_a, self.leaf_b)))
+        self.w = joined_prob(log_kt(self.a, self.b), longer)
+        self.node = self.up[self.leaf]
+
+    def log10(self, zero: np.ndarray, rest: np.ndarray) -> np.ndarray:
+        """The log10 probability of each gram's byte, from what its nodes of DEPTH - 1 have of a zero, and what is left for longer contexts."""
+        ones = self.bit == 1
+        kt = (np.where(ones, self.leaf_b[self.leaf], self.leaf_a[self.leaf]) + 0.5) / (self.leaf_a + self.leaf_b + 1)[self.leaf]
+        have = np.where(ones, (1 - rest - zero)[self.node], zero[self.node])
+        return np.log10(have + rest[self.node] * kt).reshape(-1, 8).sum(1)
 
 
 class Top:
@@ -233,64 +205,154 @@ class Top:
     def __init__(self, last: np.ndarray, prefix: np.ndarray, a: np.ndarray, b: np.ndarray, longer: np.ndarray) -> None:
         size = 65536
         self.a1, self.b1, w2 = (np.bincount(last * 256 + prefix, x, minlength=size) for x in (a, b, longer))
-        kt = log_kt(self.a1, self.b1)
-        w1 = np.logaddexp(kt, w2) + np.log(0.5)
-        self.q1 = np.exp(np.log(0.5) + kt - w1)
+        w1 = joined_prob(log_kt(self.a1, self.b1), w2)
+        self.q1 = stop_share(self.a1, self.b1, w1)
         self.a0, self.b0, w1s = (x.reshape(256, 256).sum(0) for x in (self.a1, self.b1, w1))
-        kt0 = log_kt(self.a0, self.b0)
-        self.q0 = np.exp(np.log(0.5) + kt0 - (np.logaddexp(kt0, w1s) + np.log(0.5)))
+        self.q0 = stop_share(self.a0, self.b0, joined_prob(log_kt(self.a0, self.b0), w1s))
 
-    def mixed(self, last: np.ndarray, prefix: np.ndarray, bit: np.ndarray, p: np.ndarray) -> np.ndarray:
-        for a, b, q, at in ((self.a1, self.b1, self.q1, last * 256 + prefix), (self.a0, self.b0, self.q0, prefix)):
-            kt = (np.where(bit == 1, b[at], a[at]) + 0.5) / (a[at] + b[at] + 1)
-            p = q[at] * kt + (1 - q[at]) * p
-        return p
+    def shares(self, last: np.ndarray, prefix: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """What these contexts give to a zero, and what they leave to longer ones."""
+        zero, rest = np.zeros(len(last)), np.ones(len(last))
+        for a, b, q, at in ((self.a0, self.b0, self.q0, prefix), (self.a1, self.b1, self.q1, last * 256 + prefix)):
+            zero = zero + rest * q[at] * (a[at] + 0.5) / (a[at] + b[at] + 1)
+            rest = rest * (1 - q[at])
+        return zero, rest
 
 
-def _by_context(batches):
-    """Whole groups of the sorted rows (ctx, key, n): keys and counts, about 2**16 grams at a time or a whole group."""
-    held: list[tuple[np.ndarray, ...]] = []
+def whole_groups(batches):
+    """Batches, sorted by their first column, cut anew so that each has whole groups of it."""
+    held, size = [], 0
     for b in batches:
-        new = tuple(np.asarray(b.column(i)) for i in range(3))
-        held.append(new)
-        if sum(len(x[0]) for x in held) > 1 << 16:
-            ctx, key, n = (np.concatenate(x) for x in zip(*held, strict=True))
-            end = int(np.searchsorted(ctx, ctx[-1]))
+        held.append(b)
+        size += b.nbytes
+        if size > GROUP_BYTES:
+            t = pa.Table.from_batches(held).combine_chunks()
+            key = np.asarray(t.column(0).combine_chunks())
+            end = int(np.searchsorted(key, key[-1]))
             if end:
-                yield key[:end].view(U), n[:end]
-            held = [(ctx[end:], key[end:], n[end:])]
-    if held:
-        ctx, key, n = (np.concatenate(x) for x in zip(*held, strict=True))
-        if len(key):
-            yield key.view(U), n
+                yield t.slice(0, end).combine_chunks().to_batches()[0]
+            held, size = t.slice(end).combine_chunks().to_batches(), 0 if end else size
+    t = pa.Table.from_batches(held).combine_chunks() if held else None
+    if t is not None and t.num_rows:
+        yield t.to_batches()[0]
+
+
+def listed(keys: np.ndarray, *values: np.ndarray) -> tuple[pa.Array, pa.Array, list[pa.Array]]:
+    """Nodes, sorted by context * 256 + prefix, as one row a context: the contexts, and lists of prefixes and of each of the values."""
+    ctx = keys >> U(8)
+    head = np.flatnonzero(np.concatenate([[True], ctx[1:] != ctx[:-1]])) if len(ctx) else np.zeros(0, np.int64)
+    bounds = pa.array(np.append(head, len(ctx)).astype(np.int32))
+    lists = [pa.ListArray.from_arrays(bounds, pa.array(x)) for x in ((keys & U(255)).astype(np.int16), *values)]
+    return signed(ctx[head]), lists[0], lists[1:]
+
+
+NODES = "ctx long, prefix array<smallint>, a array<double>, b array<double>, w array<double>"
+SHARES = "ctx long, prefix array<smallint>, zero array<double>, rest array<double>"
+
+
+def _flat_nodes(b: pa.RecordBatch, *names: str) -> tuple[np.ndarray, ...]:
+    """The row of each node, its prefix, and the named lists' values."""
+    bounds, prefix = flat(b.column("prefix"))
+    return np.repeat(np.arange(b.num_rows), np.diff(bounds)), prefix.astype(np.int64), *(flat(b.column(x))[1] for x in names)
+
+
+def _dealt(df: DataFrame, depth: int) -> DataFrame:
+    """The rows, dealt and sorted by their context's last `depth` bytes, which come first as `to`."""
+    to = F.col("ctx").bitwiseAND((1 << 8 * depth) - 1)
+    return df.select(to.alias("to"), *df.columns).repartition("to").sortWithinPartitions("to")
+
+
+def _shorter(nodes: DataFrame, depth: int) -> DataFrame:
+    """The nodes of the contexts of `depth` bytes, from those of one more."""
+
+    def of(batches):
+        for b in whole_groups(batches):
+            row, prefix, a, z, w = _flat_nodes(b, "a", "b", "w")
+            keys, at = np.unique(np.asarray(b.column("to")).view(U)[row] * U(256) + prefix.astype(U), return_inverse=True)
+            a, z, longer = (np.bincount(at, x, minlength=len(keys)) for x in (a, z, w))
+            ctx, prefixes, lists = listed(keys, a, z, joined_prob(log_kt(a, z), longer))
+            yield pa.record_batch([ctx, prefixes, *lists], ["ctx", "prefix", "a", "b", "w"])
 
+    return _dealt(nodes.select("ctx", "prefix", "a", "b", "w"), depth).mapInArrow(of, NODES)
 
-def gram_scores(total: DataFrame) -> DataFrame:
+
+def _own_shares(prefix: np.ndarray, row: np.ndarray, a: np.ndarray, b: np.ndarray, w: np.ndarray, zero: np.ndarray, rest: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    q = stop_share(a, b, w)
+    return zero + rest * q * (a + 0.5) / (a + b + 1), rest * (1 - q)
+
+
+def _given(b: pa.RecordBatch, row: np.ndarray, prefix: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """What the shorter context of each node's row gives to its prefix, and leaves."""
+    bounds, known = flat(b.column("of_prefix"))
+    keys = np.repeat(np.arange(b.num_rows), np.diff(bounds)) * 256 + known
+    at = np.searchsorted(keys, row * 256 + prefix)
+    return flat(b.column("zero"))[1][at], flat(b.column("rest"))[1][at]
+
+
+def _longer(nodes: DataFrame, shares: DataFrame, depth: int) -> DataFrame:
+    """The nodes' rows with what the contexts of a byte less give them; `depth` is that of the nodes."""
+    of = shares.select(F.col("ctx").alias("to"), F.col("prefix").alias("of_prefix"), "zero", "rest")
+    return nodes.withColumn("to", F.col("ctx").bitwiseAND((1 << 8 * (depth - 1)) - 1)).join(of, "to")
+
+
+def gram_scores(total: DataFrame, scratch: Scratch) -> DataFrame:
     """(kind, key, n, lp): the gram counts with each gram's log10 probability."""
-    ctx = F.shiftright("key", 8).bitwiseAND(65535)
-    dealt = total.filter(F.col("kind") == GRAM).select(ctx.alias("ctx"), "key", "n").repartition("ctx").sortWithinPartitions("ctx")
+    most = DEPTH - 1
+    ctx = F.shiftright("key", 8).bitwiseAND((1 << 8 * most) - 1)
+    grams_of = total.filter(F.col("kind") == GRAM).select(ctx.alias("ctx"), "key", "n")
+
+    def deepest(batches):
+        for b in whole_groups(batches):
+            g, n = np.asarray(b.column("key")).view(U), np.asarray(b.column("n"))
+            each = np.asarray(b.column("ctx"))
+            deep = Deep(g, n)
+            ctx, prefixes, lists = listed(deep.keys, deep.a, deep.b, deep.w)
+            bounds = pa.array(np.append(np.flatnonzero(np.concatenate([[True], each[1:] != each[:-1]])), len(each)).astype(np.int32))
+            yield pa.record_batch([ctx, prefixes, *lists, pa.ListArray.from_arrays(bounds, signed(g)), pa.ListArray.from_arrays(bounds, pa.array(n))], ["ctx", "prefix", "a", "b", "w", "key", "n"])
+
+    levels = {most: scratch.table("nodes", _dealt(grams_of, most).mapInArrow(deepest, NODES + ", key array<long>, n array<long>"))}
+    for d in range(most - 1, 1, -1):
+        levels[d] = scratch.table("nodes", _shorter(levels[d + 1], d))
 
     def sums(batches):
-        for g, n in _by_context(batches):
-            t = Tree(g, n, 2)
-            lv = t.levels[2]
-            last, prefix = ((lv.keys >> U(8)) & U(255)).astype(np.int64), (lv.keys & U(255)).astype(np.int64)
-            cell, at = np.unique(last * 256 + prefix, return_inverse=True)
-            each = [np.bincount(at, x) for x in (lv.a, lv.b, t.log_w[2])]
-            yield pa.record_batch([pa.array(cell), *map(pa.array, each)], ["cell", "a", "b", "w"])
-
-    cells = dealt.mapInArrow(sums, "cell long, a double, b double, w double").groupBy("cell").agg(F.sum("a").alias("a"), F.sum("b").alias("b"), F.sum("w").alias("w")).collect()
+        for b in batches:
+            row, prefix, a, z, w = _flat_nodes(b, "a", "b", "w")
+            cell, at = np.unique((np.asarray(b.column("ctx"))[row] & 255) * 256 + prefix, return_inverse=True)
+            yield pa.record_batch([pa.array(cell), *(pa.array(np.bincount(at, x, minlength=len(cell))) for x in (a, z, w))], ["cell", "a", "b", "w"])
+
+    cells = levels[2].mapInArrow(sums, "cell long, a double, b double, w double").groupBy("cell").agg(F.sum("a"), F.sum("b"), F.sum("w")).collect()
     cell = np.array([r.cell for r in cells], np.int64)
     top = Top(cell >> 8, cell & 255, *(np.array([r[k] for r in cells], float) for k in (1, 2, 3)))
 
+    def first(batches):
+        for b in batches:
+            row, prefix, a, z, w = _flat_nodes(b, "a", "b", "w")
+            zero, rest = _own_shares(prefix, row, a, z, w, *top.shares(np.asarray(b.column("ctx"))[row] & 255, prefix))
+            bounds = pa.array(flat(b.column("prefix"))[0].astype(np.int32))
+            yield pa.record_batch([b.column("ctx"), b.column("prefix"), *(pa.ListArray.from_arrays(bounds, pa.array(x)) for x in (zero, rest))], ["ctx", "prefix", "zero", "rest"])
+
+    def further(batches):
+        for b in batches:
+            row, prefix, a, z, w = _flat_nodes(b, "a", "b", "w")
+            zero, rest = _own_shares(prefix, row, a, z, w, *_given(b, row, prefix))
+            bounds = pa.array(flat(b.column("prefix"))[0].astype(np.int32))
+            yield pa.record_batch([b.column("ctx"), b.column("prefix"), *(pa.ListArray.from_arrays(bounds, pa.array(x)) for x in (zero, rest))], ["ctx", "prefix", "zero", "rest"])
+
     def scored(batches):
-        for g, n in _by_context(batches):
-            t = Tree(g, n, 2)
-            last = np.repeat((g >> U(8) & U(255)).astype(np.int64), 8)
-            p = top.mixed(last, t.prefix, t.bit, t.predicted())
-            yield pa.record_batch([pa.array(np.full(len(g), GRAM, np.int32)), signed(g), pa.array(n), pa.array(np.log10(p).reshape(-1, 8).sum(1))], ["kind", "key", "n", "lp"])
+        for b in batches:
+            row, prefix, a, z, w = _flat_nodes(b, "a", "b", "w")
+            zero, rest = _own_shares(prefix, row, a, z, w, *_given(b, row, prefix))
+            g, n = flat(b.column("key"))[1].view(U), flat(b.column("n"))[1]
+            deep = Deep(g, n)
+            order = np.argsort(np.asarray(b.column("ctx")).view(U)[row] * U(256) + prefix.astype(U))
+            yield pa.record_batch([pa.array(np.full(len(g), GRAM, np.int32)), signed(g), pa.array(n), pa.array(deep.log10(zero[order], rest[order]))], ["kind", "key", "n", "lp"])
 
-    return dealt.mapInArrow(scored, "kind int, key long, n long, lp double")
+    shares = levels[2].mapInArrow(first, SHARES)
+    for d in range(3, most):
+        shares = _longer(levels[d], shares, d).mapInArrow(further, SHARES)
+    out = scratch.table("scores", _longer(levels[most], shares, most).mapInArrow(scored, "kind int, key long, n long, lp double"))
+    scratch.drop(*levels.values())
+    return out
 
 
 def head(rows: DataFrame, most: int) -> DataFrame:
@@ -323,10 +385,11 @@ def score(docs: DataFrame, folds: int = 10, id_col: str = "doc_id", text_col: st
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     held_out = fold_of(id_col, folds) == 0
     own = bounded(docs).select(F.col(id_col).cast("long").alias("doc_id"), held_out.alias("held_out"), text.alias("text"), F.xxhash64(F.col(id_col).cast("long"), text).alias("row"))
-    total = cut(counts(own.select((~F.col("held_out")).alias("train"), "text")))
+    scratch = Scratch(docs.sparkSession)
+    total = scratch.table("counts", counts(own.select((~F.col("held_out")).alias("train"), "text")))
     sums = total.filter(F.col("kind") == WORD).agg(F.sum("n").alias("n"), F.count("*").alias("v")).first()
     n, v = int(sums.n or 0), int(sums.v or 0)
-    lp = cut(gram_scores(total))
+    lp = gram_scores(total, scratch)
     vocabulary = total.filter(F.col("kind") == WORD)
     g = head(lp, head_grams).select("key", "lp").toArrow()
     w = head(vocabulary, head_words).select("key", "n").toArrow()
@@ -373,7 +436,7 @@ def score(docs: DataFrame, folds: int = 10, id_col: str = "doc_id", text_col: st
                 )
 
     kinds = "doc_id long, held_out boolean, row long, n_tokens long, n_known long, base_score double, score double, n_bytes long, tail array<struct<kind:int,key:long,times:long>>"
-    part = cut(own.select("doc_id", "held_out", "text", "row").mapInArrow(of, kinds))
+    part = scratch.table("texts", own.select("doc_id", "held_out", "text", "row").mapInArrow(of, kinds))
     # Equal rows have equal tails: their sums are divided by the number of such rows.
     same = part.groupBy("row").agg(F.count("*").alias("copies"))
     rest = part.select("row", F.explode("tail").alias("t")).select("row", "t.*")

@@ -93,7 +93,7 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Context-tree and unigram scores of every document, learned outside fold 0 of ten."""
     out = context_tree.score(table(spark, sf_dir, "documents"))
-    return out.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
+    return out.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "n_bytes", "bits_per_byte")
 
 
 @REGISTRY.query("op4_spaced_seed_decontamination")

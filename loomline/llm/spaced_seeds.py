@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomline.llm.common import LOWER, Scratch, U, bounded, buffers, mix, signed, word_hashes, words
+from loomline.llm.common import LOWER, Scratch, U, bounded, buffers, flat, mix, signed, word_hashes, words
 
 #: Masks of weight 6, each with its first and last token; items of fewer tokens than SPAN are looked up whole.
 SEEDS = ("10110111", "11101000101", "10000101111", "11011000011")
@@ -103,11 +103,6 @@ def _items(items: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return own.mapInArrow(of, "item_id long, n long, toks array<long>").filter(F.col("n") >= MIN_ITEM).withColumn("item", F.xxhash64("n", "toks"))
 
 
-def flat(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Offsets from zero and values of a list column without nulls."""
-    return np.asarray(col.offsets).astype(np.int64) - col.offsets[0].as_py(), np.asarray(col.flatten())
-
-
 def _benchmark(classes: DataFrame) -> DataFrame:
     """(h, item, at, n): every hash of every class of items, and its place."""
 

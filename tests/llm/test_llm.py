@@ -310,12 +310,54 @@ def test_context_tree_and_base(docs, rows, empty):
     assert context_tree.score(empty).count() == 0
 
 
-def test_context_tree_is_a_distribution():
-    g = np.array([int.from_bytes(bytes(x), "big") for x in ([1, 2, 3, 4, 5, b] for b in range(256))], np.uint64)
-    n = np.zeros(256, np.int64)
-    n[[65, 66, 66]] = [3, 9, 9]
-    p = context_tree.Tree(g, n, 0).predicted().reshape(-1, 8).prod(1)
-    assert p.sum() == pytest.approx(1) and p[66] > p[65] > p[67]
+def plain_tree(texts: list[bytes], scored: list[bytes], depth: int) -> list[float]:
+    """log10 probabilities of texts by a tree of dictionaries, written from the definition."""
+    bits = lambda b: [(1 << k | b >> (8 - k), b >> (7 - k) & 1) for k in range(8)]
+    padded = lambda t: b"\xff" * depth + t.lower() + b"\xff"
+    count: dict = collections.defaultdict(lambda: [0, 0])
+    longer: dict = collections.defaultdict(set)
+    for weight, group in ((1, texts), (0, scored)):
+        for t in map(padded, group):
+            for k in range(depth, len(t)):
+                for prefix, bit in bits(t[k]):
+                    for d in range(depth + 1):
+                        count[t[k - d : k], prefix][bit] += weight
+                        if d < depth:
+                            longer[t[k - d : k], prefix].add(t[k - d - 1 : k])
+    kt = lambda a, b: math.lgamma(a + 0.5) + math.lgamma(b + 0.5) - math.lgamma(a + b + 1) - math.log(math.pi)
+    weight: dict = {}
+
+    def log_w(c, prefix):
+        if (c, prefix) not in weight:
+            own = kt(*count[c, prefix])
+            weight[c, prefix] = own if len(c) == depth else math.log(0.5) + np.logaddexp(own, sum(log_w(x, prefix) for x in longer[c, prefix]))
+        return weight[c, prefix]
+
+    def predicted(t, k, prefix, bit):
+        p = None
+        for d in range(depth, -1, -1):
+            c = t[k - d : k]
+            n = count[c, prefix]
+            own = (n[bit] + 0.5) / (sum(n) + 1)
+            q = 1 if d == depth else math.exp(math.log(0.5) + kt(*n) - log_w(c, prefix))
+            p = q * own + (1 - q) * (p or 0)
+        return p
+
+    return [sum(math.log10(predicted(t, k, *x)) for k in range(depth, len(t)) for x in bits(t[k])) for t in map(padded, scored)]
+
+
+def test_context_tree_equals_a_plain_one(spark):
+    r = random.Random(3)
+    rows = [(i, "".join(r.choice(["the ", "an", "Th", "\n", "é", "on", " ", "x"]) for _ in range(r.randint(0, 40)))) for i in range(40)] + [(40, ""), (41, None), (None, "The  end"), (41, None)]
+    train = [(t or "").encode() for i, t in rows if zlib.crc32(("" if i is None else str(i)).encode()) % 10]
+    want = plain_tree(train, [(t or "").encode() for _, t in rows], context_tree.DEPTH)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for grams in (1 << 20, 3):
+        got = context_tree.score(df, head_grams=grams, head_words=grams).collect()
+        assert sorted((str(x.doc_id), round(x.score, 6)) for x in got) == sorted((str(i), round(s, 6)) for (i, _), s in zip(rows, want, strict=True))
+        assert all(x.bits_per_byte == pytest.approx(-x.score * math.log2(10) / x.n_bytes) for x in got)
+    scores = {x.doc_id: x.score for x in context_tree.score(spark.createDataFrame([(1, "a  b"), (2, "a b"), (3, "A b")], "doc_id long, text string")).collect()}
+    assert scores[1] != scores[2] == scores[3]
 
 
 def test_bpe_equals_the_library(docs, rows, empty):
