@@ -2,11 +2,13 @@
 
 A string of `length` bytes that starts anywhere else too is removed wherever it stands. Texts
 are cut at rolling-hash triggers into overlapping phrases; the parse lists the phrases of every
-text and the dictionary each distinct phrase once, with its count. Strings inside a phrase that
-the parse holds more than once are settled on the parse alone. For the others, the suffixes of
-dictionary phrases that follow a shared trigger are brought together by their first `length`
-bytes, which is all of the suffix order that equality to that depth needs; one copy of a phrase
-stands for all, so copied text costs next to nothing. See `repeats`.
+text and the dictionary each distinct phrase once, with its count. As neighbouring phrases overlap
+by length - 1 bytes, a string of that length lies whole in one phrase, so the corpus order of
+strings to this depth is that of the dictionary's suffixes, each as often as the parse has its
+phrase: the parse's own order beyond one phrase decides nothing. Equal strings follow equal triggers,
+so the suffix array is built for each trigger's phrases, by doubling prefixes to `length` bytes, and
+only where a trigger has several phrases; strings inside a phrase that the parse holds more than once
+are settled by its count. See `repeats`.
 
 Triggers are least hashes of a window, not residues of a modulus, so each string has one even
 in text of low entropy.

@@ -1,9 +1,10 @@
 """Exact substring de-duplication over words by Rabin-Karp window hashes.
 
 A window of `length` words whose sequence also starts in a document with a smaller id is
-removed; removed windows merge into maximal intervals. Every window is hashed; the counts are
-taken in Spark. Neighbouring windows that share their least inner gram hash are counted together
-as one phrase, and one by one only where phrases that share the gram differ: see `repeats`.
+removed; removed windows merge into maximal intervals. A rolling hash is taken of every window in
+its task. Runs of neighbouring windows that share their least inner gram are counted in Spark
+together, by a hash of all their windows' hashes; where two runs share the gram but differ, their
+windows are compared one by one: see `repeats`.
 
 Edge cases: null and empty texts, and those of fewer words, keep all; a null id is smaller than
 any other, and null ids aren't smaller than each other; rows that repeat an id don't remove

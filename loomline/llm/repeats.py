@@ -9,21 +9,23 @@ exactly, but only few are shuffled one by one:
 * Phrase: a run of neighbouring window starts that share their trigger, with the units that
   those windows cover. Neighbouring phrases overlap, so each window lies whole in one phrase.
 * Parse: the phrases of all texts in order, one row each: hash of the trigger, hash of the
-  phrase, text, place. About length / 2 windows share a row.
+  phrase, text, place. About length / 2 windows share a row. Equal phrases at equal steps in a
+  text, as text of a short period has, are one row with the step and their number.
 * Dictionary: the distinct phrases with their counts, by a partial aggregation; a phrase that
   half of the texts hold is still one row for each task.
 
 All windows of a phrase that occurs again occur again. Other windows can have an equal only in
 a different phrase of the same trigger. So the suffixes of distinct phrases are compared only
 where a trigger has several phrases, one copy of each phrase standing for all. The copies are
-dealt by trigger and their suffixes ordered in the task; a trigger with more than `CROWD`
-distinct phrases is not gathered: the windows of its phrases are counted in Spark one by one.
-Windows are compared by two independent 64-bit hashes, phrases by the hashes of trigger and
-phrase.
+dealt by trigger. In the task the suffixes of byte phrases are put in their order, to a depth of
+`length`, by doubling prefixes from 8 bytes on; those of equal rank are equal. Words are compared by
+the Rabin-Karp hashes of their windows. A trigger with more than `CROWD` distinct phrases is not
+gathered: the windows of its phrases are counted in Spark one by one, by two 64-bit hashes.
 
 No unbounded group of rows is gathered in one task: groups are counted by partial aggregation and
 joined back, which Spark splits where a key is frequent. What is collected in a row belongs to one
 text or one phrase. Rows are known by a 64-bit hash of id and text, so ids may be null or repeated.
+A text is held whole in its task, with about 100 bytes for each of its own.
 """
 
 from __future__ import annotations
@@ -62,7 +64,10 @@ class Windows:
         return word_hashes(buf, starts, ends), bounds
 
     def phrases(self, values: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, ...]:
-        """Of each phrase: text, start within it, number of windows, trigger hash, phrase hash."""
+        """Of each phrase: text, start within it, number of windows, trigger hash, phrase hash.
+
+        The phrase hash of words is one of the Rabin-Karp hashes of all its windows, in order.
+        """
         n = len(values) - self.length + 1
         none = np.zeros(0, np.int64)
         if n <= 0:
@@ -87,7 +92,10 @@ class Windows:
         count = np.flatnonzero(stop) + 1 - a
         trigger = at[a]
         two = Rolling(values, BASES[1])
-        whole = two.slices(a, a + count + self.length - 1)
+        if self.units == "words":
+            whole = Rolling(mix(two.windows(self.length)), BASES[0]).slices(a, a + count)
+        else:
+            whole = two.slices(a, a + count + self.length - 1)
         whole = mix(mix(whole) + (count * 4 * SPAN + (trigger - a)).astype(U))
         text = np.searchsorted(bounds, a, side="right") - 1
         return text, a - bounds[text], count, grams[trigger], whole
@@ -96,7 +104,25 @@ class Windows:
         return mix(Rolling(values, BASES[0]).windows(self.length)), mix(Rolling(values, BASES[1]).windows(self.length))
 
 
-PARSE = "trigger long, phrase long, key long, at long"
+PARSE = "trigger long, phrase long, key long, at long, more long"
+#: A row's step and number of phrases are packed as step * STEPS + number.
+STEPS = 1 << 32
+
+
+def stepped(text: np.ndarray, at: np.ndarray, trigger: np.ndarray, phrase: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The first of each run of equal phrases at equal steps in a text, and each run's packed step and number."""
+    if not len(text):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    order = np.lexsort((at, phrase, trigger, text))
+    t, a, g, p = text[order], at[order], trigger[order], phrase[order]
+    group = np.concatenate([[True], (t[1:] != t[:-1]) | (g[1:] != g[:-1]) | (p[1:] != p[:-1])])
+    step = np.concatenate([[0], np.diff(a)])
+    step[group] = np.iinfo(np.int64).max
+    head = np.flatnonzero(group)
+    least = np.repeat(np.minimum.reduceat(step, head), np.diff(np.append(head, len(t))))
+    first = np.flatnonzero(group | (step != least))
+    number = np.diff(np.append(first, len(t)))
+    return order[first], np.where(number > 1, least[first] * STEPS, 0) + number
 
 
 def parse(keyed: DataFrame, w: Windows, with_id: bool) -> DataFrame:
@@ -107,10 +133,11 @@ def parse(keyed: DataFrame, w: Windows, with_id: bool) -> DataFrame:
             ids, keys = (np.asarray(b.column(i)) for i in (0, 1))
             for i, _, buf, off in buffers(b.column(2)):
                 text, at, count, trigger, phrase = w.phrases(*w.values(buf, off))
-                cols = [signed(trigger), signed(phrase), pa.array(keys[i + text]), pa.array(at * SPAN + count)]
-                names = ["trigger", "phrase", "key", "at"]
+                first, more = stepped(text, at, trigger, phrase)
+                cols = [signed(trigger[first]), signed(phrase[first]), pa.array(keys[i + text[first]]), pa.array((at * SPAN + count)[first]), pa.array(more)]
+                names = ["trigger", "phrase", "key", "at", "more"]
                 if with_id:
-                    cols, names = [*cols, pa.array(ids[i + text])], [*names, "id"]
+                    cols, names = [*cols, pa.array(ids[i + text[first]])], [*names, "id"]
                 yield pa.record_batch(cols, names)
 
     return keyed.select("id", "key", "text").mapInArrow(of, PARSE + ", id long" * with_id)
@@ -151,28 +178,58 @@ def _copies(chosen: DataFrame, w: Windows) -> DataFrame:
 
 
 def _windows_of(b: pa.RecordBatch, w: Windows) -> tuple[np.ndarray, ...]:
-    """Of each window of the copies in a batch: (copy, offset, h1, h2)."""
+    """Of each window of the copies in a batch: (copy, offset, its place among the copies' units, those units)."""
     n = np.asarray(b.column("n")).astype(np.int64)
     raw = np.frombuffer(b"".join(b.column("body").to_pylist()), np.uint8)
-    values = raw.astype(U) + U(1) if w.units == "bytes" else raw.view(U)
     size = n + w.length - 1
-    first = np.cumsum(size) - size
-    h1, h2 = w.hashes(values)
     copy = np.repeat(np.arange(len(n)), n)
     step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-    place = first[copy] + step
+    return copy, step, (np.cumsum(size) - size)[copy] + step, raw if w.units == "bytes" else raw.view(U)
+
+
+def _hashed_windows(b: pa.RecordBatch, w: Windows) -> tuple[np.ndarray, ...]:
+    """Of each window of the copies in a batch: (copy, offset, h1, h2)."""
+    copy, step, place, values = _windows_of(b, w)
+    h1, h2 = w.hashes(values.astype(U) + U(1) if w.units == "bytes" else values)
     return copy, step, h1[place], h2[place]
 
 
+def suffix_ranks(raw: np.ndarray, length: int) -> np.ndarray:
+    """The rank of each string of `length` bytes among those of the sequence, in their order; equal strings have equal ranks.
+
+    Prefixes are doubled from 8 bytes on: the rank of a longer one is that of the ranks of its halves.
+    """
+    n = len(raw) - length + 1
+    if n <= 0:
+        return np.zeros(0, np.int64)
+    have = min(8, length)
+    rank = np.zeros(len(raw) - have + 1, U)
+    for k in range(have):
+        rank = rank << U(8) | raw[k : len(raw) - have + 1 + k]
+    rank = np.unique(rank, return_inverse=True)[1]
+    while have < length:
+        more = min(have, length - have)
+        rank = np.unique(rank[: len(rank) - more].astype(U) << U(32) | rank[more:].astype(U), return_inverse=True)[1]
+        have += more
+    return rank
+
+
 def _ordered(copies: DataFrame, w: Windows, earlier: bool) -> DataFrame:
     """(trigger, phrase, low, offs) of the copies' windows that count, by ordering a trigger's suffixes in the task."""
 
     def judged(batch: pa.RecordBatch) -> pa.RecordBatch:
-        copy, step, h1, h2 = _windows_of(batch, w)
         low = np.asarray(batch.column("low"))
-        order = np.lexsort((h2, h1))
-        new = np.ones(len(order), bool)
-        new[1:] = (h1[order][1:] != h1[order][:-1]) | (h2[order][1:] != h2[order][:-1])
+        if w.units == "bytes":
+            copy, step, place, raw = _windows_of(batch, w)
+            rank = suffix_ranks(raw, w.length)[place]
+            order = np.argsort(rank, kind="stable")
+            new = np.ones(len(order), bool)
+            new[1:] = rank[order][1:] != rank[order][:-1]
+        else:
+            copy, step, h1, h2 = _hashed_windows(batch, w)
+            order = np.lexsort((h2, h1))
+            new = np.ones(len(order), bool)
+            new[1:] = (h1[order][1:] != h1[order][:-1]) | (h2[order][1:] != h2[order][:-1])
         head = np.flatnonzero(new)
         group = np.cumsum(new) - 1
         own = low[copy[order]]
@@ -220,7 +277,7 @@ def _counted(copies: DataFrame, w: Windows, earlier: bool) -> DataFrame:
         for b in batches:
             for a in range(0, b.num_rows, 1024):
                 part = b.slice(a, 1024)
-                copy, step, h1, h2 = _windows_of(part, w)
+                copy, step, h1, h2 = _hashed_windows(part, w)
                 each = [np.asarray(part.column(i))[copy] for i in range(3)]
                 yield pa.record_batch(
                     [signed(h1), signed(h2), *map(pa.array, each), pa.array(step.astype(np.int32))], ["h1", "h2", "trigger", "phrase", "low", "off"]
@@ -240,8 +297,9 @@ def repeated(docs: DataFrame, w: Windows, earlier: bool, id_col: str = "doc_id",
     """(id, text, marks): of each text, the windows that occur again.
 
     earlier: only windows that also start in a text with a smaller id count; else those that
-    start anywhere else, in the same text too. marks: array of (at, offs), for a phrase of
-    at % SPAN windows from at // SPAN on; offs, where not null, has those of its windows that count.
+    start anywhere else, in the same text too. marks: array of (at, more, offs), for a phrase of
+    at % SPAN windows from at // SPAN on, and more % STEPS - 1 others like it at steps of more // STEPS;
+    offs, where not null, has those of its windows that count.
     A null id is smaller than all others.
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
@@ -251,7 +309,7 @@ def repeated(docs: DataFrame, w: Windows, earlier: bool, id_col: str = "doc_id",
     # moves the texts and the parse once for all uses.
     rows = parse(keyed, w, earlier).filter("trigger is not null and phrase is not null")
     sums = [F.first("key").alias("key"), F.first("at").alias("at")]
-    sums += [F.min("id").alias("low"), F.max("id").alias("high")] if earlier else [F.count("*").alias("n")]
+    sums += [F.min("id").alias("low"), F.max("id").alias("high")] if earlier else [F.sum(F.col("more").bitwiseAND(STEPS - 1)).alias("n")]
     entry = rows.groupBy("trigger", "phrase").agg(*sums)
     entry = entry.filter("key is not null and at is not null and " + ("low is not null and high is not null" if earlier else "n > 0"))
     again: Column = F.col("low") < F.col("high") if earlier else F.col("n") > 1
@@ -270,7 +328,7 @@ def repeated(docs: DataFrame, w: Windows, earlier: bool, id_col: str = "doc_id",
     met = rows.join(hits, ["trigger", "phrase"])
     if earlier:
         met = met.filter("(offs is null and id > low) or (offs is not null and id = low)")
-    marks = met.groupBy("key").agg(F.collect_list(F.struct("at", "offs")).alias("marks"))
+    marks = met.groupBy("key").agg(F.collect_list(F.struct("at", "more", "offs")).alias("marks"))
     return keyed.select("key", "own", "text").join(marks, "key", "left").select(F.col("own").alias("id"), "text", "marks")
 
 
@@ -278,21 +336,29 @@ def covered(marks: pa.Array, unit: np.ndarray, i: int, j: int, n: int, w: Window
     """Which of n units lie under a marked window; rows i to j of the batch, whose texts begin at `unit`."""
     if "bounds" not in cache:
         cache["bounds"], found = lists(marks)
-        cache["at"] = np.asarray(found.field(0)) if len(found) else np.zeros(0, np.int64)
-        offs = found.field(1) if len(found) else pa.array([], pa.list_(pa.int32()))
+        some = len(found) > 0
+        cache["at"], cache["more"] = (np.asarray(found.field(k)) if some else np.zeros(0, np.int64) for k in (0, 1))
+        offs = found.field(2) if some else pa.array([], pa.list_(pa.int32()))
         cache["null"] = np.asarray(offs.is_null())
         cache["offs"], each = lists(offs)
         cache["off"] = np.asarray(each).astype(np.int64)
-    bounds, at = cache["bounds"], cache["at"]
+    bounds, at, more = cache["bounds"], cache["at"], cache["more"]
     lo, hi = bounds[i], bounds[j]
     row = np.repeat(np.arange(j - i), np.diff(bounds[i : j + 1]))
     start, count = unit[row] + at[lo:hi] // SPAN, at[lo:hi] % SPAN
+    step, number = more[lo:hi] // STEPS, more[lo:hi] % STEPS
     full = cache["null"][lo:hi]
     edge = np.zeros(n + 1, np.int64)
-    np.add.at(edge, start[full], 1)
-    np.add.at(edge, start[full] + count[full] + w.length - 1, -1)
+
+    def mark(first: np.ndarray, size: np.ndarray | int, steps: np.ndarray, times: np.ndarray) -> None:
+        """Marks `size` units from `first` on, and as often again at the steps."""
+        k = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+        begin = np.repeat(first, times) + k * np.repeat(steps, times)
+        np.add.at(edge, begin, 1)
+        np.add.at(edge, begin + (np.repeat(size, times) if isinstance(size, np.ndarray) else size), -1)
+
+    mark(start[full], count[full] + w.length - 1, step[full], number[full])
     each = np.diff(cache["offs"][lo : hi + 1])
     one = np.repeat(start, each) + cache["off"][cache["offs"][lo] : cache["offs"][hi]]
-    np.add.at(edge, one, 1)
-    np.add.at(edge, one + w.length, -1)
+    mark(one, w.length, np.repeat(step, each), np.repeat(number, each))
     return np.cumsum(edge[:n]) > 0

@@ -468,6 +468,29 @@ def test_byte_windows(docs, rows, empty, crowd, monkeypatch):
     assert prefix_free.remove_repeats(empty, n).count() == 0
 
 
+def test_suffix_ranks_are_those_of_sorting():
+    r = random.Random(1)
+    for length in (1, 5, 8, 13, 200):
+        raw = bytes(r.choice(b"ab") for _ in range(900)) + b"ab" * 300
+        want = [raw[k : k + length] for k in range(len(raw) - length + 1)]
+        place = {x: k for k, x in enumerate(sorted(set(want)))}
+        assert repeats.suffix_ranks(np.frombuffer(raw, np.uint8), length).tolist() == [place[x] for x in want]
+
+
+def test_periodic_text_is_few_rows(spark):
+    texts = ["a" * 100_000, "ab" * 20_000, "x" + "ab" * 500 + "y", "abc" * 3000 + prose(1, 100), prose(1, 100), "-" * 150]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    keyed = docs.selectExpr("doc_id as id", "doc_id as key", "text")
+    assert repeats.parse(keyed, repeats.Windows("bytes", 200, 32), False).count() < 200
+    starts = collections.Counter(t[k : k + 200] for t in texts for k in range(len(t) - 199))
+    for r in prefix_free.remove_repeats(docs).select("doc_id", "n_removed").collect():
+        gone = bytearray(len(texts[r.doc_id]))
+        for k in range(len(gone) - 199):
+            if starts[texts[r.doc_id][k : k + 200]] > 1:
+                gone[k : k + 200] = b"\1" * 200
+        assert r.n_removed == sum(gone)
+
+
 def test_word_windows(docs, rows, empty):
     n = 50
     low: dict = {}
@@ -497,7 +520,7 @@ def test_crowded_triggers_give_the_same(docs, units):
 
     def marks(crowd):
         out = prefix_free.covered, repeats.repeated(docs, w, units == "words", crowd=crowd).collect()
-        return sorted(str((r.id, r.text, sorted((m.at, sorted(m.offs or [-1])) for m in r.marks or []))) for r in out[1])
+        return sorted(str((r.id, r.text, sorted((m.at, m.more, sorted(m.offs or [-1])) for m in r.marks or []))) for r in out[1])
 
     assert marks(1) == marks(1 << 20)
 
