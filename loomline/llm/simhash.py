@@ -387,7 +387,7 @@ def _signatures(own: DataFrame, shingle_words: int, bands: int, rows: int) -> Da
     return own.select("key", "text").mapInArrow(of, "key long, n long, same long, fp long, bands array<long>")
 
 
-def _similar(pairs: DataFrame, own: DataFrame, shingle_words: int, least: float, scratch: Scratch) -> DataFrame:
+def _similar(pairs: DataFrame, texts: DataFrame, shingle_words: int, least: float, scratch: Scratch) -> DataFrame:
     """The pairs (x, y) whose shingle sets have a Jaccard similarity of `least` or more: exact, on all shingles of both."""
 
     def of(batches):
@@ -409,13 +409,28 @@ def _similar(pairs: DataFrame, own: DataFrame, shingle_words: int, least: float,
                     keep[r] = both >= least * (len(s) + len(t) - both)
                 yield part.select(["x", "y"]).filter(pa.array(keep))
 
-    needed = pairs.select(F.explode(F.array("x", "y")).alias("key")).distinct()
-    texts = scratch.table("texts", own.join(needed, "key", "left_semi").dropDuplicates(["key"]))
     side = lambda i, s: texts.select(F.col("key").alias(i), F.col("text").alias(s))
     both = pairs.join(side("x", "s"), "x").join(side("y", "t"), "y").select("x", "y", "s", "t")
-    found = scratch.table("similar", both.mapInArrow(of, "x long, y long"))
-    scratch.drop(texts)
-    return found
+    return scratch.table("similar", both.mapInArrow(of, "x long, y long"))
+
+
+def _shared(texts: DataFrame, shingle_words: int) -> DataFrame:
+    """(x, alone): how many shingles of each text no other of these texts has."""
+
+    def of(batches):
+        for b in batches:
+            keys = np.asarray(b.column(0))
+            for i, sets in _shingle_sets(b.column(1), shingle_words):
+                own = np.repeat(keys[i : i + len(sets)], [len(x) for x in sets])
+                yield pa.record_batch([pa.array(own), signed(np.concatenate([*sets, np.zeros(0, U)]))], ["x", "h"])
+
+    rows = texts.select("key", "text").mapInArrow(of, "x long, h long")
+    return rows.groupBy("h").agg(F.min("x").alias("x"), F.max("x").alias("other")).filter("x = other").groupBy("x").agg(F.count("*").alias("alone"))
+
+
+def _small(keys: DataFrame) -> DataFrame:
+    """The keys, to be broadcast if they are at most `MOST_SENT`."""
+    return F.broadcast(keys) if keys.count() <= MOST_SENT else keys
 
 
 def _roots(found: list[DataFrame], scratch: Scratch) -> DataFrame:
@@ -444,9 +459,13 @@ def similar_groups(
     `radius` bits, and those that share a band of min-hashes: at a similarity of 0.8 fingerprints
     of 64 bits differ in about ten, so they alone would find the closest pairs only.
 
-    A class is first compared with the least of those that it meets, then with the least of every
-    bucket and fingerprint it is in, and last with every other of its buckets, each time only where the
-    two aren't in one component yet. Texts without words are equal to each other.
+    The head of a bucket is the class that meets most others, over all its buckets: where copies were
+    made of one text, that text. A class is first compared with the head that meets most, then with
+    the heads of all its buckets and those of like fingerprint, and last with every other of its
+    buckets, each time only where the two aren't in one component yet. Before the last step shingles that
+    one text alone has are counted: a text with too many can't be similar to any other. What then is
+    left grows with the square of a group of texts that share nearly all and yet stay below `least`.
+    Texts without words are equal to each other.
     """
     scratch = Scratch(bounded(docs).sparkSession)
     own = docs.select(F.col(id_col).cast("long").alias("key"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
@@ -462,34 +481,49 @@ def similar_groups(
     alike = alike.unionByName(classes.join(nodes, "fp").filter("x != y").select("x", "y"))
 
     each = classes.filter("n > 0").select("x", "n", F.explode("bands").alias("h"))
-    shared = each.groupBy("h").agg(F.count("*").alias("c"), F.min(F.struct("x", "n")).alias("head")).filter("c > 1").select("h", "head")
-    crowd = scratch.table("crowd", each.join(shared, "h").select("h", "x", "n", F.col("head.x").alias("y"), F.col("head.n").alias("m")))
+    shared = each.groupBy("h").agg(F.count("*").alias("c")).filter("c > 1")
+    crowd = scratch.table("crowd", each.join(shared, "h").select("h", "x", "n", "c"))
+    met = crowd.groupBy("x").agg(F.sum("c").alias("met"))
+    heads = crowd.join(met, "x").groupBy("h").agg(F.max(F.struct("met", (-F.col("x")).alias("least"), "x", "n")).alias("head"))
+    headed = crowd.join(heads, "h").select("x", "n", F.col("head.x").alias("y"), F.col("head.n").alias("m"), F.col("head.met").alias("met"))
     fits = F.least("n", "m") >= least * F.greatest("n", "m") - 1e-9  # else the sets can't be similar
-    stars = scratch.table("stars", crowd.filter("x != y").filter(fits).select("x", "y").unionByName(alike).distinct())
+    drawn = headed.filter("x != y").filter(fits).groupBy("x", "y").agg(F.max("met").alias("met"))
+    drawn = drawn.unionByName(alike.select("x", "y", F.lit(0).cast("long").alias("met")))
+    ordered = drawn.select(F.greatest("x", "y").alias("x"), F.least("x", "y").alias("y"), "met", F.col("x").alias("own"))
+    stars = scratch.table("stars", ordered)
+    needed = crowd.select("x").unionByName(stars.select("x")).unionByName(stars.select(F.col("y").alias("x"))).distinct()
+    texts = own.join(_small(scratch.table("needed", needed.withColumnRenamed("x", "key"))), "key", "left_semi").groupBy("key").agg(F.first("text").alias("text"))
+    texts = scratch.table("texts", texts)
     scratch.drop(classes, nodes)
 
-    first = stars.groupBy("x").agg(F.min("y").alias("y"))
-    found = [_similar(first, own, shingle_words, least, scratch)]
+    best = stars.groupBy("own").agg(F.max(F.struct("met", "x", "y")).alias("best"))
+    first = scratch.table("first", best.select("best.x", "best.y").distinct())
+    found = [_similar(first, texts, shingle_words, least, scratch)]
     roots = _roots(found, scratch)
-    second = scratch.table("second", _between(stars.join(first, ["x", "y"], "left_anti"), roots))
-    found.append(_similar(second, own, shingle_words, least, scratch))
-    scratch.drop(second, roots)
+    second = scratch.table("second", _between(stars.select("x", "y").distinct().join(first, ["x", "y"], "left_anti"), roots))
+    found.append(_similar(second, texts, shingle_words, least, scratch))
+    scratch.drop(second, first, roots)
     roots = _roots(found, scratch)
 
     named = crowd.select("h", "x", "n").join(roots.withColumnRenamed("key", "x"), "x", "left").withColumn("root", F.coalesce("root", "x"))
     parted = named.groupBy("h").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("h")
     left = scratch.table("open", named.join(parted, "h"))
-    other = left.select("h", F.col("x").alias("y"), F.col("n").alias("m"), F.col("root").alias("of"))
-    rest = left.join(other, "h").filter((F.col("x") > F.col("y")) & (F.col("root") != F.col("of"))).filter(fits)
+    alone = _shared(texts.join(left.select(F.col("x").alias("key")).distinct(), "key", "left_semi"), shingle_words)
+    left = left.join(alone, "x", "left").withColumn("most", F.col("n") - F.coalesce("alone", F.lit(0))).filter(F.col("most") >= least * F.col("n") - 1e-9)
+    left = scratch.table("left", left.select("h", "x", "n", "root", "most"))
+    other = left.select("h", F.col("x").alias("y"), F.col("n").alias("m"), F.col("root").alias("of"), F.col("most").alias("most_y"))
+    both = F.least("most", "most_y")  # so many shingles can be common at most
+    rest = left.join(other, "h").filter((F.col("x") > F.col("y")) & (F.col("root") != F.col("of")) & (both >= least * (F.col("n") + F.col("m") - both) - 1e-9))
     rest = scratch.table("rest", rest.select("x", "y").distinct().join(stars, ["x", "y"], "left_anti"))
-    scratch.drop(crowd, left, stars)
-    found.append(_similar(rest, own, shingle_words, least, scratch))
-    scratch.drop(rest, roots)
+    scratch.drop_all_but(members, texts, rest, *found, roots)
+    found.append(_similar(rest, texts, shingle_words, least, scratch))
+    scratch.drop(rest, roots, texts)
     roots = _roots(found, scratch)
 
-    every = members.join(roots.withColumnRenamed("key", "x"), "x", "left").select("key", F.coalesce("root", "x").alias("group"))
-    several = every.groupBy("group").agg(F.count("*").alias("c")).filter("c > 1").select("group")
-    out = scratch.table("groups", every.join(several, "group").select("key", "group"))
+    of_class = members.groupBy("x").agg(F.count("*").alias("c")).join(roots.withColumnRenamed("key", "x"), "x", "left")
+    group = F.coalesce("root", "x")
+    several = of_class.filter("c > 1 or root is not null").select("x", group.alias("group"))
+    out = scratch.table("groups", members.join(several, "x").select("key", "group"))
     scratch.drop_all_but(out)
     return out
 
@@ -511,9 +545,8 @@ def one_of_each(docs: DataFrame, shingle_words: int = 5, least: float = 0.8) ->
     stays = ids.groupBy("group").agg(F.min(order).alias("first")).select("group", F.col("first.key").alias("stay"), F.col("first.c").alias("c"))
     gone = cut(each.join(stays.select("group", "stay"), "group").filter("key != stay").select(F.col("key").alias(key)))
     twice = cut(stays.filter("c > 1").select(F.col("stay").alias(key)))
-    small = lambda df: F.broadcast(df) if df.count() <= MOST_SENT else df
-    kept = keyed.join(small(gone), key, "left_anti")
+    kept = keyed.join(_small(gone), key, "left_anti")
     if twice.isEmpty():
         return kept.select(docs.columns)
-    again = kept.join(small(twice), key, "left_semi").dropDuplicates([key])
-    return kept.join(small(twice), key, "left_anti").unionByName(again).select(docs.columns)
+    again = kept.join(_small(twice), key, "left_semi").dropDuplicates([key])
+    return kept.join(_small(twice), key, "left_anti").unionByName(again).select(docs.columns)
