@@ -44,14 +44,22 @@ def defect_kinds(audit: DataFrame) -> DataFrame:
 
 
 def fingerprint(ids: DataFrame) -> DataFrame:
-    """12 hex digits that tell a set of ids: a hash of the hashes of its buckets.
+    """12 hex digits that tell a set of ids, whatever their order: the root of a tree of hashes."""
+    hashes = ids.select(F.sha2(F.col("id").cast("string"), 256).alias("hash")).distinct()
+    return hash_tree(hashes).select(F.substring("root", 1, 12).alias("fingerprint"))
 
-    Ids are sorted in 4,096 buckets, so no task holds them all.
+
+def hash_tree(hashes: DataFrame) -> DataFrame:
+    """(root): one hash of all hex hashes in `hash`, repeats included: each level hashes what a bucket holds, in order.
+
+    The lowest level has 16 million buckets, by the first six digits; an inner node has 4,096 children at most.
     """
-    text = F.col("id").cast("string")
-    bucket = F.substring(F.sha2(text, 256), 1, 3)
-    parts = ids.select(text.alias("id"), bucket.alias("b")).distinct().groupBy("b").agg(F.sha2(F.array_join(F.sort_array(F.collect_list("id")), "\n"), 256).alias("h"))
-    return parts.agg(F.substring(F.sha2(F.array_join(F.sort_array(F.collect_list(F.concat("b", "h"))), "\n"), 256), 1, 12).alias("fingerprint"))
+    joined = lambda rows: F.sha2(F.array_join(F.transform(F.sort_array(rows), lambda x: x["hash"]), ""), 256)
+    out = hashes.select(F.col("hash").alias("at"), "hash")
+    for n in (6, 3, 0):
+        held = F.collect_list(F.struct("at", "hash"))
+        out = out.select(F.substring("at", 1, n).alias("to"), "at", "hash").groupBy("to").agg(joined(held).alias("hash")).withColumnRenamed("to", "at")
+    return out.select(F.col("hash").alias("root"))
 
 
 def reconcile(expected: DataFrame, found: DataFrame) -> DataFrame:

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from loomline.operators.exclusions import hash_tree
+
 #: The statuses in which each action is refused, and those in which it may be done.
 REFUSED = {"cancel": ("delivered", "processed"), "return": ("pending", "processed")}
 ALLOWED = {"cancel": "pending", "modify": "pending", "return": "delivered", "exchange": "delivered"}
@@ -47,19 +49,36 @@ def status_refusals(orders: DataFrame, action: str) -> DataFrame:
 
 
 def foreign_orders(users: DataFrame, orders: DataFrame, seed: str = "foreign") -> DataFrame:
-    """(user_id, order_id): one order of another user for each user, without pairing all.
+    """(user_id, order_id): for each user the first order, in the order of hashes after the user's own, that another user has.
 
-    Users and orders are dealt into the same hash buckets; each user takes the order of its bucket
-    whose hash comes next to the user's own.
+    After the greatest hash comes the least again; null where no other user has an order. Users aren't
+    paired with orders: both are put in 65,536 ranges of the hash. A range's first order and the first
+    after it of another owner stand for it to the ranges before; windows span a range, or these two
+    orders of all ranges.
     """
-    buckets = 4096
     key = lambda c: F.sha2(F.concat(F.lit(f"{seed}/"), F.col(c).cast("string")), 256)
-    bucket = lambda h: F.conv(F.substring(h, 1, 3), 16, 10).cast("int") % buckets
-    firsts = orders.withColumn("_h", key("order_id")).withColumn("_b", bucket(F.col("_h")))
-    two = firsts.groupBy("_b").agg(F.min_by(F.struct("order_id", "user_id"), "_h").alias("a"), F.max_by(F.struct("order_id", "user_id"), "_h").alias("z"))
-    u = users.withColumn("_b", bucket(key("user_id")))
-    pick = F.when(F.col("a.user_id") != F.col("user_id"), F.col("a.order_id")).when(F.col("z.user_id") != F.col("user_id"), F.col("z.order_id"))
-    return u.join(two, "_b").select("user_id", pick.alias("order_id")).filter("order_id is not null")
+    back = lambda part: W.partitionBy(part).orderBy(F.desc("at"))
+    order = F.struct("order_id", "owner")
+
+    def with_next(df: DataFrame, part: str) -> DataFrame:
+        """Orders in sequence `at` with `nxt`, the first after them of another owner; windows run from the end."""
+        run = df.withColumn("_run", F.when(~F.lead("owner").over(back(part)).eqNullSafe(F.col("owner")), order))
+        return run.withColumn("nxt", F.last("_run", True).over(back(part).rowsBetween(W.unboundedPreceding, -1))).drop("_run")
+
+    o = orders.select(key("order_id").alias("at"), "order_id", F.col("user_id").alias("owner")).withColumn("b", F.substring("at", 1, 4))
+    own = with_next(o, "b").groupBy("b").agg(F.min_by(F.struct(order.alias("o"), "nxt"), "at").alias("f"))
+    two = own.select("b", F.posexplode(F.array("f.o", "f.nxt")).alias("k", "o")).filter("o is not null")
+    ring = two.unionByName(two.withColumn("b", F.concat(F.lit("g"), "b"))).select(F.concat("b", F.col("k").cast("string")).alias("at"), "o.order_id", "o.owner", F.lit(0).alias("all"))
+    ring = with_next(ring, "all").select("at", "all", F.struct(order.alias("o"), "nxt").alias("f"))
+    every = orders.sparkSession.range(1 << 16).select(F.lower(F.lpad(F.hex("id"), 4, "0")).alias("b"))
+    spine = every.select(F.concat("b", F.lit("~")).alias("at"), F.lit(0).alias("all"), F.lit(None).cast(ring.schema["f"].dataType).alias("f")).unionByName(ring)
+    ahead = spine.withColumn("f", F.coalesce("f", F.last("f", True).over(back("all").rowsBetween(W.unboundedPreceding, -1)))).filter("at like '____~'")
+    carried = ahead.select(F.substring("at", 1, 4).alias("b"), F.posexplode(F.array("f.o", "f.nxt")).alias("k", "o")).filter("o is not null")
+    seq = o.unionByName(carried.select(F.concat(F.lit("~"), F.col("k").cast("string")).alias("at"), "o.order_id", "o.owner", "b"))
+    u = users.select(key("user_id").alias("at"), F.lit(None).cast("string").alias("order_id"), F.lit(None).cast("long").alias("owner"), F.col("user_id").alias("user_id")).withColumn("b", F.substring("at", 1, 4))
+    both = with_next(seq, "b").withColumn("f", F.struct(order.alias("o"), "nxt")).unionByName(u, allowMissingColumns=True)
+    met = both.withColumn("f", F.last("f", True).over(back("b").rowsBetween(W.unboundedPreceding, -1))).filter("user_id is not null")
+    return met.select("user_id", F.when(F.col("f.o.owner") != F.col("user_id"), F.col("f.o.order_id")).otherwise(F.col("f.nxt.order_id")).alias("order_id"))
 
 
 def refund_totals(items: DataFrame, n: int = 2) -> DataFrame:
@@ -125,6 +144,5 @@ def record_hashes(df: DataFrame, key: str, cols: tuple[str, ...]) -> DataFrame:
 
 
 def state_hash(hashes: DataFrame) -> DataFrame:
-    """One hash of all records' hashes, in buckets, whatever their order."""
-    parts = hashes.groupBy(F.substring("hash", 1, 2).alias("b")).agg(F.sha2(F.array_join(F.sort_array(F.collect_list("hash")), ""), 256).alias("h"))
-    return parts.agg(F.sha2(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("b", "h"))), lambda x: x["h"]), ""), 256).alias("state_hash"))
+    """One hash of all records' hashes, whatever their order: the root of a tree whose nodes are bounded."""
+    return hash_tree(hashes).withColumnRenamed("root", "state_hash")

@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 
+MOST_THEMES = 100_000
+
+
 def hash_key(seed: str | int, *ids: str) -> Column:
     """A sort key that any engine with SHA-256 gives."""
     return F.sha2(F.concat_ws("/", F.lit(str(seed)), *(F.col(i).cast("string") for i in ids)), 256)
@@ -17,6 +20,22 @@ def uniform(seed: str | int, *ids: str) -> Column:
     return F.conv(F.substring(hash_key(seed, *ids), 1, 8), 16, 10).cast("double") / 4294967295.0
 
 
+def ranked(df: DataFrame, strata: tuple[str, ...], id_col: str, seed: str | int, rank: str = "_r", size: str = "_n") -> DataFrame:
+    """The rows with their rank, from 1, in their stratum by the hash of their id, and the stratum's size.
+
+    Ranks come from counts by ranges of the hash: a task sorts one of 4,096 ranges of a stratum, and the
+    counts before it are sums over at most as many rows. Null strata are strata like others.
+    """
+    key = F.struct(*strata)
+    keyed = df.withColumns({"_s": F.xxhash64(F.to_json(key)), "_h": hash_key(seed, id_col)}).withColumn("_b", F.substring("_h", 1, 3))
+    each = keyed.groupBy("_s", "_b").agg(F.count("*").alias("_m"))
+    w = W.partitionBy("_s")
+    before = F.coalesce(F.sum("_m").over(w.orderBy("_b").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    starts = each.withColumns({"_start": before, size: F.sum("_m").over(w)}).drop("_m")
+    place = F.row_number().over(W.partitionBy("_s", "_b").orderBy("_h", id_col))
+    return keyed.withColumn("_p", place).join(starts, ["_s", "_b"]).withColumn(rank, F.col("_start") + F.col("_p")).drop("_s", "_h", "_b", "_p", "_start")
+
+
 def per_stratum(df: DataFrame, strata: tuple[str, ...], id_col: str, n: Column | int, seed: str | int = 42) -> DataFrame:
     """The n rows of least hash in each stratum."""
     r = F.row_number().over(W.partitionBy(*strata).orderBy(hash_key(seed, id_col), id_col))
@@ -33,26 +52,26 @@ def review_sample(df: DataFrame, flagged: DataFrame, strata: tuple[str, ...], id
 
 def fraction(df: DataFrame, strata: tuple[str, ...], id_col: str, share: Column | float, seed: str | int = 0) -> DataFrame:
     """floor(share * n + 1e-9) rows of each stratum, share held to 0..1."""
-    w = W.partitionBy(*strata)
-    keep = F.floor(F.least(F.greatest(F.lit(share) if isinstance(share, float) else share, F.lit(0.0)), F.lit(1.0)) * F.count("*").over(w) + 1e-9)
-    r = F.row_number().over(w.orderBy(hash_key(seed, id_col), id_col))
-    return df.withColumns({"_r": r, "_k": keep}).filter("_r <= _k").drop("_r", "_k")
+    keep = F.floor(F.least(F.greatest(F.lit(share) if isinstance(share, float) else share, F.lit(0.0)), F.lit(1.0)) * F.col("_n") + 1e-9)
+    return ranked(df, strata, id_col, seed).filter(F.col("_r") <= keep).select(df.columns)
 
 
 def mixture(df: DataFrame, mix: dict[str, float], id_col: str = "id", seed: int = 0) -> DataFrame:
     """A downsample whose category shares are `mix`, taking themes in turn within a category.
 
     A row's place in its category's turns follows from its rank in its theme and the sizes of the
-    category's themes, so no window spans a category.
+    category's themes, so no window spans a category. The themes' sizes are broadcast; more than
+    `MOST_THEMES` of them are an error.
     """
     share = F.create_map(*(F.lit(x) for kv in mix.items() for x in kv))
     known = df.filter(F.col("category").isin(*mix))
     sizes = known.groupBy("category", "theme").agg(F.count("*").alias("n"))
+    if sizes.limit(MOST_THEMES + 1).count() > MOST_THEMES:
+        raise ValueError(f"more than {MOST_THEMES} themes")
     cats = sizes.groupBy("category").agg(F.sum("n").alias("avail"), F.collect_list(F.struct("theme", "n")).alias("themes"))
     budget = F.min(F.col("avail") / share[F.col("category")]).over(W.partitionBy())
     cats = cats.withColumn("target", F.bround(budget * share[F.col("category")]))
-    r = F.row_number().over(W.partitionBy("category", "theme").orderBy(hash_key(seed, id_col), id_col))
-    placed = known.withColumn("_r", r).join(F.broadcast(cats), "category")
+    placed = ranked(known, ("category", "theme"), id_col, seed).join(F.broadcast(cats), "category")
     before = F.aggregate(
         "themes", F.lit(0).cast("long"), lambda a, t: a + F.least(t["n"], F.col("_r") - 1) + F.when((t["theme"] <= F.col("theme")) & (t["n"] >= F.col("_r")), 1).otherwise(0)
     )
@@ -61,12 +80,21 @@ def mixture(df: DataFrame, mix: dict[str, float], id_col: str = "id", seed: int
 
 def split(df: DataFrame, strata: tuple[str, ...], id_col: str, val: float, seed: int = 0) -> DataFrame:
     """The rows with `part`: round(n * val) of each stratum for validation, one at least and n - 1 at most where n > 1."""
-    w = W.partitionBy(*strata)
-    n = F.count("*").over(w)
+    n = F.col("_n")
     want = F.bround(n * val).cast("long")
     target = F.when(F.lit(val) <= 0, 0).when(n >= 2, F.least(F.greatest(want, F.lit(1)), n - 1)).otherwise(want)
-    r = F.row_number().over(w.orderBy(hash_key(seed, id_col), id_col))
-    return df.withColumns({"_t": target, "_r": r}).withColumn("part", F.when(F.col("_r") <= F.col("_t"), "val").otherwise("train")).drop("_t", "_r")
+    return ranked(df, strata, id_col, seed).withColumn("part", F.when(F.col("_r") <= target, "val").otherwise("train")).select(*df.columns, "part")
+
+
+def holdout(df: DataFrame, id_col: str, n: int, seed: int = 0) -> DataFrame:
+    """The rows with `held_out`: exactly n of them, or all there are, chosen by the hash of their id before anything else."""
+    return ranked(df.withColumn("_all", F.lit(0)), ("_all",), id_col, seed).withColumn("held_out", F.col("_r") <= n).select(*df.columns, "held_out")
+
+
+def top(df: DataFrame, key: str, order: str, k: int) -> DataFrame:
+    """(key, n): the k most frequent values; of equals the one seen first, by the least `order`."""
+    g = df.groupBy(key).agg(F.count("*").alias("n"), F.min(order).alias("_first"))
+    return g.orderBy(F.desc("n"), "_first", key).limit(k).select(key, "n")
 
 
 def is_val_user(user: str, share: float = 0.15) -> Column:
@@ -78,7 +106,7 @@ def quota(df: DataFrame, weights: dict[str, float], size: int, key: str, id_col:
     """round(size * weight / sum of weights) rows of each template, or all it has."""
     total = sum(weights.values())
     n = F.create_map(*(F.lit(x) for k, v in weights.items() for x in (k, round(size * v / total))))[F.col(key)]
-    return per_stratum(df.filter(F.col(key).isin(*weights)), (key,), id_col, n, seed)
+    return ranked(df.filter(F.col(key).isin(*weights)), (key,), id_col, seed).filter(F.col("_r") <= n).select(df.columns)
 
 
 def prefilter(classed: DataFrame, keep_dead: float = 0.2, keep_solved: float = 0.0, drop_flat_other: bool = False, id_col: str = "id", seed: int = 0) -> DataFrame:

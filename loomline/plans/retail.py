@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from loomline.operators import retail as r
-from loomline.registry import CORE
+from loomline.registry import CORE, tree_sql
 from loomline.sources import bind
 
 RO, RI = bind.RETAIL_ORDERS, bind.RETAIL_ITEMS
@@ -44,13 +44,12 @@ def status_refusal_candidates(spark, d):
 
 
 _K = lambda c: f"sha256('foreign/' || cast({c} as varchar))"
-_B = lambda c: f"left({_K(c)}, 3)"
 
 
 @CORE.query(
     "foreign_order_candidates",
-    f"""with t as (select {_B('order_id')} as b, arg_min((order_id, user_id), {_K('order_id')}) as a, arg_max((order_id, user_id), {_K('order_id')}) as z from {RO} o group by 1)
-    select * from (select c_custkey as user_id, case when a[2] <> c_custkey then a[1] when z[2] <> c_custkey then z[1] end as order_id from customer join t on t.b = {_B('c_custkey')}) x where order_id is not null""",
+    f"""with u as (select c_custkey as user_id, {_K('c_custkey')} as uh from customer), o as (select order_id, user_id as owner, {_K('order_id')} as oh from {RO} x)
+    select user_id, coalesce(arg_min(order_id, oh) filter (where oh > uh), arg_min(order_id, oh)) as order_id from u join o on owner <> user_id group by 1""",
 )
 def foreign_order_candidates(spark, d):
     return r.foreign_orders(bind.table(spark, d, "customer").select(F.col("c_custkey").alias("user_id")), bind.retail_orders(spark, d))
@@ -119,10 +118,6 @@ def state_overlay(spark, d):
     return r.overlay(o, delta, "order_id").groupBy("status").agg(F.count("*").alias("n"))
 
 
-@CORE.query(
-    "end_state_hash",
-    f"""with h as (select sha256(order_id || '|' || status) as hash from {RO} o), p as (select left(hash, 2) as b, sha256(string_agg(hash, '' order by hash)) as h from h group by 1)
-    select sha256(string_agg(h, '' order by b)) as state_hash from p""",
-)
+@CORE.query("end_state_hash", f"""select root as state_hash from {tree_sql(f"select sha256(order_id || '|' || status) as hash from {RO} o")}""")
 def end_state_hash(spark, d):
     return r.state_hash(r.record_hashes(bind.retail_orders(spark, d), "order_id", ("order_id", "status")))

@@ -8,7 +8,7 @@ from loomline.operators import exclusions as ex
 from loomline.operators import selection as sel
 from loomline.plans.analytics import _CLASS, _REC, _records
 from loomline.functions import predicates as P
-from loomline.registry import CORE
+from loomline.registry import CORE, tree_sql
 from loomline.sources import bind
 
 SC, LA = bind.SCENARIOS, bind.LABEL_AUDIT
@@ -173,23 +173,30 @@ def defect_kinds(spark, d):
     return ex.defect_kinds(bind.label_audit(spark, d))
 
 
-@CORE.query(
-    "exclusion_fingerprint",
-    f"""with p as (select left(sha256(cast(id as varchar)), 3) as b, sha256(string_agg(cast(id as varchar), chr(10) order by cast(id as varchar))) as h from (select distinct id from {FL} f where excluded) e group by 1)
-    select left(sha256(string_agg(b || h, chr(10) order by b || h)), 12) as fingerprint from p""",
-)
+@CORE.query("exclusion_fingerprint", f"""select left(root, 12) as fingerprint from {tree_sql(f"select distinct sha256(cast(id as varchar)) as hash from {FL} f where excluded")} t""")
 def exclusion_fingerprint(spark, d):
     return ex.fingerprint(_flagged(spark, d).filter("excluded"))
 
 
 @CORE.query(
     "reconcile_ids",
-    """with f as (select item_id * 3 as id, count(*) as n from benchmark group by 1), e as (select doc_id as id from documents where doc_id < 60)
-    select * from (select coalesce(e.id, f.id) as id, case when n is null then 'missing' when e.id is null then 'unknown' when n > 1 then 'duplicate' end as problem from e full join f on e.id = f.id) where problem is not null""",
+    """with f as (select doc_id as id, count(*) as n from labels group by 1 union all select item_id * 3 - 1, count(*) + 1 from benchmark group by 1), e as (select doc_id as id from documents), g as (select id, sum(n) as n from f group by 1)
+    select * from (select coalesce(e.id, g.id) as id, case when n is null then 'missing' when e.id is null then 'unknown' when n > 1 then 'duplicate' end as problem from e full join g on e.id = g.id) where problem is not null""",
 )
 def reconcile_ids(spark, d):
-    expected = bind.table(spark, d, "documents").filter("doc_id < 60").select(F.col("doc_id").alias("id"))
-    return ex.reconcile(expected, bind.table(spark, d, "benchmark").select((F.col("item_id") * 3).alias("id")))
+    b = bind.table(spark, d, "benchmark").select((F.col("item_id") * 3 - 1).alias("id"))
+    found = bind.table(spark, d, "labels").select(F.col("doc_id").alias("id")).unionByName(b).unionByName(b.distinct())
+    return ex.reconcile(bind.table(spark, d, "documents").select(F.col("doc_id").alias("id")), found)
+
+
+@CORE.query("holdout_exact", f"select order_id, row_number() over (order by {_H(0, 'order_id')}, order_id) <= 100 as held_out from {bind.RETAIL_ORDERS} o")
+def holdout_exact(spark, d):
+    return sel.holdout(bind.retail_orders(spark, d), "order_id", 100).select("order_id", "held_out")
+
+
+@CORE.query("top_products", f"select product as value, count(*) as n from {bind.RETAIL_ITEMS} i group by 1 order by n desc, min(order_id), 1 limit 10")
+def top_products(spark, d):
+    return sel.top(bind.retail_items(spark, d), "product", "order_id", 10).withColumnRenamed("product", "value")
 
 
 @CORE.query(

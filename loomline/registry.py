@@ -28,4 +28,10 @@ class Registry:
         return add
 
 
+def tree_sql(hashes: str) -> str:
+    """SQL of the root of the hash tree over the rows of a query with a column `hash`."""
+    return f"""(with l1 as (select left(hash, 6) as node, sha256(string_agg(hash, '' order by hash)) as h from ({hashes}) x group by 1),
+      l2 as (select left(node, 3) as node, sha256(string_agg(h, '' order by node)) as h from l1 group by 1) select sha256(string_agg(h, '' order by node)) as root from l2)"""
+
+
 CORE = Registry()
