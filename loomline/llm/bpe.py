@@ -32,17 +32,18 @@ from itertools import accumulate, chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomline.llm.common import bounded
+from loomline.llm.common import bounded, trimmed
 
 LEAF = 4096
 LONG_RUN = 4096
 RUN_LEAF = 1024
-REMEMBERED = 1 << 18
-BATCH_CHARS = 1 << 21
+REMEMBERED, AT_ONCE = 1 << 17, 1 << 13
+BATCH_BYTES = 1 << 20
 
 #: Fixed value: the pre-token pattern of the byte-level vocabulary.
 PATTERN = regex.compile(
@@ -64,22 +65,18 @@ class Codec:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer, pre_tokenizers
 
-        self.whole = Tokenizer.from_file(path)
-        self.whole.no_truncation()
-        self.whole.no_padding()
-        self.piece, self.lines = Tokenizer.from_file(path), Tokenizer.from_file(path)
-        unsplit = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
-        for t, pre in ((self.piece, unsplit), (self.lines, pre_tokenizers.Sequence([pre_tokenizers.Split("\n", "isolated"), unsplit]))):
-            t.no_truncation()
-            t.no_padding()
-            t.encode_special_tokens = True
-            t.pre_tokenizer = pre
-        added = {t.content: i for i, t in self.whole.get_added_tokens_decoder().items()}
+        self.model = Tokenizer.from_file(path)
+        self.model.no_truncation()
+        self.model.no_padding()
+        self.model.encode_special_tokens = True
+        self.unsplit = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.by_line = pre_tokenizers.Sequence([pre_tokenizers.Split("\n", "isolated"), self.unsplit])
+        added = {t.content: i for i, t in self.model.get_added_tokens_decoder().items()}
         self.added = added
         self.control = regex.compile("(" + "|".join(map(regex.escape, sorted(added, key=len, reverse=True))) + ")") if added else None
         self.leaf, self.long_run, self.run_leaf = leaf, long_run, run_leaf
         letters = byte_letters()
-        vocabulary = self.whole.get_vocab(with_added_tokens=True)
+        vocabulary = self.model.get_vocab(with_added_tokens=True)
         self.bytes_of = [b""] * (max(vocabulary.values(), default=-1) + 1)
         for t, i in vocabulary.items():
             self.bytes_of[i] = bytes(letters[c] for c in t) if all(c in letters for c in t) else t.encode()
@@ -136,7 +133,8 @@ class Codec:
     # --- tokens of a pre-token that is long -----------------------------------------------
 
     def _encoded(self, texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.piece.encode_batch_fast(texts, add_special_tokens=False)] if texts else []
+        self.model.pre_tokenizer = self.unsplit
+        return [e.ids for e in self.model.encode_batch_fast(texts, add_special_tokens=False)] if texts else []
 
     def _text(self, ids: list[int]) -> str | None:
         try:
@@ -188,8 +186,11 @@ class Codec:
         for w in odd:
             ids = [self.added[w]] if w in self.added else self.run(w)
             self.decimal[w], self.raw[w] = ",".join([self.numerals[i] for i in ids]), self.joined(ids)
-        if plain := list(new.difference(odd)):
-            ids = self.lines.encode_batch_fast(["\n".join(plain)], add_special_tokens=False)[0].ids
+        self.model.pre_tokenizer = self.by_line
+        every = list(new.difference(odd))
+        for a in range(0, len(every), AT_ONCE):
+            plain = every[a : a + AT_ONCE]
+            ids = self.model.encode_batch_fast(["\n".join(plain)], add_special_tokens=False)[0].ids
             decimal = ",".join(map(self.numerals.__getitem__, ids)).split(f",{self.line_end},")
             self.decimal.update(zip(plain, decimal, strict=True))
             self.raw.update(zip(plain, b"".join(map(self.bytes_of.__getitem__, ids)).split(b"\n"), strict=True))
@@ -221,20 +222,20 @@ class Codec:
 
 
 def _groups(col: pa.Array):
-    texts = [x or "" for x in col.to_pylist()]
-    i = 0
-    while i < len(texts):
-        j, n = i, 0
-        while j < len(texts) and (j == i or n + len(texts[j]) <= BATCH_CHARS):
-            n += len(texts[j])
-            j += 1
-        yield i, j, texts[i:j]
-        i = j
+    """Runs of texts of about `BATCH_BYTES`: (first row, end row, texts)."""
+    end = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(col), 0)).astype(np.int64))
+    i, before = 0, 0
+    while i < len(col):
+        j = max(int(np.searchsorted(end, before + BATCH_BYTES, side="right")), i + 1)
+        yield i, j, [x or "" for x in col.slice(i, j - i).to_pylist()]
+        i, before = j, int(end[j - 1])
 
 
 def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, ids array<int>)"""
 
+    @trimmed
+
     def of(batches):
         codec = Codec(path)
         for b in batches:
@@ -247,6 +248,8 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
 def decode(coded: DataFrame, path: str) -> DataFrame:
     """(doc_id, text) of (doc_id, ids)"""
 
+    @trimmed
+
     def of(batches):
         codec = Codec(path)
         for b in batches:
@@ -260,6 +263,8 @@ def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
     """(doc_id, n_tokens, ids_sha256, decoded_sha256): encoded and decoded in one pass, without moving the ids."""
     digest = lambda s: hashlib.sha256(s).hexdigest()
 
+    @trimmed
+
     def of(batches):
         codec = Codec(path)
         for b in batches:

@@ -6,6 +6,8 @@ words, windows and their hashes are found with numpy, never character by charact
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import os
 import tempfile
 import uuid
@@ -85,6 +87,23 @@ def delete(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def trimmed(of):
+    """A map over Arrow batches that gives freed memory back to the system at its end; workers live on between tasks."""
+
+    @functools.wraps(of)
+    def run(batches):
+        try:
+            yield from of(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL(None).malloc_trim(0)
+            except (AttributeError, OSError):  # not glibc
+                pass
+
+    return run
+
+
 def unused(columns: list[str], *names: str) -> list[str]:
     """Names for columns that a table with these columns lacks, whatever their case."""
     have, out = {c.lower() for c in columns}, []

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomline.llm.common import LOWER, Scratch, U, bounded, buffers, flat, fold_of, signed, word_hashes, words
+from loomline.llm.common import bounded, buffers, flat, fold_of, LOWER, Scratch, signed, trimmed, U, word_hashes, words
 
 DEPTH = 5
 HEAD_GRAMS = 1 << 20
@@ -128,6 +128,8 @@ def _summed(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.
 def counts(docs: DataFrame) -> DataFrame:
     """(kind, key, n): training counts of all grams and training words of (train boolean, text)."""
 
+    @trimmed
+
     def of(batches):
         held: dict[int, list] = {GRAM: [], WORD: []}
 
@@ -265,6 +267,8 @@ def _dealt(df: DataFrame, depth: int) -> DataFrame:
 def _shorter(nodes: DataFrame, depth: int) -> DataFrame:
     """The nodes of the contexts of `depth` bytes, from those of one more."""
 
+    @trimmed
+
     def of(batches):
         for b in whole_groups(batches):
             row, prefix, a, z, w = _flat_nodes(b, "a", "b", "w")
@@ -301,6 +305,8 @@ def gram_scores(total: DataFrame, scratch: Scratch) -> DataFrame:
     ctx = F.shiftright("key", 8).bitwiseAND((1 << 8 * most) - 1)
     grams_of = total.filter(F.col("kind") == GRAM).select(ctx.alias("ctx"), "key", "n")
 
+    @trimmed
+
     def deepest(batches):
         for b in whole_groups(batches):
             g, n = np.asarray(b.column("key")).view(U), np.asarray(b.column("n"))
@@ -314,6 +320,8 @@ def gram_scores(total: DataFrame, scratch: Scratch) -> DataFrame:
     for d in range(most - 1, 1, -1):
         levels[d] = scratch.table("nodes", _shorter(levels[d + 1], d))
 
+    @trimmed
+
     def sums(batches):
         for b in batches:
             row, prefix, a, z, w = _flat_nodes(b, "a", "b", "w")
@@ -324,6 +332,8 @@ def gram_scores(total: DataFrame, scratch: Scratch) -> DataFrame:
     cell = np.array([r.cell for r in cells], np.int64)
     top = Top(cell >> 8, cell & 255, *(np.array([r[k] for r in cells], float) for k in (1, 2, 3)))
 
+    @trimmed
+
     def first(batches):
         for b in batches:
             row, prefix, a, z, w = _flat_nodes(b, "a", "b", "w")
@@ -331,6 +341,8 @@ def gram_scores(total: DataFrame, scratch: Scratch) -> DataFrame:
             bounds = pa.array(flat(b.column("prefix"))[0].astype(np.int32))
             yield pa.record_batch([b.column("ctx"), b.column("prefix"), *(pa.ListArray.from_arrays(bounds, pa.array(x)) for x in (zero, rest))], ["ctx", "prefix", "zero", "rest"])
 
+    @trimmed
+
     def further(batches):
         for b in batches:
             row, prefix, a, z, w = _flat_nodes(b, "a", "b", "w")
@@ -338,6 +350,8 @@ def gram_scores(total: DataFrame, scratch: Scratch) -> DataFrame:
             bounds = pa.array(flat(b.column("prefix"))[0].astype(np.int32))
             yield pa.record_batch([b.column("ctx"), b.column("prefix"), *(pa.ListArray.from_arrays(bounds, pa.array(x)) for x in (zero, rest))], ["ctx", "prefix", "zero", "rest"])
 
+    @trimmed
+
     def scored(batches):
         for b in batches:
             row, prefix, a, z, w = _flat_nodes(b, "a", "b", "w")
@@ -396,6 +410,8 @@ def score(docs: DataFrame, folds: int = 10, id_col: str = "doc_id", text_col: st
     model = Model(Table(np.asarray(g["key"]).view(U), np.asarray(g["lp"])), Table(np.asarray(w["key"]).view(U), np.asarray(w["n"]).astype(float)), n, v)
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
+    @trimmed
+
     def of(batches):
         m = sent.value
         for b in batches:

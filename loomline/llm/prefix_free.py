@@ -26,7 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from loomline.llm.common import buffers
+from loomline.llm.common import buffers, trimmed
 from loomline.llm.repeats import Windows, covered, repeated
 
 GRAM = 32
@@ -36,6 +36,8 @@ def remove_repeats(docs: DataFrame, length: int = 200, id_col: str = "doc_id", t
     """(doc_id, n_bytes, n_removed, n_spans, kept binary, kept_sha256, spans array of [start, end))."""
     w = Windows("bytes", length, min(GRAM, length))
 
+    @trimmed
+
     def of(batches):
         for b in batches:
             cache: dict = {}

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomline.llm.common import LOWER, U, bounded, buffers, fold_of, word_hashes, words
+from loomline.llm.common import bounded, buffers, fold_of, LOWER, trimmed, U, word_hashes, words
 
 BUCKETS = 1 << 12
 FACTORS = 8
@@ -191,6 +191,8 @@ def learn(docs: DataFrame, labels: DataFrame, column: str = "quality", sample: i
     """A machine fitted to a bounded sample of the labelled rows whose fold isn't 0."""
     chosen = _sample(labels, column, sample, folds)
 
+    @trimmed
+
     def of(batches):
         for b in batches:
             for i, j, buf, off in buffers(b.column(2)):
@@ -224,6 +226,8 @@ def score(docs: DataFrame, machine: Machine, id_col: str = "doc_id", text_col: s
     """(doc_id, score) of every text."""
     sent = docs.sparkSession.sparkContext.broadcast(machine)
 
+    @trimmed
+
     def of(batches):
         m = sent.value
         for b in batches:
@@ -238,6 +242,8 @@ def keep(docs: DataFrame, machine: Machine, least: float) -> DataFrame:
     sent = docs.sparkSession.sparkContext.broadcast(machine)
     at = docs.columns.index("text")
 
+    @trimmed
+
     def of(batches):
         m = sent.value
         for b in batches:

@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from loomline.llm.common import buffers, words
+from loomline.llm.common import buffers, words, trimmed
 from loomline.llm.repeats import Windows, covered, repeated
 
 GRAM = 16
@@ -29,6 +29,8 @@ def remove_repeats(docs: DataFrame, length: int = 50, id_col: str = "doc_id", te
     """(doc_id, n_words, n_removed, kept string, kept_sha256, intervals array of [start, end) in words)."""
     w = Windows("words", length, min(GRAM, length))
 
+    @trimmed
+
     def of(batches):
         for b in batches:
             cache: dict = {}

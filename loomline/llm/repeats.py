@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomline.llm.common import BASES, U, Rolling, bounded, buffers, mix, signed, sliding_min, word_hashes, words
+from loomline.llm.common import BASES, bounded, buffers, mix, Rolling, signed, sliding_min, trimmed, U, word_hashes, words
 
 CROWD = 4096
 CHUNK_UNITS = 1 << 18
@@ -128,6 +128,8 @@ def stepped(text: np.ndarray, at: np.ndarray, trigger: np.ndarray, phrase: np.nd
 def parse(keyed: DataFrame, w: Windows, with_id: bool) -> DataFrame:
     """The phrases of every text, with the text's id if asked for."""
 
+    @trimmed
+
     def of(batches):
         for b in batches:
             ids, keys = (np.asarray(b.column(i)) for i in (0, 1))
@@ -155,6 +157,8 @@ COPIES = "trigger long, phrase long, low long, n int, body binary"
 def _copies(chosen: DataFrame, w: Windows) -> DataFrame:
     """One copy of each of the chosen phrases: the numbers of its units."""
 
+    @trimmed
+
     def of(batches):
         for b in batches:
             bounds, found = lists(b.column(1))
@@ -243,6 +247,8 @@ def _ordered(copies: DataFrame, w: Windows, earlier: bool) -> DataFrame:
         out = pa.record_batch([batch.column("trigger"), batch.column("phrase"), batch.column("low"), offs], ["trigger", "phrase", "low", "offs"])
         return out.filter(pa.array(np.diff(bounds) > 0))
 
+    @trimmed
+
     def of(batches):
         held: list[pa.RecordBatch] = []
         units = 0
@@ -273,6 +279,8 @@ def _ordered(copies: DataFrame, w: Windows, earlier: bool) -> DataFrame:
 def _counted(copies: DataFrame, w: Windows, earlier: bool) -> DataFrame:
     """The same by counting every window in Spark, for triggers with many phrases."""
 
+    @trimmed
+
     def of(batches):
         for b in batches:
             for a in range(0, b.num_rows, 1024):

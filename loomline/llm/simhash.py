@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomline.llm.common import BASES, LOWER, Rolling, Scratch, U, bounded, buffers, cut, mix, signed, unused, word_hashes, words
+from loomline.llm.common import BASES, bounded, buffers, cut, LOWER, mix, Rolling, Scratch, signed, trimmed, U, unused, word_hashes, words
 
 BITS = 64
 BUCKET_CAP = 128
@@ -84,6 +84,8 @@ def _majority(h: np.ndarray, bounds: np.ndarray) -> np.ndarray:
 def fingerprints(docs: DataFrame, shingle_words: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, fp long): the fingerprint of each text's word shingles."""
 
+    @trimmed
+
     def of(batches):
         for b in batches:
             col, ids = b.column(1), b.column(0)
@@ -106,6 +108,8 @@ def fingerprints(docs: DataFrame, shingle_words: int = 5, id_col: str = "doc_id"
 def _bit_table(fps: DataFrame) -> np.ndarray:
     """How many fingerprints have bits i and j set, for all i and j: 4,096 sums."""
 
+    @trimmed
+
     def of(batches):
         total = np.zeros((BITS, BITS), np.int64)
         for b in batches:
@@ -159,6 +163,8 @@ def _block_histograms(fps: DataFrame, parts: list[list[int]]) -> list[list[np.nd
     """For each part, of each block of 8 bits: how often it has each of its values."""
     flat = [b for p in parts for b in _blocks(p)]
 
+    @trimmed
+
     def of(batches):
         total = np.zeros((len(flat), 256), np.int64)
         for b in batches:
@@ -259,6 +265,8 @@ def links(nodes: DataFrame, radius: int = 2, bucket_cap: int = BUCKET_CAP) -> Da
     parts = bit_parts(_bit_table(nodes), n, 2 if n >= TWO_PARTS_FROM else 3)
     allot = Allotment(parts, _block_histograms(nodes, parts), n, radius)
 
+    @trimmed
+
     def of(batches):
         for b in batches:
             x = np.asarray(b.column(0)).view(U)
@@ -373,6 +381,8 @@ def band_hashes(sets: list[np.ndarray], bands: int, rows: int) -> np.ndarray:
 def _signatures(own: DataFrame, shingle_words: int, bands: int, rows: int) -> DataFrame:
     """(key, n, same, fp, bands): of each text's shingle set the size, the hash, the fingerprint and the bands' hashes."""
 
+    @trimmed
+
     def of(batches):
         for b in batches:
             for i, sets in _shingle_sets(b.column(1), shingle_words):
@@ -390,6 +400,8 @@ def _signatures(own: DataFrame, shingle_words: int, bands: int, rows: int) -> Da
 def _similar(pairs: DataFrame, texts: DataFrame, shingle_words: int, least: float, scratch: Scratch) -> DataFrame:
     """The pairs (x, y) whose shingle sets have a Jaccard similarity of `least` or more: exact, on all shingles of both."""
 
+    @trimmed
+
     def of(batches):
         for b in batches:
             size = sum(np.asarray(pa.compute.fill_null(pa.compute.binary_length(b.column(k)), 0)).astype(np.int64) for k in (2, 3))
@@ -417,6 +429,8 @@ def _similar(pairs: DataFrame, texts: DataFrame, shingle_words: int, least: floa
 def _shared(texts: DataFrame, shingle_words: int) -> DataFrame:
     """(x, alone): how many shingles of each text no other of these texts has."""
 
+    @trimmed
+
     def of(batches):
         for b in batches:
             keys = np.asarray(b.column(0))

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomline.llm.common import LOWER, Scratch, U, bounded, buffers, flat, mix, signed, word_hashes, words
+from loomline.llm.common import bounded, buffers, flat, LOWER, mix, Scratch, signed, trimmed, U, word_hashes, words
 
 #: Masks of weight 6, each with its first and last token; items of fewer tokens than SPAN are looked up whole.
 SEEDS = ("10110111", "11101000101", "10000101111", "11011000011")
@@ -92,6 +92,8 @@ def whole_runs(h: np.ndarray, unit: np.ndarray, size: int) -> tuple[np.ndarray,
 def _items(items: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(item_id, n, toks, item): the tokens of every item, and a hash of them."""
 
+    @trimmed
+
     def of(batches):
         for b in batches:
             for i, j, buf, off in buffers(b.column(1)):
@@ -106,6 +108,8 @@ def _items(items: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def _benchmark(classes: DataFrame) -> DataFrame:
     """(h, item, at, n): every hash of every class of items, and its place."""
 
+    @trimmed
+
     def of(batches):
         for b in batches:
             unit, h = flat(b.column(1))
@@ -170,6 +174,8 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     shorts = sorted(r.n for r in bench.filter(F.col("n") < SPAN).select("n").distinct().collect())
     sent = docs.sparkSession.sparkContext.broadcast(_bitmap(bench))
 
+    @trimmed
+
     def hits(batches):
         bitmap = sent.value
         for b in batches:
@@ -207,6 +213,8 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     one = stretches.groupBy("of").agg(F.first("toks").alias("toks"))
     faced = diagonals.join(one, "of").join(classes.select("item", F.col("toks").alias("facing")), "item")
 
+    @trimmed
+
     def verified(batches):
         for b in batches:
             (d_at, d), (i_at, t) = flat(b.column("toks")), flat(b.column("facing"))

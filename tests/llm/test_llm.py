@@ -12,6 +12,7 @@ import zlib
 
 import numpy as np
 import pytest
+import tokenizers
 from pyspark.sql import functions as F
 
 from loomline.llm import bpe, chat, context_tree, prefix_free, quality, queries, rabin_karp, repeats, rules, secrets, simhash, spaced_seeds, text_stats
@@ -362,20 +363,21 @@ def test_context_tree_equals_a_plain_one(spark):
 
 def test_bpe_equals_the_library(docs, rows, empty):
     path = queries.tokenizer_path()
-    codec = bpe.Codec(path, leaf=16, long_run=48, run_leaf=16)
+    codec, library = bpe.Codec(path, leaf=16, long_run=48, run_leaf=16), tokenizers.Tokenizer.from_file(path)
+    library.no_truncation(), library.no_padding()
     r = random.Random(2)
     parts = ["the", "ing", "é", "漢", "a", "  ", "12", "#", "\n", "zz", "🙂", "<|endoftext|>", " ", "'s", "'", "r", "e", "l", " '", "\u3000"]
     texts = ["".join(r.choice(parts) for _ in range(r.randint(0, 300))) for _ in range(400)]
     texts += ["a" * 5000, " " * 700, "漢字" * 900, "'re" * 300, "é" * 2001]
-    want = [codec.whole.encode(t, add_special_tokens=False).ids for t in texts]
+    want = [library.encode(t, add_special_tokens=False).ids for t in texts]
     assert [x.tolist() for x in codec.encode(texts)] == want and codec.joins > 1000
-    assert codec.decode(want) == [codec.whole.decode(x, skip_special_tokens=False) for x in want]
-    some = [[r.randrange(codec.whole.get_vocab_size()) for _ in range(r.randint(0, 30))] for _ in range(300)]
-    assert codec.decode(some) == codec.whole.decode_batch(some, skip_special_tokens=False)
+    assert codec.decode(want) == [library.decode(x, skip_special_tokens=False) for x in want]
+    some = [[r.randrange(library.get_vocab_size()) for _ in range(r.randint(0, 30))] for _ in range(300)]
+    assert codec.decode(some) == library.decode_batch(some, skip_special_tokens=False)
     got = sorted(map(str, (tuple(x) for x in bpe.round_trip(docs, path).collect())))
     exp = []
     for i, t in rows:
-        ids = codec.whole.encode(t or "", add_special_tokens=False).ids
+        ids = library.encode(t or "", add_special_tokens=False).ids
         exp.append(str((i, len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256((t or "").encode()).hexdigest())))
     assert got == sorted(exp)
     back = bpe.decode(bpe.encode(docs, path), path).collect()
@@ -384,11 +386,12 @@ def test_bpe_equals_the_library(docs, rows, empty):
 
 
 def test_bpe_joins_long_documents(spark, small):
-    codec = bpe.Codec(queries.tokenizer_path())
+    codec, library = bpe.Codec(queries.tokenizer_path()), tokenizers.Tokenizer.from_file(queries.tokenizer_path())
+    library.no_truncation(), library.no_padding()
     texts = [r.text for r in spark.read.parquet(f"{small}/documents.parquet").filter("length(text) > 4096").select("text").collect()]
     got = codec.encode(texts)
     assert codec.joins >= len(texts) > 20
-    assert [x.tolist() for x in got] == [x.ids for x in codec.whole.encode_batch(texts, add_special_tokens=False)]
+    assert [x.tolist() for x in got] == [x.ids for x in library.encode_batch(texts, add_special_tokens=False)]
 
 
 def test_secrets(spark, docs, empty):
