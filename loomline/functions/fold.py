@@ -36,19 +36,67 @@ def parsed(text: str) -> tuple[list[dict], bool]:
     return calls, False
 
 
+#: The words of JSON, for text inside an object.
+WORD = re.compile(r'\s*(?:(?P<text>"(?:[^"\\\x00-\x1f]|\\.)*")|(?P<mark>[{}\[\],:])|(?P<rest>-?\d[\d.eE+-]*|true|false|null))')
+
+
 def bare_call(text: str) -> bool:
-    """Whether a text holds an object with a name and arguments outside any block."""
-    if '"name"' not in (text or ""):
-        return False
-    decoder = json.JSONDecoder()
-    for m in re.finditer(r"\{", text):
-        try:
-            got, _ = decoder.raw_decode(text, m.start())
-        except ValueError:
+    """Whether a text holds a JSON object, nested or not, with a name and arguments or parameters, outside any block.
+
+    One pass with a stack of the objects and lists that are open. What isn't JSON closes all of them, and
+    the search for the next object goes on from there.
+    """
+    text, at = text or "", 0
+    open_: list[dict] = []
+    while True:
+        if not open_:
+            at = text.find("{", at)
+            if at < 0:
+                return False
+        m = WORD.match(text, at)
+        top = open_[-1] if open_ else None
+        if m is None or not _fits(top, m):
+            open_, at = [], at + (m is None or not open_)
             continue
-        if isinstance(got, dict) and isinstance(got.get("name"), str) and isinstance(got.get("arguments", got.get("parameters")), dict):
-            return True
-    return False
+        at = m.end()
+        mark = m["mark"]
+        if mark in ("{", "["):
+            open_.append({"list": mark == "[", "want": "value" if mark == "[" else "key", "empty": True})
+        elif mark in ("}", "]"):
+            done = open_.pop()
+            if done.get("name") and done.get("arguments"):
+                return True
+            if open_:
+                open_[-1]["want"] = "next"
+        elif mark == ",":
+            top["want"] = "value" if top["list"] else "key"
+        elif mark == ":":
+            top["want"] = "value"
+            top["arguments"] = top.get("arguments") or top["key"] in ('"arguments"', '"parameters"')
+        elif top["want"] == "key":
+            top.update(key=m["text"], want="colon", empty=False)
+        else:
+            if not top["list"] and top["key"] == '"name"':
+                top["name"] = m["text"] not in (None, '""')
+            top.update(want="next", empty=False)
+
+
+def _fits(top: dict | None, m: re.Match) -> bool:
+    """Whether a word may stand where the innermost open object or list is."""
+    mark = m["mark"]
+    if top is None:
+        return mark == "{"
+    want, closing = top["want"], "]" if top["list"] else "}"
+    if mark == closing:
+        return want == "next" or top["empty"]
+    if want == "next":
+        return mark == ","
+    if want == "colon":
+        return mark == ":"
+    if want == "key":
+        return m["text"] is not None
+    top["empty"] = False
+    return mark in (None, "{", "[")
 
 
 def consent(state: dict, slot: str, event: str) -> dict:

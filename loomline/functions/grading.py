@@ -83,23 +83,52 @@ def transfer(summary: Column) -> Column:
 
 
 def action_reward(c: dict[str, Column]) -> Column:
-    """The reward of a call against the expected one; the order of the branches is its meaning.
+    """The reward of a turn against the expected one; the order of the branches is its meaning.
 
-    c: pred_tool, gold_tool, known (the tool exists), schema_ok, gold_fails, pred_fails, similar (of
-    the errors), output_same, state_exact, state (share of the end state), args, mutates, summary.
+    c: pred_tool, gold_tool (null: no call), text (what was said), known (the tool exists), schema_ok,
+    gold_fails, pred_fails, same_error, similar (of the errors), output_same, output_decides (the tool's
+    output tells right from wrong), state_exact, state (share of the end state), args, mutates, summary.
     """
+    graded = lambda share: ARG_BASE + (1 - ARG_BASE) * share
+    none, said = c["pred_tool"].isNull(), F.coalesce(F.trim(F.regexp_replace(c["text"], r"\s", " ")), F.lit("-")) != ""
     return (
-        F.when(c["gold_tool"].isNull() & c["pred_tool"].isNull(), 1.0)
-        .when(c["gold_tool"].isNull() | c["pred_tool"].isNull(), 0.0)
-        .when(~c["known"], 0.0)
-        .when(c["pred_tool"] != c["gold_tool"], 0.0)
+        F.when(c["gold_tool"].isNull() & none, said.cast("double"))
+        .when(c["gold_tool"].isNull() | none | (c["pred_tool"] != c["gold_tool"]) | ~c["known"], 0.0)
         .when(~c["schema_ok"], FLOOR)
         .when(c["gold_tool"] == "transfer_to_human_agents", transfer(c["summary"]))
-        .when(c["gold_fails"], F.when(~c["pred_fails"], FLOOR).otherwise(ARG_BASE + (1 - ARG_BASE) * c["similar"]))
+        .when(c["gold_fails"] & ~c["pred_fails"], FLOOR)
+        .when(c["gold_fails"], F.when(c["same_error"], 1.0).otherwise(graded(c["similar"])))
         .when(c["pred_fails"], FLOOR)
-        .when(~c["mutates"], F.when(c["output_same"], 1.0).otherwise(ARG_BASE + (1 - ARG_BASE) * c["args"]))
+        .when(~c["mutates"] & c["output_decides"] & c["output_same"], 1.0)
+        .when(~c["mutates"], graded(c["args"]))
         .when(c["state_exact"], 1.0)
-        .otherwise(ARG_BASE + (1 - ARG_BASE) * c["state"])
+        .otherwise(graded(c["state"]))
+    )
+
+
+#: The fields of an order in which any difference makes another outcome, and what the rest is worth.
+CRITICAL = (
+    "status", "items", "exchange_items", "exchange_new_items", "exchange_payment_method_id", "return_items", "return_payment_method_id",
+    "payment_history", "address",
+)
+STATE_BASE, OTHER_REASON = 0.7, 0.5
+
+
+def state_match(pred: Column, gold: Column, same_target: Column, of_user: Column) -> Column:
+    """How close the record that a write left is to the expected one.
+
+    pred and gold are structs of the `CRITICAL` fields as text, cancel_reason and exchange_price_difference;
+    null where there is no such record. Another target, no record, or another critical field is 0; a user's
+    record has its address alone. The rest is 0.7, and 0.3 times the mean of the other fields' scores.
+    """
+    same = lambda names: F.forall(F.array(*(pred[n].eqNullSafe(gold[n]) for n in names)), lambda x: x)
+    reason = F.when(pred["cancel_reason"].eqNullSafe(gold["cancel_reason"]), 1.0).otherwise(OTHER_REASON)
+    difference = numeric(pred["exchange_price_difference"], gold["exchange_price_difference"])
+    return (
+        F.when(~same_target | pred.isNull() | gold.isNull(), 0.0)
+        .when(of_user, same(("address",)).cast("double"))
+        .when(~same(CRITICAL), 0.0)
+        .otherwise(STATE_BASE + (1 - STATE_BASE) * (reason + difference) / 2)
     )
 
 

@@ -19,17 +19,21 @@ def excerpt(text: Column, n: int = 300) -> Column:
     return F.when(F.length(t) <= n, t).otherwise(F.concat(F.rtrim(F.left(t, F.lit(n - 1))), F.lit("…")))
 
 
+#: Marks of headings, quotes, emphasis and lists, which aren't part of a sentence; and where sentences part.
+MARKS = r"(?m)\*\*|__|`|^#+\s*|^\s*>\s*"
+BULLETS = r"(?m)^\s*(?:[-*•]|\d+[.)])\s+"
+PARTS = r"(?<=[.!?])[\"'”’)]*\s+(?=[\"'“‘(]*[A-Z0-9#*])|\n+"
+
+
 def clean(text: Column) -> Column:
-    """Straight quotes and dashes, no markdown emphasis, no bullets."""
-    t = F.translate(text, "‘’“”–—", "''\"\"--")
-    t = F.regexp_replace(t, r"[*_`]+", "")
-    return F.regexp_replace(t, r"(?m)^[ \t]*(?:[-•]|\d+[.)])[ \t]+", "")
+    """Straight quotes and dashes, a long dash as two, no markdown marks, no bullets; ids keep their underscores."""
+    t = F.replace(F.translate(text, "‘’“”–", "''\"\"-"), F.lit("—"), F.lit(" -- "))
+    return F.regexp_replace(F.regexp_replace(t, MARKS, ""), BULLETS, "")
 
 
 def sentences(text: Column) -> Column:
-    """Sentences: after .!? with closers and before a capital, digit or mark; and at line ends."""
-    parts = F.split(text, r"(?<=[.!?])[\"')\]]*\s+(?=[A-Z0-9#*])|\n+")
-    return F.filter(F.transform(parts, F.trim), lambda s: s != "")
+    """Sentences of the cleaned text: after .!? with closers, before an opener, a capital, digit or mark; and at line ends."""
+    return F.filter(F.transform(F.split(clean(text), PARTS), lambda s: F.regexp_replace(s, r"^\s+|\s+$", "")), lambda s: s != "")
 
 
 def ids(text: Column) -> Column:
@@ -51,10 +55,14 @@ def order_id(raw: Column) -> Column:
     return F.concat(F.lit("#"), F.ltrim(raw, F.lit("#")))
 
 
+#: Fixed value: how an amount is written, with a currency sign or with cents.
+AMOUNT = r"\$\s?(\d[\d,]*(?:\.\d{1,2})?)|\b(\d[\d,]*\.\d{2})\b"
+
+
 def money(text: Column) -> Column:
-    """Amounts as numbers: $1,234.50 or 12.30."""
-    found = F.regexp_extract_all(text, F.lit(r"\$\d[\d,]*(?:\.\d{1,2})?|\b\d[\d,]*\.\d{2}\b"), F.lit(0))
-    return F.transform(found, lambda m: F.translate(m, "$,", "").cast("double"))
+    """Amounts as numbers: $1,234.50, $ 12 or 12.30."""
+    found = F.regexp_extract_all(text, F.lit(AMOUNT), F.lit(0))
+    return F.transform(found, lambda m: F.regexp_replace(m, r"[$,\s]", "").cast("double"))
 
 
 def states_amount(text: Column, amount: Column) -> Column:
@@ -109,8 +117,14 @@ def refusal(text: Column) -> Column:
     return text.rlike(r"(?i)\b(?:unable to|cannot|can't|can not|not able to|not possible|isn't possible|not eligible|won't be able)\b")
 
 
+#: Beginnings of the words for what may have been done, and what may stand before them.
+DONE = "cancel|exchang|return|refund|modif|chang|updat|switch|process|submit|request|initiat|complet|confirm|plac"
+CLAIM = rf"(?i)\b(?:(?:has|have|was|were|is|are)(?: (?:now|been|being|already|successfully))+|i(?:'ve| have)(?: (?:now|already|successfully))*|successfully) (?:{DONE})\w*"
+
+
 def claims_done(text: Column) -> Column:
-    return text.rlike(r"(?i)\b(?:has|have) been (?:successfully )?(?:cancel|modif|exchang|return|updat|process)|\bi(?:'ve| have) (?:successfully )?(?:cancel|modif|exchang|return|updat|process)")
+    """Whether a text says that something was done."""
+    return text.rlike(CLAIM)
 
 
 #: Words by which an action is told.

@@ -6,8 +6,11 @@ length. Norms need all of a text's tokens; for the products, only tokens of the
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from loomline.functions.text import tokens
 
@@ -29,12 +32,52 @@ def weights(docs: DataFrame, held_out: DataFrame) -> DataFrame:
     return w.join(norm, ["side", "id"]).select("side", "id", "tok", (F.col("w") / F.col("norm")).alias("weight"))
 
 
-def best_match(docs: DataFrame, held_out: DataFrame) -> DataFrame:
+def best_match(docs: DataFrame, held_out: DataFrame, most: int = 1 << 20) -> DataFrame:
     """(id, match_id, similarity): each text's closest held-out text; of equals the least id.
 
-    A text that shares no token with any is matched to the least id at 0.
+    A text that shares no token with any is matched to the least id at 0. The held-out weights are
+    broadcast if they are at most `most`, and each text, brought to those of its tokens that they have, is
+    scored against all of them at once; more are joined token by token.
     """
     w = weights(docs, held_out)
+    items = w.filter("side = 1").select("id", "tok", "weight")
+    if items.limit(most + 1).count() <= most:
+        best = _scored(w.filter("side = 0"), items.toArrow())
+        least = held_out.agg(F.min("id").alias("least"))
+        out = docs.select("id").join(best, "id", "left").join(F.broadcast(least), how="cross")
+        return out.select("id", F.coalesce("match_id", "least").alias("match_id"), F.coalesce("similarity", F.lit(0.0)).alias("similarity"))
+    return _joined(w, docs, held_out)
+
+
+def _scored(w: DataFrame, items: pa.Table) -> DataFrame:
+    """(id, match_id, similarity) of the texts that share a token with an item, from the items' weights."""
+    toks, at = np.unique(items["tok"].to_numpy(zero_copy_only=False), return_inverse=True)
+    ids, item = np.unique(np.asarray(items["id"]), return_inverse=True)
+    order = np.argsort(at, kind="stable")
+    bounds = np.searchsorted(at[order], np.arange(len(toks) + 1))
+    sent = w.sparkSession.sparkContext.broadcast((ids, item[order], np.asarray(items["weight"])[order], bounds))
+    known = w.sparkSession.createDataFrame(pa.table({"tok": pa.array(toks, pa.string()), "k": pa.array(np.arange(len(toks)))}), "tok string, k long")
+    own = w.join(F.broadcast(known), "tok").groupBy("id").agg(F.collect_list(F.struct("k", "weight")).alias("own"))
+
+    def of(batches):
+        ids, item, value, bounds = sent.value
+        for b in batches:
+            col = b.column(1)
+            off, flat = np.asarray(col.offsets) - col.offsets[0].as_py(), col.flatten()
+            k, v = np.asarray(flat.field(0)), np.asarray(flat.field(1))
+            match, best = np.zeros(b.num_rows, np.int64), np.zeros(b.num_rows)
+            for r in range(b.num_rows):
+                mine = k[off[r] : off[r + 1]]
+                n = bounds[mine + 1] - bounds[mine]
+                place = np.repeat(bounds[mine], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                sums = np.round(np.bincount(item[place], np.repeat(v[off[r] : off[r + 1]], n) * value[place], minlength=len(ids)), 9)
+                match[r], best[r] = ids[sums.argmax()], sums.max()
+            yield pa.record_batch([b.column(0), pa.array(match), pa.array(best)], ["id", "match_id", "similarity"])
+
+    return own.mapInArrow(of, "id long, match_id long, similarity double")
+
+
+def _joined(w: DataFrame, docs: DataFrame, held_out: DataFrame) -> DataFrame:
     x, y = w.filter("side = 0"), w.filter("side = 1").select(F.col("id").alias("match_id"), "tok", F.col("weight").alias("v"))
     sims = x.join(y, "tok").groupBy("id", "match_id").agg(F.round(F.sum(F.col("weight") * F.col("v")), 9).alias("similarity"))
     best = sims.groupBy("id").agg(F.max_by(F.struct("match_id", "similarity"), F.struct("similarity", -F.col("match_id"))).alias("m"))
@@ -50,15 +93,17 @@ def flags(best: DataFrame, sigmas: float = 3.0) -> DataFrame:
 
 
 def report(flagged: DataFrame) -> DataFrame:
-    """One row of JSON: the threshold and the flagged pairs from the most similar on.
+    """(rank, id, match_id, similarity): rank 0 has the threshold as its similarity; then the flagged pairs, the most similar first.
 
-    Flagged rows lie three deviations out, a ninth of all at most by Chebyshev's inequality; they
-    are gathered here because the report is one document.
+    Ranks follow from counts by rounded similarity, so no task holds all pairs.
     """
-    pair = F.struct((-F.col("similarity")).alias("order"), "id", "match_id", F.round("similarity", 4).alias("similarity"))
-    out = flagged.agg(F.max("threshold").alias("t"), F.count("*").alias("n"), F.sort_array(F.collect_list(F.when(F.col("flagged"), pair))).alias("p"))
-    pairs = F.transform("p", lambda x: F.struct(x["id"].alias("id"), x["match_id"].alias("match_id"), x["similarity"].alias("similarity")))
-    return out.select(F.to_json(F.struct(F.round("t", 4).alias("threshold"), F.col("n").alias("n"), pairs.alias("flagged"))).alias("report"))
+    some = flagged.filter("flagged").select("id", "match_id", F.round("similarity", 4).alias("similarity"))
+    by = some.groupBy("similarity").agg(F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(W.orderBy(F.desc("similarity")).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    placed = some.join(by.select("similarity", before.alias("_before")), "similarity")
+    rank = F.col("_before") + F.row_number().over(W.partitionBy("similarity").orderBy("id"))
+    head = flagged.agg(F.max("threshold").alias("t")).select(F.lit(0).cast("long").alias("rank"), F.lit(None).cast("long").alias("id"), F.lit(None).cast("long").alias("match_id"), F.round("t", 4).alias("similarity"))
+    return head.unionByName(placed.select(rank.alias("rank"), "id", "match_id", "similarity"))
 
 
 def jaccard(a: Column, b: Column) -> Column:
@@ -87,10 +132,9 @@ def centroid_match(vectors: DataFrame, most: int = 10_000) -> DataFrame:
     if cents.limit(most + 1).count() > most:
         raise ValueError(f"more than {most} labels")
     dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda p, q: p * q), F.lit(0.0), lambda s, v: s + v)
+    every = cents.agg(F.sort_array(F.collect_list(F.struct("label", "c"))).alias("all"))
     e = F.transform("embedding", lambda v: v.cast("double"))
-    sims = vectors.select("vec_id", e.alias("e")).join(F.broadcast(cents), how="cross")
-    sims = sims.select("vec_id", "label", F.round(dot(F.col("e"), F.col("c")) / F.sqrt(dot(F.col("e"), F.col("e")) * dot(F.col("c"), F.col("c"))), 6).alias("s"))
-    best = sims.groupBy("vec_id").agg(F.max_by(F.struct("label", "s"), F.struct("s", -F.col("label"))).alias("m"))
-    return best.select("vec_id", F.col("m.label").alias("match_label"), F.col("m.s").alias("similarity"))
-
-
+    own = vectors.select("vec_id", e.alias("e")).join(F.broadcast(every), how="cross")
+    cosine = lambda x: F.round(dot(F.col("e"), x["c"]) / F.sqrt(dot(F.col("e"), F.col("e")) * dot(x["c"], x["c"])), 6)
+    best = own.select("vec_id", F.array_max(F.transform("all", lambda x: F.struct(cosine(x).alias("s"), (-x["label"]).alias("l")))).alias("m"))
+    return best.select("vec_id", (-F.col("m.l")).alias("match_label"), F.col("m.s").alias("similarity"))

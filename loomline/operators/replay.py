@@ -61,14 +61,29 @@ def prefixes(steps: DataFrame) -> DataFrame:
 
 
 def end_states(steps: DataFrame) -> DataFrame:
-    """(order_id, finals): the end states that any order of up to three steps leads to."""
-    g = steps.groupBy("order_id").agg(F.first("status").alias("status"), F.sort_array(F.collect_list(F.struct("seq", "tool"))).alias("s")).filter(F.size("s") <= 3)
-    t = F.transform("s", lambda x: x["tool"])
-    orders = F.when(F.size("s") == 1, F.array(t)).when(F.size("s") == 2, F.array(t, F.reverse(t))).otherwise(
-        F.transform(F.array(*(F.array(*map(F.lit, p)) for p in ((0, 1, 2), (0, 2, 1), (1, 0, 2), (1, 2, 0), (2, 0, 1), (2, 1, 0)))), lambda p: F.transform(p, lambda i: F.get("s", i)["tool"]))
-    )
-    finals = F.transform(orders, lambda p: F.aggregate(p, F.col("status"), lambda a, x: transition(a, x)))
-    return g.select("order_id", F.sort_array(F.array_distinct(finals)).alias("finals"))
+    """(order_id, finals): the end states that the steps of an order lead to, over all their orders.
+
+    Orders of steps aren't listed. What is kept is, for each multiset of steps done, the states that it can
+    lead to; equal steps are one kind, so an order with k kinds of n steps has at most (n / k + 1)^k multisets.
+    """
+    kinds = steps.groupBy("order_id", "tool").agg(F.count("*").cast("int").alias("n"), F.first("status").alias("status"))
+    g = kinds.groupBy("order_id").agg(F.first("status").alias("status"), F.sort_array(F.collect_list(F.struct("tool", "n"))).alias("kinds"))
+    total = F.aggregate("kinds", F.lit(0), lambda a, k: a + k["n"])
+    none = F.transform("kinds", lambda _: F.lit(0))
+    state = lambda left, status: F.struct(left.alias("done"), status.alias("status"))
+
+    def further(reached: Column, _: Column) -> Column:
+        def each(s: Column) -> Column:
+            options = F.transform(
+                "kinds", lambda k, i: F.when(F.get(s["done"], i) < k["n"], state(F.transform(s["done"], lambda d, j: d + (j == i).cast("int")), transition(s["status"], k["tool"])))
+            )
+            return F.array_compact(options)
+
+        return F.array_distinct(F.flatten(F.transform(reached, each)))
+
+    rounds = F.sequence(F.lit(1), total)
+    finals = F.aggregate(rounds, F.array(state(none, F.col("status"))), further, lambda a: F.array_distinct(F.transform(a, lambda s: s["status"])))
+    return g.select("order_id", F.sort_array(finals).alias("finals"))
 
 
 def touched_users(actions: DataFrame, orders: DataFrame) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from loomline.operators import prompts as p
 from loomline.operators import replay as rp
@@ -33,10 +34,15 @@ def narratives(spark, d):
     return g.select("conv_id", p.narrative(F.col("t"), F.lit("")).alias("n")).filter("n <> ''").select("conv_id", F.sha2("n", 256).alias("narrative"))
 
 
-@CORE.query("prompt_parity", "select count(*) as n, count(*) as same from documents")
+@CORE.query(
+    "prompt_parity",
+    """with t as (select case when doc_id % 2 = 0 then text || chr(10) || 'END' else text end as a, case when doc_id % 7 = 0 then text || ' ' else text end as b from documents),
+    s as (select case when a like '%' || chr(10) || 'END' then a else a || chr(10) || 'END' end as a, case when b like '%' || chr(10) || 'END' then b else b || chr(10) || 'END' end as b from t) select count(*) as n, count(*) filter (where a = b) as same from s""",
+)
 def prompt_parity(spark, d):
-    t = bind.table(spark, d, "documents").select(p.with_suffix(F.col("text"), "\nEND").alias("train"))
-    return p.parity(t.select("train", p.with_suffix(F.col("train"), "\nEND").alias("test")))
+    i, t = F.col("doc_id"), F.col("text")
+    train, test = F.when(i % 2 == 0, F.concat(t, F.lit("\nEND"))).otherwise(t), F.when(i % 7 == 0, F.concat(t, F.lit(" "))).otherwise(t)
+    return p.parity(bind.table(spark, d, "documents").select(p.with_suffix(train, "\nEND").alias("train"), p.with_suffix(test, "\nEND").alias("test")))
 
 
 @CORE.query("context_budget", "select doc_id, case when length(text) // 4 + 256 > 1024 then 'context' else 'ok' end as finish from documents")
@@ -57,37 +63,57 @@ def environment_delta(spark, d):
     return p.environment_delta(m).withColumn("delta", F.sha2("delta", 256))
 
 
-@CORE.query("first_difference", "select event_id, case when event_id % 4 = 3 then -1 else event_id % 4 end as at from events")
+@CORE.query(
+    "first_difference",
+    """with w as (select event_id, str_split(props, '') as a, str_split(lag(props) over (partition by user_id order by event_id), '') as b from events)
+    select event_id, coalesce(list_min(list_filter(range(0, greatest(len(a), len(b))), lambda i: a[i + 1] is distinct from b[i + 1])), -1) as at from w where b is not null""",
+)
 def first_difference(spark, d):
-    a = F.array(*map(F.lit, (1, 2, 3)))
-    b = F.transform(a, lambda x, i: F.when(i == F.col("event_id") % 4, 0).otherwise(x))
-    return bind.table(spark, d, "events").select("event_id", p.first_difference(a, b).cast("long").alias("at"))
+    before = F.lag("props").over(W.partitionBy("user_id").orderBy("event_id"))
+    e = bind.table(spark, d, "events").select("event_id", F.split("props", "").alias("a"), F.split(before, "").alias("b")).filter("b is not null")
+    return e.select("event_id", p.first_difference(F.col("a"), F.col("b")).cast("long").alias("at"))
 
 
-@CORE.query("review_pages", "select cell, sha256('# ' || cell || chr(10) || chr(10) || string_agg('## ' || cast(id as varchar) || case when id % 7 = 0 then ' (flagged)' else '' end || chr(10) || chr(10) || '> ' || replace(text, chr(10), chr(10) || '> ') || chr(10), chr(10) order by id)) as page from (select doc_id as id, text, lang || '__' || source as cell from documents where length(text) < 2000) s group by 1")
+@CORE.query(
+    "review_pages",
+    "select cell, sha256('# ' || cell || chr(10) || chr(10) || string_agg('## ' || cast(id as varchar) || case when id % 7 = 0 then ' (flagged)' else '' end || chr(10) || chr(10) || '> ' || replace(text, chr(10), chr(10) || '> ') || chr(10), chr(10) order by id)) as page from (select doc_id as id, text, lang || '__' || source || '__' || cast(doc_id // 256 as varchar) as cell from documents) s group by 1",
+)
 def review_pages(spark, d):
-    s = bind.table(spark, d, "documents").filter(F.length("text") < 2000)
-    rows = s.select(F.concat_ws("__", "lang", "source").alias("cell"), F.col("doc_id").alias("id"), "text", (F.col("doc_id") % 7 == 0).alias("flagged"))
+    """Every document, on pages of 256 ids of a cell, so that a page is bounded."""
+    part = F.floor(F.col("doc_id") / 256).cast("string")
+    rows = bind.table(spark, d, "documents").select(F.concat_ws("__", "lang", "source", part).alias("cell"), F.col("doc_id").alias("id"), "text", (F.col("doc_id") % 7 == 0).alias("flagged"))
     return p.page(rows).select("cell", F.sha2("markdown", 256).alias("page"))
 
 
-@CORE.query("tool_registry_check", "select event_id, event_id % 5 <> 0 as known, event_id % 5 <> 0 and event_id % 2 = 0 as mutates, case when event_id % 5 = 0 then null when event_id % 2 = 0 then '' else 'reason' end as unknown, case when event_id % 5 = 0 then null else '' end as missing from events")
+_TOOLS = "(values " + ", ".join(f"('{n}', {str(w).lower()}, {list(a)!r}::varchar[])" for n, (w, a) in rp.TOOLS.items()) + ") as s(tool, mutates, args)"
+
+
+@CORE.query(
+    "tool_registry_check",
+    f"""with c as (select event_id, case event_id % 5 when 0 then 'open_door' when 1 then 'cancel_pending_order' when 2 then 'get_order_details' when 3 then 'modify_user_address' else 'calculate' end as tool,
+      case event_id % 3 when 0 then ['order_id', 'reason'] when 1 then ['order_id', event_type] else ['expression', 'user_id', 'zip'] end as keys from events)
+    select event_id, s.tool is not null as known, coalesce(mutates, false) as mutates, case when s.tool is not null then array_to_string(list_filter(keys, lambda k: not list_contains(args, k)), ',') end as unknown,
+      case when s.tool is not null then array_to_string(list_filter(args, lambda k: not list_contains(keys, k)), ',') end as missing
+    from c left join {_TOOLS} on c.tool = s.tool""",
+)
 def tool_registry_check(spark, d):
-    i = F.col("event_id")
-    tool = F.when(i % 5 == 0, "open_door").when(i % 2 == 0, "cancel_pending_order").otherwise("get_order_details")
-    c = rp.checked(bind.table(spark, d, "events").select("event_id", tool.alias("tool"), F.create_map(F.lit("order_id"), F.lit("#W1"), F.lit("reason"), F.lit("x")).alias("arguments")))
+    i, x = F.col("event_id"), F.lit("x")
+    tool = F.when(i % 5 == 0, "open_door").when(i % 5 == 1, "cancel_pending_order").when(i % 5 == 2, "get_order_details").when(i % 5 == 3, "modify_user_address").otherwise("calculate")
+    made = lambda *ks: F.create_map(*(y for k in ks for y in (k if not isinstance(k, str) else F.lit(k), x)))
+    args = F.when(i % 3 == 0, made("order_id", "reason")).when(i % 3 == 1, made("order_id", F.col("event_type"))).otherwise(made("expression", "user_id", "zip"))
+    c = rp.checked(bind.table(spark, d, "events").select("event_id", tool.alias("tool"), args.alias("arguments")))
     return c.select("event_id", "known", "mutates", F.array_join("unknown", ",").alias("unknown"), F.array_join("missing", ",").alias("missing"))
 
 
 def _steps(spark, d):
-    li = bind.table(spark, d, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_partkey").alias("k")).filter("l_linenumber <= 3")
+    li = bind.table(spark, d, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_partkey").alias("k"))
     tools = F.array(*map(F.lit, ("cancel_pending_order", "return_delivered_order_items", "exchange_delivered_order_items", "modify_pending_order_items")))
     steps = li.select(F.concat(F.lit("#W"), F.lpad(F.col("l_orderkey").cast("string"), 7, "0")).alias("order_id"), F.col("l_linenumber").alias("seq"), F.element_at(tools, (F.col("k") % 4 + 1).cast("int")).alias("tool"))
     return steps.join(bind.retail_orders(spark, d).select("order_id", "status"), "order_id")
 
 
 _ALLOW = lambda s, k: f"case when {k} = 0 and {s} = 'pending' then 'cancelled' when {k} = 1 and {s} = 'delivered' then 'return requested' when {k} = 2 and {s} = 'delivered' then 'exchange requested' when {k} = 3 and {s} = 'pending' then 'pending (items modified)' else {s} end"
-_STEP = f"(select s.*, o.status from (select '#W' || lpad(cast(l_orderkey as varchar), 7, '0') as order_id, l_linenumber as seq, min(l_partkey) % 4 as k from lineitem where l_linenumber <= 3 group by 1, 2) s join {RO} o using (order_id))"
+_STEP = f"(select s.*, o.status from (select '#W' || lpad(cast(l_orderkey as varchar), 7, '0') as order_id, l_linenumber as seq, min(l_partkey) % 4 as k from lineitem group by 1, 2) s join {RO} o using (order_id))"
 
 
 @CORE.query(
@@ -100,7 +126,14 @@ def replay_prefixes(spark, d):
     return rp.prefixes(_steps(spark, d)).select("order_id", F.array_join("states", ">").alias("states"))
 
 
-@CORE.query("permuted_end_states")
+@CORE.query(
+    "permuted_end_states",
+    f"""with recursive s as (select order_id, status, k, row_number() over (partition by order_id order by seq) as n from {_STEP} x),
+    r as (select order_id, status as state, cast(0 as bigint) as done, 0 as d from (select distinct order_id, status from s) y
+      union select r.order_id, {_ALLOW('r.state', 's.k')}, r.done + (1 << (s.n - 1)), r.d + 1 from r join s on s.order_id = r.order_id and (r.done >> (s.n - 1)) & 1 = 0),
+    t as (select order_id, count(*) as n from s group by 1)
+    select order_id, string_agg(distinct state, ',' order by state) as finals from r join t using (order_id) where d = n group by 1""",
+)
 def permuted_end_states(spark, d):
     return rp.end_states(_steps(spark, d)).select("order_id", F.array_join("finals", ",").alias("finals"))
 

@@ -42,11 +42,16 @@ def report_problems(spark, d):
     return rv.report_problems(la.select(F.col("doc_id").alias("id"), F.when(F.col("toxic") == 1, "major").otherwise("none").alias("severity"), issues.alias("issues")))
 
 
-@CORE.query("verdict_stubs", "select doc_id as scenario_id, case when doc_id in (select doc_id from labels where quality = 1) then 'accept' else 'pending' end as verdict from documents where doc_id in (select doc_id from labels where quality = 1) or doc_id % 10 = 0")
+@CORE.query(
+    "verdict_stubs",
+    """with have as (select doc_id from labels where quality = 1), s as (select doc_id from documents qualify row_number() over (partition by lang, source order by sha256('42/' || cast(doc_id as varchar)), doc_id) <= 4)
+    select doc_id as scenario_id, 'accept' as verdict from documents where doc_id in (from have) union all select doc_id, 'pending' from s where doc_id not in (from have)""",
+)
 def verdict_stubs(spark, d):
     docs, la = bind.table(spark, d, "documents"), bind.table(spark, d, "labels")
     have = docs.join(la.filter("quality = 1"), "doc_id", "left_semi").select(F.col("doc_id").alias("scenario_id"), F.lit("accept").alias("verdict"))
-    return rv.verdict_stubs(docs.filter("doc_id % 10 = 0").select(F.col("doc_id").alias("scenario_id")), have)
+    sample = sel.per_stratum(bind.scenarios(spark, d), ("category", "theme"), "id", 4)
+    return rv.verdict_stubs(sample.select(F.col("id").alias("scenario_id")), have)
 
 
 @CORE.query("sample_manifest", "with s as (select doc_id as id, lang || '__' || source as cell from documents qualify row_number() over (partition by lang, source order by sha256('42/' || cast(doc_id as varchar)), doc_id) <= 4) select cell, array_to_string(list(cast(id as varchar) order by id), ',') as ids from s group by 1")

@@ -53,7 +53,12 @@ def decontam_flags(spark, d):
     return dc.flags(dc.best_match(*_two(spark, d))).filter("flagged").select("id", "match_id", F.round("similarity", 6).alias("similarity"))
 
 
-@CORE.query("decontam_report")
+@CORE.query(
+    "decontam_report",
+    f"""with {BEST}, t as (select avg(similarity) + 3 * stddev_pop(similarity) as t from best), f as (select id, match_id, round(similarity, 4) as similarity from best, t where similarity >= t - 1e-9)
+    select cast(0 as bigint) as rank, cast(null as bigint) as id, cast(null as bigint) as match_id, round(t, 4) as similarity from t
+    union all select row_number() over (order by similarity desc, id), id, match_id, similarity from f""",
+)
 def decontam_report(spark, d):
     return dc.report(dc.flags(dc.best_match(*_two(spark, d))))
 
@@ -201,9 +206,15 @@ def parse_tool_calls(spark, d):
     return p.select("event_id", F.size("p.calls").alias("n_calls"), first["name"].alias("name"), F.get_json_object(first["arguments"], "$.k").alias("k"), "p.malformed")
 
 
-@CORE.query("count_call_blocks", "select case when event_id % 5 = 0 then 0 else 1 end as blocks, count(*) as n from events group by 1")
+_BLOCKS = """(select event_id, event_type || repeat('<tool_call>' || props || case when event_id % 3 = 0 then '</tool_call> ' else '' end, cast(event_id % 4 as int)) || case when event_id % 5 = 0 then '<tool_cal>' else '' end as text from events)"""
+
+
+@CORE.query("count_call_blocks", f"select event_id, cast((length(text) - length(replace(text, '<tool_call>', ''))) / 11 as bigint) as blocks from {_BLOCKS} b")
 def count_call_blocks(spark, d):
-    return _calls(spark, d).groupBy(G.count_blocks(F.col("text")).alias("blocks")).agg(F.count("*").alias("n"))
+    i = F.col("event_id")
+    block = F.concat(F.lit("<tool_call>"), F.col("props"), F.when(i % 3 == 0, "</tool_call> ").otherwise(""))
+    text = F.concat("event_type", F.repeat(block, (i % 4).cast("int")), F.when(i % 5 == 0, "<tool_cal>").otherwise(""))
+    return bind.table(spark, d, "events").select("event_id", G.count_blocks(text).cast("long").alias("blocks"))
 
 
 @CORE.query(
@@ -248,27 +259,63 @@ def difficulty_scores(spark, d):
 
 @CORE.query("text_similarity_ratio")
 def text_similarity_ratio(spark, d):
-    """The first sentences of each document against the benchmark item of its number."""
+    """Each whole document against the benchmark item of its number."""
     b = bind.table(spark, d, "benchmark").select("item_id", F.col("text").alias("gold"))
-    docs = bind.table(spark, d, "documents").select("doc_id", (F.col("doc_id") % 40).alias("item_id"), T.excerpt(F.col("text"), 200).alias("said"))
-    return docs.join(b, "item_id").select("doc_id", "item_id", F.round(G.text_similarity("said", "gold"), 6).alias("score"))
+    docs = bind.table(spark, d, "documents").select("doc_id", (F.col("doc_id") % 40).alias("item_id"), F.col("text").alias("said"))
+    return docs.repartition("doc_id").join(F.broadcast(b), "item_id").select("doc_id", "item_id", F.round(G.text_similarity("said", "gold"), 6).alias("score"))
+
+
+_ACT = """(select event_id, case when event_id % 13 = 0 then null when event_id % 3 = 0 then 'transfer_to_human_agents' when event_id % 3 = 1 then 'get_order_details' else 'cancel_pending_order' end as gold,
+  case when event_id % 17 < 2 then null when event_id % 19 = 0 then 'cancel_pending_order' when event_id % 13 = 0 and event_id % 2 = 0 then null when event_id % 13 = 0 then 'calculate' when event_id % 3 = 0 then 'transfer_to_human_agents' when event_id % 3 = 1 then 'get_order_details' else 'cancel_pending_order' end as pred,
+  case event_id % 5 when 0 then '  ' || chr(10) when 1 then null else event_type end as said, event_id % 23 <> 0 as known, event_type <> 'error' as schema_ok, user_id % 4 = 0 as gold_fails, user_id % 3 = 0 as pred_fails,
+  user_id % 8 = 0 as same_error, value / 1000 as sim, value > 60 as output_same, user_id % 7 <> 0 as decides, value > 150 as state_exact, least(value / 400, 1.0) as state, least(value / 200, 1.0) as args,
+  event_id % 3 = 2 as mutates, case when value > 80 then 'the caller wants a person' when value > 40 then ' a  b c d e f g h i j ' else props end as summary from events)"""
 
 
 @CORE.query(
     "action_reward",
-    """select event_id, round(case when event_id % 11 = 0 then 0.0 when event_type = 'error' then 0.2 when event_type = 'signup' then case when event_id % 2 = 0 then 1.0 else 0.6 end
-      when value >= 100 then 1.0 else 0.3 + 0.7 * (value / 100) end, 6) as reward from events""",
+    f"""select event_id, round(case when gold is null then case when pred is not null then 0.0 when trim(translate(said, chr(10), ' ')) = '' then 0.0 else 1.0 end
+      when pred is null or pred <> gold or not known then 0.0 when not schema_ok then 0.2
+      when gold = 'transfer_to_human_agents' then case when length(regexp_replace(summary, '\\s', '', 'g')) >= 20 then 1.0 else 0.6 end
+      when gold_fails then case when not pred_fails then 0.2 when same_error then 1.0 else 0.3 + 0.7 * sim end when pred_fails then 0.2
+      when not mutates then case when decides and output_same then 1.0 else 0.3 + 0.7 * args end when state_exact then 1.0 else 0.3 + 0.7 * state end, 4) as reward from {_ACT} a""",
 )
 def action_reward(spark, d):
     e = bind.table(spark, d, "events")
-    yes, kind = F.lit(True), F.col("event_type")
-    gold = F.when(kind == "signup", "transfer_to_human_agents").otherwise(kind)
+    i, u, v = F.col("event_id"), F.col("user_id"), F.col("value")
+    tool = F.when(i % 3 == 0, "transfer_to_human_agents").when(i % 3 == 1, "get_order_details").otherwise("cancel_pending_order")
+    none = F.lit(None).cast("string")
+    pred = F.when(i % 17 < 2, none).when(i % 19 == 0, "cancel_pending_order").when((i % 13 == 0) & (i % 2 == 0), none).when(i % 13 == 0, "calculate").otherwise(tool)
     c = {
-        "pred_tool": F.when(F.col("event_id") % 11 == 0, "other").otherwise(gold), "gold_tool": gold, "known": yes, "schema_ok": kind != "error", "gold_fails": ~yes, "pred_fails": ~yes, "similar": F.lit(0.0),
-        "output_same": F.col("value") >= 100, "state_exact": ~yes, "state": F.lit(0.0), "args": F.col("value") / 100, "mutates": ~yes,
-        "summary": F.when(F.col("event_id") % 2 == 0, "the caller asks for a person").otherwise("help"),
+        "gold_tool": F.when(i % 13 == 0, none).otherwise(tool), "pred_tool": pred, "text": F.when(i % 5 == 0, "  \n").when(i % 5 == 1, none).otherwise(F.col("event_type")),
+        "known": i % 23 != 0, "schema_ok": F.col("event_type") != "error", "gold_fails": u % 4 == 0, "pred_fails": u % 3 == 0, "same_error": u % 8 == 0, "similar": v / 1000,
+        "output_same": v > 60, "output_decides": u % 7 != 0, "state_exact": v > 150, "state": F.least(v / 400, F.lit(1.0)), "args": F.least(v / 200, F.lit(1.0)), "mutates": i % 3 == 2,
+        "summary": F.when(v > 80, "the caller wants a person").when(v > 40, " a  b c d e f g h i j ").otherwise(F.col("props")),
     }
-    return e.select("event_id", F.round(G.action_reward(c), 6).alias("reward"))
+    return e.select("event_id", F.round(G.action_reward(c), 4).alias("reward"))
+
+
+_KEPT = ("items", "exchange_items", "exchange_new_items", "exchange_payment_method_id", "return_items", "return_payment_method_id", "payment_history", "address")
+
+
+@CORE.query(
+    "state_match",
+    f"""with g as (select o_orderkey as id, o_custkey as who, o_orderstatus as status, o_orderpriority as reason, o_totalprice as diff from orders),
+    p as (select o_orderkey as id, o_custkey as who, case when o_orderkey % 5 = 0 then 'cancelled' else o_orderstatus end as status, case when o_orderkey % 2 = 0 then 'other' else o_orderpriority end as reason,
+      case when o_orderkey % 3 = 0 then null else o_totalprice * (1 + (o_orderkey % 9) / 100) end as diff, case when o_orderkey % 7 = 0 then 'changed' else 'x' end as kept, o_orderkey % 11 <> 0 as there from orders)
+    select id, round(case when id % 13 = 0 or not there then 0 when id % 4 = 0 then case when kept = 'x' then 1 else 0 end when p.status <> g.status or kept <> 'x' then 0
+      else 0.7 + 0.3 * (case when p.reason = g.reason then 1.0 else 0.5 end + case when p.diff is null then 0.0 when g.diff = 0 then cast(abs(p.diff) < 1e-6 as int) else greatest(0, 1 - abs(p.diff - g.diff) / abs(g.diff) / 0.05) end) / 2 end, 5) as score
+    from g join p using (id)""",
+)
+def state_match(spark, d):
+    i = F.col("o_orderkey")
+    kept = lambda x: [x.alias(n) for n in _KEPT]
+    rest = lambda reason, diff: [reason.alias("cancel_reason"), diff.cast("string").alias("exchange_price_difference")]
+    gold = F.struct(F.col("o_orderstatus").alias("status"), *kept(F.lit("x")), *rest(F.col("o_orderpriority"), F.col("o_totalprice")))
+    diff = F.when(i % 3 != 0, F.col("o_totalprice") * (1 + (i % 9) / 100))
+    pred = F.struct(F.when(i % 5 == 0, "cancelled").otherwise(F.col("o_orderstatus")).alias("status"), *kept(F.when(i % 7 == 0, "changed").otherwise("x")), *rest(F.when(i % 2 == 0, "other").otherwise(F.col("o_orderpriority")), diff))
+    o = bind.table(spark, d, "orders").select(i.alias("id"), F.when(i % 11 != 0, pred).alias("pred"), gold.alias("gold"))
+    return o.select("id", F.round(G.state_match(F.col("pred"), F.col("gold"), F.col("id") % 13 != 0, F.col("id") % 4 == 0), 5).alias("score"))
 
 
 @CORE.query(

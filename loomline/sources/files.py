@@ -15,8 +15,11 @@ def scenario_files(spark: SparkSession, path: str, schema: str = SCENARIO) -> Da
 
 
 def json_lines(spark: SparkSession, path: str, schema: str, defaults: dict[str, object] | None = None) -> DataFrame:
-    """JSON lines; blank lines and unknown fields are passed over, missing ones take their defaults."""
-    df = spark.read.schema(schema).option("mode", "DROPMALFORMED").json(path)
+    """JSON lines; unknown fields are passed over, missing ones take their defaults.
+
+    A line that isn't JSON is a row of nulls with the line in `bad`; blank lines give no row.
+    """
+    df = spark.read.schema(f"{schema}, bad string").option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "bad").json(path)
     return df.fillna(defaults) if defaults else df
 
 

@@ -37,28 +37,36 @@ def sessions(events: DataFrame, gap: str = "6 hours", late: str = "10 minutes")
     return g.select("user_id", F.col("s.start").alias("start"), F.col("s.end").alias("end"), "n")
 
 
-def audit_completion(samples: DataFrame, expected: int, late: str = "10 minutes") -> DataFrame:
-    """(task_id, rewards): a task's record, emitted when its last expected sample has come.
+def audit_completion(samples: DataFrame, expected: int, late: str = "10 minutes", patience_ms: int = 86_400_000) -> DataFrame:
+    """(task_id, rewards, complete): a task's record, emitted when its last expected sample has come.
 
-    A task that stays incomplete for a day after its last sample is dropped from the state.
+    Time is that of the samples' `ts`: a task that gets no sample for `patience_ms` after its last, by the
+    watermark, is emitted as it is, with `complete` false. So the same events give the same rows again.
     """
 
+    streaming = samples.isStreaming
+
     def update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        held, last = json.loads(state.get[0]) if state.exists else ({}, 0)
+        row = lambda whole: pd.DataFrame({"task_id": [key[0]], "rewards": [[held[k] for k in sorted(held, key=int)]], "complete": [whole]})
         if state.hasTimedOut:
             state.remove()
+            yield row(False)
             return
-        held = dict(json.loads(state.get[0])) if state.exists else {}
         for b in batches:
             held.update((str(k), v) for k, v in zip(b["sample"], b["reward"], strict=True))
+            last = max([last, *(int(t.value // 1_000_000) for t in b["ts"])])
         if len(held) >= expected:
             state.remove()
-            yield pd.DataFrame({"task_id": [key[0]], "rewards": [[held[k] for k in sorted(held, key=int)]]})
+            yield row(True)
         else:
-            state.update((json.dumps(held),))
-            state.setTimeoutDuration(86_400_000)
+            state.update((json.dumps([held, last]),))
+            if streaming:
+                state.setTimeoutTimestamp(max(last + patience_ms, state.getCurrentWatermarkMs() + 1))
 
-    out = samples.withWatermark("ts", late) if samples.isStreaming else samples
-    return out.groupBy("task_id").applyInPandasWithState(update, "task_id long, rewards array<double>", "held string", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    out = samples.withWatermark("ts", late) if streaming else samples
+    timeout = GroupStateTimeout.EventTimeTimeout if streaming else GroupStateTimeout.NoTimeout
+    return out.groupBy("task_id").applyInPandasWithState(update, "task_id long, rewards array<double>, complete boolean", "held string", "append", timeout)
 
 
 def conversations(messages: DataFrame) -> DataFrame:

@@ -175,7 +175,9 @@ def test_files_round_trip(spark, tmp_path):
     df = spark.createDataFrame([(1, "x", None), (2, "d", "k")], "id long, kind string, note string")
     sinks.json_lines(df, str(tmp_path / "out"), {"kind": "d"})
     back = files.json_lines(spark, str(tmp_path / "out"), "id long, kind string, note string", {"kind": "d"})
-    assert sorted(map(tuple, back.collect())) == sorted(map(tuple, df.collect()))
+    assert sorted(map(tuple, back.drop("bad").collect())) == sorted(map(tuple, df.collect()))
+    (tmp_path / "bad.jsonl").write_text('{"id": 1}\n{nope\n\n')
+    assert sorted((r.id or 0, r.bad) for r in files.json_lines(spark, str(tmp_path / "bad.jsonl"), "id long").collect()) == [(0, "{nope"), (1, None)]
     assert sinks.parse_mix("a=0.4,b=0.1") == {"a": 0.4, "b": 0.1}
 
 
@@ -192,12 +194,14 @@ def test_streams_give_what_batches_give(spark, small, tmp_path):
 
 
 def test_stream_completes_audits_and_folds_conversations(spark, tmp_path):
-    rows = spark.createDataFrame([(t, k, float(k)) for t in (1, 2) for k in range(3 if t == 1 else 2)], "task_id long, sample long, reward double")
-    rows.coalesce(1).write.parquet(str(tmp_path / "in"))
+    rows = spark.createDataFrame([(t, k, float(k), f"2024-01-0{1 + k} 00:00:00") for t in (1, 2) for k in range(3 if t == 1 else 2)], "task_id long, sample long, reward double, ts string")
+    later = spark.createDataFrame([(3, 0, 9.0, "2024-02-01 00:00:00")], rows.schema)
+    for part in (rows, later):
+        part.withColumn("ts", F.to_timestamp("ts")).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
     s = st.source(spark, str(tmp_path / "in"), "task_id long, sample long, reward double, ts timestamp", 1)
-    q = st.audit_completion(s, 3).writeStream.format("memory").queryName("a").outputMode("append").trigger(once=True).start()
+    q = st.audit_completion(s, 3).writeStream.format("memory").queryName("a").outputMode("append").trigger(availableNow=True).start()
     assert q.awaitTermination(60)
-    assert [(r.task_id, r.rewards) for r in spark.table("a").collect()] == [(1, [0.0, 1.0, 2.0])]
+    assert sorted((r.task_id, r.rewards, r.complete) for r in spark.table("a").collect()) == [(1, [0.0, 1.0, 2.0], True), (2, [0.0, 1.0], False)]
     said = spark.createDataFrame([(1, 0, "user", "please cancel"), (1, 1, "assistant", '<tool_call>{"name": "cancel", "arguments": {}}</tool_call>'), (1, 2, "user", "STOP")], "conv_id long, turn long, role string, text string")
     said.coalesce(1).write.parquet(str(tmp_path / "c"))
     q = st.conversations(st.source(spark, str(tmp_path / "c"), "conv_id long, turn long, role string, text string")).writeStream.format("memory").queryName("c").outputMode("update").start()
