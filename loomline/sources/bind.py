@@ -100,3 +100,57 @@ def simulations(spark: SparkSession, d: str) -> DataFrame:
 
 SIMULATIONS = """(select event_id, user_id as task_id, (row_number() over (partition by user_id order by ts, event_id) - 1) % 4 as trial,
   event_type = 'purchase' as success, event_type as termination, value, ts from events)"""
+
+
+def users(spark: SparkSession, d: str) -> DataFrame:
+    """(user_id, first, last, zip, email, address1, city)"""
+    k = F.col("c_custkey")
+    return table(spark, d, "customer").select(
+        k.alias("user_id"), F.concat(F.lit("N"), F.col("c_nationkey")).alias("first"), F.col("c_mktsegment").alias("last"),
+        F.lpad((k % 50 * 1999).cast("string"), 5, "0").alias("zip"), F.concat(F.replace(F.lower("c_name"), F.lit("#"), F.lit(".")), F.lit("@example.com")).alias("email"),
+        F.concat((100 + k % 900).cast("string"), F.lit(" Main Street")).alias("address1"), F.concat(F.lit("City "), F.col("c_nationkey")).alias("city"),
+    )
+
+
+USERS = """(select c_custkey as user_id, 'N' || c_nationkey as first, c_mktsegment as last, lpad(cast(c_custkey % 50 * 1999 as varchar), 5, '0') as zip,
+  replace(lower(c_name), '#', '.') || '@example.com' as email, (100 + c_custkey % 900) || ' Main Street' as address1, 'City ' || c_nationkey as city from customer)"""
+
+
+def payment_methods(spark: SparkSession, d: str) -> DataFrame:
+    """(user_id, pm_id, source, brand, last_four, balance): a card for all, and a second one, PayPal or a gift card for some."""
+    k, none = F.col("c_custkey"), F.lit(None).cast("string")
+    name = lambda kind, n: F.concat(F.lit(f"{kind}_"), F.lpad(n.cast("string"), 7, "0"))
+    four = lambda n: F.lpad((n % 10000).cast("string"), 4, "0")
+    pm = lambda i, source, brand, last, balance: F.struct(*(x.alias(n) for x, n in zip((i, F.lit(source), brand, last, balance), ("pm_id", "source", "brand", "last_four", "balance"), strict=True)))
+    brand, zero = F.when(k % 2 == 0, "visa").otherwise("mastercard"), F.lit(0.0)
+    methods = F.array(
+        pm(name("credit_card", k), "credit_card", brand, four(k), zero),
+        F.when(k % 5 == 0, pm(name("credit_card", 5_000_000 + k), "credit_card", brand, F.when(k % 10 == 0, four(k)).otherwise(four(k * 3)), zero)),
+        F.when(k % 3 == 0, pm(name("paypal", k), "paypal", none, none, zero)),
+        F.when(k % 2 == 0, pm(name("gift_card", k), "gift_card", none, none, F.greatest(F.col("c_acctbal") * 20, zero))),
+    )
+    return table(spark, d, "customer").select(k.alias("user_id"), F.explode(F.array_compact(methods)).alias("m")).select("user_id", "m.*")
+
+
+_PM = lambda kind, n: f"'{kind}_' || lpad(cast({n} as varchar), 7, '0')"
+_FOUR = lambda n: f"lpad(cast(({n}) % 10000 as varchar), 4, '0')"
+_BRAND = "case when c_custkey % 2 = 0 then 'visa' else 'mastercard' end"
+PAYMENTS = f"""(select c_custkey as user_id, {_PM('credit_card', 'c_custkey')} as pm_id, 'credit_card' as source, {_BRAND} as brand, {_FOUR('c_custkey')} as last_four, 0.0::double as balance from customer
+  union all select c_custkey, {_PM('credit_card', '5000000 + c_custkey')}, 'credit_card', {_BRAND}, case when c_custkey % 10 = 0 then {_FOUR('c_custkey')} else {_FOUR('c_custkey * 3')} end, 0 from customer where c_custkey % 5 = 0
+  union all select c_custkey, {_PM('paypal', 'c_custkey')}, 'paypal', null, null, 0 from customer where c_custkey % 3 = 0
+  union all select c_custkey, {_PM('gift_card', 'c_custkey')}, 'gift_card', null, null, greatest(c_acctbal * 20, 0) from customer where c_custkey % 2 = 0)"""
+
+
+def order_payments(spark: SparkSession, d: str) -> DataFrame:
+    """(order_id, user_id, status, amount, pm_id, n_payments, address1): how an order was paid, and where it goes."""
+    k, u = F.col("o_orderkey"), F.col("o_custkey")
+    name = lambda kind: F.concat(F.lit(f"{kind}_"), F.lpad(u.cast("string"), 7, "0"))
+    pm = F.when((k % 4 == 0) & (u % 3 == 0), name("paypal")).when((k % 6 == 0) & (u % 2 == 0), name("gift_card")).otherwise(name("credit_card"))
+    place = F.when(k % 3 == 0, F.concat((100 + k % 900).cast("string"), F.lit(" Oak Lane"))).otherwise(F.concat((100 + u % 900).cast("string"), F.lit(" Main Street")))
+    more = table(spark, d, "orders").select(F.concat(F.lit("#W"), F.lpad(k.cast("string"), 7, "0")).alias("order_id"), pm.alias("pm_id"), F.when(k % 7 == 0, 2).otherwise(1).alias("n_payments"), place.alias("address1"))
+    return retail_orders(spark, d).withColumnRenamed("total", "amount").join(more, "order_id")
+
+
+ORDER_PAYMENTS = f"""(select order_id, user_id, status, total as amount, pm_id, n_payments, address1 from {RETAIL_ORDERS} r join (select '#W' || lpad(cast(o_orderkey as varchar), 7, '0') as order_id,
+  case when o_orderkey % 4 = 0 and o_custkey % 3 = 0 then {_PM('paypal', 'o_custkey')} when o_orderkey % 6 = 0 and o_custkey % 2 = 0 then {_PM('gift_card', 'o_custkey')} else {_PM('credit_card', 'o_custkey')} end as pm_id,
+  case when o_orderkey % 7 = 0 then 2 else 1 end as n_payments, case when o_orderkey % 3 = 0 then (100 + o_orderkey % 900) || ' Oak Lane' else (100 + o_custkey % 900) || ' Main Street' end as address1 from orders) m using (order_id))"""
