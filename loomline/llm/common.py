@@ -41,6 +41,9 @@ def shared_folder(spark: SparkSession) -> str:
     return os.path.join(tempfile.gettempdir(), f"loomline-{os.getpid()}")
 
 
+FILE_ROWS = 50_000
+
+
 class Scratch:
     """Tables in the shared folder, which are dropped as soon as they aren't needed."""
 
@@ -51,8 +54,12 @@ class Scratch:
         self.paths: dict[str, DataFrame] = {}
         self.every.append((spark, self.at))
 
-    def table(self, name: str, df: DataFrame) -> DataFrame:
-        """The rows of df, written and read again: this cuts the lineage, and outlives executors."""
+    def table(self, name: str, df: DataFrame, most: int | None = None) -> DataFrame:
+        """The rows of df, written and read again: this cuts the lineage, and outlives executors.
+
+        Where there are at most `most` rows, no more files are written than rows of `FILE_ROWS` need.
+        """
+        df = df if most is None else df.coalesce(most // FILE_ROWS + 1)
         path = f"{self.at}/{len(self.paths)}-{uuid.uuid4().hex[:8]}-{name}"
         df.write.parquet(path)
         self.paths[path] = self.spark.read.schema(df.schema).parquet(path)

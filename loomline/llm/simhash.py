@@ -316,7 +316,7 @@ def components(edges: DataFrame) -> DataFrame:
             .filter("u != v")
             .distinct()
         )
-        before, e = e, scratch.table("edges", small)
+        before, e = e, scratch.table("edges", small, 2 * state[0] if state else None)
         scratch.drop(before)
         now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == state:
@@ -447,12 +447,12 @@ def _small(keys: DataFrame) -> DataFrame:
     return F.broadcast(keys) if keys.count() <= MOST_SENT else keys
 
 
-def _roots(found: list[DataFrame], scratch: Scratch) -> DataFrame:
+def _roots(found: list[DataFrame], scratch: Scratch, most: int) -> DataFrame:
     """(key, root) of the components of the pairs found so far."""
     every = found[0]
     for x in found[1:]:
         every = every.unionByName(x)
-    return scratch.table("roots", components(every.select(F.col("x").alias("a"), F.col("y").alias("b"))).select(F.col("node").alias("key"), "root"))
+    return scratch.table("roots", components(every.select(F.col("x").alias("a"), F.col("y").alias("b"))).select(F.col("node").alias("key"), "root"), most)
 
 
 def _between(pairs: DataFrame, roots: DataFrame) -> DataFrame:
@@ -484,11 +484,12 @@ def similar_groups(
     scratch = Scratch(bounded(docs).sparkSession)
     own = docs.select(F.col(id_col).cast("long").alias("key"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     signed_ = scratch.table("signatures", _signatures(own, shingle_words, bands, rows))
-    classes = scratch.table("classes", signed_.groupBy("same", "n").agg(F.min("key").alias("x"), F.first("fp").alias("fp"), F.first("bands").alias("bands")))
-    members = scratch.table("members", signed_.select("key", "same", "n").join(classes.select("same", "n", "x"), ["same", "n"]).select("key", "x"))
+    total = signed_.count()
+    classes = scratch.table("classes", signed_.groupBy("same", "n").agg(F.min("key").alias("x"), F.first("fp").alias("fp"), F.first("bands").alias("bands")), total)
+    members = scratch.table("members", signed_.select("key", "same", "n").join(classes.select("same", "n", "x"), ["same", "n"]).select("key", "x"), total)
     scratch.drop(signed_)
 
-    nodes = scratch.table("nodes", classes.groupBy("fp").agg(F.min("x").alias("y")))
+    nodes = scratch.table("nodes", classes.groupBy("fp").agg(F.min("x").alias("y")), total)
     near = links(nodes.select("fp"), radius)
     of = lambda f, i: nodes.select(F.col("fp").alias(f), F.col("y").alias(i))
     alike = near.join(of("a", "p"), "a").join(of("b", "q"), "b").select(F.greatest("p", "q").alias("x"), F.least("p", "q").alias("y"))
@@ -506,18 +507,18 @@ def similar_groups(
     ordered = drawn.select(F.greatest("x", "y").alias("x"), F.least("x", "y").alias("y"), "met", F.col("x").alias("own"))
     stars = scratch.table("stars", ordered)
     needed = crowd.select("x").unionByName(stars.select("x")).unionByName(stars.select(F.col("y").alias("x"))).distinct()
-    texts = own.join(_small(scratch.table("needed", needed.withColumnRenamed("x", "key"))), "key", "left_semi").groupBy("key").agg(F.first("text").alias("text"))
+    texts = own.join(_small(scratch.table("needed", needed.withColumnRenamed("x", "key"), total)), "key", "left_semi").groupBy("key").agg(F.first("text").alias("text"))
     texts = scratch.table("texts", texts)
     scratch.drop(classes, nodes)
 
     best = stars.groupBy("own").agg(F.max(F.struct("met", "x", "y")).alias("best"))
-    first = scratch.table("first", best.select("best.x", "best.y").distinct())
+    first = scratch.table("first", best.select("best.x", "best.y").distinct(), total)
     found = [_similar(first, texts, shingle_words, least, scratch)]
-    roots = _roots(found, scratch)
+    roots = _roots(found, scratch, total)
     second = scratch.table("second", _between(stars.select("x", "y").distinct().join(first, ["x", "y"], "left_anti"), roots))
     found.append(_similar(second, texts, shingle_words, least, scratch))
     scratch.drop(second, first, roots)
-    roots = _roots(found, scratch)
+    roots = _roots(found, scratch, total)
 
     named = crowd.select("h", "x", "n").join(roots.withColumnRenamed("key", "x"), "x", "left").withColumn("root", F.coalesce("root", "x"))
     parted = named.groupBy("h").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("h")
@@ -532,12 +533,12 @@ def similar_groups(
     scratch.drop_all_but(members, texts, rest, *found, roots)
     found.append(_similar(rest, texts, shingle_words, least, scratch))
     scratch.drop(rest, roots, texts)
-    roots = _roots(found, scratch)
+    roots = _roots(found, scratch, total)
 
     of_class = members.groupBy("x").agg(F.count("*").alias("c")).join(roots.withColumnRenamed("key", "x"), "x", "left")
     group = F.coalesce("root", "x")
     several = of_class.filter("c > 1 or root is not null").select("x", group.alias("group"))
-    out = scratch.table("groups", members.join(several, "x").select("key", "group"))
+    out = scratch.table("groups", members.join(several, "x").select("key", "group"), total)
     scratch.drop_all_but(out)
     return out
 
