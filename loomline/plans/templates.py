@@ -173,9 +173,9 @@ def consent_slots(spark, d):
     "grounding_plan",
     f"""with m as (select user_id, min(order_id) as a, max(order_id) as z from {RO} o group by 1), t as (select u.user_id as id, 'I am ' || first || ' ' || last || ', zip ' || zip as text, u.zip, a, z from {US} u join m on m.user_id = u.user_id),
     h as (select id, any_value(a) as a, any_value(z) as z from t join {US} u using (zip) where contains(lower(text), lower(first)) and contains(lower(text), lower(last)) group by 1 having count(*) = 1),
-    x as (select id, 3 as at, 0 as rank, 'find_user_id_by_name_zip' as tool, cast(id as varchar) as argument from h union all select id, 3, 1, 'get_user_details', cast(id as varchar) from h
+    x as (select id, 3 as "at", 0 as rank, 'find_user_id_by_name_zip' as tool, cast(id as varchar) as argument from h union all select id, 3, 1, 'get_user_details', cast(id as varchar) from h
       union all select id, 3, 2, 'get_order_details', z from h where id % 2 = 1 union all select id, 5, 2, 'get_order_details', a from h where a <> z)
-    select id, at, cast(row_number() over (partition by id, at order by rank) as int) as seq, tool, argument from x""",
+    select id, "at", cast(row_number() over (partition by id, "at" order by rank) as int) as seq, tool, argument from x""",
 )
 def grounding_plan(spark, d):
     """Each user tells who they are and names orders; the reads that the assistant's turns need."""
