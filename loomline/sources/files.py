@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,9 +33,91 @@ def judge_reports(spark: SparkSession, path: str) -> DataFrame:
     return got.select("file", "bad", F.explode_outer("r.findings").alias("f")).select("file", "bad", "f.*")
 
 
-def id_list(spark: SparkSession, path: str) -> DataFrame:
-    """(id): the lines of a file but blank ones and comments."""
-    return spark.read.text(path).select(F.trim("value").alias("id")).filter("id <> '' and not startswith(id, '#')")
+def cell_findings(spark: SparkSession, path: str) -> DataFrame:
+    """(cell, severity, message): a finding for each file of a cell that doesn't hold a JSON array."""
+    text = spark.read.text(path, wholetext=True)
+    array = F.coalesce(F.schema_of_variant(F.try_parse_json("value")).startswith("ARRAY"), F.lit(False))
+    cell = F.regexp_extract("_metadata.file_name", r"^(.*?)\.json$", 1)
+    return text.filter(~array).select(cell.alias("cell"), F.lit("error").alias("severity"), F.lit("not a JSON array").alias("message"))
+
+
+def id_list(spark: SparkSession, path: str, needed: bool = False) -> DataFrame:
+    """(id): the lines of a file but blank ones and comments; an error if there are none and some are needed."""
+    ids = spark.read.text(path).select(F.trim("value").alias("id")).filter("id <> '' and not startswith(id, '#')")
+    if needed and ids.isEmpty():
+        raise ValueError(f"no ids in {path}")
+    return ids
+
+
+def zero_variance_ids(spark: SparkSession, path: str, min_std: float = 0.05) -> tuple[DataFrame, str]:
+    """(id) of groups without variance, and where that comes from: the scores of an audit, or a list of ids.
+
+    A file whose first line that isn't blank begins an object holds audit rows.
+    """
+    first = spark.read.text(path).filter(F.trim("value") != "").select(F.startswith(F.ltrim("value"), F.lit("{")).alias("audit")).first()
+    if first is None or not first.audit:
+        return id_list(spark, path), "list"
+    std = F.coalesce(F.stddev_samp("score"), F.lit(0.0))
+    groups = audit_scores(spark, path).groupBy(F.col("scenario_id").alias("id")).agg(std.alias("std"), F.avg("score").alias("mean"))
+    return groups.filter((F.col("std") < min_std - 1e-9) & (F.col("mean") < 1 - min_std)).select("id"), "audit"
+
+
+def blocking_labels(spark: SparkSession, path: str) -> DataFrame | None:
+    """(id, blocking) as an audit recorded them with its rows; None if it has none."""
+    rows = spark.read.schema("scenario_id string, blocking array<string>").json(path).filter("blocking is not null")
+    found = rows.select(F.col("scenario_id").alias("id"), F.array_sort("blocking").alias("blocking")).distinct()
+    return None if found.isEmpty() else found
+
+
+def resolve_blocking(spark: SparkSession, audit: str, labels: str | None) -> tuple[DataFrame | None, str]:
+    """Blocking labels from the audit, else from the label audit's file, else none; and which it was."""
+    recorded = blocking_labels(spark, audit)
+    if recorded is not None:
+        return recorded, "recorded"
+    return (label_audit(spark, labels), "label audit") if labels else (None, "none")
+
+
+TRUSTED = "id string, user_scenario string, evaluation_criteria struct<actions:array<struct<name:string,arguments:string,requestor:string>>>"
+
+
+def trusted_tasks(spark: SparkSession, path: str) -> DataFrame:
+    """(id, user_scenario, actions) of a JSON array of tasks: only the actions that the assistant has to take."""
+    df = spark.read.schema(TRUSTED).option("multiLine", True).json(path)
+    mine = F.filter("evaluation_criteria.actions", lambda a: a["requestor"] == "assistant")
+    return df.select("id", "user_scenario", F.coalesce(F.transform(mine, lambda a: F.struct(a["name"].alias("name"), a["arguments"].alias("arguments"))), F.array().cast("array<struct<name:string,arguments:string>>")).alias("actions"))
+
+
+class Snapshot:
+    """The tables of a database, written once; what they were can be read again whatever became of them."""
+
+    def __init__(self, spark: SparkSession, path: str) -> None:
+        self.spark, self.path = spark, path.rstrip("/")
+
+    def take(self, tables: dict[str, DataFrame]) -> Snapshot:
+        for name, df in tables.items():
+            df.write.mode("overwrite").parquet(f"{self.path}/{name}")
+        return self
+
+    def table(self, name: str) -> DataFrame:
+        return self.spark.read.parquet(f"{self.path}/{name}")
+
+
+def gold_turns(spark: SparkSession, turns: str, labels: str) -> DataFrame:
+    """The labelled turns of two files of JSON lines, by turn_id; turns without a label are left out."""
+    t = spark.read.schema("turn_id string, task string, sample long, m long, template string, text string").json(turns)
+    return t.join(spark.read.schema("turn_id string, labels map<string,string>").json(labels), "turn_id")
+
+
+def histories(spark: SparkSession, path: str) -> DataFrame:
+    """(task, sample, pos, role, content): the messages of transcripts, system turns left out, places counted without them."""
+    t = spark.read.schema("task string, sample long, messages array<struct<role:string,content:string>>").json(path)
+    said = F.filter("messages", lambda m: m["role"] != "system")
+    return t.select("task", "sample", F.posexplode(said).alias("pos", "m")).select("task", "sample", "pos", "m.role", "m.content")
+
+
+def resolved(path: str, root: str) -> str:
+    """The path as it is if something is there, else under the root."""
+    return path if os.path.isabs(path) or os.path.exists(path) else os.path.join(root, path)
 
 
 def label_audit(spark: SparkSession, path: str) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -35,3 +35,32 @@ def parse_mix(spec: str) -> dict[str, float]:
     if not out or min(out.values()) <= 0:
         raise ValueError(f"not a mix: {spec}")
     return out
+
+
+#: Shares of categories that go by a name.
+NAMED_MIXES = {"even": "happy_path=0.2,context=0.2,policy=0.2,ambiguous=0.2,out_of_scope=0.2", "hard": "policy=0.4,ambiguous=0.4,out_of_scope=0.2"}
+
+
+def named_mix(spec: str) -> dict[str, float]:
+    """A mix by its name, or as it is written."""
+    return parse_mix(NAMED_MIXES.get(spec, spec))
+
+
+def append_summaries(stream: DataFrame, path: str, checkpoint: str):
+    """A stream of (step, reward, success): each batch adds one row of JSON for each of its steps. A batch done twice writes its folder anew."""
+
+    def write(batch: DataFrame, number: int) -> None:
+        g = batch.groupBy("step").agg(F.count("*").alias("n"), F.round(F.avg("reward"), 6).alias("mean"), F.round(F.avg(F.col("success").cast("int")), 6).alias("success"))
+        g.write.mode("overwrite").json(f"{path}/batch={number}")
+
+    return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def save_verdicts(verdicts: DataFrame, path: str) -> None:
+    verdicts.select("scenario_id", "verdict", "note").write.mode("overwrite").json(path)
+
+
+def load_verdicts(spark: SparkSession, path: str) -> DataFrame:
+    """(scenario_id, verdict, note); without a verdict it is pending."""
+    df = spark.read.schema("scenario_id string, verdict string, note string").json(path)
+    return df.fillna({"verdict": "pending", "note": ""})

@@ -3,14 +3,15 @@
 from __future__ import annotations
 
 import difflib
+import json
 
 import pytest
 from pyspark.sql import functions as F
 
-from loomline.functions import fold
+from loomline.functions import analyzer, fold, scripted
 from loomline.functions import grading as G
 from loomline.functions import text as T
-from loomline.operators import decontam, episodes, evalx, exclusions, retail, review, rollup, selection, stats
+from loomline.operators import decontam, episodes, evalx, exclusions, retail, review, rollouts, rollup, selection, stats
 from loomline.sources import files, sinks
 from loomline.streaming import events as st
 
@@ -210,3 +211,84 @@ def test_stream_completes_audits_and_folds_conversations(spark, tmp_path):
     live, batch = spark.table("c").collect()[-1], episodes.replay(said).first()
     assert (live.turns, live.calls, live.end_reason) == (batch.turns, batch.calls, batch.end_reason) == (1, 1, "user_stop")
     assert batch.confirmed == 1
+
+
+def test_audits_tasks_and_transcripts(spark, tmp_path):
+    w = lambda name, text: ((tmp_path / name).write_text(text), str(tmp_path / name))[1]
+    audit = w("audit.jsonl", "\n".join(f'{{"scenario_id": "{i}", "sample": {k}, "score": {v}, "blocking": ["x"]}}' for i, vs in (("a", (0, 0)), ("b", (0, 1)), ("c", (1, 1))) for k, v in enumerate(vs)))
+    ids, basis = files.zero_variance_ids(spark, audit)
+    assert ([r.id for r in ids.collect()], basis) == (["a"], "audit")
+    ids, basis = files.zero_variance_ids(spark, w("ids.txt", "\n# note\nq\n"))
+    assert ([r.id for r in ids.collect()], basis) == (["q"], "list")
+    with pytest.raises(ValueError):
+        files.id_list(spark, w("none.txt", "# nothing\n"), needed=True)
+    assert {r.id: r.blocking for r in files.blocking_labels(spark, audit).collect()} == {"a": ["x"], "b": ["x"], "c": ["x"]}
+    plain, labels = w("plain.jsonl", '{"scenario_id": "a", "score": 1}'), w("labels.json", '{"a": {"blocking": ["y"]}}')
+    assert files.blocking_labels(spark, plain) is None
+    assert [files.resolve_blocking(spark, *x)[1] for x in ((audit, labels), (plain, labels), (plain, None))] == ["recorded", "label audit", "none"]
+    tasks = w("tasks.json", '[{"id": "1", "user_scenario": "s", "evaluation_criteria": {"actions": [{"name": "n", "arguments": {"a": 1}, "requestor": "assistant"}, {"name": "u", "requestor": "user"}]}}, {"id": "2"}]')
+    assert {r.id: [(a.name, a.arguments.replace(' ', '')) for a in r.actions] for r in files.trusted_tasks(spark, tasks).collect()} == {"1": [("n", '{"a":1}')], "2": []}
+    gold = files.gold_turns(spark, w("turns.jsonl", '{"turn_id": "t1", "task": "1", "sample": 0, "m": 2, "text": "x"}\n{"turn_id": "t2"}'), w("gold.jsonl", '{"turn_id": "t1", "labels": {"refusal": "no"}}'))
+    assert [(r.turn_id, r.labels) for r in gold.collect()] == [("t1", {"refusal": "no"})]
+    said = files.histories(spark, w("said.jsonl", '{"task": "1", "sample": 0, "messages": [{"role": "system", "content": "s"}, {"role": "user", "content": "u"}, {"role": "assistant", "content": "a"}]}'))
+    assert sorted(map(tuple, said.collect())) == [("1", 0, 0, "user", "u"), ("1", 0, 1, "assistant", "a")]
+    cells = tmp_path / "cells"
+    cells.mkdir()
+    for name, text in (("good.json", "[]"), ("bad.json", "{nope"), ("odd.json", "{}")):
+        (cells / name).write_text(text)
+    assert sorted(r.cell for r in files.cell_findings(spark, str(cells)).collect()) == ["bad", "odd"]
+    snap = files.Snapshot(spark, str(tmp_path / "snap")).take({"t": spark.range(3).toDF("id")})
+    assert snap.table("t").count() == 3 and files.resolved("/x", "/y") == "/x" and files.resolved("nowhere/x", "/y") == "/y/nowhere/x"
+    v = spark.createDataFrame([("a", "accept", None), ("b", None, "n")], "scenario_id string, verdict string, note string")
+    sinks.save_verdicts(v, str(tmp_path / "v"))
+    assert sorted(map(tuple, sinks.load_verdicts(spark, str(tmp_path / "v")).collect())) == [("a", "accept", ""), ("b", "pending", "n")]
+    assert sum(sinks.named_mix("even").values()) == pytest.approx(1) and sinks.named_mix("a=1") == {"a": 1.0}
+
+
+def test_summaries_are_appended_by_batch(spark, tmp_path):
+    spark.createDataFrame([(1, 0.5, True), (1, 1.0, False), (2, 0.0, False)], "step long, reward double, success boolean").coalesce(1).write.parquet(str(tmp_path / "in"))
+    s = spark.readStream.schema("step long, reward double, success boolean").parquet(str(tmp_path / "in"))
+    q = sinks.append_summaries(s, str(tmp_path / "out"), str(tmp_path / "ck"))
+    assert q.awaitTermination(60)
+    got = spark.read.json(str(tmp_path / "out"))
+    assert sorted((r.step, r.n, r.mean, r.success) for r in got.collect()) == [(1, 2, 0.75, 0.5), (2, 1, 0.0, 0.0)]
+
+
+def test_bare_calls():
+    yes = ['{"name": "f", "arguments": {}}', 'so {"function": {"parameters": [1], "name": "g"}} it is', 'x { y {"name": "f", "arguments": {"a": [1, {"b": null}]}}', '[{"name":"f","arguments":"s"}]', '{"arguments": {"q": "}"}, "name": "f", "more": [true, -1.5e3]}']
+    no = ["", "{}", '{"name": "f"}', '{"name": "", "arguments": {}}', '{"name": 3, "arguments": {}}', '{"name": "f", "arguments": {}', 'name and arguments', '{"a": "name"}, {"arguments": 1}', '{"name" "f", "arguments": {}}']
+    assert [fold.bare_call(x) for x in yes] == [True] * len(yes) and [fold.bare_call(x) for x in no] == [False] * len(no) and fold.bare_call(None) is False
+
+
+def test_texts_are_cleaned_and_split(spark):
+    text = "## Plan\n* **Cancel** credit_card_1234567 — now. \"Really?\" (Yes.) it costs $ 1,200.50"
+    r = spark.createDataFrame([(text,)], "t string").select(T.clean(F.col("t")).alias("c"), T.sentences(F.col("t")).alias("s"), T.money(F.col("t")).alias("m"), T.claims_done(F.lit("Your order has now been cancelled")).alias("d"), T.claims_done(F.lit("I can cancel it")).alias("n")).first()
+    assert r.c.startswith("Plan\nCancel credit_card_1234567  --  now.") and r.s[:2] == ["Plan", "Cancel credit_card_1234567  --  now."] and r.m == [1200.5] and r.d and not r.n
+
+
+def test_turns_are_analyzed():
+    m = [{"pm_id": "credit_card_0000001", "source": "credit_card", "brand": "visa", "last_four": "0001"}, {"pm_id": "paypal_0000001", "source": "paypal"}]
+    named = analyzer.payment_mentions("I'll move it from your Visa ending in 0001 to PayPal, e.g. a gift card. The original payment method works.", m, "credit_card_0000001")
+    assert [(pm, proposed) for _, _, pm, proposed in named] == [("credit_card_0000001", False), ("credit_card_0000001", False), ("paypal_0000001", True), ("credit_card_0000001", True)]
+    assert analyzer.units("Here is the plan:\n- return the lamp\n- refund it\nDo you confirm? Please share your zip.") == ["Here is the plan: return the lamp; refund it;", "Do you confirm?", "Please share your zip."]
+    ring = [{"item_id": k, "name": "small ring", "options": {"color": c, "size": "3"}} for k, c in ((1, "red"), (2, "blue"), (3, "dark blue"))]
+    facts = {"methods": m, "original": "paypal_0000001", "items": ring[:1], "variants": ring, "orders": ["#W0000001"]}
+    s = analyzer.analyze("I can exchange the small ring for the dark blue one on #W0000002 and charge your Visa. Do you confirm (yes/no)?", facts)
+    assert s["consent"] and s["action"] == "exchange" and s["payments"] == ["credit_card_0000001"] and s["problems"] == ["#W0000002: not the user's"] and '"item_id": 3' in s["changes"]
+    assert analyzer.analyze("Your small ring can be had in green.", facts)["changes"] == "[]" and analyzer.options_said("two reds", {"color": ["red", "blue"]}) == {"color": "red"}
+    assert analyzer.option_check(ring[0], {"color": "green"}, ring) == ("none", None) and analyzer.item_spans("", ["x"]) == []
+    assert analyzer.analyze("", {})["asks"] == [] and analyzer.analyze(None, {})["action"] is None
+
+
+def test_scripted_users_and_agents(spark):
+    db = {"orders": {"#W0000001": {"order_id": "#W0000001", "status": "pending"}, "#W0000002": {"order_id": "#W0000002", "status": "delivered"}}, "email": "a@b.cc", "user_id": 1}
+    requests = [{"order_id": o, "action": a, "status": s, "ask": f"I want to {a} order {o}."} for o, a, s in (("#W0000001", "cancel", "pending"), ("#W0000002", "return", "delivered"))]
+    task = {"id": "1", "email": "a@b.cc", "identity": "My email is a@b.cc.", "opening": "Hi! I want to cancel order #W0000001.", "requests": requests, "other_order": "#W9999999", "db": db, "ends": {"#W0000001": "cancelled", "#W0000002": "return requested"}, "facts": {"orders": list(db["orders"])}}
+    got = {a: scripted.episode(task, f) for a, f in scripted.AGENTS.items()}
+    assert {a: r["reward"] for a, r in got.items()} == {"oracle": 1.0, "no_identity": 0.7, "no_consent": 0.7, "wrong_order": 0.0, "two_calls": 0.7, "stops": 0.0, "transfers": 0.0, "repeats": 0.0}
+    assert got["repeats"]["end_reason"] == "gave_up" and got["transfers"]["end_reason"] == "transfer" and got["oracle"]["writes"] == got["oracle"]["confirmed"] == 2
+    df = spark.createDataFrame([("1", json.dumps(task)), ("2", "{}")], "id string, task string")
+    rows = {(r.id, r.agent): r for r in rollouts.rollouts(df, ("oracle", "stops")).collect()}
+    assert rows["1", "oracle"].reward == 1.0 and rows["2", "oracle"].end_reason.startswith("error") and len(rows) == 4
+    with pytest.raises(ValueError):
+        rollouts.rollouts(df, ("nobody",))
