@@ -16,7 +16,7 @@ import tokenizers
 from pyspark.sql import functions as F
 
 from loomline.llm import bpe, chat, context_tree, prefix_free, quality, queries, rabin_karp, repeats, rules, secrets, simhash, spaced_seeds, text_stats
-from loomline.llm.common import fold_of
+from loomline.llm.common import fold_of, word_hashes
 
 WORDS = "the of and to in is on at by we go up alpha beta gamma delta river stone cloud train paper glass house plant".split()
 
@@ -571,3 +571,61 @@ def test_pipeline_runs_whole(spark, small):
     assert seen == sorted(seen, reverse=True) and 0.7 * n.count() < seen[-1] <= n.count()
     last = cp.STAGES[-1][1](spark, docs, small)
     assert last.count() == seen[-1]
+
+
+def test_quality_scores_equal_a_plain_machine(spark, docs, rows):
+    r = np.random.default_rng(5)
+    size = quality.BUCKETS + len(quality.STATS)
+    m = quality.Machine(r.normal(size=len(quality.STATS)), np.abs(r.normal(size=len(quality.STATS))) + 0.5, -0.2, r.normal(0, 0.3, size), r.normal(0, 0.1, (size, quality.FACTORS)))
+
+    def plain(t):
+        raw = (t or "").encode()
+        buf, off = np.frombuffer(raw, np.uint8), np.array([0, len(raw)])
+        column = lambda w: int(word_hashes(np.frombuffer(w, np.uint8), np.array([0]), np.array([len(w)]))[0] >> np.uint64(20)) % quality.BUCKETS
+        count = collections.Counter(column(w.translate(bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz"))) for w in re.findall(rb"[^\x20\x09-\x0D]+", raw))
+        x = {k: 1 + math.log(n) for k, n in count.items()}
+        norm = math.sqrt(sum(v * v for v in x.values())) or 1.0
+        x = {k: v / norm for k, v in x.items()}
+        stats = quality.features(buf, off).stats[0]
+        x |= {quality.BUCKETS + k: 0.3 * min(max((float(s) - m.mean[k]) / m.spread[k], -4), 4) for k, s in enumerate(stats)}
+        keys = list(x)
+        z = m.w0 + sum(m.w[k] * x[k] for k in keys) + sum(float(m.v[i] @ m.v[j]) * x[i] * x[j] for a, i in enumerate(keys) for j in keys[:a])
+        return 1 / (1 + math.exp(-min(max(z, -30), 30)))
+
+    got = sorted((str(x.doc_id), round(x.score, 3)) for x in quality.score(docs, m).collect())
+    want = sorted((str(i), round(plain(t), 3)) for i, t in rows)
+    assert [k for k, _ in got] == [k for k, _ in want] and np.allclose([v for _, v in got], [v for _, v in want], atol=0.003)
+
+
+def test_rules_verdicts_equal_plain_ones(docs):
+    tests = [(rules.Test("mean_word", True, 4.4), rules.Test("distinct_share", False, 0.3)), (rules.Test("upper_share", True, 0.5),), (rules.Test("n_words", False, 70.0), rules.Test("words_per_line", True, 60.0))]
+    value = {
+        "mean_word": lambda s: s.word_chars / max(s.n_words, 1), "distinct_share": lambda s: s.n_distinct / max(s.n_words, 1), "upper_share": lambda s: s.n_upper / max(s.word_chars, 1),
+        "n_words": lambda s: s.n_words, "words_per_line": lambda s: s.n_words / max(s.n_lines, 1),
+    }
+    holds = lambda t, s: value[t.name](s) >= t.bound if t.least else value[t.name](s) <= t.bound
+    for s in rules.judge(docs, tests).collect():
+        failed = s.n_words < 50 or 100 * s.n_repeat_words > 50 * s.n_words
+        assert s.base_failed == failed and s.kept == (not failed and not any(all(holds(t, s) for t in rule) for rule in tests))
+
+
+def test_pipeline_stages_take_edge_cases(spark, small):
+    import corpus_pipeline as cp
+
+    bench = spark.read.parquet(f"{small}/benchmark.parquet").filter("length(text) > 80").first().text
+    good = [r.text for r in spark.read.parquet(f"{small}/documents.parquet").join(spark.read.parquet(f"{small}/labels.parquet").filter("quality = 1"), "doc_id").limit(3).collect()]
+    secret = 'token = "' + hashlib.sha1(b"z").hexdigest() + '"'
+    rows = [(1, good[0]), (1, good[0]), (2, good[1]), (2, good[2]), (None, good[0]), (None, None), (3, ""), (4, None), (5, f"{prose(3, 90)} {bench}"), (6, f"{prose(4, 90)} {secret}"), (7, prose(5, 40_000))]
+    made = [(i, t, "en", "s", len(t or ""), "k", "o", k) for k, (i, t) in enumerate(rows)]
+    docs = spark.createDataFrame(made, "doc_id long, text string, lang string, source string, n_chars long, key string, old string, _key int")
+    stages = dict(cp.STAGES)
+    for name in ("quality_classifier", "simhash_near_dedup", "benchmark_decontamination", "secret_scan"):
+        assert stages[name](spark, docs, small).columns == docs.columns and stages[name](spark, docs.limit(0), small).count() == 0
+    distinct = {r._key for r in stages["simhash_near_dedup"](spark, docs, small).collect()}
+    assert len(distinct & {0, 1}) == 1 and {2, 3, 8, 9, 10} <= distinct and not {4} & distinct and len(distinct & {5, 6, 7}) == 1
+    clean = {r._key for r in stages["benchmark_decontamination"](spark, docs, small).collect()}
+    assert 8 not in clean and {0, 1, 4, 5, 6, 7, 9, 10} <= clean
+    safe = {r._key: r for r in stages["secret_scan"](spark, docs, small).collect()}
+    assert safe[9].text.endswith('token = "[SECRET]"') and safe[9].n_chars == len(safe[9].text) and safe[5].text is None and safe[10].text == rows[10][1]
+    coded = stages["bpe_encoding"](spark, docs, small)
+    assert coded.count() == len(rows) and coded.filter("doc_id = 3").first().n_tokens == 0
