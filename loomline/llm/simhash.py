@@ -27,7 +27,7 @@ from itertools import accumulate, combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomline.llm.common import BASES, bounded, buffers, cut, LOWER, mix, Rolling, Scratch, signed, trimmed, U, unused, word_hashes, words
@@ -341,6 +341,8 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, radius: int = 2, id
 
 #: Bands of min-hashes and their number in a band: two sets of similarity s share a band with probability 1 - (1 - s^ROWS)^BANDS, 0.9994 at 0.8.
 BANDS, ROWS = 40, 8
+#: Shingles that so many texts have, or fewer, are rare.
+RARE = 16
 #: Bytes of text that are compared at a time.
 COMPARED_BYTES = 1 << 22
 #: Up to so many keys of rows that go are broadcast; more are joined.
@@ -426,8 +428,8 @@ def _similar(pairs: DataFrame, texts: DataFrame, shingle_words: int, least: floa
     return scratch.table("similar", both.mapInArrow(of, "x long, y long"))
 
 
-def _shared(texts: DataFrame, shingle_words: int) -> DataFrame:
-    """(x, alone): how many shingles of each text no other of these texts has."""
+def _shingles(texts: DataFrame, shingle_words: int) -> DataFrame:
+    """(x, h): the distinct shingles of each text."""
 
     @trimmed
 
@@ -438,8 +440,7 @@ def _shared(texts: DataFrame, shingle_words: int) -> DataFrame:
                 own = np.repeat(keys[i : i + len(sets)], [len(x) for x in sets])
                 yield pa.record_batch([pa.array(own), signed(np.concatenate([*sets, np.zeros(0, U)]))], ["x", "h"])
 
-    rows = texts.select("key", "text").mapInArrow(of, "x long, h long")
-    return rows.groupBy("h").agg(F.min("x").alias("x"), F.max("x").alias("other")).filter("x = other").groupBy("x").agg(F.count("*").alias("alone"))
+    return texts.select("key", "text").mapInArrow(of, "x long, h long")
 
 
 def _small(keys: DataFrame) -> DataFrame:
@@ -476,8 +477,9 @@ def similar_groups(
     The head of a bucket is the class that meets most others, over all its buckets: where copies were
     made of one text, that text. A class is first compared with the head that meets most, then with
     the heads of all its buckets and those of like fingerprint, and last with every other of its
-    buckets, each time only where the two aren't in one component yet. Before the last step shingles that
-    one text alone has are counted: a text with too many can't be similar to any other. What then is
+    buckets, each time only where the two aren't in one component yet. In the last step shingles that
+    at most `RARE` of these texts have are apart: texts that share some are met by them, and of two that share
+    none the others bound what can be common, which rules out most pairs of a bucket unseen. What then is
     left grows with the square of a group of texts that share nearly all and yet stay below `least`.
     Texts without words are equal to each other.
     """
@@ -523,12 +525,27 @@ def similar_groups(
     named = crowd.select("h", "x", "n").join(roots.withColumnRenamed("key", "x"), "x", "left").withColumn("root", F.coalesce("root", "x"))
     parted = named.groupBy("h").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("h")
     left = scratch.table("open", named.join(parted, "h"))
-    alone = _shared(texts.join(left.select(F.col("x").alias("key")).distinct(), "key", "left_semi"), shingle_words)
-    left = left.join(alone, "x", "left").withColumn("most", F.col("n") - F.coalesce("alone", F.lit(0))).filter(F.col("most") >= least * F.col("n") - 1e-9)
-    left = scratch.table("left", left.select("h", "x", "n", "root", "most"))
-    other = left.select("h", F.col("x").alias("y"), F.col("n").alias("m"), F.col("root").alias("of"), F.col("most").alias("most_y"))
-    both = F.least("most", "most_y")  # so many shingles can be common at most
-    rest = left.join(other, "h").filter((F.col("x") > F.col("y")) & (F.col("root") != F.col("of")) & (both >= least * (F.col("n") + F.col("m") - both) - 1e-9))
+    shingles = scratch.table("shingles", _shingles(texts.join(left.select(F.col("x").alias("key")).distinct(), "key", "left_semi"), shingle_words))
+    held = shingles.groupBy("h").agg(F.count("*").alias("c"))
+    rare = scratch.table("rare", shingles.join(held.filter(F.col("c") <= RARE), "h").select("h", "x", "c"))
+    count = rare.groupBy("x").agg(F.count("*").alias("rare"), F.count_if(F.col("c") == 1).alias("alone"))
+    none = F.lit(0).cast("long")
+    each = left.select("x", "n", "root").distinct().join(count, "x", "left")
+    each = each.filter(F.col("n") - F.coalesce("alone", none) >= least * F.col("n") - 1e-9).select("x", "n", "root", (F.col("n") - F.coalesce("rare", none)).alias("most"))
+    each = scratch.table("each", each, total)
+    other = each.select(F.col("x").alias("y"), F.col("n").alias("m"), F.col("root").alias("of"), F.col("most").alias("most_y"))
+
+    def possible(common: Column) -> Column:
+        """Whether so many common shingles, at most, can make the sets similar."""
+        return common >= least * (F.col("n") + F.col("m") - common) - 1e-9
+
+    rows_ = left.select("h", "x").join(each, "x")
+    rest = rows_.join(left.select("h", F.col("x").alias("y")).join(other, "y"), "h")
+    rest = rest.filter((F.col("x") > F.col("y")) & (F.col("root") != F.col("of")) & possible(F.least("most", "most_y"))).select("x", "y")
+    some = rare.filter("c > 1").select("h", "x").join(each.select("x", "root"), "x")
+    met = some.join(some.select("h", F.col("x").alias("y"), F.col("root").alias("of")), "h").filter((F.col("x") > F.col("y")) & (F.col("root") != F.col("of")))
+    met = met.groupBy("x", "y").agg(F.count("*").alias("s")).join(each, "x").join(other, "y").filter(possible(F.least("most", "most_y") + F.col("s"))).select("x", "y")
+    rest = rest.unionByName(met)
     rest = scratch.table("rest", rest.select("x", "y").distinct().join(stars, ["x", "y"], "left_anti"))
     scratch.drop_all_but(members, texts, rest, *found, roots)
     found.append(_similar(rest, texts, shingle_words, least, scratch))
