@@ -6,75 +6,121 @@ length. Norms need all of a text's tokens; for the products, only tokens of the
 
 from __future__ import annotations
 
+import re
+from collections import Counter
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from loomline.functions.text import tokens
+
+
+WORD = re.compile("[a-z0-9]+")
+
+
+def _tf(text: str | None) -> Counter:
+    """How often a text has each word and each pair of neighbours."""
+    w = WORD.findall((text or "").lower())
+    n = Counter(w)
+    n.update(map("_".join, zip(w, w[1:], strict=False)))
+    return n
 
 
 def counts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, tok, tf)"""
-    t = docs.select(F.col(id_col).alias("id"), F.explode(tokens(F.col(text_col))).alias("tok"))
-    return t.groupBy("id", "tok").agg(F.count("*").alias("tf"))
+    """(id, tok, tf): how often each text has each token, counted in its task."""
+
+    def of(batches):
+        for b in batches:
+            ids, toks, tf = [], [], []
+            for i, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                n = _tf(text)
+                ids += [i] * len(n)
+                toks += n.keys()
+                tf += n.values()
+            yield pa.record_batch([pa.array(ids, pa.int64()), pa.array(toks, pa.string()), pa.array(tf, pa.int64())], ["id", "tok", "tf"])
+
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(of, "id long, tok string, tf long")
+
+
+def _idf(n: int) -> Column:
+    return F.ln((1 + F.lit(n)) / (1 + F.col("df"))) + 1
+
+
+def _unit(w: DataFrame) -> DataFrame:
+    norm = w.groupBy("id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
+    return w.join(norm, "id").select("id", "tok", (F.col("w") / F.col("norm")).alias("weight"))
 
 
 def weights(docs: DataFrame, held_out: DataFrame) -> DataFrame:
     """(side, id, tok, weight) of both sides' (id, text), each text's weights at unit length."""
-    tf = counts(docs, "id", "text").withColumn("side", F.lit(0)).unionByName(counts(held_out, "id", "text").withColumn("side", F.lit(1)))
-    n = docs.agg(F.count("*").alias("n")).unionByName(held_out.agg(F.count("*").alias("n"))).agg(F.sum("n").alias("n"))
-    df = tf.groupBy("tok").agg(F.count("*").alias("df"))
-    w = tf.join(df, "tok").join(F.broadcast(n), how="cross")
-    w = w.withColumn("w", F.col("tf") * (F.ln((1 + F.col("n")) / (1 + F.col("df"))) + 1))
-    norm = w.groupBy("side", "id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    return w.join(norm, ["side", "id"]).select("side", "id", "tok", (F.col("w") / F.col("norm")).alias("weight"))
+    both = [counts(x, "id", "text") for x in (docs, held_out)]
+    df = both[0].select("tok").unionByName(both[1].select("tok")).groupBy("tok").agg(F.count("*").alias("df"))
+    n = docs.count() + held_out.count()
+    x, y = (_unit(tf.join(df, "tok").select("id", "tok", (F.col("tf") * _idf(n)).alias("w"))).withColumn("side", F.lit(k)) for k, tf in enumerate(both))
+    return x.unionByName(y).select("side", "id", "tok", "weight")
 
 
 def best_match(docs: DataFrame, held_out: DataFrame, most: int = 1 << 20) -> DataFrame:
     """(id, match_id, similarity): each text's closest held-out text; of equals the least id.
 
-    A text that shares no token with any is matched to the least id at 0. The held-out weights are
-    broadcast if they are at most `most`, and each text, brought to those of its tokens that they have, is
-    scored against all of them at once; more are joined token by token.
+    A text that shares no token with any is matched to the least id at 0. The held-out tokens and their
+    weights are broadcast if they are at most `most`; then a text is scored against all of them in its task, and
+    only for its length do its counts meet the tokens' document counts. More are joined token by token.
     """
-    w = weights(docs, held_out)
-    items = w.filter("side = 1").select("id", "tok", "weight")
-    if items.limit(most + 1).count() <= most:
-        best = _scored(w.filter("side = 0"), items.toArrow())
-        least = held_out.agg(F.min("id").alias("least"))
-        out = docs.select("id").join(best, "id", "left").join(F.broadcast(least), how="cross")
-        return out.select("id", F.coalesce("match_id", "least").alias("match_id"), F.coalesce("similarity", F.lit(0.0)).alias("similarity"))
-    return _joined(w, docs, held_out)
-
-
-def _scored(w: DataFrame, items: pa.Table) -> DataFrame:
-    """(id, match_id, similarity) of the texts that share a token with an item, from the items' weights."""
+    tf, held = counts(docs, "id", "text"), counts(held_out, "id", "text")
+    items = held.limit(most + 1).toArrow()
+    if items.num_rows > most:
+        return _joined(weights(docs, held_out), docs, held_out)
+    n = docs.count() + held_out.count()
+    df = tf.select("tok").unionByName(held.select("tok")).groupBy("tok").agg(F.count("*").alias("df"))
+    norm = tf.join(df, "tok").groupBy("id").agg(F.sqrt(F.sum(F.pow(F.col("tf") * _idf(n), F.lit(2)))).alias("norm"))
+    near = _scored(docs, items, df, n).join(norm, "id")
+    each = F.transform("near", lambda x: F.struct(F.round(x["sum"] / F.col("norm"), 9).alias("s"), (-x["match_id"]).alias("m")))
+    best = near.select("id", F.array_max(each).alias("best"))
+    least = held_out.agg(F.min("id").alias("least"))
+    out = docs.select("id").join(best, "id", "left").join(F.broadcast(least), how="cross")
+    return out.select("id", F.coalesce(-F.col("best.m"), "least").alias("match_id"), F.coalesce("best.s", F.lit(0.0)).alias("similarity"))
+
+
+def _scored(docs: DataFrame, items: pa.Table, df: DataFrame, n: int) -> DataFrame:
+    """(id, near): for each text that shares a token with an item, the products (match_id, sum) that may be its greatest once they are rounded."""
     toks, at = np.unique(items["tok"].to_numpy(zero_copy_only=False), return_inverse=True)
     ids, item = np.unique(np.asarray(items["id"]), return_inverse=True)
+    spark = docs.sparkSession
+    known = spark.createDataFrame(pa.table({"tok": pa.array(toks, pa.string()), "k": pa.array(np.arange(len(toks)))}), "tok string, k long")
+    found = df.join(F.broadcast(known), "tok").select("k", "df").toArrow()
+    idf = np.zeros(len(toks))
+    idf[np.asarray(found["k"]).astype(np.int64)] = np.log((1 + n) / (1 + np.asarray(found["df"]))) + 1
+    w = np.asarray(items["tf"]) * idf[at]
+    w = w / np.sqrt(np.bincount(item, w * w))[item]
     order = np.argsort(at, kind="stable")
-    bounds = np.searchsorted(at[order], np.arange(len(toks) + 1))
-    sent = w.sparkSession.sparkContext.broadcast((ids, item[order], np.asarray(items["weight"])[order], bounds))
-    known = w.sparkSession.createDataFrame(pa.table({"tok": pa.array(toks, pa.string()), "k": pa.array(np.arange(len(toks)))}), "tok string, k long")
-    own = w.join(F.broadcast(known), "tok").groupBy("id").agg(F.collect_list(F.struct("k", "weight")).alias("own"))
+    places = {t: k for k, t in enumerate(toks.tolist())}
+    sent = spark.sparkContext.broadcast((ids, item[order], w[order], np.searchsorted(at[order], np.arange(len(toks) + 1)), places, idf))
+    largest = float(np.log(1 + n) + 1)
 
     def of(batches):
-        ids, item, value, bounds = sent.value
+        ids, item, value, bounds, places, idf = sent.value
         for b in batches:
-            col = b.column(1)
-            off, flat = np.asarray(col.offsets) - col.offsets[0].as_py(), col.flatten()
-            k, v = np.asarray(flat.field(0)), np.asarray(flat.field(1))
-            match, best = np.zeros(b.num_rows, np.int64), np.zeros(b.num_rows)
-            for r in range(b.num_rows):
-                mine = k[off[r] : off[r + 1]]
-                n = bounds[mine + 1] - bounds[mine]
-                place = np.repeat(bounds[mine], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-                sums = np.round(np.bincount(item[place], np.repeat(v[off[r] : off[r + 1]], n) * value[place], minlength=len(ids)), 9)
-                match[r], best[r] = ids[sums.argmax()], sums.max()
-            yield pa.record_batch([b.column(0), pa.array(match), pa.array(best)], ["id", "match_id", "similarity"])
-
-    return own.mapInArrow(of, "id long, match_id long, similarity double")
+            keys, near = [], []
+            for i, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                tf = _tf(text)
+                mine = [(places[t], c) for t, c in tf.items() if t in places]
+                if not mine:
+                    continue
+                k, c = (np.array(x) for x in zip(*mine, strict=True))
+                m = bounds[k + 1] - bounds[k]
+                place = np.repeat(bounds[k], m) + np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m)
+                sums = np.bincount(item[place], np.repeat(c * idf[k], m) * value[place], minlength=len(ids))
+                # Sums that round alike differ by less than this, whatever the text's length in the end.
+                slack = 2e-9 * largest * np.sqrt(sum(x * x for x in tf.values()))
+                top = np.flatnonzero(sums >= sums.max() - slack)
+                keys.append(i)
+                near.append([{"match_id": int(ids[t]), "sum": float(sums[t])} for t in top])
+            yield pa.record_batch([pa.array(keys, pa.int64()), pa.array(near, pa.list_(pa.struct([("match_id", pa.int64()), ("sum", pa.float64())])))], ["id", "near"])
+
+    return docs.select(F.col("id").cast("long").alias("id"), F.col("text").cast("string").alias("text")).mapInArrow(of, "id long, near array<struct<match_id:long,sum:double>>")
 
 
 def _joined(w: DataFrame, docs: DataFrame, held_out: DataFrame) -> DataFrame:

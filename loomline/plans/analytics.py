@@ -83,9 +83,15 @@ def recommend_mix(spark, d):
     return stats.recommend_mix(stats.category_signal(stats.cells(_groups(spark, d))), RELEVANCE)
 
 
-@CORE.query("low_yield_cells", f"select category, theme from {CELLS} c where yld < 0.25")
+_DISC = f"""(select l_shipmode as category, k % 40 as theme, count(*) filter (where sd >= 0.05 - 1e-9) / count(*) as yld from (select l_orderkey as k, l_returnflag as l_shipmode, coalesce(stddev_samp(l_discount), 0) as sd from lineitem group by 1, 2) t group by 1, 2)"""
+
+
+@CORE.query("low_yield_cells", f"select category, theme from {_DISC} c where yld < 0.25")
 def low_yield_cells(spark, d):
-    return stats.cells(_groups(spark, d)).filter("low_yield").select("category", "theme")
+    """Cells of orders' lines of one flag: most groups have few lines, so many cells yield little."""
+    li = bind.table(spark, d, "lineitem")
+    rows = li.select(F.concat_ws("/", "l_orderkey", "l_returnflag").alias("scenario_id"), F.col("l_returnflag").alias("category"), (F.col("l_orderkey") % 40).alias("theme"), F.col("l_linenumber").alias("sample"), F.col("l_discount").alias("score"))
+    return stats.cells(stats.group_stats(rows)).filter("low_yield").select("category", "theme")
 
 
 _VS = """count(*) as n, count(*) filter (where not any_variance) as zero, count(*) filter (where effective) as effective,

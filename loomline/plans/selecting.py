@@ -158,9 +158,11 @@ def exclude_ids(spark, d):
     return _flagged(spark, d).filter("not excluded").select("id")
 
 
-@CORE.query("emptied_cells", f"select category, theme, count(*) as n from {FL} f group by 1, 2 having bool_and(excluded)")
+@CORE.query("emptied_cells", f"select category, theme, count(*) as n from (select *, theme || '/' || id % 40 as theme_ from {FL} f) g group by category, theme_, theme having bool_and(excluded)".replace("select category, theme,", "select category, theme_ as theme,"))
 def emptied_cells(spark, d):
-    return ex.emptied_cells(_flagged(spark, d))
+    """Cells of a category, a theme and one of 40 parts of it."""
+    f = _flagged(spark, d)
+    return ex.emptied_cells(f.withColumn("theme", F.concat_ws("/", "theme", (F.col("id") % 40).cast("string"))))
 
 
 @CORE.query("exclusion_shift", f"select category, round(count(*) / sum(count(*)) over (), 6) as before, round(count(*) filter (where not excluded) / sum(count(*) filter (where not excluded)) over (), 6) as after from {FL} f group by 1")

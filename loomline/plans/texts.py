@@ -278,7 +278,7 @@ _ACT = """(select event_id, case when event_id % 13 = 0 then null when event_id
       when pred is null or pred <> gold or not known then 0.0 when not schema_ok then 0.2
       when gold = 'transfer_to_human_agents' then case when length(regexp_replace(summary, '\\s', '', 'g')) >= 20 then 1.0 else 0.6 end
       when gold_fails then case when not pred_fails then 0.2 when same_error then 1.0 else 0.3 + 0.7 * sim end when pred_fails then 0.2
-      when not mutates then case when decides and output_same then 1.0 else 0.3 + 0.7 * args end when state_exact then 1.0 else 0.3 + 0.7 * state end, 4) as reward from {_ACT} a""",
+      when not mutates then case when decides and output_same then 1.0 else 0.3 + 0.7 * args end when state_exact then 1.0 else 0.3 + 0.7 * state end, 8) as reward from {_ACT} a""",
 )
 def action_reward(spark, d):
     e = bind.table(spark, d, "events")
@@ -292,7 +292,7 @@ def action_reward(spark, d):
         "output_same": v > 60, "output_decides": u % 7 != 0, "state_exact": v > 150, "state": F.least(v / 400, F.lit(1.0)), "args": F.least(v / 200, F.lit(1.0)), "mutates": i % 3 == 2,
         "summary": F.when(v > 80, "the caller wants a person").when(v > 40, " a  b c d e f g h i j ").otherwise(F.col("props")),
     }
-    return e.select("event_id", F.round(G.action_reward(c), 4).alias("reward"))
+    return e.select("event_id", F.round(G.action_reward(c), 8).alias("reward"))
 
 
 _KEPT = ("items", "exchange_items", "exchange_new_items", "exchange_payment_method_id", "return_items", "return_payment_method_id", "payment_history", "address")
