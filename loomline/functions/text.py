@@ -95,8 +95,8 @@ def payment_phrase(source: Column, brand: Column, last_four: Column) -> Column:
 
 
 def opening_body(opening: Column) -> Column:
-    """An opening without its greeting and identity clause."""
-    return F.regexp_replace(opening, r"^(?i)(?:hi|hello|hey)[^.!?]*[.!?]\s*(?:my name is|i'm|i am|my email is)?[^.!?]*?[.!?]?\s+", "")
+    """An opening without its greeting and the sentence that tells who speaks."""
+    return F.regexp_replace(opening, r"(?is)^(?:hi|hello|hey)\b.*?[.!?,]\s+(?:(?:my (?:name|email)|i'm|i am)\b.*?[.!?]\s+)?(?=\S)", "")
 
 
 def request(sentence: Column) -> Column:

@@ -72,3 +72,22 @@ def page(sample: DataFrame) -> DataFrame:
     one = F.concat(F.lit("## "), F.col("id").cast("string"), mark, F.lit("\n\n> "), F.replace("text", F.lit("\n"), F.lit("\n> ")), F.lit("\n"))
     rows = F.sort_array(F.collect_list(F.struct("id", one.alias("m"))))
     return sample.groupBy("cell").agg(F.concat(F.lit("# "), F.first("cell"), F.lit("\n\n"), F.array_join(F.transform(rows, lambda r: r["m"]), "\n")).alias("markdown"))
+
+
+def byte_ids(text: Column, special: dict[str, int]) -> Column:
+    """A text as the ids of its UTF-8 bytes, control strings as one id each: the tokenizer that is there without a vocabulary.
+
+    Each control string must be one id, and none may be a part of another.
+    """
+    names = sorted(special, key=len, reverse=True)
+    if len(set(special.values())) < len(special) or any(a != b and a in b for a in names for b in names) or any(v < 256 for v in special.values()):
+        raise ValueError("control strings must have ids of their own and not hold each other")
+    octets = lambda s: F.transform(F.regexp_extract_all(F.hex(F.encode(s, "UTF-8")), F.lit(".."), F.lit(0)), lambda x: F.conv(x, 16, 10).cast("int"))
+    ids = F.create_map(*(F.lit(x) for kv in special.items() for x in kv)) if special else F.create_map().cast("map<string,int>")
+    cut = F.split(F.regexp_replace(text, "(" + "|".join(map(_quoted, names)) + ")", "\u0000$1\u0000"), "\u0000") if special else F.array(text)
+    part = lambda x: F.when(F.map_contains_key(ids, x), F.array(ids[x])).when(F.length(x) > 0, octets(x)).otherwise(F.array().cast("array<int>"))
+    return F.flatten(F.transform(cut, part))
+
+
+def _quoted(s: str) -> str:
+    return f"\\Q{s}\\E"

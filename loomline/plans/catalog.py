@@ -6,7 +6,7 @@ import importlib
 
 from loomline.registry import CORE, Registry
 
-MODULES = [f"loomline.plans.{m}" for m in ("analytics", "selecting", "texts", "retail", "reviews", "events", "supply", "prompts", "templates", "execution", "reports", "turns")]
+MODULES = [f"loomline.plans.{m}" for m in ("analytics", "selecting", "texts", "retail", "reviews", "events", "supply", "prompts", "templates", "execution", "reports", "turns", "rewards")]
 
 
 def load() -> Registry:
