@@ -41,7 +41,7 @@ def shared_folder(spark: SparkSession) -> str:
     return os.path.join(tempfile.gettempdir(), f"loomline-{os.getpid()}")
 
 
-FILE_ROWS = 50_000
+FILE_ROWS = 20_000
 
 
 class Scratch:
