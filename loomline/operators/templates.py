@@ -23,6 +23,11 @@ def once_in_order(items: DataFrame) -> DataFrame:
     return items.withColumn("_n", F.count("*").over(W.partitionBy("order_id", "product"))).filter("_n = 1").drop("_n")
 
 
+def n_once(items: DataFrame) -> DataFrame:
+    """(order_id, n_items): how many products an order has once, from counts, so no task sorts the items."""
+    return items.groupBy("order_id", "product").agg(F.count("*").alias("_n")).filter("_n = 1").groupBy("order_id").agg(F.count("*").alias("n_items"))
+
+
 def return_fallback(orders: DataFrame, methods: DataFrame, items: DataFrame, n: int = 1) -> DataFrame:
     """(order_id, user_id, original, asked, n_items): delivered orders whose refund can be asked to a method that it can't go to.
 
@@ -34,7 +39,7 @@ def return_fallback(orders: DataFrame, methods: DataFrame, items: DataFrame, n:
     other = m.filter("source <> 'gift_card' and unique").select("user_id", F.col("pm_id").alias("asked"))
     o = orders.filter("status = 'delivered'").join(paid, ["user_id", "pm_id"]).join(other, "user_id").filter("asked <> pm_id")
     o = o.groupBy("order_id", "user_id", F.col("pm_id").alias("original")).agg(F.min("asked").alias("asked"))
-    named = once_in_order(items).groupBy("order_id").agg(F.count("*").alias("n_items")).filter(F.col("n_items") >= n)
+    named = n_once(items.join(o.select("order_id").distinct().hint("merge"), "order_id", "left_semi")).filter(F.col("n_items") >= n)
     return o.join(named, "order_id").select("order_id", "user_id", "original", "asked", "n_items")
 
 
@@ -63,18 +68,19 @@ def item_changes(items: DataFrame, variants: DataFrame, prices: DataFrame, metho
     For orders of that status: a modification if pending, an exchange if delivered. Items are those told by their
     product, by place; each takes its least variant. The method is the least that is called like no other and,
     if a gift card, covers a positive difference. corrected is another variant of the first item, for a change of
-    mind, where it has one and n < 3.
+    mind, where it has one and n < 3. Of variants (item_id, other_id) an item's two least are enough, as
+    `retail.least_variants` gives them. Parts and methods grow with the orders, so no side is broadcast by its size on disk.
     """
-    v = variants.join(prices.select(F.col("item_id").alias("other_id"), F.col("price").alias("new_price")), "other_id")
+    v = variants.join(prices.select(F.col("item_id").alias("other_id"), F.col("price").alias("new_price")).hint("merge"), "other_id")
     v = v.groupBy("item_id").agg(F.sort_array(F.collect_list(F.struct("other_id", "new_price"))).alias("v"))
-    plan = once_in_order(items.filter(F.col("status") == status)).join(v, "item_id")
+    plan = once_in_order(items.filter(F.col("status") == status)).join(v.hint("merge"), "item_id")
     plan = plan.withColumn("r", F.row_number().over(W.partitionBy("order_id").orderBy("pos", "item_id"))).filter(F.col("r") <= n)
     g = plan.groupBy("order_id", "user_id").agg(
         F.count("*").alias("k"), F.sort_array(F.collect_list(F.struct("r", "item_id", F.col("v")[0]["other_id"].alias("new_id")))).alias("x"),
         F.round(F.sum(F.col("v")[0]["new_price"] - F.col("price")), 2).alias("difference"), F.min(F.when(F.col("r") == 1, F.get("v", F.lit(1))["other_id"])).alias("corrected"),
     ).filter(F.col("k") == n)
     m = told_apart(methods).filter("unique").select("user_id", "pm_id", "source", "balance")
-    able = g.join(m, "user_id").filter("source <> 'gift_card' or balance >= greatest(difference, 0)")
+    able = g.join(m.hint("merge"), "user_id").filter("source <> 'gift_card' or balance >= greatest(difference, 0)")
     ids = lambda f: F.array_join(F.transform("x", lambda s: s[f].cast("string")), ",")
     return able.groupBy("order_id", "user_id", ids("item_id").alias("item_ids"), ids("new_id").alias("new_item_ids"), "difference", F.when(F.lit(n < 3), F.col("corrected")).alias("corrected")).agg(F.min("pm_id").alias("pm_id"))
 
