@@ -114,16 +114,28 @@ def modify_user_address(users: DataFrame) -> DataFrame:
 # --- who a text is about ------------------------------------------------------------------
 
 
-def identified(texts: DataFrame, users: DataFrame) -> DataFrame:
+#: Names that are broadcast, at most.
+FEW_NAMES = 20_000
+
+
+def identified(texts: DataFrame, users: DataFrame, most: int = FEW_NAMES) -> DataFrame:
     """(id, user_id): the one user whose zip a text names together with the first and last name.
 
-    Texts meet users on the zip; names are then looked for in the text.
+    Texts meet the distinct names of a zip, not its users; names are then looked for in the text. Where these are more than
+    `FEW_NAMES`, texts meet by zip and those of their substrings that are as long as a first name, so that only
+    names found in the text are paired with it.
     """
-    named = texts.select("id", "text", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(r"\b\d{5}\b"), F.lit(0)))).alias("zip"))
-    j = named.join(users.select("user_id", "first", "last", "zip"), "zip")
-    low = F.lower("text")
-    hit = j.filter(F.contains(low, F.lower("first")) & F.contains(low, F.lower("last")))
-    one = hit.groupBy("id", "zip").agg(F.count("*").alias("n"), F.min("user_id").alias("user_id")).filter("n = 1")
+    names = users.groupBy("zip", F.lower("first").alias("first"), F.lower("last").alias("last")).agg(F.count("*").alias("n"), F.min("user_id").alias("user_id"))
+    named = texts.select("id", "text", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(r"\b\d{5}\b"), F.lit(0)))).alias("zip")).withColumn("text", F.lower("text"))
+    if names.limit(most + 1).count() <= most:
+        j = named.join(F.broadcast(names), "zip").filter(F.contains("text", "first"))
+    else:
+        sizes = F.lit([r.n for r in names.filter("first is not null").select(F.length("first").alias("n")).distinct().collect()]).cast("array<int>")
+        cut = lambda n: F.transform(F.sequence(F.lit(1), F.length("text") - n + 1), lambda i: F.substr(F.col("text"), i, n))
+        parts = F.flatten(F.transform(F.filter(sizes, lambda n: n <= F.length("text")), cut))
+        j = named.withColumn("first", F.explode(F.array_distinct(parts))).join(names, ["zip", "first"])
+    hit = j.filter(F.contains("text", "last"))
+    one = hit.groupBy("id", "zip").agg(F.sum("n").alias("n"), F.min("user_id").alias("user_id")).filter("n = 1")
     return one.groupBy("id").agg(F.min_by("user_id", "zip").alias("user_id"))
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import pytest
 from pyspark.sql import functions as F
 
-from loomline.operators import retail
+from loomline.operators import execution, retail, templates
 from loomline.plans import catalog
 
 CORE = catalog.load()
@@ -31,3 +31,27 @@ def test_least_variants_are_the_least_of_all(spark):
         got.setdefault(r.item_id, []).append(r.other_id)
     assert max(map(len, want.values())) > 2
     assert {k: sorted(v) for k, v in got.items()} == {k: sorted(v)[:2] for k, v in want.items()}
+
+
+def test_names_are_met_by_what_a_text_holds(spark):
+    u = spark.createDataFrame([(1, "Ann", "Lee", "01000"), (2, "Jo", "Ray", "01000"), (3, "Jo", "Ray", "02000"), (4, "", "Fox", "02000"), (5, None, "Fox", "02000"), (6, "Bo", "Kim", "03000"), (7, "BO", "kim", "03000")], "user_id long, first string, last string, zip string")
+    said = ["Joanne Lee, zip 01000", "jo ray 02000 or 01000", "Fox at 02000", "Bo Kim 03000", "x 01000", "Jo", None]
+    t = spark.createDataFrame(list(enumerate(said)), "id long, text string")
+    want = {0: 1, 1: 2, 2: 4}
+    assert all({r.id: r.user_id for r in templates.identified(t, u, most).collect()} == want for most in (0, 100))
+
+
+def test_calls_without_a_key_are_spread(spark):
+    users = spark.createDataFrame([(1, "A", "B", "0", "a@x")], "user_id long, first string, last string, zip string, email string")
+    orders = spark.createDataFrame([("#W1", 1, "pending", "c1")], "order_id string, user_id long, status string, pm_id string")
+    methods = spark.createDataFrame([(1, "c1"), (1, "c2")], "user_id long, pm_id string")
+    calls = spark.range(400).select(F.col("id").alias("call_id"), F.lit("get_user_details").alias("tool"), F.create_map(F.lit("user_id"), F.lit("01")).alias("arguments"))
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = execution.executed(calls, orders, users, methods)
+        n = [r["count"] for r in out.groupBy(F.spark_partition_id()).count().collect()]
+        assert len(n) == 4 and out.filter("ok").count() == 400
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
