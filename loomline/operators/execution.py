@@ -22,18 +22,20 @@ def executed(calls: DataFrame, orders: DataFrame, users: DataFrame, methods: Dat
     """(call_id, ok, value, error_type, error, schema_valid, mutates) of calls (call_id, tool, arguments map).
 
     Each call meets the database as it stands. orders: (order_id, user_id, status, pm_id); users: (user_id, first,
-    last, zip, email); methods: (user_id, pm_id). Keys are looked up by joins, whatever the call asks for.
+    last, zip, email); methods: (user_id, pm_id). Keys are looked up by joins, whatever the call asks for; a call
+    that lacks a key takes one of its own that nothing has, so that such calls don't meet in one task.
     """
     a = lambda k: F.col("arguments")[k]
-    c = checked(calls)
+    c = checked(calls).withColumn("_none", F.concat(F.lit("\0"), F.xxhash64("call_id").cast("string")))
+    key = lambda k: F.coalesce(k.cast("string"), "_none")
     o = orders.select(F.col("order_id").alias("o_id"), F.col("user_id").alias("o_user"), "status", F.col("pm_id").alias("paid"))
     u = users.select(F.col("user_id").alias("u_id"), "first", "last", "zip")
     mail = users.select(F.lower("email").alias("mail"), F.col("user_id").alias("by_mail"))
     name = users.groupBy("first", "last", "zip").agg(F.min("user_id").alias("by_name")).select(F.lower("first").alias("f"), F.lower("last").alias("l"), F.col("zip").alias("z"), "by_name")
     m = methods.select(F.col("user_id").alias("m_user"), F.col("pm_id").alias("m_id"))
-    j = c.join(o, a("order_id") == F.col("o_id"), "left").join(u, a("user_id").try_cast("long") == F.col("u_id"), "left").join(mail, F.lower(a("email")) == F.col("mail"), "left")
-    j = j.join(name, (F.lower(a("first_name")) == F.col("f")) & (F.lower(a("last_name")) == F.col("l")) & (a("zip") == F.col("z")), "left")
-    j = j.join(m, (F.col("o_user") == F.col("m_user")) & (a("payment_method_id") == F.col("m_id")), "left")
+    j = c.join(o, key(a("order_id")) == F.col("o_id"), "left").join(u, key(a("user_id").try_cast("long")) == F.col("u_id").cast("string"), "left").join(mail, key(F.lower(a("email"))) == F.col("mail"), "left")
+    j = j.join(name, (key(F.lower(a("first_name"))) == F.col("f")) & (F.lower(a("last_name")) == F.col("l")) & (a("zip") == F.col("z")), "left")
+    j = j.join(m, (key(a("payment_method_id")) == F.col("m_id")) & (F.col("o_user") == F.col("m_user")), "left")
     t, none = F.col("tool"), F.lit(None).cast("string")
     no_order, no_user, no_method = F.col("o_id").isNull(), F.col("u_id").isNull(), F.col("m_id").isNull()
     status, pays = F.col("status"), t.isin("return_delivered_order_items", "exchange_delivered_order_items", "modify_pending_order_items", "modify_pending_order_payment")
