@@ -155,7 +155,23 @@ def difficulty_label(score: Column) -> Column:
 def text_ratio(a: str | None, b: str | None) -> float:
     """Ratcliff-Obershelp similarity of trimmed lower-case texts, scaled from a floor of 0.3."""
     x, y = (a or "").strip().lower(), (b or "").strip().lower()
-    r = difflib.SequenceMatcher(None, x, y, autojunk=False).ratio()
+    m = difflib.SequenceMatcher(None, x, y, autojunk=False)
+    # Lengths, then counts of characters, bound the ratio from above: at or below the floor the score is 0 whatever matches.
+    if m.real_quick_ratio() <= TEXT_FLOOR or m.quick_ratio() <= TEXT_FLOOR:
+        return 0.0
+    # The matching blocks are those of `ratio`; what is matched and what the stretches left can match at most bound it on the way.
+    total, matched, bound, left = len(x) + len(y), 0, min(len(x), len(y)), [(0, len(x), 0, len(y))]
+    while left:
+        alo, ahi, blo, bhi = left.pop()
+        i, j, k = m.find_longest_match(alo, ahi, blo, bhi)
+        bound -= min(ahi - alo, bhi - blo)
+        if k:
+            matched += k
+            bound += k + min(i - alo, j - blo) + min(ahi - i - k, bhi - j - k)
+            left += [s for s in ((alo, i, blo, j), (i + k, ahi, j + k, bhi)) if s[0] < s[1] and s[2] < s[3]]
+        if total and 2.0 * bound / total <= TEXT_FLOOR:
+            return 0.0
+    r = 2.0 * matched / total if total else 1.0
     return max(0.0, (r - TEXT_FLOOR) / (1 - TEXT_FLOOR))
 
 

@@ -9,6 +9,7 @@ from loomline.functions import grading as G
 from loomline.functions import text as T
 from loomline.operators import decontam as dc
 from loomline.registry import CORE
+from loomline.session import spread
 from loomline.sources import bind
 
 
@@ -37,7 +38,7 @@ def tokenize_ngrams(spark, d):
 
 @CORE.query("tfidf_weights", f"with {TF} select id, tok, round(weight, 6) as weight from wt where side = 1")
 def tfidf_weights(spark, d):
-    return dc.weights(*_two(spark, d)).filter("side = 1").select("id", "tok", F.round("weight", 6).alias("weight"))
+    return dc.held_weights(*_two(spark, d)).select("id", "tok", F.round("weight", 6).alias("weight"))
 
 
 @CORE.query("decontam_best_match", f"with {BEST} select id, match_id, round(similarity, 6) as similarity from best")
@@ -262,7 +263,7 @@ def text_similarity_ratio(spark, d):
     """Each whole document against the benchmark item of its number."""
     b = bind.table(spark, d, "benchmark").select("item_id", F.col("text").alias("gold"))
     docs = bind.table(spark, d, "documents").select("doc_id", (F.col("doc_id") % 40).alias("item_id"), F.col("text").alias("said"))
-    return docs.repartition("doc_id").join(F.broadcast(b), "item_id").select("doc_id", "item_id", F.round(G.text_similarity("said", "gold"), 6).alias("score"))
+    return spread(docs, "doc_id", 1000).join(F.broadcast(b), "item_id").select("doc_id", "item_id", F.round(G.text_similarity("said", "gold"), 6).alias("score"))
 
 
 _ACT = """(select event_id, case when event_id % 13 = 0 then null when event_id % 3 = 0 then 'transfer_to_human_agents' when event_id % 3 = 1 then 'get_order_details' else 'cancel_pending_order' end as gold,

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import os
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def build(master: str | None = None, shuffle_partitions: int | None = None, **conf: str) -> SparkSession:
@@ -24,3 +24,8 @@ def build(master: str | None = None, shuffle_partitions: int | None = None, **co
     for k, v in conf.items():
         b = b.config(k.replace("__", "."), v)
     return b.getOrCreate()
+
+
+def spread(df: DataFrame, key: str, rows: int) -> DataFrame:
+    """The rows dealt by key to tasks of about so many: for work that is long for few bytes, whose tasks adaptive execution would merge by their size."""
+    return df.repartition(max(df.sparkSession.sparkContext.defaultParallelism, -(-df.count() // rows)), key)

@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+import difflib
+import json
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
-from loomline.operators import execution, retail, templates
+from loomline.functions import analyzer, grading
+from loomline.operators import decontam, execution, facts, retail, templates
+from loomline import session
 from loomline.plans import catalog
 
 CORE = catalog.load()
@@ -55,3 +61,68 @@ def test_calls_without_a_key_are_spread(spark):
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
         spark.conf.set("spark.sql.adaptive.enabled", "true")
+
+
+def test_ratio_is_that_of_the_library_and_bounded(monkeypatch):
+    rng = random.Random(3)
+    text = lambda n: "".join(rng.choice("abcd ") for _ in range(rng.randrange(n)))
+    for _ in range(300):
+        x, y = text(50), text(50)
+        y += x[5:25] if rng.random() < 0.4 else ""
+        r = difflib.SequenceMatcher(None, x.strip(), y.strip(), autojunk=False).ratio()
+        assert grading.text_ratio(x, y) == max(0.0, (r - 0.3) / (1 - 0.3))
+    monkeypatch.setattr(difflib.SequenceMatcher, "find_longest_match", lambda *_: pytest.fail("matched, although the lengths decide"))
+    assert grading.text_ratio("ab " * 1000, "ab " * 50) == 0.0
+
+
+def test_variants_reach_the_turns_that_name_their_product(spark):
+    items = [(1, "ring", "b1", "t1", 1), (2, "Ring", "b1", "t1", 1), (3, "cup", "b1", "t1", 1)]
+    products = spark.createDataFrame([(1, "ring", "b1", "t1", 1), (4, "ring", "b2", "t1", 1), (5, "ring", "b3", "t1", 1), (3, "cup", "b1", "t1", 1), (6, "cup", "b2", "t1", 1)], "item_id long, product string, brand string, type string, size int")
+    own = spark.createDataFrame([("#W0000001", *x) for x in items], "order_id string, item_id long, product string, brand string, type string, size int")
+    orders = spark.createDataFrame([("#W0000001", 1, "c")], "order_id string, user_id long, pm_id string")
+    methods = spark.createDataFrame([(1, "c", "paypal", None, None)], "user_id long, pm_id string, source string, brand string, last_four string")
+    said = ["I can exchange the RING for the b2 one.", "A ring in b3 or a cup in b2?", "Nothing.", None]
+    tasks = spark.createDataFrame([(k, 1, "#W0000001") for k in range(4)], "id long, user_id long, order_id string")
+    turns = spark.createDataFrame(list(enumerate(said)), "id long, text string")
+    whole = turns.join(facts.task_facts(tasks, orders, own, methods, products), "id")
+    lean = facts.with_variants(turns.join(facts.task_facts(tasks, orders, own, methods), "id"), products)
+    got = {r.id: json.loads(r.facts) for r in lean.collect()}
+    assert "variants" not in got[2] and [v["item_id"] for v in got[1]["variants"]] == [1, 3, 4, 5, 6]
+    want = {r.id: analyzer.analyze(r.text, json.loads(r.facts)) for r in whole.collect()}
+    assert {k: analyzer.analyze(said[k], f) for k, f in got.items()} == want and want[0]["changes"] != "[]"
+
+
+def test_weights_of_the_held_out_side_and_norms(spark):
+    docs = spark.createDataFrame([(1, "a b c a"), (2, "b c d"), (3, None), (4, "zz zz a")], "id long, text string")
+    held = spark.createDataFrame([(1, "a b x"), (2, "q")], "id long, text string")
+    rows = lambda df: sorted((r.id, r.tok, round(r.weight, 12)) for r in df.collect())
+    want = rows(decontam.weights(docs, held).filter("side = 1"))
+    assert want == rows(decontam.held_weights(docs, held)) == rows(decontam.held_weights(docs, held, 1))
+    best = lambda most: {r.id: (r.match_id, r.similarity) for r in decontam.best_match(docs, held, most).collect()}
+    assert best(100) == best(1)
+
+
+def test_a_worker_gives_tokens_on_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(decontam, "MOST_ROWS", 10)
+    docs = spark.createDataFrame([(i, "a b c d") for i in range(50)], "id long, text string").coalesce(1)
+    assert decontam.counts(docs, "id", "text").count() == 350
+
+
+def test_matches_are_made_once_for_the_flags(spark, small):
+    assert "InMemory" in plan(CORE.queries["decontam_report"](spark, small))
+
+
+def test_a_text_is_read_once_whatever_its_ids(monkeypatch):
+    texts = ["I can cancel order #W000000%d. Do you confirm (yes/no)?", "Refund to credit_card_000000%d, is that okay?\n1. a\n2. b", "%d. Please share your email. It has been cancelled: W000000%d"]
+    for t in texts:
+        for k in range(3):
+            x = t.replace("%d", str(k))
+            got = analyzer.analyze(x, {})
+            assert (tuple(got["asks"]), got["consent"], got["refusal"], got["done"], got["action"]) == analyzer.told(x)
+    analyzer.analyze(texts[0] % 1, {})
+    monkeypatch.setattr(analyzer, "units", lambda _: pytest.fail("read again"))
+    assert analyzer.analyze(texts[0] % 7, {})["consent"]
+
+
+def test_rows_are_spread_by_their_number(spark):
+    assert session.spread(spark.range(1000), "id", 10).rdd.getNumPartitions() == 100
