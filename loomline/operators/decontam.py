@@ -11,6 +11,7 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -28,20 +29,76 @@ def _tf(text: str | None) -> Counter:
     return n
 
 
+#: Tokens that a worker gathers, of more than one text at most, before it gives them on.
+MOST_ROWS = 1 << 17
+
+
+def _rows(b: pa.RecordBatch):
+    """The batch's ids and texts, one at a time."""
+    return ((i.as_py(), t.as_py()) for i, t in zip(b.column(0), b.column(1), strict=True))
+
+
+def _text(docs: DataFrame, id_col: str = "id", text_col: str = "text") -> DataFrame:
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+
+
 def counts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, tok, tf): how often each text has each token, counted in its task."""
 
     def of(batches):
+        pack = lambda ids, toks, tf: pa.record_batch([pa.array(ids, pa.int64()), pa.array(toks, pa.string()), pa.array(tf, pa.int64())], ["id", "tok", "tf"])
         for b in batches:
             ids, toks, tf = [], [], []
-            for i, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            for i, text in _rows(b):
                 n = _tf(text)
                 ids += [i] * len(n)
                 toks += n.keys()
                 tf += n.values()
-            yield pa.record_batch([pa.array(ids, pa.int64()), pa.array(toks, pa.string()), pa.array(tf, pa.int64())], ["id", "tok", "tf"])
+                if len(ids) >= MOST_ROWS:
+                    yield pack(ids, toks, tf)
+                    ids, toks, tf = [], [], []
+            yield pack(ids, toks, tf)
+
+    return _text(docs, id_col, text_col).mapInArrow(of, "id long, tok string, tf long")
+
+
+def held_counts(docs: DataFrame, toks: list[str]) -> DataFrame:
+    """(k, df): in how many texts the k-th of some tokens occurs, where it does; each task gives its sums."""
+    sent = docs.sparkSession.sparkContext.broadcast({t: k for k, t in enumerate(toks)})
+
+    def of(batches):
+        places = sent.value
+        n = np.zeros(len(places), np.int64)
+        for b in batches:
+            for _, text in _rows(b):
+                n[[places[t] for t in _tf(text) if t in places]] += 1
+        k = np.flatnonzero(n)
+        yield pa.record_batch([pa.array(k), pa.array(n[k])], ["k", "df"])
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(of, "id long, tok string, tf long")
+    return _text(docs).mapInArrow(of, "k long, df long").groupBy("k").agg(F.sum("df").alias("df"))
+
+
+def norms(docs: DataFrame, held_out: DataFrame, n: int) -> DataFrame:
+    """(id, norm): the length of each text's weights, over all of its tokens.
+
+    Tokens are moved once, as 64-bit hashes; those that share a hash share a task, which counts them in place.
+    """
+    row = lambda df, side: counts(df, "id", "text").select("id", F.xxhash64("tok").alias("h"), F.col("tf").cast("int").alias("tf"), F.lit(side).alias("side"))
+    every = row(docs, 0).unionByName(row(held_out, 1)).withColumn("df", F.count("*").over(W.partitionBy("h"))).filter("side = 0")
+    return every.groupBy("id").agg(F.sqrt(F.sum(F.pow(F.col("tf") * _idf(n), F.lit(2)))).alias("norm"))
+
+
+def held_weights(docs: DataFrame, held_out: DataFrame, most: int = 1 << 20) -> DataFrame:
+    """(id, tok, weight) of the held-out side: of the texts only the held-out tokens are counted. More than `most` are joined."""
+    held = counts(held_out, "id", "text")
+    items = held.limit(most + 1).toArrow()
+    if items.num_rows > most:
+        return weights(docs, held_out).filter("side = 1").drop("side")
+    toks = sorted(set(items["tok"].to_pylist()))
+    known = docs.sparkSession.createDataFrame(pa.table({"k": pa.array(range(len(toks)), pa.int64()), "tok": pa.array(toks, pa.string())}), "k long, tok string")
+    own = held.groupBy("tok").agg(F.count("*").alias("own"))
+    df = known.join(held_counts(docs, toks), "k", "left").join(own, "tok").select("tok", (F.coalesce("df", F.lit(0)) + F.col("own")).alias("df"))
+    return _unit(held.join(df, "tok").select("id", "tok", (F.col("tf") * _idf(docs.count() + held_out.count())).alias("w")))
 
 
 def _idf(n: int) -> Column:
@@ -69,14 +126,11 @@ def best_match(docs: DataFrame, held_out: DataFrame, most: int = 1 << 20) -> Dat
     weights are broadcast if they are at most `most`; then a text is scored against all of them in its task, and
     only for its length do its counts meet the tokens' document counts. More are joined token by token.
     """
-    tf, held = counts(docs, "id", "text"), counts(held_out, "id", "text")
-    items = held.limit(most + 1).toArrow()
+    items = counts(held_out, "id", "text").limit(most + 1).toArrow()
     if items.num_rows > most:
         return _joined(weights(docs, held_out), docs, held_out)
     n = docs.count() + held_out.count()
-    df = tf.select("tok").unionByName(held.select("tok")).groupBy("tok").agg(F.count("*").alias("df"))
-    norm = tf.join(df, "tok").groupBy("id").agg(F.sqrt(F.sum(F.pow(F.col("tf") * _idf(n), F.lit(2)))).alias("norm"))
-    near = _scored(docs, items, df, n).join(norm, "id")
+    near = _scored(docs, items, n).join(norms(docs, held_out, n), "id")
     each = F.transform("near", lambda x: F.struct(F.round(x["sum"] / F.col("norm"), 9).alias("s"), (-x["match_id"]).alias("m")))
     best = near.select("id", F.array_max(each).alias("best"))
     least = held_out.agg(F.min("id").alias("least"))
@@ -84,15 +138,15 @@ def best_match(docs: DataFrame, held_out: DataFrame, most: int = 1 << 20) -> Dat
     return out.select("id", F.coalesce(-F.col("best.m"), "least").alias("match_id"), F.coalesce("best.s", F.lit(0.0)).alias("similarity"))
 
 
-def _scored(docs: DataFrame, items: pa.Table, df: DataFrame, n: int) -> DataFrame:
+def _scored(docs: DataFrame, items: pa.Table, n: int) -> DataFrame:
     """(id, near): for each text that shares a token with an item, the products (match_id, sum) that may be its greatest once they are rounded."""
     toks, at = np.unique(items["tok"].to_numpy(zero_copy_only=False), return_inverse=True)
     ids, item = np.unique(np.asarray(items["id"]), return_inverse=True)
     spark = docs.sparkSession
-    known = spark.createDataFrame(pa.table({"tok": pa.array(toks, pa.string()), "k": pa.array(np.arange(len(toks)))}), "tok string, k long")
-    found = df.join(F.broadcast(known), "tok").select("k", "df").toArrow()
-    idf = np.zeros(len(toks))
-    idf[np.asarray(found["k"]).astype(np.int64)] = np.log((1 + n) / (1 + np.asarray(found["df"]))) + 1
+    found = held_counts(docs, toks.tolist()).toArrow()
+    df = np.bincount(at, minlength=len(toks))
+    df[np.asarray(found["k"]).astype(np.int64)] += np.asarray(found["df"])
+    idf = np.log((1 + n) / (1 + df)) + 1
     w = np.asarray(items["tf"]) * idf[at]
     w = w / np.sqrt(np.bincount(item, w * w))[item]
     order = np.argsort(at, kind="stable")
@@ -104,7 +158,7 @@ def _scored(docs: DataFrame, items: pa.Table, df: DataFrame, n: int) -> DataFram
         ids, item, value, bounds, places, idf = sent.value
         for b in batches:
             keys, near = [], []
-            for i, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            for i, text in _rows(b):
                 tf = _tf(text)
                 mine = [(places[t], c) for t, c in tf.items() if t in places]
                 if not mine:
@@ -120,7 +174,7 @@ def _scored(docs: DataFrame, items: pa.Table, df: DataFrame, n: int) -> DataFram
                 near.append([{"match_id": int(ids[t]), "sum": float(sums[t])} for t in top])
             yield pa.record_batch([pa.array(keys, pa.int64()), pa.array(near, pa.list_(pa.struct([("match_id", pa.int64()), ("sum", pa.float64())])))], ["id", "near"])
 
-    return docs.select(F.col("id").cast("long").alias("id"), F.col("text").cast("string").alias("text")).mapInArrow(of, "id long, near array<struct<match_id:long,sum:double>>")
+    return _text(docs).mapInArrow(of, "id long, near array<struct<match_id:long,sum:double>>")
 
 
 def _joined(w: DataFrame, docs: DataFrame, held_out: DataFrame) -> DataFrame:
@@ -133,7 +187,11 @@ def _joined(w: DataFrame, docs: DataFrame, held_out: DataFrame) -> DataFrame:
 
 
 def flags(best: DataFrame, sigmas: float = 3.0) -> DataFrame:
-    """The best matches with `flagged`: at least the mean and three population deviations of all."""
+    """The best matches with `flagged`: at least the mean and three population deviations of all.
+
+    The matches, a few numbers a text, are kept for their uses here and in `report`; they would be made anew for each.
+    """
+    best = best.persist(StorageLevel.DISK_ONLY)
     at = best.agg((F.avg("similarity") + sigmas * F.stddev_pop("similarity")).alias("threshold"))
     return best.join(F.broadcast(at), how="cross").withColumn("flagged", F.col("similarity") >= F.col("threshold") - 1e-9)
 
