@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from loomline.functions import analyzer
 from loomline.operators import facts, rollouts
 from loomline.registry import CORE
+from loomline.session import spread
 from loomline.sources import bind
 
 OP, PM, RI = bind.ORDER_PAYMENTS, bind.PAYMENTS, bind.RETAIL_ITEMS
@@ -15,7 +16,7 @@ OP, PM, RI = bind.ORDER_PAYMENTS, bind.PAYMENTS, bind.RETAIL_ITEMS
 def _facts(spark, d):
     o = bind.order_payments(spark, d)
     p = bind.table(spark, d, "part").select(F.col("p_partkey").alias("item_id"), F.col("p_name").alias("product"), F.col("p_brand").alias("brand"), F.col("p_type").alias("type"), F.col("p_size").alias("size"))
-    return o, facts.task_facts(o.select(F.col("order_id").alias("id"), "user_id", "order_id"), o, bind.retail_items(spark, d), bind.payment_methods(spark, d), p)
+    return o, facts.task_facts(o.select(F.col("order_id").alias("id"), "user_id", "order_id"), o, bind.retail_items(spark, d), bind.payment_methods(spark, d)), p
 
 
 @CORE.query(
@@ -24,7 +25,7 @@ def _facts(spark, d):
     select o.order_id as id, methods, pm_id as original, n as n_orders, items from {OP} o join m using (user_id) join c using (user_id) left join i on i.order_id = o.order_id""",
 )
 def task_facts(spark, d):
-    _, f = _facts(spark, d)
+    _, f, _ = _facts(spark, d)
     kind = "struct<methods:array<struct<pm_id:string>>,original:string,orders:array<string>,items:array<struct<item_id:long,name:string>>>"
     x = f.select("id", F.from_json("facts", kind).alias("f"))
     return x.select("id", F.array_join(F.transform("f.methods", lambda m: m["pm_id"]), ",").alias("methods"), F.col("f.original").alias("original"), F.size("f.orders").cast("long").alias("n_orders"), F.array_join(F.transform("f.items", lambda i: i["item_id"].cast("string")), ",").alias("items"))
@@ -41,7 +42,7 @@ _K = "cast(substr(order_id, 3) as bigint) % 8"
 )
 def analyzed_turns(spark, d):
     """Turns of eight kinds about each order; the SQL has what each kind says."""
-    o, f = _facts(spark, d)
+    o, f, p = _facts(spark, d)
     oid, k = F.col("order_id"), F.substring("order_id", 3, 7).cast("long") % 8
     card = F.concat(F.lit("credit_card_"), F.lpad(F.col("user_id").cast("string"), 7, "0"))
     other = F.concat(F.lit("I'll move the payment of "), oid, F.lit(" and #W9999999 from your gift card to "), card, F.lit(": is that okay?"))
@@ -53,7 +54,7 @@ def analyzed_turns(spark, d):
     text = said[-1]
     for n, x in enumerate(said[:-1]):
         text = F.when(k == n, x).otherwise(text)
-    turns = o.select(oid.alias("id"), text.alias("text")).join(f, "id")
+    turns = facts.with_variants(o.select(oid.alias("id"), text.alias("text")).join(f, "id"), p)
     s = turns.select("id", analyzer.analyzed("text", "facts").alias("s"))
     csv = lambda c: F.array_join(f"s.{c}", ",").alias(c)
     return s.select("id", csv("asks"), "s.consent", "s.refusal", "s.done", "s.action", csv("payments"), csv("problems"))
@@ -66,12 +67,12 @@ def analyzed_turns(spark, d):
 )
 def oracle_rollouts(spark, d):
     t = rollouts.tasks(bind.order_payments(spark, d), bind.users(spark, d))
-    return rollouts.rollouts(t.repartition("id")).select("id", "end_reason", "writes", "confirmed", "matched", "reward")
+    return rollouts.rollouts(spread(t, "id", 5000)).select("id", "end_reason", "writes", "confirmed", "matched", "reward")
 
 
 @CORE.query("near_miss_rollouts")
 def near_miss_rollouts(spark, d):
     """What each way of missing costs, on average."""
     t = rollouts.tasks(bind.order_payments(spark, d), bind.users(spark, d))
-    r = rollouts.rollouts(t.repartition("id"), ("oracle", "no_identity", "no_consent", "wrong_order", "two_calls", "stops", "transfers", "repeats"))
+    r = rollouts.rollouts(spread(t, "id", 5000), ("oracle", "no_identity", "no_consent", "wrong_order", "two_calls", "stops", "transfers", "repeats"))
     return r.groupBy("agent", "end_reason").agg(F.count("*").alias("n"), F.round(F.avg("reward"), 6).alias("reward"))
