@@ -117,13 +117,17 @@ def modify_user_address(users: DataFrame) -> DataFrame:
 #: Names that are broadcast, at most.
 FEW_NAMES = 20_000
 
+#: Beginnings of first names, of so many characters, that sieve a text's substrings, and how many of them at most.
+HEAD, FEW_HEADS = 3, 4_096
+
 
 def identified(texts: DataFrame, users: DataFrame, most: int = FEW_NAMES) -> DataFrame:
     """(id, user_id): the one user whose zip a text names together with the first and last name.
 
     Texts meet the distinct names of a zip, not its users; names are then looked for in the text. Where these are more than
     `FEW_NAMES`, texts meet by zip and those of their substrings that are as long as a first name, so that only
-    names found in the text are paired with it.
+    names found in the text are paired with it; substrings move without their text, which meets the names found, and
+    only those that begin as some name does, unless names begin in more than `FEW_HEADS` ways.
     """
     names = users.groupBy("zip", F.lower("first").alias("first"), F.lower("last").alias("last")).agg(F.count("*").alias("n"), F.min("user_id").alias("user_id"))
     named = texts.select("id", "text", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(r"\b\d{5}\b"), F.lit(0)))).alias("zip")).withColumn("text", F.lower("text"))
@@ -133,17 +137,26 @@ def identified(texts: DataFrame, users: DataFrame, most: int = FEW_NAMES) -> Dat
         sizes = F.lit([r.n for r in names.filter("first is not null").select(F.length("first").alias("n")).distinct().collect()]).cast("array<int>")
         cut = lambda n: F.transform(F.sequence(F.lit(1), F.length("text") - n + 1), lambda i: F.substr(F.col("text"), i, n))
         parts = F.flatten(F.transform(F.filter(sizes, lambda n: n <= F.length("text")), cut))
-        j = named.withColumn("first", F.explode(F.array_distinct(parts))).join(names, ["zip", "first"])
+        heads = [r.h for r in names.filter("first is not null").select(F.left("first", F.lit(HEAD)).alias("h")).distinct().limit(FEW_HEADS + 1).collect()]
+        if len(heads) <= FEW_HEADS:
+            parts = F.filter(parts, lambda s: F.left(s, F.lit(HEAD)).isin(heads))
+        found = named.select("id", "zip", F.explode(F.array_distinct(parts)).alias("first")).join(names.hint("merge"), ["zip", "first"])
+        j = named.join(found.hint("merge"), ["id", "zip"])
     hit = j.filter(F.contains("text", "last"))
     one = hit.groupBy("id", "zip").agg(F.sum("n").alias("n"), F.min("user_id").alias("user_id")).filter("n = 1")
     return one.groupBy("id").agg(F.min_by("user_id", "zip").alias("user_id"))
 
 
+def mentions(texts: DataFrame, *keys: str) -> DataFrame:
+    """(*keys, pos, order_id): the order ids in each text, from the left."""
+    found = F.transform(F.regexp_extract_all("text", F.lit(r"#?\bW\d{7}\b"), F.lit(0)), lambda x: F.concat(F.lit("#"), F.ltrim(x, F.lit("#"))))
+    return texts.select(*keys, F.posexplode(found).alias("pos", "order_id"))
+
+
 def orders_named(texts: DataFrame, orders: DataFrame) -> DataFrame:
     """(id, pos, order_id): the orders that a text names and that exist, each once, in order of their first naming."""
-    found = F.transform(F.regexp_extract_all("text", F.lit(r"#?\bW\d{7}\b"), F.lit(0)), lambda x: F.concat(F.lit("#"), F.ltrim(x, F.lit("#"))))
-    e = texts.select("id", F.posexplode(found).alias("pos", "order_id")).groupBy("id", "order_id").agg(F.min("pos").alias("pos"))
-    return e.join(orders.select("order_id"), "order_id", "left_semi").select("id", "pos", "order_id")
+    e = mentions(texts, "id").groupBy("id", "order_id").agg(F.min("pos").alias("pos"))
+    return e.join(orders.select("order_id").hint("merge"), "order_id", "left_semi").select("id", "pos", "order_id")
 
 
 def lookups(turns: DataFrame, users: DataFrame, orders: DataFrame, gold: DataFrame) -> DataFrame:
@@ -152,29 +165,23 @@ def lookups(turns: DataFrame, users: DataFrame, orders: DataFrame, gold: DataFra
     turns: (id, i, role, content); gold: (id, tool, argument), the call that must not be answered ahead. The first
     user turn that tells one user is looked up before the next assistant turn, then the user's details, then
     each of that user's orders: before the assistant turn that names it, or before the next one, but not before
-    the user is known.
+    the user is known. Conversations, users and orders grow together, so no side is broadcast by its size on disk;
+    orders are met by id and owner, so that an id which several orders share multiplies nothing.
     """
     said = turns.select(F.struct("id", "i").alias("id"), "content", "role").withColumnRenamed("content", "text")
-    after = turns.filter("role = 'assistant'").select("id", F.col("i").alias("j"))
-
-    def next_turn(rows: DataFrame) -> DataFrame:
-        """The rows (id, i, ...) with `at`, the first assistant turn after i."""
-        return rows.join(after, "id").filter("j > i").groupBy(*rows.columns).agg(F.min("j").alias("at"))
-
-    who = identified(said.filter("role = 'user'"), users).select("id.id", "id.i", "user_id")
-    who = next_turn(who).groupBy("id").agg(F.min_by(F.struct("at", "user_id"), "i").alias("w")).select("id", F.col("w.at").alias("auth_at"), F.col("w.user_id").alias("user_id"))
+    ahead = W.partitionBy("id").orderBy(F.desc("i")).rangeBetween(W.unboundedPreceding, -1)
+    places = turns.select("id", "i", "role").withColumn("at", F.min(F.when(F.col("role") == "assistant", F.col("i"))).over(ahead))
+    who = identified(said.filter("role = 'user'"), users).select("id.id", "id.i", "user_id").join(places.filter("at is not null").hint("merge"), ["id", "i"])
+    who = who.groupBy("id").agg(F.min_by(F.struct("at", "user_id"), "i").alias("w")).select("id", F.col("w.at").alias("auth_at"), F.col("w.user_id").alias("user_id"))
     text = lambda c: c.cast("string").alias("argument")
-    auth = who.select("id", F.col("auth_at").alias("at"), F.lit(0).alias("rank"), F.lit(-1).alias("i"), F.lit(0).alias("pos"), F.lit("find_user_id_by_name_zip").alias("tool"), text(F.col("user_id")))
-    details = who.select("id", F.col("auth_at").alias("at"), F.lit(1).alias("rank"), F.lit(-1).alias("i"), F.lit(0).alias("pos"), F.lit("get_user_details").alias("tool"), text(F.col("user_id")))
-    named = orders_named(said, orders).select("id.id", "id.i", "pos", "order_id").join(orders.select("order_id", "user_id"), "order_id").join(who, ["id", "user_id"])
-    role = turns.select("id", "i", "role")
-    own = named.join(role, ["id", "i"]).select("id", "i", "pos", "order_id", "auth_at", "role")
-    later = next_turn(own.filter("role <> 'assistant' and i >= auth_at").select("id", "i", "pos", "order_id"))
-    here = own.filter("i < auth_at").select("id", "i", "pos", "order_id", F.col("auth_at").alias("at"))
-    there = own.filter("i >= auth_at and role = 'assistant'").select("id", "i", "pos", "order_id", F.col("i").alias("at"))
-    reads = later.unionByName(here).unionByName(there).groupBy("id", "order_id").agg(F.min_by(F.struct("at", "i", "pos"), F.struct("i", "pos")).alias("x"))
+    step = lambda rank, tool: F.struct(F.lit(rank).alias("rank"), F.lit(-1).alias("i"), F.lit(0).alias("pos"), F.lit(tool).alias("tool"))
+    auth = who.select("id", F.col("auth_at").alias("at"), F.inline(F.array(step(0, "find_user_id_by_name_zip"), step(1, "get_user_details"))), text(F.col("user_id")))
+    named = mentions(turns.withColumnRenamed("content", "text"), "id", "i").join(who.hint("merge"), "id")
+    own = named.join(orders.select("order_id", "user_id").hint("merge"), ["order_id", "user_id"], "left_semi").join(places.hint("merge"), ["id", "i"])
+    at = F.when(F.col("i") < F.col("auth_at"), F.col("auth_at")).when(F.col("role") == "assistant", F.col("i")).when(F.col("role") != "assistant", F.col("at"))
+    reads = own.withColumn("at", at).filter("at is not null").groupBy("id", "order_id").agg(F.min_by(F.struct("at", "i", "pos"), F.struct("i", "pos")).alias("x"))
     reads = reads.select("id", "x.at", F.lit(2).alias("rank"), "x.i", "x.pos", F.lit("get_order_details").alias("tool"), text(F.col("order_id")))
-    every = auth.unionByName(details).unionByName(reads).join(gold.select("id", "tool", "argument"), ["id", "tool", "argument"], "left_anti")
+    every = auth.unionByName(reads).join(gold.select("id", "tool", "argument").hint("merge"), ["id", "tool", "argument"], "left_anti")
     seq = F.row_number().over(W.partitionBy("id", "at").orderBy("rank", "i", "pos"))
     return every.select("id", "at", seq.alias("seq"), "tool", "argument")
 

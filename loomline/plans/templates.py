@@ -187,6 +187,6 @@ def grounding_plan(spark, d):
         turn("user", F.concat(F.lit("about "), "z")), turn("assistant", F.lit("Who are you?")), turn("user", who), turn("assistant", F.lit("I see.")),
         turn("user", F.concat(F.lit("and "), "a")), turn("assistant", F.concat(F.lit("On "), "a")),
     )
-    turns = u.join(mine, "user_id").select(F.col("user_id").alias("id"), F.posexplode(said).alias("i", "t")).select("id", "i", "t.role", "t.content")
+    turns = u.join(mine.hint("merge"), "user_id").select(F.col("user_id").alias("id"), F.posexplode(said).alias("i", "t")).select("id", "i", "t.role", "t.content")
     gold = mine.filter("user_id % 2 = 0").select(F.col("user_id").alias("id"), F.lit("get_order_details").alias("tool"), F.col("z").alias("argument"))
     return t.lookups(turns, u, o, gold)

@@ -126,3 +126,55 @@ def test_a_text_is_read_once_whatever_its_ids(monkeypatch):
 
 def test_rows_are_spread_by_their_number(spark):
     assert session.spread(spark.range(1000), "id", 10).rdd.getNumPartitions() == 100
+
+
+@pytest.mark.parametrize("name", ["grounding_plan", "orders_named", "identify_user"])
+def test_of_what_grounding_meets_only_few_names_are_broadcast(spark, small, name):
+    sides = [x for x in plan(CORE.queries[name](spark, small)).splitlines() if "BroadcastExchange" in x]
+    assert len(sides) <= {"grounding_plan": 2, "orders_named": 0, "identify_user": 1}[name], sides
+
+
+def test_lookups_are_those_of_a_walk_through_each_conversation(spark):
+    rng = random.Random(8)
+    people = [(1, "Ann", "Lee", "01000"), (2, "Jo", "Ray", "01000"), (3, "Jo", "Ray", "02000")]
+    orders = [(f"#W000000{k}", k % 3 + 1) for k in range(6)] + [("#W0000001", 1), ("#W0000001", 2)]
+    said = ["I'm Ann Lee, 01000", "jo ray 02000", "Jo Ray or Ann Lee, 01000", "hello", None]
+    talks = {}
+    for c in range(60):
+        text = lambda: " ".join(x for x in [rng.choice(said), *(f"#W000000{rng.randrange(7)}" for _ in range(rng.randrange(3)))] if x)
+        talks[c] = [(i, rng.choice(["user", "user", "assistant", None]), text() if rng.random() < 0.9 else None) for i in range(0, 2 * rng.randrange(1, 12), 2)]
+    who = {said[0]: 1, said[1]: 3}
+    gold = [(c, "get_order_details", f"#W000000{c % 6}") for c in range(0, 60, 2)]
+    want = []
+    for c, turns in talks.items():
+        after = lambda i: min((j for j, r, _ in turns if j > i and r == "assistant"), default=None)  # noqa: B023, E731
+        told = [(i, u, after(i)) for i, r, x in turns if r == "user" and x for t, u in who.items() if x.startswith(t) and after(i) is not None]
+        if not told:
+            continue
+        _, user, auth = min(told)
+        reads = {}
+        for i, r, x in turns:
+            at = auth if i < auth else i if r == "assistant" else after(i) if r else None
+            for pos, o in enumerate(w for w in (x or "").split() if w.startswith("#W")):
+                if at is not None and (o, user) in orders:
+                    reads.setdefault(o, (at, 2, i, pos, "get_order_details", o))
+        steps = [(auth, 0, -1, 0, "find_user_id_by_name_zip", str(user)), (auth, 1, -1, 0, "get_user_details", str(user)), *reads.values()]
+        seen = {}
+        for at, *_, tool, argument in sorted(s for s in steps if (c, s[4], s[5]) not in gold):
+            seen[at] = seen.get(at, 0) + 1
+            want.append((c, at, seen[at], tool, argument))
+    df = lambda rows, schema: spark.createDataFrame(rows, schema)
+    got = templates.lookups(
+        df([(c, *t) for c, ts in talks.items() for t in ts], "id long, i int, role string, content string"), df(people, "user_id long, first string, last string, zip string"),
+        df(orders, "order_id string, user_id long"), df(gold, "id long, tool string, argument string"),
+    )
+    assert len(want) > 60 and sorted(map(tuple, got.collect())) == sorted(want)
+
+
+@pytest.mark.parametrize("few", [0, 4096])
+def test_the_sieve_of_substrings_loses_no_name(spark, monkeypatch, few):
+    monkeypatch.setattr(templates, "FEW_HEADS", few)
+    u = spark.createDataFrame([(1, "Änn", "Lee", "01000"), (2, "J", "Ray", "01000"), (3, "", "Fox", "02000"), (4, "Joan", "Ray", "03000"), (5, None, "Ray", "03000")], "user_id long, first string, last string, zip string")
+    said = ["änn lee 01000", "J ray 01000", "Fox 02000", "x joan RAY, 03000 02000", "joa Ray 03000"]
+    j = templates.identified(spark.createDataFrame(list(enumerate(said)), "id long, text string"), u, 0)
+    assert {r.id: r.user_id for r in j.collect()} == {0: 1, 1: 2, 2: 3, 3: 4}
