@@ -77,7 +77,7 @@ def exchanged(orders: DataFrame, plans: DataFrame) -> DataFrame:
     ids = lambda c: F.array_join(F.sort_array(F.split(c, ",")), ",")
     p = plans.select("order_id", ids("item_ids").alias("exchange_items"), ids("new_item_ids").alias("exchange_new_items"), F.col("pm_id").alias("exchange_payment_method_id"), F.col("difference").alias("exchange_price_difference"))
     done = (F.col("status") == "delivered") & F.col("exchange_items").isNotNull()
-    return orders.join(p, "order_id", "left").withColumn("status", F.when(done, "exchange requested").otherwise(F.col("status")))
+    return orders.join(p.hint("merge"), "order_id", "left").withColumn("status", F.when(done, "exchange requested").otherwise(F.col("status")))
 
 
 def items_modified(orders: DataFrame, plans: DataFrame) -> DataFrame:

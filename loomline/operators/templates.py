@@ -23,6 +23,16 @@ def once_in_order(items: DataFrame) -> DataFrame:
     return items.withColumn("_n", F.count("*").over(W.partitionBy("order_id", "product"))).filter("_n = 1").drop("_n")
 
 
+def told_by_id(orders: DataFrame, status: str) -> DataFrame:
+    """(order_id, user_id, status): the orders of that status of which no two have the id.
+
+    Seven digits hold ten million ids; beyond, ids are cut and shared. An order with the id of another has each of its
+    products twice, so it has no items that `once_in_order` keeps, and its lines needn't meet those of all orders of the id.
+    """
+    n = orders.filter(F.col("status") == status).groupBy("order_id").agg(F.count("*").alias("_n"), F.min("user_id").alias("user_id"))
+    return n.filter("_n = 1").select("order_id", "user_id", F.lit(status).alias("status"))
+
+
 def n_once(items: DataFrame) -> DataFrame:
     """(order_id, n_items): how many products an order has once, from counts, so no task sorts the items."""
     return items.groupBy("order_id", "product").agg(F.count("*").alias("_n")).filter("_n = 1").groupBy("order_id").agg(F.count("*").alias("n_items"))
@@ -69,11 +79,12 @@ def item_changes(items: DataFrame, variants: DataFrame, prices: DataFrame, metho
     product, by place; each takes its least variant. The method is the least that is called like no other and,
     if a gift card, covers a positive difference. corrected is another variant of the first item, for a change of
     mind, where it has one and n < 3. Of variants (item_id, other_id) an item's two least are enough, as
-    `retail.least_variants` gives them. Parts and methods grow with the orders, so no side is broadcast by its size on disk.
+    `retail.least_variants` gives them, and items of orders that share an id may be left out (`told_by_id`). Parts and
+    methods grow with the orders, so no side is broadcast by its size on disk.
     """
     v = variants.join(prices.select(F.col("item_id").alias("other_id"), F.col("price").alias("new_price")).hint("merge"), "other_id")
     v = v.groupBy("item_id").agg(F.sort_array(F.collect_list(F.struct("other_id", "new_price"))).alias("v"))
-    plan = once_in_order(items.filter(F.col("status") == status)).join(v.hint("merge"), "item_id")
+    plan = once_in_order(items.filter(F.col("status") == status).join(v.hint("merge"), "item_id", "left")).filter("v is not null")
     plan = plan.withColumn("r", F.row_number().over(W.partitionBy("order_id").orderBy("pos", "item_id"))).filter(F.col("r") <= n)
     g = plan.groupBy("order_id", "user_id").agg(
         F.count("*").alias("k"), F.sort_array(F.collect_list(F.struct("r", "item_id", F.col("v")[0]["other_id"].alias("new_id")))).alias("x"),

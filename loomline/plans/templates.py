@@ -56,7 +56,8 @@ def _changes_sql(status: str, n: int) -> str:
 
 def _changes(spark, d, status: str, n: int):
     p = bind.table(spark, d, "part").select(F.col("p_partkey").alias("item_id"), F.col("p_name").alias("product"), F.col("p_brand").alias("brand"), F.col("p_type").alias("type"), F.col("p_size").alias("size"), F.col("p_retailprice").alias("price"))
-    return t.item_changes(bind.retail_items(spark, d), r.least_variants(p), p, bind.payment_methods(spark, d), status, n)
+    items = bind.retail_items(spark, d, t.told_by_id(bind.retail_orders(spark, d), status))
+    return t.item_changes(items, r.least_variants(p), p, bind.payment_methods(spark, d), status, n)
 
 
 @CORE.query("modify_items_candidates", _changes_sql("pending", 2))

@@ -178,3 +178,31 @@ def test_the_sieve_of_substrings_loses_no_name(spark, monkeypatch, few):
     said = ["änn lee 01000", "J ray 01000", "Fox 02000", "x joan RAY, 03000 02000", "joa Ray 03000"]
     j = templates.identified(spark.createDataFrame(list(enumerate(said)), "id long, text string"), u, 0)
     assert {r.id: r.user_id for r in j.collect()} == {0: 1, 1: 2, 2: 3, 3: 4}
+
+
+@pytest.mark.parametrize("name", ["exchange_items_candidates", "exchanged_orders"])
+def test_exchanges_broadcast_no_growing_table(spark, small, name):
+    assert "BroadcastExchange" not in plan(CORE.queries[name](spark, small))
+
+
+def test_orders_that_share_an_id_are_not_multiplied(spark):
+    o = [("#W1000000", 1, "delivered"), ("#W1000000", 2, "delivered"), ("#W1000001", 1, "delivered"), ("#W1000001", 2, "pending"), ("#W1000002", 3, "delivered")]
+    orders = spark.createDataFrame(o, "order_id string, user_id long, status string")
+    alone = templates.told_by_id(orders, "delivered")
+    assert sorted(map(tuple, alone.collect())) == [o[2], o[4]]
+    lines = spark.createDataFrame([(i, k, p) for i in sorted({x[0] for x in o}) for k, p in enumerate(["ring", "cup", "cup", "bolt"])], "order_id string, pos int, product string")
+    kept = lambda orders: sorted(map(tuple, templates.once_in_order(lines.join(orders.filter("status = 'delivered'"), "order_id")).collect()))
+    assert kept(alone) == kept(orders) and len(kept(alone)) == 4
+
+
+def test_changes_meet_orders_told_by_id_only(spark, tmp_path, monkeypatch):
+    orders = [(10_000_000 + k, 1, "F", 1.0) for k in range(10)] + [(7, 1, "F", 1.0)]
+    save = lambda rows, schema, name: spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/{name}.parquet")
+    save(orders, "o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double", "orders")
+    save([(o[0], k, k, 5.0) for o in orders for k in range(3)], "l_orderkey long, l_linenumber int, l_partkey long, l_extendedprice double", "lineitem")
+    save([(k + 3 * v, f"p{k}", f"b{v}", "t", 1, 2.0) for k in range(3) for v in range(2)], "p_partkey long, p_name string, p_brand string, p_type string, p_size int, p_retailprice double", "part")
+    save([(1, 0.0)], "c_custkey long, c_acctbal double", "customer")
+    df = CORE.queries["exchange_items_candidates"](spark, str(tmp_path))
+    assert [(r.order_id, r.item_ids, r.new_item_ids, r.difference) for r in df.collect()] == [("#W0000007", "0,1,2", "3,4,5", -9.0)]
+    monkeypatch.setattr(templates, "item_changes", lambda items, *_: items)
+    assert CORE.queries["exchange_items_candidates"](spark, str(tmp_path)).count() == 3
