@@ -151,6 +151,7 @@ def identified(texts: DataFrame, users: DataFrame, most: int = FEW_NAMES) -> Dat
         heads = [r.h for r in names.filter("first is not null").select(F.left("first", F.lit(HEAD)).alias("h")).distinct().limit(FEW_HEADS + 1).collect()]
         if len(heads) <= FEW_HEADS:
             parts = F.filter(parts, lambda s: F.left(s, F.lit(HEAD)).isin(heads))
+        named = named.repartition("id")  # a few megabytes of texts, which one task may have read, have very many substrings
         found = named.select("id", "zip", F.explode(F.array_distinct(parts)).alias("first")).join(names.hint("merge"), ["zip", "first"])
         j = named.join(found.hint("merge"), ["id", "zip"])
     hit = j.filter(F.contains("text", "last"))

@@ -206,3 +206,9 @@ def test_changes_meet_orders_told_by_id_only(spark, tmp_path, monkeypatch):
     assert [(r.order_id, r.item_ids, r.new_item_ids, r.difference) for r in df.collect()] == [("#W0000007", "0,1,2", "3,4,5", -9.0)]
     monkeypatch.setattr(templates, "item_changes", lambda items, *_: items)
     assert CORE.queries["exchange_items_candidates"](spark, str(tmp_path)).count() == 3
+
+
+def test_substrings_are_made_in_more_than_the_task_that_read_the_texts(spark):
+    u = spark.createDataFrame([(1, "Ann", "Lee", "01000")], "user_id long, first string, last string, zip string")
+    t = spark.createDataFrame([(1, "ann lee 01000")], "id long, text string").coalesce(1)
+    assert "REPARTITION_BY_COL" in plan(templates.identified(t, u, 0))
